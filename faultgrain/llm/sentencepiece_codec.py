@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import groupby
+from struct import pack
 
 import ahocorasick
 import numpy as np
@@ -17,8 +19,11 @@ from faultgrain.llm.spark_tools import keyed, own_id
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHED = 300_000
+#: Stretches of at most LONG characters that a worker keeps, twice over: about 200 MB.
+CACHED = 400_000
 LONG = 64
+#: Pairs of tokens whose compatibility a worker keeps: about 150 MB.
+MOST_PAIRS = 1_500_000
 
 _LOADED: dict[str, PieceCodec] = {}
 
@@ -55,8 +60,25 @@ class PieceCodec:
         self.joined = joined
         alone = "".join(c for c in map(chr, range(128)) if not any(c in pair for pair in joined))
         self.cut = re.compile(f"[{re.escape(alone)}]|{SPACE}*[^{SPACE}{re.escape(alone)}]+|{SPACE}+")
-        self._fits: dict[tuple[int, int], bool] = {}
-        self._known: dict[str, tuple[bytes, bytes]] = {}
+        self.chars = frozenset(piece for piece in self.piece_id if len(piece) == 1)
+        self.size = [len(self.text.get(i, "")) for i in range(len(pieces))]
+        self.shorter = [-1] * len(pieces)  # the longest piece that a piece begins with
+        for piece, i in self.piece_id.items():
+            self.shorter[i] = next((self.piece_id[piece[:k]] for k in range(len(piece) - 1, 0, -1) if piece[:k] in self.piece_id), -1)
+        raw = [self._bytes_of(i) for i in range(len(pieces))]
+        self._piece_bytes = np.frombuffer(b"".join(raw), np.uint8)
+        self._piece_sizes = np.array([len(r) for r in raw], np.int64)
+        self._piece_starts = np.cumsum(self._piece_sizes) - self._piece_sizes
+        self._begin, self._end = pack("<I", self.bos), pack("<I", self.eos)
+        self._fits: dict[int, bool] = {}
+        self._alone: dict[int, bool] = {}
+        self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+
+    def _bytes_of(self, token: int) -> bytes:
+        if token in self.byte:
+            return bytes([self.byte[token]])
+        return self.text[token].replace(SPACE, " ").encode() if token in self.text else b""
 
     # --- one stretch of text
 
@@ -75,19 +97,17 @@ class PieceCodec:
 
     def _compatible(self, left: int, right: int) -> bool:
         """Whether merging both tokens' characters anew gives the two tokens back."""
-        known = self._fits.get((left, right))
-        if known is None:
-            a, b = self.text[left], self.text[right]
-            known = a[-1] + b[0] not in self.joined and self._own(left) and self._own(right) or self._merge(a + b) == [a, b]
-            if len(self._fits) > 4 * CACHED:
-                self._fits.clear()
-            self._fits[left, right] = known
+        a, b = self.text[left], self.text[right]
+        known = a[-1] + b[0] not in self.joined and self._own(left) and self._own(right) or self._merge(a + b) == [a, b]
+        if len(self._fits) > MOST_PAIRS:
+            self._fits.clear()
+        self._fits[left << 32 | right] = known
         return known
 
     def _own(self, token: int) -> bool:
-        known = self._fits.get((token, -1))
+        known = self._alone.get(token)
         if known is None:
-            known = self._fits[token, -1] = self._merge(self.text[token]) == [self.text[token]]
+            known = self._alone[token] = self._merge(self.text[token]) == [self.text[token]]
         return known
 
     def _backtrack(self, text: str) -> list[int]:
@@ -96,77 +116,80 @@ class PieceCodec:
         A bit for each position is cleared once no encoding of the text up to it can go on from there.
         """
         n = len(text)
-        starting: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        longest = [0] * n
         for end, (size, token) in self.automaton.iter(text):
-            starting[end - size + 1].append((size, token))  # in the order of their ends, so by size
+            longest[end - size + 1] = token  # matches come by their ends, so the longest comes last
         open_at = bytearray(b"\1") * (n + 1)
+        fits, size_of, shorter = self._fits, self.size, self.shorter
         tokens: list[int] = []
-        tried: list[int] = []  # how many matches at each chosen token's start are left, itself included
-        pos, left = 0, len(starting[0])
+        pos, last, token = 0, -1, longest[0]
         while pos < n:
-            here = starting[pos]
-            while left:
-                size, token = here[left - 1]
-                if open_at[pos + size] and (self._compatible(tokens[-1], token) if tokens else self._own(token)):
-                    break
-                left -= 1
-            if left:
+            while token >= 0:
+                if open_at[pos + size_of[token]]:
+                    if last < 0:
+                        good = self._own(token)
+                    else:
+                        good = fits.get(last << 32 | token)
+                        if good is None:
+                            good = self._compatible(last, token)
+                    if good:
+                        break
+                token = shorter[token]
+            if token >= 0:
                 tokens.append(token)
-                tried.append(left)
-                pos += size
-                left = len(starting[pos]) if pos < n else 0
+                pos += size_of[token]
+                last = token
+                if pos < n:
+                    token = longest[pos]
             else:
                 open_at[pos] = 0
-                if not tokens:
+                if last < 0:
                     raise ValueError("no encoding")
-                pos -= len(self.text[tokens.pop()])
-                left = tried.pop()
+                token = tokens.pop()
+                pos -= size_of[token]
+                last = tokens[-1] if tokens else -1
+                token = shorter[token]
         return tokens
 
-    def _stretch(self, text: str) -> tuple[bytes, bytes]:
-        """(ids as little-endian 32-bit integers, decoded bytes) of a stretch that nothing merges with."""
-        ids: list[int] = []
-        at = 0
-        while at < len(text):
-            end = at
-            while end < len(text) and text[end] in self.piece_id:
-                end += 1
-            if end > at:
-                ids += self._backtrack(text[at:end])
-            while end < len(text) and text[end] not in self.piece_id:
-                ids += [self.byte_id[b] for b in text[end].encode()]
-                end += 1
-            at = end
-        return np.array(ids, "<u4").tobytes(), b"".join(self._bytes_of(i) for i in ids)
-
-    def _bytes_of(self, token: int) -> bytes:
-        if token in self.byte:
-            return bytes([self.byte[token]])
-        return self.text[token].replace(SPACE, " ").encode() if token in self.text else b""
+    def _stretch(self, text: str) -> bytes:
+        """Ids, as little-endian 32-bit integers, of a stretch that nothing merges with."""
+        if self.chars.issuperset(text):
+            ids = self._backtrack(text)
+        else:
+            ids = []
+            for known, part in groupby(text, self.chars.__contains__):
+                ids += self._backtrack("".join(part)) if known else [self.byte_id[b] for b in "".join(part).encode()]
+        return pack(f"<{len(ids)}I", *ids)
 
     # --- whole texts
 
-    def encode_bytes(self, text: str) -> tuple[bytes, bytes]:
-        """(ids, decoded text) of a whole text, both as bytes, with begin and end ids."""
-        known = self._known
-        ids, shown = [np.array([self.bos], "<u4").tobytes()], []
+    def encode_bytes(self, text: str) -> bytes:
+        """The ids of a whole text with begin and end ids, as little-endian 32-bit integers."""
+        out = [self._begin]
         if text:
             for part in self.cut.findall(SPACE + text.replace(" ", SPACE)):
-                have = known.get(part)
-                if have is None:
-                    have = self._stretch(part)
+                ids = self._known.get(part)
+                if ids is None:
+                    ids = self._older.pop(part, None) or self._stretch(part)
                     if len(part) <= LONG:
-                        if len(known) >= CACHED:
-                            known.clear()
-                        known[part] = have
-                ids.append(have[0])
-                shown.append(have[1])
-        ids.append(np.array([self.eos], "<u4").tobytes())
-        out = b"".join(shown)
-        return b"".join(ids), out[1:] if out[:1] == b" " else out
+                        if len(self._known) >= CACHED:
+                            self._known, self._older = {}, self._known
+                        self._known[part] = ids
+                out.append(ids)
+        out.append(self._end)
+        return b"".join(out)
+
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        """The UTF-8 bytes of ids whose byte tokens form whole characters, as those of an encoding do."""
+        sizes = self._piece_sizes[ids]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.arange(total) + np.repeat(self._piece_starts[ids] - ends + sizes, sizes)
+        out = self._piece_bytes[at].tobytes()
+        return out[1:] if out[:1] == b" " else out
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_bytes(text)[0], "<u4").tolist()
+        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: control tokens vanish, bytes that are not UTF-8 become U+FFFD, the first space goes."""
@@ -227,7 +250,8 @@ def _rows(batches: Iterator[pa.RecordBatch], path: str, outputs: bool) -> Iterat
     for batch in batches:
         n, ids_sha, text_sha, ids, shown = [], [], [], [], []
         for text in batch.column("text"):
-            a, b = own.encode_bytes(text.as_py() or "")
+            a = own.encode_bytes(text.as_py() or "")
+            b = own.decode_bytes(np.frombuffer(a, "<u4"))
             n.append(len(a) // 4)
             ids_sha.append(hashlib.sha256(a).hexdigest())
             text_sha.append(hashlib.sha256(b).hexdigest())
