@@ -126,12 +126,15 @@ def _prefix_pairs(sets: DataFrame, parts: DataFrame, similar: tuple[int, int]) -
         ranked.join(alone, "doc", "left")
         .withColumn("room", F.least(room.cast("int"), F.size("order")))
         .where("room > 0")
-        .select("doc", "part", "size", F.explode(F.slice("order", F.lit(1), F.col("room"))).alias("x"))
-        .select("doc", "part", "size", "x.item")
+        .select("doc", "part", "size", F.coalesce("alone", F.lit(0)).alias("alone"), F.posexplode(F.slice("order", F.lit(1), F.col("room"))).alias("i", "x"))
+        .select("doc", "part", "size", "x.item", (F.col("size") - F.col("alone") - F.col("i")).alias("left"))
     )
     a, b = heads.alias("a"), heads.alias("b")
     fits = (F.col("a.part") != F.col("b.part")) & (F.col("a.doc") < F.col("b.doc"))
     fits &= (of * F.col("a.size") >= least * F.col("b.size")) & (of * F.col("b.size") >= least * F.col("a.size"))
+    # where this is the first item that both have, what is left of each from here on must hold the common items
+    enough = least * (F.col("a.size") + F.col("b.size"))
+    fits &= ((of + least) * F.col("a.left") >= enough) & ((of + least) * F.col("b.left") >= enough)
     return a.join(b, (F.col("a.item") == F.col("b.item")) & fits).select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).distinct()
 
 
