@@ -191,7 +191,7 @@ def near_dedup(
     sets = texts.mapInArrow(lambda b: _sets(b, shingle, bits), item_schema)
     sets = written(sets.join(involved.select(F.col("mark").alias("m")), F.col("doc.mark") == F.col("m"), "left_semi").dropDuplicates(["doc"]), "sets")
     # first the likeliest leader of each member, then the others where that has not settled it
-    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b.k_id"))).alias("b"))
+    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", F.bitwise_not("b.k_id"))).alias("b"))
     links = written(_verified(best, sets, similar), "links-1")
     parts = connected_components(members.select("a").distinct(), links)
     rest = pairs.select("a", "b").join(best.withColumn("was", F.lit(True)), ["a", "b"], "left_anti")

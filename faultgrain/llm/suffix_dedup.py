@@ -16,9 +16,9 @@ from faultgrain.llm.text_arrays import chunks, covered, gram_hashes, mix, runs,
 
 LENGTH = 200
 GRAM = 32
-STRIDE = 4
+STRIDE = 8
 END = 0xFF  # no UTF-8 text has this byte
-BATCH = 2 << 20
+BATCH = 1 << 17  # small enough that the arrays of a merge stay in the processor's cache
 
 
 # --- Burrows-Wheeler transforms of shards, and their merge
@@ -239,7 +239,7 @@ def suffix_dedup(
     Texts are UTF-8 bytes. Every byte is removed that lies in a string of ``length`` bytes which also starts
     anywhere else, in the same document or another; strings are judged on the input, overlaps count and none
     crosses documents. n_spans: maximal removed runs. What is kept may not be UTF-8, as strings may begin
-    within a character. ``length`` is a multiple of 4, longer than ``gram``.
+    within a character. ``length`` is a multiple of 8, longer than ``gram``.
 
     A merged count-min sketch of anchors (each string's smallest ``gram``-byte gram) drops strings that occur
     once; none that repeats is lost. The rest is dealt by anchor, so equal strings meet: equal segments are
@@ -251,7 +251,7 @@ def suffix_dedup(
     columns are ignored.
     """
     if length % STRIDE or length <= gram:
-        raise ValueError("length must be a multiple of 4 and longer than gram")
+        raise ValueError("length must be a multiple of 8 and longer than gram")
     rows = keyed(docs, id_col, text_col)
     both = by_document(rows, repeated_strings(rows, length=length, gram=gram))
     schema = "k_id long, k_tag int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary"
