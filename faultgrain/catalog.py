@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultgrain.plans import core
+from faultgrain.plans import analysis, core
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(core.QUERIES)
+    return core.QUERIES | analysis.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(core.ORACLES)
+    return core.ORACLES | analysis.ORACLES

@@ -51,7 +51,8 @@ def _classified(spark, d) -> DataFrame:
 
 
 def _with(ctes: str, body: str) -> str:
-    return f"WITH {ctes} {body}"
+    """A statement; a body that starts with a comma goes on with CTEs of its own."""
+    return f"WITH {ctes}{body}" if body.startswith(",") else f"WITH {ctes} {body}"
 
 
 @query(_with(_RULES, """SELECT commit_id, category, round(CAST(confidence AS DOUBLE), 4) AS confidence, patterns,
