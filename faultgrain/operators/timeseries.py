@@ -77,3 +77,17 @@ def concept_drift(matrices: DataFrame, *, threshold: float = 0.5) -> DataFrame:
     d = F.col("r2") - F.col("r")
     out = cells.join(after, ["n", "i", "j"]).groupBy("window", "next_window").agg(F.sqrt(F.sum(d * d)).alias("drift"))
     return out.withColumn("significant", F.col("drift") > threshold)
+
+
+def lagged_correlation(classified: DataFrame, first: str, second: str, *, lag: int = 1, step: int = 86400) -> DataFrame:
+    """One row: Pearson's r of the count of one category on a day with the count of another ``lag`` days later.
+
+    Every day from the least to the greatest counts, with 0 where nothing happened; days whose partner lies outside go.
+    """
+    rows = classified.where(F.col("category").isNotNull()).withColumn("day", F.floor(F.col("timestamp") / step))
+    ends = rows.agg(F.min("day").alias("low"), F.max("day").alias("high")).where("low IS NOT NULL")
+    days = ends.select(F.explode(F.sequence("low", "high")).alias("day"))
+    n = rows.groupBy("day").agg(F.count_if(F.col("category") == first).alias("a"), F.count_if(F.col("category") == second).alias("b"))
+    filled = days.join(n, "day", "left").select("day", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
+    pairs = filled.select("day", "a").join(filled.select((F.col("day") - lag).alias("day"), "b"), "day")
+    return correlation_matrix(pairs, ["a", "b"]).where("i = 0 AND j = 1").select("r")

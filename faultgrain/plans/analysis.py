@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from faultgrain.functions.taxonomy import CATEGORIES
 from faultgrain.operators import coverage as V
+from faultgrain.operators import dataset as N
+from faultgrain.operators import diagnostics as D
 from faultgrain.operators import evaluate as E
 from faultgrain.operators import graph as G
 from faultgrain.operators import ordering as O
@@ -14,7 +16,7 @@ from faultgrain.operators import patterns as P
 from faultgrain.operators import text as X
 from faultgrain.operators import timeseries as S
 from faultgrain.operators.classify import commit_features
-from faultgrain.plans.core import _FEATURES, _PATTERNS, _RULES, _TOP, _classified, _r, _scores, _with
+from faultgrain.plans.core import _DIAG, _FEATURES, _PATTERNS, _RULES, _TOP, _classified, _r, _scores, _with
 from faultgrain.sources.views import oracle, view
 
 QUERIES: dict = {}
@@ -145,6 +147,17 @@ def category_correlation(spark, d):
     return S.correlation_matrix(wide, CATEGORIES).where(F.abs("r") >= 0.3).select("i", "j", _r("r", 4))
 
 
+_A, _B = CATEGORIES[0], CATEGORIES[1]
+
+
+@query(_with(_RULES, f""", v_day AS (SELECT CAST(floor(timestamp / 86400) AS BIGINT) AS day, count(*) FILTER (category = '{_A}') AS a, count(*) FILTER (category = '{_B}') AS b
+    FROM v_classified WHERE category IS NOT NULL GROUP BY 1), v_days AS (SELECT unnest(range(low, high + 1)) AS day FROM (SELECT min(day) AS low, max(day) AS high FROM v_day)),
+  v_full AS (SELECT day, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM v_days LEFT JOIN v_day USING (day))
+  SELECT round(corr(CAST(x.a AS DOUBLE), CAST(y.b AS DOUBLE)), 4) AS r FROM v_full x JOIN v_full y ON y.day = x.day + 7"""))
+def lagged_correlation(spark, d):
+    return S.lagged_correlation(_classified(spark, d), _A, _B, lag=7).select(_r("r", 4))
+
+
 # --- evaluation
 
 _PREDICTIONS = oracle("predictions")
@@ -235,3 +248,29 @@ def enrich_tdg_ranking(spark, d):
   SELECT a.file AS source_file, b.file AS target_file, count(*) AS weight FROM v_f a JOIN v_f b ON a.fix_commit = b.fix_commit AND a.file < b.file GROUP BY 1, 2"""))
 def cochange_edges(spark, d):
     return G.cochange_edges(view(spark, d, "changed_lines"))
+
+
+def _training(spark, d):
+    return D.diagnostics_to_training(D.map_diagnostics(view(spark, d, "diagnostics"))).select(F.col("event_id").alias("id"), "category", "confidence", "source_file")
+
+
+_TRAINING = f"{_DIAG}, v_new AS (SELECT event_id AS id, category, confidence, source_file FROM v_mapped WHERE confidence >= 0.75 AND category IS NOT NULL)"
+
+
+@query(_with(f"{_RULES}, {_TRAINING}", """, v_old AS (SELECT commit_id AS id, category, confidence FROM v_classified WHERE category IS NOT NULL)
+  SELECT id, category, round(CAST(confidence AS DOUBLE), 4) AS confidence, NULL AS source_file, 1.0::DOUBLE AS weight FROM v_old
+  UNION ALL SELECT id, category, round(CAST(confidence AS DOUBLE), 4), source_file, 2.0 FROM v_new"""))
+def merge_weighted(spark, d):
+    old = _classified(spark, d).where("category IS NOT NULL").select(F.col("commit_id").alias("id"), "category", F.col("confidence").cast("double").alias("confidence"))
+    merged = N.merge_training(old, _training(spark, d), strategy="weighted", weight=2.0)
+    return merged.select("id", "category", _r("confidence", 4), "source_file", "weight")
+
+
+@query(_with(_TRAINING, "SELECT category, count(*) AS n, round(avg(confidence), 6) AS avg_confidence, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM v_new GROUP BY category"))
+def dataset_stats(spark, d):
+    return N.dataset_stats(_training(spark, d)).select("category", "n", _r("avg_confidence"), "total")
+
+
+@query(_with(_TRAINING, "SELECT category, CAST(row_number() OVER (ORDER BY category) - 1 AS INT) AS label FROM (SELECT DISTINCT category FROM v_new)"))
+def category_index(spark, d):
+    return N.category_index(_training(spark, d))
