@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultgrain.plans import analysis, core
+from faultgrain.plans import analysis, core, learning
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return core.QUERIES | analysis.QUERIES
+    return core.QUERIES | analysis.QUERIES | learning.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return core.ORACLES | analysis.ORACLES
+    return core.ORACLES | analysis.ORACLES | learning.ORACLES

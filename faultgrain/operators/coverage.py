@@ -87,3 +87,16 @@ def file_churn(changed: DataFrame) -> DataFrame:
     """Commits of each file over those of the file that has most."""
     n = changed.groupBy("file").agg(F.count_distinct("fix_commit").alias("commits"))
     return n.join(F.broadcast(n.agg(F.max("commits").alias("most")))).select("file", (F.col("commits") / F.col("most")).alias("churn"))  # one row
+
+
+def sbfl_confidence(statements: DataFrame, totals: DataFrame) -> DataFrame:
+    """One row: how far a ranking can be trusted, 0..1, from failing tests, their share of all tests and statements covered.
+
+    0 without a failing test (and with one, whose logarithm is 0) or without statements.
+    """
+    row = statements.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(totals))  # one row each
+    failed = F.col("total_failed").cast("double")
+    share = failed / (failed + F.col("total_passed"))
+    ratio = F.when(share < 0.01, share * 10).when(share > 0.5, 1.5 - share).otherwise(F.lit(1.0))
+    value = F.least(F.ln(failed), F.lit(3.0)) / 3 * ratio * F.least(F.ln(F.col("n").cast("double")), F.lit(7.0)) / 7
+    return row.select(F.when((failed > 0) & (F.col("n") > 0), F.least(value, F.lit(1.0))).otherwise(F.lit(0.0)).alias("confidence"))

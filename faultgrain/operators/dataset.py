@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultgrain.operators.ordering import global_index
+
 
 def merge_training(existing: DataFrame, new: DataFrame, *, strategy: str = "append", weight: float = 1.0) -> DataFrame:
     """``append``: both, columns missing on a side null; ``replace``: the new rows; ``weighted``: both, the new with ``weight``, the old with 1."""
@@ -27,3 +29,31 @@ def category_index(rows: DataFrame) -> DataFrame:
     """(category, label): the categories that occur, numbered from 0 by name."""
     names = rows.where(F.col("category").isNotNull()).select("category").distinct()
     return names.withColumn("label", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("category")) - 1)  # a row for each category
+
+
+def describe(rows: DataFrame, columns: list[str], *, tie: str) -> DataFrame:
+    """(column, count, mean, std, min, median, max) over the values that aren't null; std of the population, the upper median.
+
+    The median is the middle row of a global order, so no task holds all values. A column without values has count 0, else nulls.
+    """
+    one = lambda c: [F.count(c), F.avg(c), F.stddev_pop(c), F.min(c), F.max(c)]
+    names = ["count", "mean", "std", "min", "max"]
+    pick = rows.select(tie, *(F.col(c).cast("double").alias(c) for c in columns))
+    wide = pick.agg(*(x.alias(f"{c}_{n}") for c in columns for n, x in zip(names, one(c), strict=True)))
+    item = lambda c: F.struct(F.lit(c).alias("column"), *(F.col(f"{c}_{n}").alias(n) for n in names))
+    out = wide.select(F.explode(F.array(*map(item, columns))).alias("x")).select("x.*")
+    medians = None
+    for c in columns:
+        values = pick.where(F.col(c).isNotNull()).select(tie, F.col(c).alias("median"))
+        middle = values.agg(F.expr("count(*) div 2").alias("middle"))
+        found = global_index(values, "median", tie).join(F.broadcast(middle), F.col("position") == F.col("middle"))  # one row
+        found = found.select(F.lit(c).alias("column"), "median")
+        medians = found if medians is None else medians.unionByName(found)
+    return out.join(F.broadcast(medians), "column", "left").select("column", "count", "mean", "std", "min", "median", "max")  # a row for each column
+
+
+def shares(rows: DataFrame, *, by: str = "category") -> DataFrame:
+    """(by, n, total, percent), one row for each value."""
+    n = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    n = n.withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(1))))  # a row for each value
+    return n.withColumn("percent", 100 * F.col("n") / F.col("total"))

@@ -79,3 +79,8 @@ def ensemble_predict(voted: DataFrame, weights: dict[str, float] | None = None)
     weights = weights or {n: 1 / len(names) for n in names}
     side = lambda v: sum((F.when(F.col(n) == v, F.lit(w)).otherwise(F.lit(0.0)) for n, w in weights.items()), F.lit(0.0))
     return voted.withColumn("probability", F.coalesce(F.try_divide(side(1), side(1) + side(-1)), F.lit(0.5)))
+
+
+def file_scores(df: DataFrame) -> DataFrame:
+    """The five scores of a file, clamped to 0..1."""
+    return df.withColumns({c: F.greatest(F.least(F.col(c), F.lit(1.0)), F.lit(0.0)) for c, _, _ in LABEL_FUNCTIONS})

@@ -1,10 +1,12 @@
-"""Graphs of files that change together."""
+"""Graphs of files that change together, ranks and distances in them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultgrain.sources.scratch import checkpointed
+
 
 def cochange_edges(changed: DataFrame, *, commit: str = "fix_commit", max_files: int = 50) -> DataFrame:
     """(source_file, target_file, weight): commits in which both files changed, source before target.
@@ -17,3 +19,43 @@ def cochange_edges(changed: DataFrame, *, commit: str = "fix_commit", max_files:
     left = files.select("files", F.posexplode("files").alias("i", "source_file"))
     pairs = left.select("source_file", F.explode(F.slice("files", F.col("i") + 2, F.lit(max_files))).alias("target_file"))
     return pairs.groupBy("source_file", "target_file").agg(F.count(F.lit(1)).alias("weight"))
+
+
+def _ranks_after(ranks: DataFrame, links: DataFrame, total: DataFrame, damping: float) -> DataFrame:
+    got = links.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+    # what nodes without links hold is what the others don't pass on
+    passed = got.agg(F.coalesce(F.sum("got"), F.lit(0.0)).alias("passed"))
+    rows = ranks.select("node").join(got.withColumnRenamed("dst", "node"), "node", "left").join(F.broadcast(passed)).join(F.broadcast(total))  # one row each
+    lost = (1 - F.col("passed")) / F.col("n")
+    return rows.select("node", ((1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + lost)).alias("rank"))
+
+
+def pagerank(edges: DataFrame, *, rounds: int = 20, damping: float = 0.85, cut_every: int = 4) -> DataFrame:
+    """(node, rank) after fixed rounds over edges (src, dst, weight); rank of nodes without links is spread evenly.
+
+    A node passes its rank on by weight. Lineage is cut by a checkpoint every few rounds. Ranks sum to 1; no edges, no rows.
+    """
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    total = nodes.agg(F.count(F.lit(1)).alias("n"))
+    out = edges.groupBy("src").agg(F.sum("weight").alias("all"))
+    links = checkpointed(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("all")).alias("share")))
+    total = checkpointed(total)
+    ranks = checkpointed(nodes.join(F.broadcast(total)).select("node", (F.lit(1.0) / F.col("n")).alias("rank")))  # one row
+    for k in range(1, rounds + 1):
+        ranks = _ranks_after(ranks, links, total, damping)
+        if k % cut_every == 0:
+            ranks = checkpointed(ranks)
+    return ranks
+
+
+def bfs_levels(edges: DataFrame, seeds: DataFrame, *, max_depth: int = 10) -> DataFrame:
+    """(node, level): the fewest edges (src, dst) from any seed (node) to each node that is reached within max_depth."""
+    seen = checkpointed(seeds.select("node").where(F.col("node").isNotNull()).distinct().withColumn("level", F.lit(0)))
+    front = seen
+    for depth in range(1, max_depth + 1):
+        reached = edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
+        front = checkpointed(reached.join(seen, "node", "left_anti").withColumn("level", F.lit(depth)))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen

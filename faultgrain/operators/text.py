@@ -70,3 +70,25 @@ def bm25_search(docs: DataFrame, queries: DataFrame, *, top_k: int = 5, k1: floa
     best = Window.partitionBy("query_id").orderBy(F.desc("raw"), "doc_id")
     top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
     return top.withColumn("score", F.col("raw") / F.max("raw").over(Window.partitionBy("query_id"))).drop("raw")
+
+
+def project_2d(weights: DataFrame, total: DataFrame, *, key: str = "doc_id") -> DataFrame:
+    """(key, x, y): weights of the two terms whose weight varies most, scaled to -1..1; ties by term.
+
+    weights: (key, term, weight), a term that a text lacks weighing 0; total: one row, n texts. Ranges below 0.001 count as
+    0.001. Texts without any weight are left out.
+    """
+    w = F.col("weight")
+    sums = weights.groupBy("term").agg(F.sum(w).alias("s"), F.sum(w * w).alias("q"), F.min(w).alias("low"), F.max(w).alias("high"), F.count(F.lit(1)).alias("in"))
+    rows = sums.join(F.broadcast(total))  # one row
+    variance = F.round(F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2), 12)
+    low = F.when(F.col("in") < F.col("n"), F.least("low", F.lit(0.0))).otherwise(F.col("low"))
+    high = F.when(F.col("in") < F.col("n"), F.greatest("high", F.lit(0.0))).otherwise(F.col("high"))
+    two = rows.select("term", low.alias("low"), F.greatest(high - low, F.lit(0.001)).alias("range"), variance.alias("variance")).orderBy(F.desc("variance"), "term").limit(2)
+    two = two.withColumn("axis", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("variance"), "term")))  # two rows
+    cells = weights.join(F.broadcast(two), "term")
+    ends = two.agg(*(F.max(F.when(F.col("axis") == a, F.col(c))).alias(f"{c}{a}") for a in (1, 2) for c in ("low", "range")))
+    place = lambda a: F.coalesce(F.max(F.when(F.col("axis") == a, w)), F.lit(0.0)).alias(f"w{a}")
+    some = weights.select(key).distinct().join(cells.groupBy(key).agg(place(1), place(2)), key, "left")
+    scaled = lambda a: (F.coalesce(f"w{a}", F.lit(0.0)) - F.col(f"low{a}")) / F.col(f"range{a}") * 2 - 1
+    return some.join(F.broadcast(ends)).select(key, scaled(1).alias("x"), scaled(2).alias("y"))  # one row

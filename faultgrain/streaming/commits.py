@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultgrain.operators.classify import commit_features
+from faultgrain.operators.review import review_changes
 
 
 def stream_classify(commits: DataFrame) -> DataFrame:
@@ -18,3 +19,8 @@ def stream_window_counts(classified: DataFrame, *, size: str = "180 days", slide
     at = classified.where(F.col("category").isNotNull()).withColumn("at", F.timestamp_seconds("timestamp")).withWatermark("at", late)
     n = at.groupBy(F.window("at", size, slide).alias("w"), "category").agg(F.count(F.lit(1)).alias("n"))
     return n.select(F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "category", "n")
+
+
+def stream_review(files: DataFrame, known: DataFrame) -> DataFrame:
+    """Warnings for an unbounded stream of changed files against a stored baseline."""
+    return review_changes(files, known)
