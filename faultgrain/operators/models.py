@@ -7,7 +7,7 @@ import math
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, CountVectorizer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
@@ -59,9 +59,14 @@ def cluster_columns(rows: DataFrame, columns: list[str], *, k: int, seed: int =
 
 
 def semantic_clusters(tokenized: DataFrame, *, k: int, max_features: int = 1000, seed: int = 42, rounds: int = 100) -> DataFrame:
-    """Adds cluster and distance2 of k-means over TF-IDF vectors of (tokens)."""
-    model = Pipeline(stages=[CountVectorizer(inputCol="tokens", outputCol="fg_tf", vocabSize=max_features), IDF(inputCol="fg_tf", outputCol="fg_features")]).fit(tokenized)
-    return _clustered(model.transform(tokenized), "fg_features", k, seed, rounds).drop("fg_tf", "fg_features")
+    """Adds cluster and distance2 of k-means over TF-IDF vectors of (tokens), each of length 1."""
+    stages = [
+        CountVectorizer(inputCol="tokens", outputCol="fg_tf", vocabSize=max_features),
+        IDF(inputCol="fg_tf", outputCol="fg_weighed"),
+        Normalizer(inputCol="fg_weighed", outputCol="fg_features"),
+    ]
+    placed = Pipeline(stages=stages).fit(tokenized).transform(tokenized)
+    return _clustered(placed, "fg_features", k, seed, rounds).drop("fg_tf", "fg_weighed", "fg_features")
 
 
 def _clustered(rows: DataFrame, vector: str, k: int, seed: int, rounds: int) -> DataFrame:
