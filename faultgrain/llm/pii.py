@@ -102,7 +102,7 @@ def scanned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     has = {
         "email": F.contains("text", F.lit("@")),
         "ip": F.col("text").rlike("[0-9]\\.[0-9]"),
-        "card": F.col("text").rlike("[0-9][0-9\\x20-]{10}[0-9]"),
+        "card": F.col("text").rlike("[0-9](?:[\\x20-]?[0-9]){11}"),  # the fewest digits of a card
         "phone": F.contains("text", F.lit("+")),
         "secret": F.col("text").rlike("[0-9]"),
     }

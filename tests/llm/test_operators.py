@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -135,6 +136,40 @@ def test_personal_data(spark):
     assert out.base_sha256 == hashlib.sha256(",".join(s for s in out.spans.split(",") if not s.startswith("secret")).encode()).hexdigest()
 
 
+def plain_base(text: str) -> list[tuple]:
+    """(start, kind, end) of the base spans, by plain patterns and plain tests."""
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+        "card": r"[0-9](?:[ -]?[0-9])*",
+        "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+    }
+
+    def good(kind: str, m: str) -> bool:
+        digits = re.sub("[^0-9]", "", m)
+        if kind == "card":
+            twice = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+            return 12 <= len(digits) <= 19 and sum(d - 9 * (d > 9) for d in twice) % 10 == 0
+        return {"email": True, "ip": all(int(x) < 256 for x in m.split(".")) if kind == "ip" else True, "phone": 9 <= len(digits) <= 15}[kind]
+
+    return sorted((m.start(), i, m.end(), k) for i, (k, p) in enumerate(patterns.items()) for m in re.finditer(p, text) if good(k, m[0]))
+
+
+def test_base_spans_equal_plain_patterns(spark):
+    cards = ["4111111111111111", "4539148803436467", "378282246310005", "6304000000000000", "4222222222222", "501800000009"]
+    texts = [r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()]
+    for c in cards:
+        for mark in " -":
+            texts += [f"é {mark.join(c[i : i + k] for i in range(0, len(c), k))}, paid" for k in (1, 2, 3, 4, 6)]
+        texts += [" ".join(c[:6]) + "-" + "-".join(c[6:]), "  ".join(c), "--".join(c), ".".join(c), c, f"1 2 3  {' '.join(c)}"]
+    got = find_pii(spark.createDataFrame([(i, t, *[None] * 7) for i, t in enumerate(texts)], SCHEMA)).collect()
+    for r in got:
+        want = plain_base(texts[r.doc_id])
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(x[1] == i for x in want) for i in range(4)), texts[r.doc_id]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in want).encode()).hexdigest()
+    assert len(got) == len(texts) and sum(r.n_card for r in got) > 60
+
+
 def test_reliable_labelers_win():
     counts = {sum((v + 1) * 3**j for j, v in enumerate(p)): n for p, n in {(1, 1, 1, 1, 1): 50, (-1, 0, -1, -1, -1): 80, (1, 0, 0, 1, 0): 20, (0, 0, -1, -1, 0): 30}.items()}
     _, _, belief = reliabilities(counts)
