@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultgrain.llm import queries as Q
+from faultgrain.llm.components import connected_components
 from faultgrain.llm.decontamination import decontaminate
 from faultgrain.llm.exact_dedup import exact_dedup
 from faultgrain.llm.language_id import identify_language
@@ -122,6 +123,24 @@ def test_near_duplicates_by_hand(spark):
     assert out == {0: (0, True), 1: (0, False), 2: (2, True), 3: (0, False), 4: (4, True), 5: (5, True)}
 
 
+def test_components_of_long_chains(spark):
+    ids = random.Random(8).sample(range(1000, 1500), 500)
+    far = [(i, i + 1) for i in range(2, 400)] + [(400, 1)]  # the smallest id at the far end
+    drift = [(ids[i], ids[i + d]) for d in (1, 2) for i in range(500 - d)]
+    nodes = spark.createDataFrame([(i,) for i in [*range(401), *ids]], "a long")
+    out = {r.doc: r.part for r in connected_components(nodes, spark.createDataFrame(far + drift, "a long, b long")).collect()}
+    assert out == {0: 0} | dict.fromkeys(range(1, 401), 1) | dict.fromkeys(ids, 1000)
+
+
+def test_chain_of_versions_is_one_component(spark):
+    text = words(11, 10 * 300 + 94).split()
+    # 100 shingles each; neighbours share 90 of 110, documents two apart 80 of 120
+    versions = [" ".join(text[10 * i : 10 * i + 104]) for i in range(300)]
+    rows = [((i + 1) % 300, t, *[None] * 7) for i, t in enumerate(versions)]
+    out = {r.doc_id: (r.component_id, r.kept) for r in near_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out == {i: (0, i == 0) for i in range(300)}
+
+
 def test_substrings_and_words_of_35(spark):
     common = words(9, 35)
     rows = [(0, f"a b {common} c", *[None] * 7), (1, f"{common} d", *[None] * 7), (2, words(9, 34), *[None] * 7)]
