@@ -36,8 +36,11 @@ def _cells(grams: np.ndarray, log2: int) -> list[np.ndarray]:
     return [(mix(grams, 0x51ED * (r + 1)) >> np.uint64(64 - log2)).astype(np.int64) for r in range(ROWS)]
 
 
-def _partition_sketch(batches: Iterator[pa.RecordBatch], sample: Sampler, log2: int) -> Iterator[pa.RecordBatch]:
-    """Rows (block, ones, twos): the cells of a block counted once and more often, as 16-bit offsets."""
+def _partition_sketch(batches: Iterator[pa.RecordBatch], sample: Sampler, log2: int, counted: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows (block, ones, twos): the cells of a block counted once and more often, as 16-bit offsets.
+
+    If ``counted``, also times: how often, for each of twos, as 32-bit numbers.
+    """
     held, size = [], 0
     for batch in batches:
         for _, _, data, at in chunks(batch.column("text")):
@@ -46,13 +49,13 @@ def _partition_sketch(batches: Iterator[pa.RecordBatch], sample: Sampler, log2:
                 held.append(cell + (r << log2))
             size += len(grams)
             if size >= FLUSH:
-                yield _packed(held)
+                yield _packed(held, counted)
                 held, size = [], 0
     if size:
-        yield _packed(held)
+        yield _packed(held, counted)
 
 
-def _packed(held: list[np.ndarray]) -> pa.RecordBatch:
+def _packed(held: list[np.ndarray], counted: bool = False) -> pa.RecordBatch:
     cells, n = np.unique(np.concatenate(held), return_counts=True)
     block = cells >> BLOCK
     blocks = np.unique(block)
@@ -61,7 +64,11 @@ def _packed(held: list[np.ndarray]) -> pa.RecordBatch:
         offsets = (cells[part] & ((1 << BLOCK) - 1)).astype(np.uint16)
         ends = np.append(np.searchsorted(block[part], blocks), len(offsets)) * 2
         columns.append(pa.BinaryArray.from_buffers(pa.binary(), len(blocks), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(offsets)]))
-    return pa.RecordBatch.from_arrays(columns, ["block", "ones", "twos"])
+    if counted:
+        part = n > 1
+        ends = np.append(np.searchsorted(block[part], blocks), np.count_nonzero(part)) * 4
+        columns.append(pa.BinaryArray.from_buffers(pa.binary(), len(blocks), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(n[part].astype(np.uint32))]))
+    return pa.RecordBatch.from_arrays(columns, ["block", "ones", "twos", "times"][: len(columns)])
 
 
 def _merged(group: pa.Table) -> pa.Table:
@@ -87,6 +94,39 @@ def repeat_sketch(docs: DataFrame, sample: Sampler, log2: int) -> np.ndarray:
     return out.reshape(ROWS, -1)
 
 
+def counted_sketch(docs: DataFrame, sample: Sampler, log2: int, often: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bits of repeat_sketch, and the sorted cells (row << log2 | cell) that more than ``often`` sampled grams fell in.
+
+    A cell's count is exact, so there are at most ROWS / often of these cells for each sampled gram.
+    """
+
+    def merged(group: pa.Table) -> pa.Table:
+        n = np.zeros(1 << BLOCK, np.int64)
+        for ones, twos, times in zip(*(group.column(c).to_pylist() for c in ("ones", "twos", "times")), strict=True):
+            n[np.frombuffer(ones, np.uint16)] += 1
+            n[np.frombuffer(twos, np.uint16)] += np.frombuffer(times, np.uint32)
+        hot = np.flatnonzero(n > often).astype(np.uint16).tobytes()
+        return pa.table({"block": group.column("block").slice(0, 1), "bits": pa.array([np.packbits(n > 1).tobytes()], pa.binary()), "hot": pa.array([hot], pa.binary())})
+
+    parts = docs.select("text").mapInArrow(lambda b: _partition_sketch(b, sample, log2, True), "block int, ones binary, twos binary, times binary")
+    found = parts.groupBy("block").applyInArrow(merged, "block int, bits binary, hot binary").toArrow()
+    out = np.zeros((ROWS << (log2 - BLOCK), 1 << (BLOCK - 3)), np.uint8)
+    hot = [np.zeros(0, np.int64)]
+    for block, bits, cells in zip(*(found[c].to_pylist() for c in ("block", "bits", "hot")), strict=True):
+        out[block] = np.frombuffer(bits, np.uint8)
+        hot.append(np.frombuffer(cells, np.uint16).astype(np.int64) + (block << BLOCK))
+    return out.reshape(ROWS, -1), np.sort(np.concatenate(hot))
+
+
+def maybe_often(hot: np.ndarray, grams: np.ndarray, log2: int) -> np.ndarray:
+    """Which grams fall in cells of ``hot`` alone; every gram that occurs more often than its bound is among them."""
+    out = np.ones(len(grams), bool)
+    for r, cell in enumerate(_cells(grams, log2)):
+        at = np.searchsorted(hot, cell + (r << log2))
+        out &= np.append(hot, -1)[at] == cell + (r << log2)
+    return out
+
+
 def maybe_repeated(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
     """Which grams the sketch counts twice or more; every gram that does occur twice is among them."""
     log2 = (bits.shape[1] * 8).bit_length() - 1

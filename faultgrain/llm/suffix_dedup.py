@@ -10,14 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultgrain.llm.repeat_sketch import by_document, log2_cells, maybe_repeated, repeat_sketch, spans_of
+from faultgrain.llm.repeat_sketch import by_document, counted_sketch, log2_cells, maybe_often, maybe_repeated, spans_of
 from faultgrain.llm.spark_tools import keyed, own_id
 from faultgrain.llm.text_arrays import chunks, covered, gram_hashes, mix, runs, window_minima
 
 LENGTH = 200
 GRAM = 32
 STRIDE = 8
+DIGEST = 16
 END = 0xFF  # no UTF-8 text has this byte
+#: Most segments of an anchor (of length * 2 bytes each at most) that are merged in one task.
+OFTEN = 1 << 13
 BATCH = 1 << 17  # small enough that the arrays of a merge stay in the processor's cache
 
 
@@ -130,11 +133,41 @@ def _sample(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> np.ndar
 _SEGMENTS = "h long, k_id long, k_tag int, pos int, n int, many boolean, segment binary"
 
 
-def _segments(batches: Iterator[pa.RecordBatch], sketch, length: int, gram: int) -> Iterator[pa.RecordBatch]:
+def _by_start(segments: list[list], length: int) -> tuple[list, list[tuple]]:
+    """The starts of ``segments``, each under the digest of its own string; and those equal to one of them, as positions.
+
+    A digest goes in place of a segment. It is shorter than a string, so it is only ever compared as a whole.
+    """
+    rows: dict[bytes, list] = {}
+    rest: list[tuple] = []
+    for _, k, tag, p, n, many, segment in segments:
+        again = np.zeros(n, bool)
+        for i in range(n):
+            digest = hashlib.blake2b(segment[i : i + length], digest_size=DIGEST).digest()
+            have = rows.get(digest)
+            if have is None:
+                rows[digest] = [int.from_bytes(digest[:8], "little", signed=True), k, tag, p + i, 1, many, digest]
+            else:
+                have[5] = again[i] = True
+        rest += [(k, tag, p + a, m) for a, m in zip(*(x.tolist() for x in runs(again)), strict=True)]
+    return [*rows.values()], rest
+
+
+def _rows(out: list, rest: list[tuple]) -> pa.RecordBatch:
+    spread = mix(np.arange(len(rest), dtype=np.uint64), len(out) + 1).view(np.int64).tolist()
+    out = out + [[h, *x, True, None] for h, x in zip(spread, rest, strict=True)]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+    columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, ["h", "k_id", "k_tag", "pos", "n", "many", "segment"])
+
+
+def _segments(batches: Iterator[pa.RecordBatch], sketch, hot, length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Runs of starts that chose one anchor which the sketch counts twice, with the bytes they cover.
 
-    Of equal segments of a task one is sent for all, with many true; the others go as positions alone.
+    Of equal segments of a task one is sent for all, with many true; the others go as positions alone. Segments
+    of the anchors in ``hot`` go start by start, under the digests of their strings.
     """
+    log2 = (sketch.value.shape[1] * 8).bit_length() - 1
     for batch in batches:
         ids, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k_id", "k_tag"))
         rows: dict[tuple[int, bytes], list] = {}
@@ -149,21 +182,21 @@ def _segments(batches: Iterator[pa.RecordBatch], sketch, length: int, gram: int)
             may = maybe_repeated(sketch.value, hashes)
             new, n, hashes = new[may], n[may], hashes[may].view(np.int64)
             text = data.tobytes()
-            for h, s, size, r, p in zip(hashes.tolist(), starts[new].tolist(), n.tolist(), (row[new] + i).tolist(), (starts[new] - at[row[new]]).tolist(), strict=True):
+            often = maybe_often(hot.value, hashes.view(np.uint64), log2) if len(hot.value) else np.zeros(len(new), bool)
+            apart: dict[tuple[int, bytes], list] = {}
+            for h, s, size, r, p, o in zip(hashes.tolist(), starts[new].tolist(), n.tolist(), (row[new] + i).tolist(), (starts[new] - at[row[new]]).tolist(), often.tolist(), strict=True):
                 segment = text[s : s + size + length - 1]
-                have = rows.get((h, segment))
+                into = apart if o else rows
+                have = into.get((h, segment))
                 if have is None:
-                    rows[h, segment] = [h, int(ids[r]), int(tags[r]), p, size, False, segment]
+                    into[h, segment] = [h, int(ids[r]), int(tags[r]), p, size, False, segment]
                 else:
                     have[5] = True
                     rest.append((int(ids[r]), int(tags[r]), p, size))
-        out = [*rows.values()]
-        spread = mix(np.arange(len(rest), dtype=np.uint64), len(out) + 1).view(np.int64).tolist()
-        out += [[h, *x, True, None] for h, x in zip(spread, rest, strict=True)]
-        if out:
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, ["h", "k_id", "k_tag", "pos", "n", "many", "segment"])
+            if apart:
+                yield _rows(*_by_start([*apart.values()], length))
+        if rows or rest:
+            yield _rows([*rows.values()], rest)
 
 
 def _repeats(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -177,7 +210,7 @@ def _repeats(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
                 held, size = {}, 0
             last = h
             held.setdefault(h, []).append(row)
-            size += len(row[-1] or b"")
+            size += len(row[-1] or b"") or DIGEST
     if held:
         yield _judged(held, length)
 
@@ -206,12 +239,18 @@ def _judged(held: dict[int, list[tuple]], length: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["k_id", "k_tag", "pos", "len"])
 
 
-def repeated_strings(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(k_id, k_tag, pos, len): runs of byte positions at which ``length`` bytes start that start elsewhere too."""
+def anchored_segments(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, often: int = OFTEN) -> DataFrame:
+    """Rows of _SEGMENTS: equal strings are under one h or sent as positions; none has more than ``often`` segments of strings."""
+    context = docs.sparkSession.sparkContext
     per_gram = (length - gram + 2) / 2
-    bits = repeat_sketch(docs, lambda data, at: _sample(data, at, length, gram), log2_cells(docs, per_gram))
-    sketch = docs.sparkSession.sparkContext.broadcast(bits)
-    segments = docs.mapInArrow(lambda b: _segments(b, sketch, length, gram), _SEGMENTS)
+    bits, cells = counted_sketch(docs, lambda data, at: _sample(data, at, length, gram), log2_cells(docs, per_gram), often)
+    sketch, hot = context.broadcast(bits), context.broadcast(cells)
+    return docs.mapInArrow(lambda b: _segments(b, sketch, hot, length, gram), _SEGMENTS)
+
+
+def repeated_strings(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, often: int = OFTEN) -> DataFrame:
+    """(k_id, k_tag, pos, len): runs of byte positions at which ``length`` bytes start that start elsewhere too."""
+    segments = anchored_segments(docs, length=length, gram=gram, often=often)
     return segments.repartition("h").sortWithinPartitions("h").mapInArrow(lambda b: _repeats(b, length), "k_id long, k_tag int, pos long, len long")
 
 
@@ -232,7 +271,7 @@ def _kept(batches: Iterator[pa.RecordBatch], length: int, bodies: bool) -> Itera
 
 
 def suffix_dedup(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, bodies: bool = True
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, often: int = OFTEN, bodies: bool = True
 ) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes (null unless ``bodies``), k_id, k_tag.
 
@@ -245,7 +284,9 @@ def suffix_dedup(
     once; none that repeats is lost. The rest is dealt by anchor, so equal strings meet: equal segments are
     combined within each task and again in the group, and the different ones that share an anchor are sorted as
     shards whose Burrows-Wheeler transforms are merged. Intervals of the merged order with ``length`` common
-    bytes are the repeats. A task holds the different segments of one anchor, of at most length * 2 bytes each.
+    bytes are the repeats. A task holds the different segments of one anchor, of at most length * 2 bytes each and
+    at most ``often`` of them: the sketch counts anchors, and the strings of those that occur more often go each
+    under 128 bits of its own hash, where equal hashes are equal strings.
 
     Null and empty texts have 0 bytes. Rows that repeat remove each other. An empty table gives no rows. Other
     columns are ignored.
@@ -253,7 +294,7 @@ def suffix_dedup(
     if length % STRIDE or length <= gram:
         raise ValueError("length must be a multiple of 8 and longer than gram")
     rows = keyed(docs, id_col, text_col)
-    both = by_document(rows, repeated_strings(rows, length=length, gram=gram))
+    both = by_document(rows, repeated_strings(rows, length=length, gram=gram, often=often))
     schema = "k_id long, k_tag int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary"
     out = both.mapInArrow(lambda b: _kept(b, length, bodies), schema)
     return out.select(own_id().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", "k_id", "k_tag")

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -19,8 +20,9 @@ from faultgrain.llm.near_dedup import near_dedup
 from faultgrain.llm.pii import find_pii, reliabilities
 from faultgrain.llm.sentencepiece_codec import codec, encode_documents
 from faultgrain.llm.sharding import balanced_map, load_map, rebalanced_map, shard_documents
+from faultgrain.llm.spark_tools import keyed
 from faultgrain.llm.substring_dedup import substring_dedup
-from faultgrain.llm.suffix_dedup import repeated_starts, suffix_dedup
+from faultgrain.llm.suffix_dedup import anchored_segments, repeated_starts, suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k_id string, h long, pos string, d string"
 DATA = "/root/testdata/sf0.001"
@@ -106,6 +108,25 @@ def test_merged_transforms_find_repeats():
         assert [f.tolist() for f in got] == [[seen[t[s : s + 200]] > 1 for s in range(len(t) - 199)] for t in texts]
 
 
+def test_common_phrase_is_split(spark):
+    r = random.Random(6)
+    phrase = "".join(r.choice("abcdefgh ") for _ in range(120))
+    texts = [words(1000 + i, 60) + phrase + words(5000 + i, 60) for i in range(400)]
+    texts += [texts[7], texts[8][:500], *[t[:150] + phrase * 3 + t[150:] for t in texts[:40]], "x" * 5000, words(77, 20) + texts[9][100:]]
+    frame = spark.createDataFrame([(i, t, *[None] * 7) for i, t in enumerate(texts)], SCHEMA)
+    groups = anchored_segments(keyed(frame), often=50).where(F.octet_length("segment") >= 200).groupBy("h").count()
+    assert groups.agg(F.max("count")).first()[0] <= 50
+    seen = Counter(t[s : s + 200] for t in texts for s in range(len(t) - 199))
+    got = suffix_dedup(frame, often=50).collect()
+    for x in got:
+        t, gone = texts[x.doc_id], set()
+        for s in range(len(t) - 199):
+            if seen[t[s : s + 200]] > 1:
+                gone.update(range(s, s + 200))
+        assert x.kept_bytes == "".join(c for i, c in enumerate(t) if i not in gone).encode() and x.n_removed == len(gone)
+    assert len(got) == len(texts) and [tuple(x) for x in sorted(got)] == [tuple(x) for x in sorted(suffix_dedup(frame).collect())]
+
+
 def test_lines_one_edit_apart(spark):
     line = "a line that is long enough to count " * 3
     other = line[:50] + "#" + line[51:]
