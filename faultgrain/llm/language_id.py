@@ -89,6 +89,8 @@ class LanguageModel:
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(language, score): the score multiplies the shares that the family and the language win."""
+        if not self.families:
+            return np.full(len(x), UNKNOWN, object), np.zeros(len(x))
         x = np.hstack((x, np.ones((len(x), 1))))
         family, sure = _vote(x, self.family_weights, self.family_pairs, len(self.families))
         lang = np.full(len(x), UNKNOWN, object)
@@ -129,24 +131,30 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([batch.column("lang").slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
 
+def _chosen(known: DataFrame, id_col: str, text_col: str, lang_col: str, each: int) -> DataFrame:
+    """(lang, text): ``each`` rows at most of a language. Rows that repeat in id, text and language count once."""
+    rows = known.select(F.col(id_col).alias("own"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = rows.withColumn("mark", F.xxhash64("text"))
+    place = Window.partitionBy("lang").orderBy(F.xxhash64("own"), "own", "mark")
+    ids = rows.select("own", "lang", "mark").distinct().withColumn("place", F.row_number().over(place))
+    ids = ids.where(F.col("place") <= each).drop("place")
+    return rows.join(F.broadcast(ids), ["own", "lang", "mark"]).groupBy("own", "lang", "mark").agg(F.min("text").alias("text")).select("lang", "text")
+
+
 def fit_language_model(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE
 ) -> LanguageModel:
     """Fit on rows with a language whose crc32(id as text) mod 5 is not 0.
 
-    At most ``sample`` rows are used, as many of each language, chosen by the hash of their ids; only their
-    feature counts (FEATURES numbers a row) reach the driver.
+    At most ``sample`` rows are used (one of each language at least), as many of each language, chosen by the
+    hash of their ids; only their feature counts (FEATURES numbers a row) reach the driver. Where no row can be
+    learned from, the model has no language and says ``und`` to every text.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     names = sorted(r[0] for r in known.select(lang_col).distinct().collect() if r[0] != UNKNOWN)
     if not names:
-        raise ValueError("no row has a language to learn from")
-    place = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    ids = known.where(F.col(lang_col) != UNKNOWN).select(id_col, lang_col).withColumn("place", F.row_number().over(place))
-    ids = ids.where(F.col("place") <= max(1, sample // len(names))).select(F.col(id_col).alias("chosen"), F.col(lang_col).alias("lang"))
-    text = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text"))
-    chosen = text.join(F.broadcast(ids), F.col("own").eqNullSafe(F.col("chosen"))).select("lang", "text")  # ``sample`` rows at most
-    got = chosen.mapInArrow(_feature_rows, "lang string, x binary").toArrow()
+        return LanguageModel([], [], np.zeros((0, FEATURES + 1)), {}, {}, {})
+    got = _chosen(known.where(F.col(lang_col) != UNKNOWN), id_col, text_col, lang_col, max(1, sample // len(names))).mapInArrow(_feature_rows, "lang string, x binary").toArrow()
     lang = np.array(got["lang"].to_pylist(), object)
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, FEATURES)
     order = np.lexsort((x[:, :64] @ np.arange(1, 65), lang.astype(str)))  # the same whatever order rows came in
@@ -190,7 +198,8 @@ def identify_language(
     languages votes. Features are the hashed 1 to 3 byte grams of the whole text. The model, of bounded size, is
     broadcast. Without ``model`` one is fitted on ``docs``, from text and language alone.
 
-    ``und``, with score 0: the text is null or has no letter. Rows that repeat get the same answer. A row without
+    ``und``, with score 0: the text is null or has no letter, or no row outside the held-out ones has a language and
+    a text to learn from. Rows that repeat get the same answer. A row without
     an id counts as held out. An empty table gives no rows, and needs no model. Other columns are ignored.
     """
     if model is None and docs.limit(1).isEmpty():

@@ -14,7 +14,7 @@ from faultgrain.llm import queries as Q
 from faultgrain.llm.components import connected_components
 from faultgrain.llm.decontamination import decontaminate
 from faultgrain.llm.exact_dedup import exact_dedup
-from faultgrain.llm.language_id import identify_language
+from faultgrain.llm.language_id import _chosen, identify_language
 from faultgrain.llm.line_dedup import line_dedup, line_report
 from faultgrain.llm.near_dedup import near_dedup
 from faultgrain.llm.pii import find_pii, reliabilities
@@ -231,6 +231,19 @@ def test_held_out_accuracy(spark):
     assert out.where("lang = lang_pred").count() >= 0.9 * out.count()
 
 
+def test_nothing_to_learn_a_language_from(spark):
+    for lang, ids in ((None, range(30)), ("en", [None] * 5)):
+        rows = [(i, f"some words {i}", lang, *[None] * 6) for i in ids]
+        out = identify_language(spark.createDataFrame(rows, SCHEMA)).collect()
+        assert [(r.lang_pred, r.score) for r in out] == [("und", 0.0)] * len(rows)
+
+
+def test_sample_is_bounded_where_ids_repeat(spark):
+    rows = [(i % 2, f"text {i % 40}", ("en", "de")[i % 2], *[None] * 6) for i in range(400)]
+    out = _chosen(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", "lang", 7).collect()
+    assert sorted(r.lang for r in out) == ["de"] * 7 + ["en"] * 7 and len({r.text for r in out}) == 14
+
+
 def test_pipeline_equals_its_stages_by_hand(spark):
     import corpus_pipeline as P
 
