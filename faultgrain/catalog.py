@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultgrain.plans import analysis, core, learning
+from faultgrain.plans import analysis, core, flows, learning, retrieval
+
+_PARTS = (core, analysis, learning, retrieval, flows)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return core.QUERIES | analysis.QUERIES | learning.QUERIES
+    found: dict = {}
+    for part in _PARTS:
+        twice = found.keys() & part.QUERIES.keys()
+        if twice:
+            raise ValueError(f"queries named twice: {sorted(twice)}")
+        found |= part.QUERIES
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return core.ORACLES | analysis.ORACLES | learning.ORACLES
+    return {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

@@ -35,6 +35,32 @@ CATEGORIES = [
 
 BOOST, CEILING = 0.05, 0.95
 
+# The finer categories of messages that fix something, in the order that breaks ties.
+FIX_RULES: list[tuple[str, float, list[str]]] = [
+    ("ASTTransform", 0.85, ["ast", "transform", "node", "codegen", "syntax tree", "parse tree"]),
+    ("TypeErrors", 0.85, ["type error", "type mismatch", "wrong type", "type annotation"]),
+    ("OwnershipBorrow", 0.85, ["ownership", "borrow", "move", "lifetime", "reference"]),
+    ("LifetimeAnnotation", 0.80, ["lifetime", "'a", "'static", "lifetime bound"]),
+    ("TraitBounds", 0.80, ["trait bound", "where clause", "impl trait", "dyn trait"]),
+    ("PatternMatching", 0.80, ["pattern", "match arm", "destructure", "if let"]),
+    ("ErrorHandling", 0.80, ["error handling", "unwrap", "expect", "result", "option"]),
+    ("MemorySafety", 0.85, ["null pointer", "memory leak", "buffer overflow", "use after free", "double free", "dangling"]),
+    ("ConcurrencyBugs", 0.85, ["race condition", "deadlock", "mutex", "lock", "thread", "async", "concurrent"]),
+    ("StdlibMapping", 0.80, ["stdlib", "standard library", "mapping", "python to rust"]),
+    ("MacroHygiene", 0.80, ["macro", "hygiene", "expansion", "proc macro"]),
+    ("FFIBoundary", 0.80, ["ffi", "foreign function", "c binding", "extern", "unsafe"]),
+    ("BuildConfiguration", 0.75, ["build", "cargo", "feature flag", "compile", "linker"]),
+    ("TestCoverage", 0.75, ["test", "coverage", "assertion", "unit test", "integration test"]),
+    ("DocumentationSync", 0.70, ["doc", "documentation", "rustdoc", "comment"]),
+    ("PerformanceRegression", 0.80, ["performance", "slow", "optimize", "benchmark", "regression"]),
+    ("SecurityVulnerabilities", 0.90, ["security", "vulnerability", "cve", "exploit", "injection", "xss", "sql injection"]),
+    ("OperatorPrecedence", 0.80, ["precedence", "operator", "parentheses", "associativity"]),
+    ("TypeAnnotationGaps", 0.80, ["type annotation", "inference", "generic type"]),
+    ("ComprehensionBugs", 0.80, ["comprehension", "list comp", "dict comp", "generator"]),
+    ("IteratorChain", 0.80, ["iterator", ".map(", ".filter(", ".fold(", "chain"]),
+]
+NO_FIX, NO_FIX_CATEGORY, UNKNOWN_FIX = 0.0, "NotDefect", ("Unknown", 0.70)
+
 # Compiler codes and lints with their categories, confidences and classes.
 CODE_CATEGORY = {
     "E0308": "Type Errors", "E0412": "Type Annotation Gaps", "E0502": "Ownership/Borrow", "E0503": "Ownership/Borrow",

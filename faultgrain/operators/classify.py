@@ -2,42 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultgrain.functions.taxonomy import BOOST, CATEGORIES, CEILING, RULES
+from faultgrain.functions.taxonomy import BOOST, CATEGORIES, CEILING, FIX_RULES, NO_FIX, NO_FIX_CATEGORY, RULES, UNKNOWN_FIX
 
 
 def _float(x: float) -> Column:
     return F.lit(x).cast("float")
 
 
-def _candidates(message: str) -> Column:
-    """An array of (confidence FLOAT, -rule, category, rule) for each rule, null where no pattern is contained."""
-    text = F.lower(message)
-    out = []
-    for i, (category, base, patterns) in enumerate(RULES):
-        n = sum((F.contains(text, F.lit(p)).cast("int") for p in patterns[1:]), F.contains(text, F.lit(patterns[0])).cast("int"))
-        confidence = F.least(_float(base) + (n - 1).cast("float") * _float(BOOST), _float(CEILING))
-        out.append(F.when(n > 0, F.struct(confidence.alias("confidence"), F.lit(-i).alias("order"), F.lit(category).alias("category"))))
-    return F.array(*out)
+class _Ranking:
+    """Every (rule, number of its patterns found), from the least to the most confident, as number from 1 on; 0: nothing found.
+
+    So a rule's standing is one integer that literals give, and rules are compared without building rows. Confidences
+    are FLOAT, in which two boosted rules can differ by a last digit where they would tie in DOUBLE.
+    """
+
+    def __init__(self, rules: list[tuple[str, float, list[str]]], *, more_first: bool = False):
+        f = np.float32
+        found = [(float(min(f(base) + f(n - 1) * f(BOOST), f(CEILING))), n if more_first else 0, -i, n) for i, (_, base, p) in enumerate(rules) for n in range(1, len(p) + 1)]
+        self.order = sorted(found)
+        self.rules = rules
+        self.rank = {(-o[2], o[3]): k for k, o in enumerate(self.order, 1)}
+
+    def _by_rank(self, values: list, none: Column) -> Column:
+        return F.array(none, *map(F.lit, values))
+
+    def ranks(self, text: str) -> list[Column]:
+        out = []
+        for i, (_, _, patterns) in enumerate(self.rules):
+            n = sum((F.contains(text, F.lit(p)).cast("int") for p in patterns[1:]), F.contains(text, F.lit(patterns[0])).cast("int"))
+            out.append(F.get(F.array(F.lit(0), *(F.lit(self.rank[i, k]) for k in range(1, len(patterns) + 1))), n))
+        return out
+
+    def category(self, rank: Column) -> Column:
+        return F.get(self._by_rank([self.rules[-o[2]][0] for o in self.order], F.lit(None).cast("string")), rank)
+
+    def confidence(self, rank: Column) -> Column:
+        return F.get(self._by_rank([_float(o[0]) for o in self.order], F.lit(None).cast("float")), rank)
+
+    def patterns(self, text: str, rank: Column) -> Column:
+        """The patterns of a rank's rule that a text contains, in the order of the rule."""
+        rule = F.get(self._by_rank([-o[2] for o in self.order], F.lit(None).cast("int")), rank)
+        table = F.array(*(F.array(*map(F.lit, p)) for _, _, p in self.rules))
+        return F.filter(F.get(table, rule), lambda p: F.contains(text, p))
+
+    def least(self, confidence: float) -> int:
+        """The least rank at or above a confidence."""
+        return next((k for k, o in enumerate(self.order, 1) if o[0] >= float(np.float32(confidence))), len(self.order) + 1)
 
 
-def _patterns_of(message: str, category: Column) -> Column:
-    """The patterns of a category that a message contains, in the order of the rule."""
-    table = F.create_map(*(x for c, _, patterns in RULES for x in (F.lit(c), F.array(*map(F.lit, patterns)))))
-    return F.filter(F.element_at(table, category), lambda p: F.contains(F.lower(message), p))
+_RANKING, _FIX_RANKING = _Ranking(RULES), _Ranking(FIX_RULES, more_first=True)
 
 
 def classify_commits(df: DataFrame, *, message: str = "message") -> DataFrame:
     """Adds category, confidence (FLOAT), matched_patterns and explanation; null where nothing matches.
 
-    The highest confidence wins, of equal ones the earlier rule. Confidences are FLOAT, in which two boosted
-    rules can differ by a last digit where they would tie in DOUBLE.
+    The highest confidence wins, of equal ones the earlier rule.
     """
-    best = df.withColumn("fg_best", F.array_max(_candidates(message)))
-    out = best.withColumns({"category": F.col("fg_best.category"), "confidence": F.col("fg_best.confidence")}).drop("fg_best")
-    out = out.withColumn("matched_patterns", F.when(F.col("category").isNotNull(), _patterns_of(message, F.col("category"))))
+    rows = df.withColumn("fg_text", F.lower(message))
+    rows = rows.withColumn("fg_best", F.greatest(*_RANKING.ranks("fg_text")))
+    best = F.col("fg_best")
+    out = rows.withColumns({"category": _RANKING.category(best), "confidence": _RANKING.confidence(best)})
+    out = out.withColumn("matched_patterns", F.when(best > 0, _RANKING.patterns("fg_text", best))).drop("fg_text", "fg_best")
     percent = F.round(F.col("confidence").cast("double") * 100).cast("int").cast("string")
     text = F.concat(F.lit("Classified as '"), "category", F.lit("' based on patterns: "), F.array_join("matched_patterns", ", "), F.lit(". Confidence: "), percent, F.lit("%"))
     return out.withColumn("explanation", text)
@@ -45,12 +74,30 @@ def classify_commits(df: DataFrame, *, message: str = "message") -> DataFrame:
 
 def classify_multi(df: DataFrame, *, message: str = "message", top_n: int = 3, min_confidence: float = 0.60) -> DataFrame:
     """Adds categories: the top_n (category, confidence) at or above min_confidence, best first; and their patterns."""
-    ranked = F.reverse(F.array_sort(F.array_compact(_candidates(message))))
-    ranked = F.slice(F.filter(ranked, lambda x: x["confidence"] >= _float(min_confidence)), 1, top_n)
-    out = df.withColumn("fg_ranked", ranked).where(F.size("fg_ranked") > 0)
-    out = out.withColumn("categories", F.transform("fg_ranked", lambda x: F.struct(x["category"].alias("category"), x["confidence"].alias("confidence"))))
-    patterns = F.array_distinct(F.flatten(F.transform("fg_ranked", lambda x: _patterns_of(message, x["category"]))))
-    return out.withColumn("matched_patterns", patterns).drop("fg_ranked")
+    least = _RANKING.least(min_confidence)
+    rows = df.withColumn("fg_text", F.lower(message)).withColumn("fg_ranks", F.array(*_RANKING.ranks("fg_text")))
+    rows = rows.where(F.array_max("fg_ranks") >= least)
+    rows = rows.withColumn("fg_ranks", F.filter(F.slice(F.sort_array("fg_ranks", asc=False), 1, top_n), lambda r: r >= least))
+    label = lambda r: F.struct(_RANKING.category(r).alias("category"), _RANKING.confidence(r).alias("confidence"))
+    out = rows.withColumn("categories", F.transform("fg_ranks", label))
+    patterns = F.array_distinct(F.flatten(F.transform("fg_ranks", lambda r: _RANKING.patterns("fg_text", r))))
+    return out.withColumn("matched_patterns", patterns).drop("fg_text", "fg_ranks")
+
+
+def classify_fix_only(df: DataFrame, *, message: str = "message") -> DataFrame:
+    """Adds category and confidence (FLOAT) by the 21 finer categories, of messages that fix something.
+
+    The highest confidence wins, of equal ones the rule with more patterns, then the earlier one. Fixes that no rule knows
+    are Unknown; other messages, and null, are NotDefect with confidence 0.
+    """
+    rows = df.withColumn("fg_text", F.coalesce(F.lower(message), F.lit("")))
+    rows = rows.withColumn("fg_best", F.greatest(*_FIX_RANKING.ranks("fg_text")))
+    m, best = F.col("fg_text"), F.col("fg_best")
+    fix = m.startswith("fix") | _any([m.contains(p) for p in ("fix:", "bugfix", "hotfix", "patch:")])
+    name, sure = UNKNOWN_FIX
+    category = F.when(~fix, NO_FIX_CATEGORY).when(best > 0, _FIX_RANKING.category(best)).otherwise(name)
+    confidence = F.when(~fix, _float(NO_FIX)).when(best > 0, _FIX_RANKING.confidence(best)).otherwise(_float(sure))
+    return rows.withColumns({"category": category, "confidence": confidence}).drop("fg_text", "fg_best")
 
 
 def explode_labels(df: DataFrame, *, key: str = "commit_id") -> DataFrame:
@@ -58,11 +105,22 @@ def explode_labels(df: DataFrame, *, key: str = "commit_id") -> DataFrame:
     return df.select(key, F.posexplode("categories").alias("place", "label")).select(key, "place", "label.category", "label.confidence")
 
 
+# fixed values: marks of commits that fix a defect, and of those that are none
+NO_WORK_STARTS, NO_WORK_MARKS = ["merge", "revert"], ["wip", "work in progress"]
+FIX_STARTS, FIX_MARKS = ["fix:", "bug:", "patch:"], ["fix ", "bug ", "error", "crash", "issue"]
+
+
+def newest_commits(commits: DataFrame, limit: int, *, key: str = "commit_id") -> DataFrame:
+    """The ``limit`` newest commits of each repository; each task keeps no more of a repository before the shuffle."""
+    newest = Window.partitionBy("repo").orderBy(F.desc("timestamp"), key)
+    return commits.withColumn("fg_place", F.row_number().over(newest)).where(F.col("fg_place") <= limit).drop("fg_place")
+
+
 def filter_defect_fix(df: DataFrame, *, message: str = "message") -> DataFrame:
     """Messages that fix a defect; merges, reverts and unfinished work are none."""
     m = F.lower(message)
-    out = m.startswith("merge") | m.startswith("revert") | m.contains("wip") | m.contains("work in progress")
-    words = [m.startswith(p) for p in ("fix:", "bug:", "patch:")] + [m.contains(p) for p in ("fix ", "bug ", "error", "crash", "issue")]
+    out = _any([m.startswith(p) for p in NO_WORK_STARTS] + [m.contains(p) for p in NO_WORK_MARKS])
+    words = [m.startswith(p) for p in FIX_STARTS] + [m.contains(p) for p in FIX_MARKS]
     return df.where(~out & _any(words))
 
 

@@ -57,3 +57,28 @@ def shares(rows: DataFrame, *, by: str = "category") -> DataFrame:
     n = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
     n = n.withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(1))))  # a row for each value
     return n.withColumn("percent", 100 * F.col("n") / F.col("total"))
+
+
+def value_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, n, percent) of each value of each column that isn't null, in one pass; percent of the values that aren't null."""
+    cells = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns))).alias("x"))
+    n = cells.where("x.value IS NOT NULL").groupBy("x.column", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    total = n.groupBy("column").agg(F.sum("n").alias("total"))  # a row for each column
+    return n.join(F.broadcast(total), "column").select("column", "value", "n", (100.0 * F.col("n") / F.col("total")).alias("percent"))
+
+
+def repos_since(repos: DataFrame, since: str) -> DataFrame:
+    """Repositories updated at or after a time, by stars (ties by name)."""
+    return repos.where(F.col("updated_at") >= F.lit(since).cast("timestamp")).orderBy(F.desc("stars"), "name")
+
+
+def top_repos(repos: DataFrame, *, limit: int = 5) -> DataFrame:
+    """The ``limit`` repositories with the most stars; an unknown language shows as Unknown."""
+    return repos.orderBy(F.desc("stars"), "name").limit(limit).withColumn("language", F.coalesce("language", F.lit("Unknown")))
+
+
+def row_ranks(rows: DataFrame, by: str, tie: str, *, run: str | None = None) -> DataFrame:
+    """Adds rank, from 1, by falling ``by``: in each ``run``, or over all rows by ranges, without gathering them in one task."""
+    if run is not None:
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy(run).orderBy(F.desc(by), tie)).cast("long"))
+    return global_index(rows, by, tie, descending=True).withColumn("rank", F.col("position") + 1).drop("position")

@@ -42,5 +42,10 @@ def import_stats(df: DataFrame, *, min_confidence: float = 0.75) -> DataFrame:
     )
 
 
+def import_counts(df: DataFrame, by: str, *, min_confidence: float = 0.75) -> DataFrame:
+    """(by, n): imported diagnostics of each value of a column (category, or source file)."""
+    return diagnostics_to_training(df, min_confidence=min_confidence).groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+
+
 def diagnostics_to_training(df: DataFrame, *, min_confidence: float = 0.75) -> DataFrame:
     return df.where((F.col("confidence") >= min_confidence) & F.col("category").isNotNull())

@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from faultgrain.sources.scratch import checkpointed
 
 
-def cochange_edges(changed: DataFrame, *, commit: str = "fix_commit", max_files: int = 50) -> DataFrame:
+def cochange_edges(changed: DataFrame, *, commit: str = "fix_commit", max_files: int | None = None) -> DataFrame:
     """(source_file, target_file, weight): commits in which both files changed, source before target.
 
-    Commits of more than ``max_files`` files (sweeping renames, formatting) say nothing of two files and are left out,
-    which also bounds the pairs of a commit. The files of a commit are gathered once, and pairs made in place: one
-    shuffle by commit, one by pair.
+    The files of a commit are gathered once, and pairs made in place: one shuffle by commit, one by pair. A commit of n
+    files has n * (n - 1) / 2 pairs, as asked for; with ``max_files``, commits of more files (sweeping renames, formatting)
+    are left out as saying nothing of two files.
     """
-    files = changed.groupBy(commit).agg(F.sort_array(F.collect_set("file")).alias("files")).where(F.size("files").between(2, max_files))
+    files = changed.groupBy(commit).agg(F.sort_array(F.collect_set("file")).alias("files")).where(F.size("files") >= 2)
+    if max_files is not None:
+        files = files.where(F.size("files") <= max_files)
     left = files.select("files", F.posexplode("files").alias("i", "source_file"))
-    pairs = left.select("source_file", F.explode(F.slice("files", F.col("i") + 2, F.lit(max_files))).alias("target_file"))
+    pairs = left.select("source_file", F.explode(F.slice("files", F.col("i") + 2, F.size("files"))).alias("target_file"))
     return pairs.groupBy("source_file", "target_file").agg(F.count(F.lit(1)).alias("weight"))
 
 

@@ -2,21 +2,52 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_sums(df: DataFrame, key: str, tie: str, sums: dict[str, Column], *, descending: bool = False, buckets: int = 64) -> DataFrame:
+#: Rows that one task goes through in order, about.
+RANGE_ROWS = 200_000
+#: Sampled rows for each range, of which the cuts are taken.
+SAMPLED = 100
+
+
+def _cuts(rows: DataFrame, tie: str, buckets: int, total: int) -> list[tuple]:
+    """(key, tie) at about equal distances in the order of rows; about SAMPLED * buckets rows are looked at, by a hash of tie."""
+    every = max(1, total // (SAMPLED * buckets))
+    some = rows.where(F.pmod(F.xxhash64(tie), F.lit(every)) == 0).select("fg_key", tie).collect()
+    some = sorted(map(tuple, some), key=lambda r: (r[0] is not None, r[0] != r[0], r[0] if r[0] is not None and r[0] == r[0] else 0.0, r[1] is not None, r[1]))
+    return [some[i] for i in sorted({i * len(some) // buckets for i in range(1, buckets)})] if some else []
+
+
+def _range_of(cuts: list[tuple], key: str, tie: str, tie_type: str) -> Column:
+    """The number of cuts at or below a row's (key, tie). Cuts are looked up in blocks, about twice their root for a row."""
+    place = lambda k, t: F.struct(k.cast("double").alias("k"), t.cast(tie_type).alias("t"))
+    each = max(1, math.isqrt(len(cuts)))
+    blocks = [[place(F.lit(k), F.lit(t)) for k, t in cuts[i : i + each]] for i in range(0, len(cuts), each)]
+    if not blocks:
+        return F.lit(0)
+    own = place(F.col(key), F.col(tie))
+    upto = lambda cells: F.size(F.filter(cells, lambda c: c <= own))
+    block = upto(F.array(*(b[0] for b in blocks))) - 1
+    return F.when(block < 0, F.lit(0)).otherwise(block * each + upto(F.get(F.array(*(F.array(*b) for b in blocks)), block)))
+
+
+def running_sums(df: DataFrame, key: str, tie: str, sums: dict[str, Column], *, descending: bool = False, buckets: int | None = None) -> DataFrame:
     """Adds, for each name, the sum of a column over all rows up to this one in the order of (key, tie).
 
-    Rows are cut into value ranges of a numeric ``key`` at its approximate quantiles; sums run within a range, and each
-    range adds the totals of those before it. ``buckets`` grows with the data; rows of one key value stay in one range.
-    Rows whose key is null come first. Only the cut points (``buckets`` numbers) reach the driver.
+    Rows are cut into ranges of (key, tie) at quantiles of a sample; sums run within a range, and each range adds the
+    totals of those before it. As the tie takes part, a key that many rows share is cut like any other. ``key`` is numeric;
+    rows whose key is null come first. The number of ranges follows that of the rows unless ``buckets`` gives it; the
+    driver sees a sample of 100 rows a range.
     """
     way = -F.col(key).cast("double") if descending else F.col(key).cast("double")
     rows = df.withColumn("fg_key", way)
-    cuts = rows.agg(F.percentile_approx("fg_key", [i / buckets for i in range(1, buckets)], 10000).alias("c")).first()["c"] or []
-    rows = rows.withColumn("fg_range", sum((F.coalesce(F.col("fg_key") >= c, F.lit(False)).cast("int") for c in sorted(set(cuts))), F.lit(0)))
+    total = df.count()
+    buckets = buckets or max(8, math.ceil(total / RANGE_ROWS))
+    rows = rows.withColumn("fg_range", _range_of(_cuts(rows, tie, buckets, total), "fg_key", tie, df.schema[tie].dataType.simpleString()))
     rows = rows.withColumns({f"fg_{n}": c for n, c in sums.items()})
     totals = rows.groupBy("fg_range").agg(*(F.sum(f"fg_{n}").alias(f"fg_total_{n}") for n in sums))
     before = Window.partitionBy(F.lit(1)).orderBy("fg_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range

@@ -92,3 +92,24 @@ def project_2d(weights: DataFrame, total: DataFrame, *, key: str = "doc_id") ->
     some = weights.select(key).distinct().join(cells.groupBy(key).agg(place(1), place(2)), key, "left")
     scaled = lambda a: (F.coalesce(f"w{a}", F.lit(0.0)) - F.col(f"low{a}")) / F.col(f"range{a}") * 2 - 1
     return some.join(F.broadcast(ends)).select(key, scaled(1).alias("x"), scaled(2).alias("y"))  # one row
+
+
+def pairwise_similarity(weights: DataFrame, *, least: float = 0.5, key: str = "doc_id") -> DataFrame:
+    """(a, b, similarity): the cosine of every pair a < b of texts that reach ``least`` (above 0). weights: (key, term, weight), of length 1.
+
+    Prefix filtering: with terms in the order of their frequency, rarest first, two texts can only reach the bound if they
+    share a term of the part of each before what is left is shorter than ``least``. So frequent terms join with nothing but the
+    texts that have little else; pairs that meet are then compared on all terms.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0 and at most 1")
+    df = weights.groupBy("term").agg(F.count(F.lit(1)).alias("fg_df"))
+    upto = Window.partitionBy(key).orderBy(F.desc("fg_df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
+    rest = F.sum(F.col("weight") * F.col("weight")).over(upto)  # the square of what is left from a term on
+    heads = weights.join(df, "term").withColumn("fg_rest", rest).where(F.col("fg_rest") >= least * least - 1e-9).select(key, "term")
+    bags = weights.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("bag"))
+    a, b = heads.select(F.col(key).alias("a"), "term"), heads.select(F.col(key).alias("b"), "term")
+    pairs = a.join(b, "term").where("a < b").select("a", "b").distinct()
+    pairs = pairs.join(bags.select(F.col(key).alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col(key).alias("b"), F.col("bag").alias("y")), "b")
+    product = F.aggregate(F.map_entries("x"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("y", e["key"]), F.lit(0.0)))
+    return pairs.select("a", "b", product.alias("similarity")).where(F.round("similarity", 9) >= least)

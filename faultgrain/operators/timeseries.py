@@ -41,20 +41,22 @@ def correlations(df: DataFrame, columns: list[str], *, by: str = "window") -> Da
     """(by, i, j, r): Pearson's r of every pair of columns in each group; 1 on the diagonal, 0 where one is constant.
 
     Means first, then sums of centred products: sums of raw squares lose the digits of epoch seconds. Both passes
-    aggregate before the shuffle, and each unordered pair is summed once.
+    aggregate before the shuffle. Products are summed as rows (by, i, j), each unordered pair once, so the plan doesn't
+    grow with the number of columns.
     """
-    pick = df.select(by, *(F.col(c).cast("double").alias(c) for c in columns))
-    means = pick.groupBy(by).agg(*(F.avg(c).alias(f"m_{c}") for c in columns))
-    centred = pick.join(means, by).select(by, *((F.col(c) - F.col(f"m_{c}")).alias(c) for c in columns))
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    sums = centred.groupBy(by).agg(*(F.sum(F.col(columns[i]) * F.col(columns[j])).alias(f"s_{i}_{j}") for i, j in pairs))
-    cells = []
-    for i, j in pairs:
-        product = F.sqrt(F.col(f"s_{i}_{i}")) * F.sqrt(F.col(f"s_{j}_{j}"))
-        r = F.lit(1.0) if i == j else F.when(product > 1e-9, F.try_divide(F.col(f"s_{i}_{j}"), product)).otherwise(F.lit(0.0))
-        for a, b in {(i, j), (j, i)}:
-            cells.append(F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), r.alias("r")))
-    return sums.select(by, F.explode(F.array(*cells)).alias("x")).select(by, "x.i", "x.j", "x.r")
+    pick = df.select(by, *(F.col(f"`{c}`").cast("double").alias(f"c{k}") for k, c in enumerate(columns)))
+    means = pick.groupBy(by).agg(*(F.avg(f"c{k}").alias(f"m{k}") for k in range(len(columns))))
+    centred = pick.join(means, by).select(by, F.array(*(F.col(f"c{k}") - F.col(f"m{k}") for k in range(len(columns)))).alias("x"))
+    left = centred.select(by, "x", F.posexplode("x").alias("i", "a"))
+    both = left.select(by, "i", "a", F.posexplode(F.slice("x", F.col("i") + 1, len(columns))).alias("k", "b"))
+    sums = both.groupBy(by, "i", (F.col("i") + F.col("k")).alias("j")).agg(F.sum(F.col("a") * F.col("b")).alias("s"))
+    # from here on there are at most columns**2 / 2 rows a group
+    every = sums.groupBy(by).agg(F.collect_list(F.struct("i", "j", "s")).alias("cells"), F.map_from_entries(F.collect_list(F.when(F.col("i") == F.col("j"), F.struct("i", "s")))).alias("own"))
+    cells = every.select(by, "own", F.explode("cells").alias("c")).select(by, "c.i", "c.j", "c.s", "own")
+    product = F.sqrt(F.element_at("own", F.col("i"))) * F.sqrt(F.element_at("own", F.col("j")))
+    r = F.when(F.col("i") == F.col("j"), F.lit(1.0)).when(product > 1e-9, F.try_divide("s", product)).otherwise(F.lit(0.0))
+    cells = cells.select(by, "i", "j", r.alias("r"))
+    return cells.unionByName(cells.where("i < j").select(by, F.col("j").alias("i"), F.col("i").alias("j"), "r"))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -250,6 +250,9 @@ def sbfl_scores(spark, d):
 _TOP = f"{_STATEMENTS}, v_top AS (SELECT file, line, ochiai AS score, row_number() OVER (ORDER BY ochiai DESC, file, line) AS rank FROM v_scores QUALIFY rank <= 20)"
 
 
+_SCORED_TOP = f"{_STATEMENTS}, v_top AS (SELECT file, line, passed, failed, ochiai AS score, row_number() OVER (ORDER BY ochiai DESC, file, line) AS rank FROM v_scores QUALIFY rank <= 20)"
+
+
 @query(_with(_TOP, "SELECT file, line, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM v_top WHERE score >= 0.1"))
 def sbfl_rank(spark, d):
     return V.sbfl_rank(_scores(spark, d), formula="ochiai", top_n=20, min_score=0.1).select("file", "line", _r("score"), "rank")
@@ -296,18 +299,6 @@ def tdg_by_repo(spark, d):
     return V.tdg_by_repo(view(spark, d, "tdg")).select("repo", _r("avg_tdg"), _r("max_tdg"))
 
 
-@query(_with(f"{_PATTERNS}, {oracle('tdg')}, v_q AS (SELECT repo, avg(total) AS a, max(total) AS m FROM v_tdg GROUP BY repo)", "SELECT p.repo, category, frequency, round(a, 6) AS avg_tdg, round(m, 6) AS max_tdg FROM v_patterns p LEFT JOIN v_q ON v_q.repo = p.repo"))
-def enrich_tdg_patterns(spark, d):
-    out = P.defect_patterns(_classified(spark, d)).join(V.tdg_by_repo(view(spark, d, "tdg")), "repo", "left")
-    return out.select("repo", "category", "frequency", _r("avg_tdg"), _r("max_tdg"))
-
-
-@query(_with(f"{_TOP}, {oracle('tdg')}", "SELECT t.file, line, round(score, 6) AS score, round(q, 6) AS tdg FROM v_top t LEFT JOIN (SELECT file, max(total) AS q FROM v_tdg GROUP BY file) g ON g.file = t.file"))
-def enrich_tdg_ranking(spark, d):
-    scores = view(spark, d, "tdg").groupBy("file").agg(F.max("total").alias("tdg"))
-    return V.sbfl_rank(_scores(spark, d), formula="ochiai", top_n=20).join(scores, "file", "left").select("file", "line", _r("score"), _r("tdg"))
-
-
 # --- diagnostics
 
 

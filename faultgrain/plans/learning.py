@@ -171,9 +171,27 @@ def project_2d(spark, d):
 # --- fitted models; those without SQL are tested against plain code or properties
 
 
-@query()
+_VOTE_COLUMNS = [f"vote_{c}" for c in _SCORES]
+_EM_ROUNDS = 5
+
+
+def _em_sql() -> str:
+    """Rounds of expectation and maximisation over counted vote rows."""
+    steps = [f"""{_VOTES}, v_c AS MATERIALIZED (SELECT {', '.join(_VOTE_COLUMNS)}, count(*) AS n FROM v_votes GROUP BY ALL),
+v_w0 AS (SELECT {', '.join(f'CAST(0.2 AS DOUBLE) AS w{j}' for j in range(5))})"""]
+    for k in range(1, _EM_ROUNDS + 1):
+        up, down = (" + ".join(f"CASE WHEN {v} = {side} THEN w{j} ELSE 0 END" for j, v in enumerate(_VOTE_COLUMNS)) for side in (1, -1))
+        steps.append(f"v_e{k} AS MATERIALIZED (SELECT v_c.*, CASE WHEN {up} + {down} > 0 THEN ({up}) / ({up} + {down}) ELSE 0.5 END AS p FROM v_c, v_w{k - 1})")
+        weights = ", ".join(f"coalesce(sum(n * CASE WHEN {v} = 1 THEN p ELSE 1 - p END) FILTER ({v} <> 0) / sum(n) FILTER ({v} <> 0), 0.5) AS w{j}" for j, v in enumerate(_VOTE_COLUMNS))
+        steps.append(f"v_w{k} AS MATERIALIZED (SELECT {weights} FROM v_e{k})")
+    total = " + ".join(f"w{j}" for j in range(5))
+    rows = " UNION ALL ".join(f"SELECT '{v}' AS name, round(w{j} / ({total}), 6) AS weight FROM v_w{_EM_ROUNDS}" for j, v in enumerate(_VOTE_COLUMNS))
+    return _with(", ".join(steps), rows)
+
+
+@query(_em_sql())
 def label_model(spark, d):
-    return M.label_model(E.label_functions(view(spark, d, "file_features")))
+    return M.label_model(E.label_functions(view(spark, d, "file_features")), rounds=_EM_ROUNDS).select("name", _r("weight"))
 
 
 @query(_with(_VOTES, ", v_p AS (SELECT row_id, CASE WHEN p + q = 0 THEN 0.5 ELSE CAST(p AS DOUBLE) / (p + q) END AS probability FROM (SELECT row_id, "
@@ -185,20 +203,19 @@ def calibrated_predict(spark, d):
     return M.calibrated_predict(voted).select("row_id", _r("probability"), _r("low"), _r("high"), "confidence_level")
 
 
-@query()
+# The isotonic fit at a score is the greatest, over starts before it, of the least mean up to an end after it.
+@query(_with(oracle("predictions"), """, v_p AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS pos, count(*) OVER () AS n FROM v_predictions),
+  v_h AS (SELECT score AS x, avg(label) AS y, count(*) AS w FROM v_p WHERE pos > n - greatest(n // 5, 10) GROUP BY score),
+  v_c AS MATERIALIZED (SELECT x, row_number() OVER (ORDER BY x) AS i, sum(y * w) OVER (ORDER BY x) AS sy, sum(w) OVER (ORDER BY x) AS sw FROM v_h),
+  v_z AS (SELECT i, sy, sw FROM v_c UNION ALL SELECT 0, 0, 0),
+  v_m AS MATERIALIZED (SELECT a.i + 1 AS s, b.i AS e, (b.sy - a.sy) / (b.sw - a.sw) AS m FROM v_z a JOIN v_z b ON a.i < b.i),
+  v_g AS (SELECT s, c.i, min(m) AS m FROM v_m JOIN v_c c ON s <= c.i AND e >= c.i GROUP BY s, c.i),
+  v_f AS MATERIALIZED (SELECT x, max(m) AS f FROM v_g JOIN v_c USING (i) GROUP BY x),
+  v_b AS (SELECT doc_id, score, (SELECT max(x) FROM v_f WHERE x <= score) AS lo, (SELECT min(x) FROM v_f WHERE x >= score) AS hi FROM v_predictions)
+  SELECT doc_id, score, round(CASE WHEN lo IS NULL THEN h.f WHEN hi IS NULL OR lo = hi THEN l.f ELSE l.f + (h.f - l.f) * (score - lo) / (hi - lo) END, 6) AS calibrated
+  FROM v_b LEFT JOIN v_f l ON l.x = lo LEFT JOIN v_f h ON h.x = hi"""))
 def isotonic_calibrate(spark, d):
-    return M.isotonic_calibrate(view(spark, d, "predictions"), order_by="doc_id", tie="doc_id").select("doc_id", "score", "calibrated")
-
-
-@query()
-def kmeans_features(spark, d):
-    columns = ["files_changed", "lines_added", "lines_deleted", "hour_of_day", "day_of_week"]
-    return M.cluster_columns(_features(spark, d), columns, k=5).select("commit_id", "cluster", "distance2")
-
-
-@query()
-def inertia(spark, d):
-    return M.inertia(kmeans_features(spark, d))
+    return M.isotonic_calibrate(view(spark, d, "predictions"), order_by="doc_id", tie="doc_id").select("doc_id", "score", _r("calibrated"))
 
 
 @query()

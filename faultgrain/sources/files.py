@@ -61,6 +61,11 @@ def read_bugs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BUGS).json(path)
 
 
+def save_bugs(bugs: DataFrame, path: str, *, mode: str = "error") -> None:
+    """Bug documents as JSON lines, as read_bugs reads them."""
+    bugs.select(*(x.split(":")[0].split(" ")[0] for x in BUGS.split(", "))).write.mode(mode).json(path)
+
+
 def validate_diagnostics(rows: DataFrame) -> DataFrame:
     """(field, status, nulls): required fields present or missing, optional ones where present, all others extra.
 
@@ -83,12 +88,20 @@ def features_of(spark: SparkSession, path: str, category: int) -> DataFrame:
 
 
 def export_features(features: DataFrame, path: str, names: list[str], *, label: str = "defect_category") -> DataFrame:
-    """Writes (features array, label) as Parquet; returns one row: n_samples, n_features, n_classes."""
-    features.select(F.array(*(F.col(n).cast("double") for n in names)).alias("features"), F.col(label).alias("label")).write.parquet(path)
+    """Writes (features array, label) as Parquet, the names with the column; returns one row: n_samples, n_features, n_classes."""
+    packed = F.array(*(F.col(n).cast("double") for n in names)).alias("features", metadata={"names": names})
+    features.select(packed, F.col(label).alias("label")).write.parquet(path)
     out = features.sparkSession.read.parquet(path)
     return out.agg(F.count(F.lit(1)).alias("n_samples"), F.lit(len(names)).alias("n_features"), F.count_distinct("label").alias("n_classes"))
 
 
+def load_features(spark: SparkSession, path: str) -> DataFrame:
+    """What export_features wrote, a column for each name."""
+    rows = spark.read.parquet(path)
+    names = rows.schema["features"].metadata["names"]
+    return rows.select(*(F.get("features", F.lit(i)).alias(n) for i, n in enumerate(names)), "label")
+
+
 def write_report(rows: DataFrame, path: str, *, form: str = "json") -> None:
     """Writes a report as ``json``, ``csv`` (flat columns, with names) or ``parquet``."""
     if form not in ("json", "csv", "parquet"):

@@ -3,14 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` read back from a checkpoint in ``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
-    context = df.sparkSession.sparkContext
+def _shared(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode, as in tests, else an error."""
+    context = spark.sparkContext
+    given = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not given:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+        given = tempfile.mkdtemp(prefix="faultgrain-")
     if context.getCheckpointDir() is None:
-        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="faultgrain-"))
+        context.setCheckpointDir(given)
+    return given.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` read back from a checkpoint in the shared folder."""
+    _shared(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing is at yet."""
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"

@@ -53,6 +53,16 @@ SQL = {
         CAST((p_partkey * 37) % 101 AS DOUBLE) / 100 AS rag_similarity, p_size % 4 = 0 AS is_defect FROM part""",
     "predictions": """SELECT d.doc_id, CAST(d.n_chars % 1000 AS DOUBLE) / 1000 AS score, CAST(l.quality AS INT) AS label
         FROM documents d JOIN labels l ON l.doc_id = d.doc_id""",
+    "repos": """SELECT concat('repo-', CAST(c.c_custkey AS STRING)) AS name, concat('org-', CAST(c.c_nationkey AS STRING), '/repo-', CAST(c.c_custkey AS STRING)) AS full_name,
+        CASE c.c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Rust' WHEN 2 THEN 'Python' ELSE 'Go' END AS language,
+        CAST(floor(abs(c.c_acctbal)) AS BIGINT) AS stars, max(o.o_orderdate) AS updated_at
+        FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey, c.c_nationkey, c.c_acctbal""",
+    "bugs": f"""SELECT CAST(o.o_orderkey AS STRING) AS id, t.message AS title,
+        concat('m', CAST(o.o_custkey % 25 AS STRING), '.rs line ', CAST(o.o_orderkey % 80 AS STRING), ' of failing tests') AS description,
+        md5(CAST(o.o_orderkey AS STRING)) AS fix_commit, '' AS fix_diff, split(concat('src/m', CAST(o.o_custkey % 25 AS STRING), '.rs'), ',') AS affected_files,
+        CASE t.tid % 3 WHEN 0 THEN 'Memory Safety' WHEN 1 THEN 'Logic Errors' ELSE 'Type Errors' END AS category, CAST(o.o_orderkey % 5 + 1 AS INT) AS severity,
+        split(concat('crash,', t.message), ',') AS symptoms, concat('cause ', CAST(o.o_orderkey % 7 AS STRING)) AS root_cause, concat('check ', t.message) AS fix_pattern
+        FROM orders o JOIN (VALUES {_TEMPLATES}) AS t(tid, message) ON t.tid = o.o_orderkey % {len(MESSAGES)}""",
     "tdg": """SELECT concat('repo-', CAST(p_partkey % 20 AS STRING)) AS repo, concat('src/m', CAST(p_partkey % 25 AS STRING), '.rs') AS file,
         max(CAST((p_partkey * 17) % 100 AS DOUBLE)) AS total FROM part GROUP BY p_partkey % 20, p_partkey % 25""",
 }
@@ -60,6 +70,7 @@ SQL = {
 _TABLES = {
     "commits": ["orders", "lineitem"], "coverage": ["lineitem"], "changed_lines": ["lineitem"], "blame": ["lineitem"],
     "diagnostics": ["events"], "file_features": ["part"], "predictions": ["documents", "labels"], "tdg": ["part"],
+    "repos": ["customer", "orders"], "bugs": ["orders"],
 }
 
 
