@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultgrain.llm.spark_tools import has_bit, keyed, membership_bits, own_id, written
+from faultgrain.llm.spark_tools import Scratch, has_bit, keyed, map_arrow, membership_bits, own_id, text_tag
 from faultgrain.llm.text_arrays import ALNUM, LOWER, Words, chunks, gram_hashes, window_minima
 
 WINDOW = 13
 GRAM = 5
 
-_SCHEMA = "k_id long, k_tag int, s int, n int, fp long, words string"
+_SCHEMA = "k_id long, k_tag long, s int, n int, fp long, words string"
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], window: int, gram: int, lengths: list[int], bits, items: bool) -> Iterator[pa.RecordBatch]:
@@ -55,7 +55,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], window: int, gram: int, len
 
 
 def _batch(ids, tags, s, n, fp, words) -> pa.RecordBatch:
-    columns = [pa.array(ids, pa.int64()), pa.array(tags, pa.int32()), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(fp.view(np.int64)), pa.array(words, pa.string())]
+    columns = [pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(fp.view(np.int64)), pa.array(words, pa.string())]
     return pa.RecordBatch.from_arrays(columns, ["k_id", "k_tag", "s", "n", "fp", "words"])
 
 
@@ -86,16 +86,18 @@ def decontaminate(
     without an id hit words but aren't listed. Documents that repeat in id and text give a row each; so do rows
     without an id. An empty benchmark hits nothing. Other columns of either table are ignored.
     """
-    spark = docs.sparkSession
+    scratch = Scratch(docs.sparkSession)
     tests = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
-    tests = tests.select("item", F.xxhash64("text").alias("k_id"), F.hash("text").alias("k_tag"), "text")
-    item_windows = tests.select("k_id", "k_tag", "text").distinct().mapInArrow(lambda b: _fingerprints(b, window, gram, [], None, True), _SCHEMA)
-    item_windows = written(item_windows, "benchmark-windows")
+    tests = tests.select("item", F.xxhash64("text").alias("k_id"), text_tag(F.concat(F.lit("item "), "text")).alias("k_tag"), "text")
+    distinct = tests.select("k_id", "k_tag", "text").distinct()
+    item_windows = scratch.written(map_arrow(distinct, lambda b: _fingerprints(b, window, gram, [], None, True), _SCHEMA), "benchmark-windows", keep=True)
     lengths = sorted(r.n for r in item_windows.select("n").distinct().collect() if r.n < window)
-    bits = spark.sparkContext.broadcast(membership_bits(item_windows.select("fp").distinct(), "fp"))
-    seen = written(keyed(docs, id_col, text_col).mapInArrow(lambda b: _fingerprints(b, window, gram, lengths, bits, False), _SCHEMA), "document-windows")
+    bits = scratch.broadcast(membership_bits(item_windows.select("fp").distinct(), "fp"))
+    seen = map_arrow(keyed(docs, id_col, text_col), lambda b: _fingerprints(b, window, gram, lengths, bits, False), _SCHEMA)
+    seen = scratch.written(seen, "document-windows", keep=True)
     windows = item_windows.select("fp", "words").distinct()
-    hits = written(seen.where("s >= 0").distinct().join(windows, ["fp", "words"]), "benchmark-hits")
+    hits = scratch.written(seen.where("s >= 0").distinct().join(windows, ["fp", "words"]), "benchmark-hits", keep=True)
+    scratch.close()
     place = Window.partitionBy("k_id", "k_tag").orderBy("s", "n")
     reached = F.max(F.col("s") + F.col("n")).over(place.rowsBetween(Window.unboundedPreceding, -1))
     n_hit = (

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultgrain.llm.spark_tools import own_id, row_id, written
+from faultgrain.llm.spark_tools import Scratch, own_id, row_id
 
-SALTS = 16
+SALTS = 60
 
 
 def exact_dedup(
@@ -44,11 +44,12 @@ def exact_dedup(
         .groupBy("d", "t")
         .agg(F.max("keep").alias("keep"), F.sum("n").alias("n"), F.bit_or(F.expr("shiftleft(1L, s)")).alias("met"))
     )
-    groups = written(
+    groups = Scratch(docs.sparkSession).written(
         by_text.groupBy("d").agg(
             F.count(F.lit(1)).alias("texts"), F.max("keep").alias("keep"), F.sum("n").alias("n"), F.bit_or("met").alias("met")
         ),
         "exact-groups",
+        keep=True,
     )
     met = F.expr(f"filter(sequence(0, {salts - 1}), s -> (met & shiftleft(1L, s)) <> 0)")
     lookup = groups.where("texts = 1").select("d", "keep", "n", F.explode(met).alias("s"))

@@ -11,13 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultgrain.llm.spark_tools import own_id, row_id
+from faultgrain.llm.spark_tools import Scratch, map_arrow, own_id, row_id, text_tag
 from faultgrain.llm.text_arrays import LOWER, chunks
 
 UNKNOWN = "und"
 FEATURES = 1 << 12
 #: Most labelled rows that the classifiers are fitted on, shared evenly by the languages.
 SAMPLE = 6000
+#: Most rows that are turned into features at once.
+ROWS = 64
 
 # fixed values: language families by ISO 639-1 code; any other code is a family of its own
 FAMILIES = {
@@ -44,7 +46,7 @@ def features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     text = LOWER[data]
     text = np.where((text < 0x61) | ((text > 0x7A) & (text < 0x80)), np.uint8(32), text).astype(np.uint32)
     row = np.repeat(np.arange(rows, dtype=np.int64), np.diff(at))
-    out = np.zeros(rows * FEATURES, np.float64)
+    out = np.zeros(rows * FEATURES, np.int64)
     code = text
     for k in range(1, 4):
         if k > 1:
@@ -58,20 +60,20 @@ def features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def _svm(x: np.ndarray, sign: np.ndarray, rounds: int = 12, reg: float = 1e-4) -> np.ndarray:
-    """Weights (the last is the bias) of a linear support vector machine, by averaged sub-gradient steps in a fixed order."""
-    x = np.hstack((x, np.ones((len(x), 1), x.dtype)))
-    w, mean, t = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0
+def _svm(x: np.ndarray, rows: np.ndarray, sign: np.ndarray, rounds: int = 12, reg: float = 1e-4) -> np.ndarray:
+    """Weights (the last is the bias) of a linear support vector machine on some rows of x, by averaged sub-gradient steps in a fixed order."""
+    w, mean, t = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1), 0
     rng = np.random.default_rng(0)
     weight = np.where(sign > 0, len(sign) / max(1, 2 * (sign > 0).sum()), len(sign) / max(1, 2 * (sign < 0).sum()))
     for _ in range(rounds):
-        order = rng.permutation(len(x))
-        for part in np.array_split(order, max(1, len(x) // 32)):
+        order = rng.permutation(len(rows))
+        for part in np.array_split(order, max(1, len(rows) // 32)):
             t += 1
-            bad = sign[part] * (x[part] @ w) < 1
+            some = np.hstack((x[rows[part]].astype(np.float64), np.ones((len(part), 1))))
+            bad = sign[part] * (some @ w) < 1
             rate = 1 / (reg * (t + 1000))
             w *= 1 - rate * reg
-            w += rate / len(part) * ((sign[part] * weight[part] * bad) @ x[part])
+            w += rate / len(part) * ((sign[part] * weight[part] * bad) @ some)
             mean += (w - mean) / t
     return mean
 
@@ -118,27 +120,43 @@ def _vote(x: np.ndarray, weights: np.ndarray, pairs: list[tuple[int, int]], n: i
     return best, total[np.arange(len(x)), best] / (n - 1)
 
 
-def _one_versus_one(x: np.ndarray, label: np.ndarray, n: int) -> tuple[list[tuple[int, int]], np.ndarray]:
-    pairs = list(combinations(range(n), 2))
-    rows = [_svm(x[(label == i) | (label == j)], np.where(label[(label == i) | (label == j)] == i, 1.0, -1.0)) for i, j in pairs]
-    return pairs, np.array(rows) if rows else np.zeros((0, x.shape[1] + 1))
+def _one_versus_one(x: np.ndarray, rows: np.ndarray, label: np.ndarray, n: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Weights of each pair of the n classes; label is of the rows."""
+    pairs, weights = list(combinations(range(n), 2)), []
+    for i, j in pairs:
+        own = (label == i) | (label == j)
+        weights.append(_svm(x, rows[own], np.where(label[own] == i, 1.0, -1.0)))
+    return pairs, np.array(weights) if weights else np.zeros((0, x.shape[1] + 1))
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, cells, values): the features that aren't 0, as 16-bit cells and 32-bit numbers."""
     for batch in batches:
-        for i, j, data, at in chunks(batch.column("text")):
-            x = features(data, at).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column("lang").slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
+        for i, j, data, at in chunks(batch.column("text"), rows=ROWS):
+            cells, values = [], []
+            for row in features(data, at).astype(np.float32):
+                some = np.flatnonzero(row)
+                cells.append(some.astype(np.uint16).tobytes())
+                values.append(row[some].tobytes())
+            columns = [batch.column("lang").slice(i, j - i), pa.array(cells, pa.binary()), pa.array(values, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "cells", "values"])
 
 
-def _chosen(known: DataFrame, id_col: str, text_col: str, lang_col: str, each: int) -> DataFrame:
-    """(lang, text): ``each`` rows at most of a language. Rows that repeat in id, text and language count once."""
+def _chosen(known: DataFrame, names: dict[str, int], id_col: str, text_col: str, lang_col: str, each: int) -> DataFrame:
+    """(lang, text): ``each`` rows at most of a language. Rows that repeat in id, text and language count once.
+
+    ``names``: the rows of each language. Rows whose hash is low enough to be about three times ``each`` of a language
+    are ranked by it, so no task ranks more, however many rows a language has.
+    """
     rows = known.select(F.col(id_col).alias("own"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("mark", F.xxhash64("text"))
-    place = Window.partitionBy("lang").orderBy(F.xxhash64("own"), "own", "mark")
-    ids = rows.select("own", "lang", "mark").distinct().withColumn("place", F.row_number().over(place))
+    rows = rows.withColumn("mark", F.xxhash64("text")).withColumn("spread", F.xxhash64("own", "mark"))
+    share = F.create_map(*(F.lit(x) for lang, n in names.items() for x in (lang, min(1.0, 3.0 * each / n))))
+    # a share of all 64-bit hashes, from the least one up
+    few = rows.where(F.col("spread") <= (F.element_at(share, F.col("lang")) * 2.0 - 1.0) * 2.0**63)
+    place = Window.partitionBy("lang").orderBy("spread", "own", "mark")
+    ids = few.select("own", "lang", "mark", "spread").distinct().withColumn("place", F.row_number().over(place))
     ids = ids.where(F.col("place") <= each).drop("place")
-    return rows.join(F.broadcast(ids), ["own", "lang", "mark"]).groupBy("own", "lang", "mark").agg(F.min("text").alias("text")).select("lang", "text")
+    return few.join(F.broadcast(ids), ["own", "lang", "mark", "spread"]).groupBy("own", "lang", "mark").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 def fit_language_model(
@@ -147,26 +165,32 @@ def fit_language_model(
     """Fit on rows with a language whose crc32(id as text) mod 5 is not 0.
 
     At most ``sample`` rows are used (one of each language at least), as many of each language, chosen by the
-    hash of their ids; only their feature counts (FEATURES numbers a row) reach the driver. Where no row can be
+    hash of their ids and texts; only their features (at most FEATURES numbers a row) reach the driver. Where no row can be
     learned from, the model has no language and says ``und`` to every text.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    names = sorted(r[0] for r in known.select(lang_col).distinct().collect() if r[0] != UNKNOWN)
+    counts = known.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each language
+    counts = {r[0]: r[1] for r in counts if r[0] != UNKNOWN}
+    names = sorted(counts)
     if not names:
         return LanguageModel([], [], np.zeros((0, FEATURES + 1)), {}, {}, {})
-    got = _chosen(known.where(F.col(lang_col) != UNKNOWN), id_col, text_col, lang_col, max(1, sample // len(names))).mapInArrow(_feature_rows, "lang string, x binary").toArrow()
+    chosen = _chosen(known.where(F.col(lang_col) != UNKNOWN), counts, id_col, text_col, lang_col, max(1, sample // len(names)))
+    got = map_arrow(chosen, _feature_rows, "lang string, cells binary, values binary").toArrow()
     lang = np.array(got["lang"].to_pylist(), object)
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, FEATURES)
+    x = np.zeros((len(lang), FEATURES), np.float32)
+    for row, cells, values in zip(x, got["cells"], got["values"], strict=True):
+        row[np.frombuffer(cells.as_buffer(), np.uint16)] = np.frombuffer(values.as_buffer(), np.float32)
+    del got
     order = np.lexsort((x[:, :64] @ np.arange(1, 65), lang.astype(str)))  # the same whatever order rows came in
-    lang, x = lang[order], x[order]
+    lang = lang[order]
     families = sorted({family_of(n) for n in names})
     languages = {f: [n for n in names if family_of(n) == f] for f in families}
     label = np.array([families.index(family_of(v)) for v in lang])
-    family_pairs, family_weights = _one_versus_one(x, label, len(families))
+    family_pairs, family_weights = _one_versus_one(x, order, label, len(families))
     pairs, weights = {}, {}
     for f in families:
         own = np.isin(lang, languages[f])
-        pairs[f], weights[f] = _one_versus_one(x[own], np.array([languages[f].index(v) for v in lang[own]]), len(languages[f]))
+        pairs[f], weights[f] = _one_versus_one(x, order[own], np.array([languages[f].index(v) for v in lang[own]]), len(languages[f]))
     return LanguageModel(families, family_pairs, family_weights, languages, pairs, weights)
 
 
@@ -177,7 +201,7 @@ def held_out(id_col: str = "doc_id"):
 
 def _predictions(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, j, data, at in chunks(batch.column("text")):
+        for i, j, data, at in chunks(batch.column("text"), rows=ROWS):
             lang, score = model.value.predict(features(data, at))
             # a letter beyond ASCII is looked for only where there is none within
             ascii_letter = np.add.reduceat(np.append((LOWER[data] >= 0x61) & (LOWER[data] <= 0x7A), False), at[:-1]) > 0
@@ -205,8 +229,10 @@ def identify_language(
     if model is None and docs.limit(1).isEmpty():
         model = LanguageModel([], [], np.zeros((0, FEATURES + 1)), {}, {}, {})
     model = model or fit_language_model(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, sample=sample)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(row_id(id_col).alias("k_id"), F.hash(text).alias("k_tag"), held_out(id_col).alias("held_out"), text.alias("text"))
-    out = rows.mapInArrow(lambda b: _predictions(b, shared), "k_id long, k_tag int, held_out boolean, lang_pred string, score double")
+    rows = docs.select(row_id(id_col).alias("k_id"), text_tag(text).alias("k_tag"), held_out(id_col).alias("held_out"), text.alias("text"))
+    with Scratch(docs.sparkSession) as scratch:
+        shared = scratch.broadcast(model)
+        out = map_arrow(rows, lambda b: _predictions(b, shared), "k_id long, k_tag long, held_out boolean, lang_pred string, score double")
+        out = scratch.written(out, "languages", keep=True)
     return out.select(own_id().alias("doc_id"), "held_out", "lang_pred", "score", "k_id", "k_tag")

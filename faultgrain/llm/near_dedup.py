@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultgrain.llm.components import connected_components
-from faultgrain.llm.spark_tools import has_bit, keyed, membership_bits, own_id, written
+from faultgrain.llm.components import connected_components, joined_parts
+from faultgrain.llm.spark_tools import Scratch, has_bit, keyed, map_arrow, membership_bits, own_id
 from faultgrain.llm.text_arrays import LOWER, NOT_SPACE, Words, chunks, gram_hashes, mix
 
 SHINGLE = 5
@@ -18,6 +18,8 @@ BANDS = 32
 ROWS = 4
 #: Similarity as a fraction of whole numbers: 75 / 100.
 SIMILAR = (75, 100)
+#: Entries of one item that a task meets at once.
+ITEM_BLOCK = 1 << 10
 
 _BLOCK = 1 << 15
 
@@ -86,13 +88,14 @@ def _sketches(batches: Iterator[pa.RecordBatch], shingle: int, bands: int, rows:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int, bits) -> Iterator[pa.RecordBatch]:
-    """(doc, items) of the rows whose ``mark`` may be a member of ``bits``."""
+    """(k_id, k_tag, items) of the rows whose ``mark`` may be a member of ``bits``."""
     for batch in batches:
         keep = has_bit(bits.value, batch.column("mark").to_numpy(zero_copy_only=False).view(np.uint64))
         batch = batch.filter(pa.array(keep))
         for i, j, data, at in chunks(batch.column("text")):
             items = [x.view(np.int64) for x in shingle_sets(data, at, shingle)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc").slice(i, j - i), pa.array(items, pa.list_(pa.int64()))], ["doc", "items"])
+            keys = [batch.column(c).slice(i, j - i) for c in ("k_id", "k_tag")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(items, pa.list_(pa.int64()))], ["k_id", "k_tag", "items"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
@@ -108,34 +111,40 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> Da
     )
 
 
-def _prefix_pairs(sets: DataFrame, parts: DataFrame, similar: tuple[int, int]) -> DataFrame:
+def _prefix_pairs(sets: DataFrame, parts: DataFrame, similar: tuple[int, int], block: int) -> DataFrame:
     """Every pair (a, b) of different parts that can be similar, by prefix filtering: no bucket is listed in pairs.
 
-    Sets whose similarity reaches the bound share one of the rarest |x| - ceil(bound * |x|) + 1 items of each.
-    Items that all lie in one part are dropped before the join.
+    Sets whose similarity reaches the bound share one of the rarest |x| - ceil(bound * |x|) + 1 items of each. Items
+    that all lie in one part are dropped before the join. Of two similar sets the one that isn't larger (a) has their
+    first common item in an even shorter prefix, where what is left of it can hold the common items of two sets of its
+    size; only these entries are met by others. An item with more than ``block`` of them is split into parts of about
+    that size, so no task holds all sets that share a frequent item.
     """
     least, of = similar
     items = sets.join(parts, "doc").select("doc", "part", F.size("items").alias("size"), F.explode("items").alias("item"))
     rare = items.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("p1"), F.max("part").alias("p2"))
     shared = items.join(rare.where("p1 < p2").select("item", "n"), "item")
     # items that only one part has come first in any order; they count towards the prefix but join with nothing
-    alone = items.join(rare.where("p1 = p2").select("item"), "item").groupBy("doc").agg(F.count(F.lit(1)).alias("alone"))
     ranked = shared.groupBy("doc", "part", "size").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("order"))
-    room = F.col("size") - F.ceil(F.col("size") * least / of) + 1 - F.coalesce("alone", F.lit(0))
+    alone = F.col("size") - F.size("order")
+    room = F.least((F.col("size") - F.ceil(F.col("size") * least / of) + 1 - alone).cast("int"), F.size("order"))
     heads = (
-        ranked.join(alone, "doc", "left")
-        .withColumn("room", F.least(room.cast("int"), F.size("order")))
+        ranked.withColumn("room", room)
         .where("room > 0")
-        .select("doc", "part", "size", F.coalesce("alone", F.lit(0)).alias("alone"), F.posexplode(F.slice("order", F.lit(1), F.col("room"))).alias("i", "x"))
+        .select("doc", "part", "size", alone.alias("alone"), F.posexplode(F.slice("order", F.lit(1), F.col("room"))).alias("i", "x"))
         .select("doc", "part", "size", "x.item", (F.col("size") - F.col("alone") - F.col("i")).alias("left"))
     )
-    a, b = heads.alias("a"), heads.alias("b")
-    fits = (F.col("a.part") != F.col("b.part")) & (F.col("a.doc") < F.col("b.doc"))
-    fits &= (of * F.col("a.size") >= least * F.col("b.size")) & (of * F.col("b.size") >= least * F.col("a.size"))
+    smaller = heads.where((of + least) * F.col("left") >= 2 * least * F.col("size"))
+    blocks = smaller.groupBy("item").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    place = F.pmod(F.xxhash64("doc"), F.col("blocks"))
+    a = smaller.join(blocks, "item").withColumn("block", place).alias("a")
+    b = heads.join(blocks, "item").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).alias("b")
+    fits = (F.col("a.part") != F.col("b.part")) & (F.col("a.size") <= F.col("b.size")) & (of * F.col("a.size") >= least * F.col("b.size"))
     # where this is the first item that both have, what is left of each from here on must hold the common items
     enough = least * (F.col("a.size") + F.col("b.size"))
     fits &= ((of + least) * F.col("a.left") >= enough) & ((of + least) * F.col("b.left") >= enough)
-    return a.join(b, (F.col("a.item") == F.col("b.item")) & fits).select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).distinct()
+    met = a.join(b, (F.col("a.item") == F.col("b.item")) & (F.col("a.block") == F.col("b.block")) & fits)
+    return met.select(F.least("a.doc", "b.doc").alias("a"), F.greatest("a.doc", "b.doc").alias("b")).distinct()
 
 
 def near_dedup(
@@ -147,80 +156,92 @@ def near_dedup(
     bands: int = BANDS,
     rows: int = ROWS,
     similar: tuple[int, int] = SIMILAR,
+    block: int = ITEM_BLOCK,
 ) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept (and k_id, k_tag).
+    """One row per document: doc_id, n_shingles, component_id, kept, head (and k_id, k_tag).
 
     A document's set holds its distinct ``shingle``-word shingles, of words that white space separates after
     lower-casing A-Z; with fewer words the whole sequence is one. Documents are linked when their sets reach the
-    similarity. component_id is the smallest id that links reach; kept: it is the document's own.
+    similarity. component_id is the smallest id that links reach; kept: it is the document's own. head is true for
+    one text of each component, the first by id and then by a hash of the text: the same as kept where ids are there
+    and differ.
 
     Equal sets are combined first and stand for all their copies. bands * rows circulant MinHash coordinates are
     banded; a pair at the bound itself is missed with probability (1 - 0.75**4)**32, 5 in a million. Of each
-    bucket, every member is checked on full sets against the smallest id, not against the others. Members that
+    bucket, every member is checked on full sets against the one with the smallest number, not against the others. Members that
     are still in different components after that are compared by prefix filtering, which loses no pair. So links
     within a component are never listed, and a bucket of any size makes as many pairs as it has members.
 
     Documents without words or text have n_shingles 0, are linked with nothing and kept. Rows that repeat, and
     rows of equal sets, form one component; rows without an id count as the smallest id, and their component_id
-    is null. An empty table gives no rows. Other columns are ignored.
+    is null and kept true; head tells which of them to keep. An empty table gives no rows. Other columns are ignored.
+    The tables that the result reads stay in the shared folder; all others are deleted.
     """
-    spark = docs.sparkSession
-    schema = "k_id long, k_tag int, n_shingles long, d1 long, d2 long, bands array<long>"
-    found = written(keyed(docs, id_col, text_col).mapInArrow(lambda b: _sketches(b, shingle, bands, rows), schema), "sketches")
+    scratch = Scratch(docs.sparkSession)
+    schema = "k_id long, k_tag long, n_shingles long, d1 long, d2 long, bands array<long>"
+    found = map_arrow(keyed(docs, id_col, text_col), lambda b: _sketches(b, shingle, bands, rows), schema)
+    found = scratch.written(found, "sketches", keep=True)
     some = found.where("n_shingles > 0")
-    # one document stands for each set; its row key is unique, as ids may repeat
+    # one document stands for each set; its number is a node, which is unique where ids repeat
     heads = some.groupBy("n_shingles", "d1", "d2").agg(F.min(F.struct("k_id", "k_tag")).alias("head"))
-    heads = written(heads.select("n_shingles", "d1", "d2", "head.*", F.xxhash64("head.k_id", "head.k_tag").alias("mark")), "set-heads")
-    # documents of one id with different sets would share a node, so nodes are sets: (id of the head, mark)
-    node = F.struct(F.col("k_id"), F.col("mark"))
+    heads = heads.select("n_shingles", "d1", "d2", "head.*", F.monotonically_increasing_id().alias("node"))
+    heads = scratch.written(heads, "set-heads")
     keys = (
         some.select("k_id", "k_tag", "d1", "d2", "n_shingles", "bands")
-        .join(heads.select("k_id", "k_tag", "d1", "d2", "n_shingles", "mark"), ["k_id", "k_tag", "d1", "d2", "n_shingles"])
-        .dropDuplicates(["k_id", "mark"])
-        .select(node.alias("doc"), F.explode("bands").alias("key"))
+        .join(heads.select("k_id", "k_tag", "d1", "d2", "n_shingles", "node"), ["k_id", "k_tag", "d1", "d2", "n_shingles"])
+        .dropDuplicates(["node"])
+        .select(F.col("node").alias("doc"), F.explode("bands").alias("key"))
     )
-    keys = written(keys, "band-keys")
+    keys = scratch.written(keys, "band-keys")
     leaders = keys.groupBy("key").agg(F.min("doc").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b")
-    members = written(keys.join(leaders, "key").select("key", F.col("doc").alias("a"), "b"), "buckets")
-    pairs = written(members.where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")), "pairs")
-    involved = members.select(F.col("a.mark").alias("mark")).distinct()
-    bits = spark.sparkContext.broadcast(membership_bits(involved, "mark"))
-    texts = keyed(docs, id_col, text_col).withColumn("mark", F.xxhash64("k_id", "k_tag"))
-    texts = texts.select(F.struct("k_id", "mark").alias("doc"), "mark", "text")
-    item_schema = "doc struct<k_id: long, mark: long>, items array<long>"
-    sets = texts.mapInArrow(lambda b: _sets(b, shingle, bits), item_schema)
-    sets = written(sets.join(involved.select(F.col("mark").alias("m")), F.col("doc.mark") == F.col("m"), "left_semi").dropDuplicates(["doc"]), "sets")
+    members = scratch.written(keys.join(leaders, "key").select("key", F.col("doc").alias("a"), "b"), "buckets")
+    pairs = scratch.written(members.where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")), "pairs")
+    involved = heads.join(members.select(F.col("a").alias("node")).distinct(), "node").select("k_id", "k_tag", F.col("node").alias("doc"))
+    involved = scratch.written(involved.withColumn("mark", _mark()), "involved")
+    bits = scratch.broadcast(membership_bits(involved.select("mark").distinct(), "mark"))
+    texts = keyed(docs, id_col, text_col).withColumn("mark", _mark())
+    sets = map_arrow(texts, lambda b: _sets(b, shingle, bits), "k_id long, k_tag long, items array<long>")
+    sets = sets.dropDuplicates(["k_id", "k_tag"]).join(involved.drop("mark"), ["k_id", "k_tag"]).select("doc", "items")
+    sets = scratch.written(sets, "sets")
+    nodes = involved.select(F.col("doc").alias("a"))
     # first the likeliest leader of each member, then the others where that has not settled it
-    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", F.bitwise_not("b.k_id"))).alias("b"))
-    links = written(_verified(best, sets, similar), "links-1")
-    parts = connected_components(members.select("a").distinct(), links)
+    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
+    links = scratch.written(_verified(best, sets, similar), "links-1")
+    parts = connected_components(nodes, links, scratch)
     rest = pairs.select("a", "b").join(best.withColumn("was", F.lit(True)), ["a", "b"], "left_anti")
-    rest = _different(rest, parts)
-    links = written(links.unionByName(_verified(rest, sets, similar)), "links-2")
-    parts = connected_components(members.select("a").distinct(), links)
+    parts = joined_parts(parts, _verified(_different(rest, parts), sets, similar), scratch)
     # buckets whose members are not yet one component, beyond the leader's
-    open_keys = members.join(parts.select(F.col("doc").alias("a"), "part"), "a").select("key", "a", "b", "part")
-    mixed = open_keys.where("a <> b").groupBy("key").agg(F.min("part").alias("p1"), F.max("part").alias("p2")).where("p1 < p2").select("key")
-    unsettled = written(open_keys.join(mixed, "key", "left_semi").select(F.col("a").alias("doc"), "part").distinct(), "unsettled")
-    last = written(_prefix_pairs(sets.join(unsettled.select("doc"), "doc", "left_semi"), unsettled, similar), "prefix-pairs")
-    last = last.join(pairs.select("a", "b"), ["a", "b"], "left_anti").join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    links = written(links.unionByName(_verified(last, sets, similar)), "links-3")
-    parts = connected_components(members.select("a").distinct(), links)
-    named = parts.select("doc.k_id", "doc.mark", F.col("part.k_id").alias("component"))
-    groups = heads.join(named, ["k_id", "mark"], "left").select("n_shingles", "d1", "d2", F.coalesce("component", "k_id").alias("component"))
+    open_keys = members.where("a <> b").join(parts.select(F.col("doc").alias("a"), "part"), "a")
+    mixed = open_keys.groupBy("key").agg(F.min("part").alias("p1"), F.max("part").alias("p2")).where("p1 < p2").select("key")
+    unsettled = scratch.written(open_keys.join(mixed, "key", "left_semi").select(F.col("a").alias("doc"), "part").distinct(), "unsettled")
+    if not unsettled.isEmpty():
+        last = _prefix_pairs(sets.join(unsettled.select("doc"), "doc", "left_semi"), unsettled, similar, block)
+        tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        last = scratch.written(last.join(tried, ["a", "b"], "left_anti"), "prefix-pairs")
+        parts = joined_parts(parts, _verified(last, sets, similar), scratch)
+    # the part's number is any of its nodes; its name is the smallest id
+    placed = heads.join(parts.select(F.col("doc").alias("node"), "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    names = placed.groupBy("part").agg(F.min(F.struct("k_id", "k_tag", "n_shingles", "d1", "d2")).alias("first"))
+    groups = scratch.written(placed.join(names, "part").select("n_shingles", "d1", "d2", "first"), "components", keep=True)
+    scratch.close()
     out = some.select("k_id", "k_tag", "n_shingles", "d1", "d2").join(groups, ["n_shingles", "d1", "d2"])
-    out = out.select("k_id", "k_tag", "n_shingles", "component")
-    out = out.unionByName(found.where("n_shingles = 0").select("k_id", "k_tag", "n_shingles", F.col("k_id").alias("component")))
-    return out.select(
+    out = out.select("k_id", "k_tag", "n_shingles", F.col("first.k_id").alias("component"), F.struct("k_id", "k_tag", "n_shingles", "d1", "d2").eqNullSafe(F.col("first")).alias("head"))
+    bare = found.where("n_shingles = 0").select("k_id", "k_tag", "n_shingles", F.col("k_id").alias("component"), F.lit(True).alias("head"))
+    return out.unionByName(bare).select(
         own_id().alias("doc_id"),
         "n_shingles",
         own_id("component").alias("component_id"),
         (F.col("k_id") == F.col("component")).alias("kept"),
+        "head",
         "k_id",
         "k_tag",
     )
 
 
+def _mark() -> Column:
+    return F.xxhash64("k_id", "k_tag")
+
+
 def _different(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components."""
     for end in ("a", "b"):

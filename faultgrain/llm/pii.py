@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultgrain.llm.spark_tools import own_id, row_id, written
+from faultgrain.llm.spark_tools import Scratch, own_id, row_id
 
 # Equal to the plain patterns, but written so that no run of characters is tried from each of its positions and
 # no repetition nests on the stack: a match may begin where a run begins or the last match ended (\G).
@@ -17,15 +17,23 @@ CARD = r"[0-9](?=[0-9\x20-]{11})(?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{8,}+"
 
-KINDS = ("email", "ip", "card", "phone", "secret")
+ACCOUNT = r"(?<![0-9+.,-])[0-9](?:[\x20-]?+[0-9]){8,18}(?![0-9]|[.,-][0-9])"
+
+BASE = ("email", "ip", "card", "phone")
+ADDED = ("secret", "account")
+KINDS = BASE + ADDED
 NEAR = 24  # characters of context
 
 # fixed values: names that stand before secrets, and before harmless codes
 SECRET_NAMES = "token secret password passwd pwd key apikey api_key auth bearer credential access_key".split()
 CODE_NAMES = "version page chapter section isbn rfc model figure release article".split()
+ACCOUNT_NAMES = "account acct iban card ssn passport customer tax konto karte kontonummer cuenta tarjeta compte carte".split()
+NUMBER_NAMES = "isbn issn page order invoice ticket version id timestamp population total".split()
 
-LABELERS = 5
+LABELERS = 6
 FEATURES = 8
+#: A labeler that votes is right with a probability in these bounds: better than chance, and never certain.
+RIGHT = (0.65, 0.98)
 
 
 def _spans(text: Column, found: str, between: str) -> Column:
@@ -62,29 +70,55 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _votes(m: Column, before: Column) -> list[Column]:
-    """Of each labeler 1 (a secret), -1 (none) or 0 (abstains)."""
-    word = F.lower(F.regexp_extract(before, r"([A-Za-z_]+)[^A-Za-z_]{0,4}$", 1))
-    share = F.length(_digits(m)) / F.length(m)
+def _word(before: Column) -> Column:
+    return F.lower(F.regexp_extract(before, r"([A-Za-z_]+)[^A-Za-z_]{0,4}$", 1))
+
+
+def _votes(kind: str, m: Column, before: Column, after: Column) -> list[Column]:
+    """Of each labeler 1 (personal or secret), -1 (neither) or 0 (abstains)."""
+    word, digits = _word(before), _digits(m)
+    share = F.length(digits) / F.length(m)
+    if kind == "secret":
+        return [
+            F.when(m.rlike("^[0-9a-f]{16,}$"), 1).when(m.rlike("^[A-Za-z]+[0-9]{1,2}$|^[0-9]{1,4}[a-z]+$"), -1).otherwise(0),
+            F.when(m.rlike("^(?:AKIA|ASIA|ghp_|gho_|sk-|xox[abp]-)[A-Za-z0-9_-]{8,}$"), 1).otherwise(0),
+            F.when(word.isin(SECRET_NAMES), 1).when(word.isin(CODE_NAMES), -1).otherwise(0),
+            F.when(before.rlike("[=:]\\s?[\"']?$"), 1).when(before.rlike("[A-Za-z,.]\\s$"), -1).otherwise(0),
+            F.when(share >= 0.25, 1).when(share < 0.1, -1).otherwise(0),
+            F.when(before.rlike("[\"'`]$") & after.rlike("^[\"'`]"), 1).when(m.rlike("^[a-z]+(?:[/_-][a-z0-9]+)+$"), -1).otherwise(0),
+        ]
     return [
-        F.when(m.rlike("^[0-9a-f]{16,}$"), 1).when(m.rlike("^[A-Za-z]+[0-9]{1,2}$|^[0-9]{1,4}[a-z]+$"), -1).otherwise(0),
-        F.when(m.rlike("^(?:AKIA|ASIA|ghp_|gho_|sk-|xox[abp]-)[A-Za-z0-9_-]{8,}$"), 1).otherwise(0),
-        F.when(word.isin(SECRET_NAMES), 1).when(word.isin(CODE_NAMES), -1).otherwise(0),
-        F.when(before.rlike("[=:]\\s?[\"']?$"), 1).when(before.rlike("[A-Za-z,.]\\s$"), -1).otherwise(0),
-        F.when(share >= 0.25, 1).when(share < 0.1, -1).otherwise(0),
+        F.when(F.length(digits) >= 15, 1).when(F.length(digits) <= 10, -1).otherwise(0),
+        F.when(digits.rlike("^(?:4|5[1-5]|3[47]|6(?:011|5))"), 1).otherwise(0),
+        F.when(word.isin(ACCOUNT_NAMES), 1).when(word.isin(NUMBER_NAMES), -1).otherwise(0),
+        F.when(before.rlike("[=:#]\\s?$"), 1).when(before.rlike("[.,(]$") | after.rlike("^[A-Za-z%]"), -1).otherwise(0),
+        F.when(m.rlike("^[0-9]{4}(?:[ -][0-9]{4}){2,3}$"), 1).when(m.rlike("^(?:[0-9]{1,3} )+[0-9]{1,3}$"), -1).otherwise(0),
+        F.when(digits.rlike("^([0-9])\\1+$|^0?12345678|000000"), -1).when(m.rlike("^[0-9]{16}$"), 1).otherwise(0),
     ]
 
 
-def _features(m: Column, before: Column) -> list[Column]:
+def _features(kind: str, m: Column, before: Column) -> list[Column]:
+    digits = _digits(m)
+    if kind == "secret":
+        return [
+            m.rlike("^[0-9a-f]+$"),
+            F.length(m) >= 16,
+            F.length(m) >= 32,
+            F.length(digits) * 4 >= F.length(m),
+            m.rlike("^[A-Z0-9]+$"),
+            F.lower(before).rlike("|".join(SECRET_NAMES)),
+            before.rlike("[=:\"']\\s?[\"']?$"),
+            m.rlike("[/_-].*[/_-]"),
+        ]
     return [
-        m.rlike("^[0-9a-f]+$"),
-        F.length(m) >= 16,
-        F.length(m) >= 32,
-        F.length(_digits(m)) * 4 >= F.length(m),
-        m.rlike("^[A-Z0-9]+$"),
-        F.lower(before).rlike("|".join(SECRET_NAMES)),
-        before.rlike("[=:\"']\\s?[\"']?$"),
-        m.rlike("[/_-].*[/_-]"),
+        F.length(digits) >= 12,
+        F.length(digits) >= 15,
+        F.length(digits) == 16,
+        m.rlike("[ -]"),
+        m.rlike("^[0-9]{4}[ -]"),
+        F.lower(before).rlike("|".join(ACCOUNT_NAMES)),
+        before.rlike("[=:#]\\s?$"),
+        digits.rlike("([0-9])\\1{4}"),
     ]
 
 
@@ -96,7 +130,7 @@ def _packed(values: list[Column], base: int, least: int) -> Column:
 
 
 def scanned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(k_id, base, likely): base spans (start, kind, end), and likely secrets (start, end, votes, features)."""
+    """(k_id, base, likely): base spans (start, kind, end), and likely added ones (start, kind, end, votes, features)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(row_id(id_col).alias("k_id"), text.alias("text"))
     has = {
@@ -105,8 +139,9 @@ def scanned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
         "card": F.col("text").rlike("[0-9](?:[\\x20-]?[0-9]){11}"),  # the fewest digits of a card
         "phone": F.contains("text", F.lit("+")),
         "secret": F.col("text").rlike("[0-9]"),
+        "account": F.col("text").rlike("[0-9](?:[\\x20-]?[0-9]){8}"),
     }
-    patterns = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE, SECRET), strict=True))
+    patterns = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE, SECRET, ACCOUNT), strict=True))
     none = F.expr("CAST(array() AS array<string>)")
     rows = rows.withColumns({f"m_{k}": F.when(has[k], F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(none) for k, p in patterns.items()})
     rows = rows.withColumns({f"p_{k}": F.when(F.size(f"m_{k}") > 0, F.split("text", p, -1)).otherwise(none) for k, p in patterns.items()})
@@ -116,113 +151,122 @@ def scanned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
         passed = F.filter(f"s_{kind}", lambda x: _valid(kind, x["match"]))
         return F.transform(passed, lambda x: F.struct(x["start"].alias("start"), F.lit(i).alias("kind"), (x["start"] + F.length(x["match"])).alias("end")))
 
-    rows = rows.withColumn("base", F.array_sort(F.concat(*(good(i, k) for i, k in enumerate(KINDS[:-1])))))
+    rows = rows.withColumn("base", F.array_sort(F.concat(*(good(i, k) for i, k in enumerate(BASE)))))
 
-    def likely(x: Column) -> Column:
-        end = x["start"] + F.length(x["match"])
-        low = F.greatest(F.lit(0), x["start"] - NEAR)
-        before = F.substr(F.col("text"), low + 1, x["start"] - low)
-        votes, features = _packed(_votes(x["match"], before), 3, -1), _packed(_features(x["match"], before), 2, 0)
-        return F.struct(x["start"].alias("start"), end.alias("end"), votes.alias("votes"), features.alias("features"))
+    def likely(i: int, kind: str) -> Column:
+        def one(x: Column) -> Column:
+            end = x["start"] + F.length(x["match"])
+            low = F.greatest(F.lit(0), x["start"] - NEAR)
+            before, after = F.substr(F.col("text"), low + 1, x["start"] - low), F.substr(F.col("text"), end + 1, F.lit(2))
+            votes, features = _packed(_votes(kind, x["match"], before, after), 3, -1), _packed(_features(kind, x["match"], before), 2, 0)
+            return F.struct(x["start"].alias("start"), F.lit(i).alias("kind"), end.alias("end"), votes.alias("votes"), features.alias("features"))
 
-    apart = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    return rows.withColumn("likely", F.transform("s_secret", likely)).select("k_id", "base", F.filter("likely", apart).alias("likely"))
+        return F.transform(f"s_{kind}", one)
 
+    over = lambda b, x: (b["start"] < x["end"]) & (x["start"] < b["end"])
+    apart = lambda taken: lambda x: ~F.exists(taken, lambda b: over(b, x))
+    rows = rows.withColumn("secrets", F.filter(likely(len(BASE), "secret"), apart("base")))
+    numbers = F.filter(F.filter(likely(len(BASE) + 1, "account"), apart("base")), apart("secrets"))
+    return rows.select("k_id", "base", F.array_sort(F.concat("secrets", numbers)).alias("likely"))
 
-def reliabilities(counts: dict[int, int], rounds: int = 100) -> tuple[float, list[list[dict[int, float]]], dict[int, float]]:
-    """Expectation-maximisation over vote patterns: (share of secrets, P(vote | class) of each labeler, P(secret | pattern)).
 
-    ``counts`` has at most 3**LABELERS patterns, whatever the corpus. Starts from the majority of the votes.
+def reliabilities(counts: dict[int, int], rounds: int = 100) -> tuple[list[float], dict[int, float]]:
+    """Expectation-maximisation over vote patterns: (how often each labeler is right when it votes, P(yes | pattern)).
+
+    ``counts`` has at most 3**LABELERS patterns, whatever the corpus. The two classes are alike but for the bounds of
+    RIGHT, which keep every labeler on its own side; both classes start from even odds, and abstaining says nothing.
+    So rows of other texts can't turn a labeler round, and a pattern whose votes all say yes stays one.
     """
     votes = {p: [p // 3**j % 3 - 1 for j in range(LABELERS)] for p in counts}
-    belief = {p: 0.5 + 0.45 * (sum(v) > 0) - 0.45 * (sum(v) < 0) for p, v in votes.items()}
-    total = sum(counts.values())
-    share, table = 0.5, []
+    right = [0.8] * LABELERS
+    belief: dict[int, float] = {}
     for _ in range(rounds):
-        yes = sum(n * belief[p] for p, n in counts.items())
-        share = (yes + 1) / (total + 2)
-        table = []
-        for j in range(LABELERS):
-            row = []
-            for side in (0, 1):
-                mass = {v: 1.0 for v in (-1, 0, 1)}
-                for p, n in counts.items():
-                    mass[votes[p][j]] += n * (belief[p] if side else 1 - belief[p])
-                row.append({v: m / sum(mass.values()) for v, m in mass.items()})
-            table.append(row)
         new = {}
         for p, v in votes.items():
-            odds = math.log(share / (1 - share)) + sum(math.log(table[j][1][x] / table[j][0][x]) for j, x in enumerate(v))
-            new[p] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
-        moved = max((abs(new[p] - belief[p]) for p in new), default=0)
+            odds = sum(x * math.log(r / (1 - r)) for x, r in zip(v, right, strict=True))
+            new[p] = 1 / (1 + math.exp(-odds))
+        moved = max((abs(new[p] - belief.get(p, 0.5)) for p in new), default=0)
         belief = new
+        for j in range(LABELERS):
+            cast = [(n, belief[p] if votes[p][j] > 0 else 1 - belief[p]) for p, n in counts.items() if votes[p][j]]
+            # 8 right and 2 wrong votes are taken for granted
+            share = (8 + sum(n * b for n, b in cast)) / (10 + sum(n for n, _ in cast))
+            right[j] = min(max(share, RIGHT[0]), RIGHT[1])
         if moved < 1e-9:
             break
-    return share, table, belief
+    return right, belief
 
 
-def span_classifier(rows: list[tuple[int, int, int]], belief: dict[int, float], rounds: int = 400, rate: float = 0.5, reg: float = 1e-3) -> list[float]:
+def span_classifier(rows: list[tuple[int, int, int]], belief: dict[int, float], rounds: int = 600, rate: float = 2.0, reg: float = 1e-3) -> list[float]:
     """Logistic regression on features, the beliefs as labels: FEATURES weights and the bias.
 
-    ``rows``: (votes, features, count), at most 3**LABELERS * 2**FEATURES of them.
+    ``rows``: (votes, features, count), at most 3**LABELERS * 2**FEATURES of them. Each feature pattern counts once, with
+    the mean belief of its spans: how often others occur in the corpus doesn't move the boundary.
     """
     mass: dict[int, list[float]] = {}
     for votes, features, n in rows:
         m = mass.setdefault(features, [0.0, 0.0])
         m[0] += n
         m[1] += n * belief[votes]
-    total = sum(m[0] for m in mass.values()) or 1.0
-    bits = {f: [f >> k & 1 for k in range(FEATURES)] + [1] for f in mass}
+    target = [([f >> k & 1 for k in range(FEATURES)] + [1], yes / n) for f, (n, yes) in sorted(mass.items())]
     w = [0.0] * (FEATURES + 1)
     for _ in range(rounds):
         step = [reg * x for x in w]
-        for f, (n, yes) in sorted(mass.items()):
-            p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, bits[f], strict=True))))
-            for k, b in enumerate(bits[f]):
-                step[k] += b * (n * p - yes) / total
-        w = [a - rate * s * 4 for a, s in zip(w, step, strict=True)]
+        for bits, yes in target:
+            miss = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, bits, strict=True)))) - yes
+            for k, b in enumerate(bits):
+                if b:
+                    step[k] += miss / len(target)
+        w = [a - rate * s for a, s in zip(w, step, strict=True)]
     return w
 
 
 def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret.
+    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_account, flagged.
 
     Base spans are the leftmost non-overlapping matches of each kind's pattern that pass its test; base_sha256 is
-    over their kind:start:end, by start and then kind, in code points. ``spans`` lists them with the secrets
-    (keys, tokens, passwords) that the method adds; a secret never overlaps a base span.
+    over their kind:start:end, by start and then kind, in code points. ``spans`` lists them with what the method
+    adds: secrets (keys, tokens, passwords) and accounts (numbers of 9 to 19 digits that are no base span). Added
+    spans never overlap base ones or each other. flagged: there is any span.
 
-    Five labelers vote on each likely secret: two by pattern, one by a gazetteer of names, one by context, one
-    by the share of digits. Their votes are counted over the whole corpus; expectation-maximisation estimates
-    each one's reliability from the counts, and its beliefs train the classifier of spans that decides. Only
-    counts of vote and feature patterns (at most 3**5 * 2**8) reach the driver.
+    Six labelers vote on each likely span: by shape, by known prefixes, by a gazetteer of the word before it, by
+    context, by its make-up and by what encloses it. Their votes are counted over the whole corpus for each added kind;
+    expectation-maximisation estimates each one's reliability from the counts, and its beliefs train the classifier of
+    spans that decides. Only counts of vote and feature patterns (at most 3**6 * 2**8 a kind) reach the driver.
 
     A null or empty text has no spans. Rows that repeat get rows of their own; an id may be null. An empty table
     gives no rows. Other columns are ignored.
     """
-    seen = written(scanned(docs, id_col=id_col, text_col=text_col), "pii-spans")
-    each = seen.select(F.explode("likely").alias("x")).groupBy("x.votes", "x.features").agg(F.count(F.lit(1)).alias("n"))
-    rows = sorted((r.votes, r.features, r.n) for r in each.collect())
-    by_votes: dict[int, int] = {}
-    for votes, _, n in rows:
-        by_votes[votes] = by_votes.get(votes, 0) + n
-    _, _, belief = reliabilities(by_votes)
-    w = span_classifier(rows, belief)
-
-    def secret(x: Column) -> Column:
-        total = F.lit(w[-1])
-        for k in range(FEATURES):
-            total = total + F.lit(w[k]) * F.shiftright(x["features"], k).bitwiseAND(F.lit(1))
-        return total > 0
-
-    added = F.transform(F.filter("likely", secret), lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS) - 1).alias("kind"), x["end"].alias("end")))
+    seen = Scratch(docs.sparkSession).written(scanned(docs, id_col=id_col, text_col=text_col), "pii-spans", keep=True)
+    each = seen.select(F.explode("likely").alias("x")).groupBy("x.kind", "x.votes", "x.features").agg(F.count(F.lit(1)).alias("n"))
+    found = sorted((r.kind, r.votes, r.features, r.n) for r in each.collect())
+    weights = {}
+    for kind in range(len(BASE), len(KINDS)):
+        rows = [r[1:] for r in found if r[0] == kind]
+        by_votes: dict[int, int] = {}
+        for votes, _, n in rows:
+            by_votes[votes] = by_votes.get(votes, 0) + n
+        weights[kind] = span_classifier(rows, reliabilities(by_votes)[1]) if rows else [0.0] * (FEATURES + 1)
+
+    def sure(x: Column) -> Column:
+        out = F.lit(False)
+        for kind, w in weights.items():
+            total = F.lit(w[-1])
+            for k in range(FEATURES):
+                total = total + F.lit(w[k]) * F.shiftright(x["features"], k).bitwiseAND(F.lit(1))
+            out = out | ((x["kind"] == kind) & (total > 0))
+        return out
+
+    added = F.transform(F.filter("likely", sure), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     seen = seen.withColumn("all", F.array_sort(F.concat("base", added)))
     names = F.array(*map(F.lit, KINDS))
     shown = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
     count = lambda i: F.size(F.filter("all", lambda s: s["kind"] == i)).cast("long")
     return seen.select(
         own_id().alias("doc_id"),
-        *(count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:-1])),
+        *(count(i).alias(f"n_{k}") for i, k in enumerate(BASE)),
         F.sha2(shown("base"), 256).alias("base_sha256"),
         shown("all").alias("spans"),
-        count(len(KINDS) - 1).alias("n_secret"),
+        *(count(len(BASE) + i).alias(f"n_{k}") for i, k in enumerate(ADDED)),
+        (F.size("all") > 0).alias("flagged"),
     )

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
+
 from pyspark.sql import DataFrame, SparkSession
 
 from faultgrain.llm.decontamination import decontaminate
 from faultgrain.llm.exact_dedup import exact_dedup
 from faultgrain.llm.language_id import identify_language
-from faultgrain.llm.line_dedup import LEAST, line_report
+from faultgrain.llm.line_dedup import line_report
 from faultgrain.llm.near_dedup import near_dedup
 from faultgrain.llm.pii import find_pii
 from faultgrain.llm.sentencepiece_codec import encode_documents
@@ -20,9 +21,9 @@ from faultgrain.llm.substring_dedup import substring_dedup
 from faultgrain.llm.suffix_dedup import suffix_dedup
 
 
-def model_path(name: str = "piece_bpe_32k.model", folder: str | None = None) -> str:
-    """A public tokenizer file, the same on every machine; ``folder`` or $TOKENIZERS says where they are."""
-    return os.path.join(folder or os.environ.get("TOKENIZERS", "/opt/tokenizers"), name)
+def model_path(name: str = "piece_bpe_32k.model") -> str:
+    """A public tokenizer file, installed on every machine."""
+    return str(public_tokenizers.path(name))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,13 +115,17 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM doc LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-_OP4 = f"""
+# levenshtein counts bytes there, at most 4 for a character, so it only comes first
+_OP4 = """
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 line AS (SELECT doc_id, p, ls[p] AS l FROM docs, unnest(range(1, len(ls) + 1)) AS u(p)),
-kind AS (SELECT l, min({{'d': doc_id, 'p': p}}) AS f, length(l) AS n FROM line WHERE length(l) >= {LEAST} GROUP BY l),
+kind AS (SELECT l, min({'d': doc_id, 'p': p}) AS f, length(l) AS n FROM line WHERE l <> '' GROUP BY l),
 half AS (SELECT DISTINCT l, f, n, k FROM kind, unnest(['h' || left(l, n // 2), 'h' || left(l, (n - 1) // 2), 't' || right(l, (n + 1) // 2), 't' || right(l, n // 2)]) AS u(k)),
-near AS (SELECT DISTINCT a.l FROM half a JOIN half b ON a.k = b.k AND b.f < a.f AND abs(a.n - b.n) <= 1 WHERE levenshtein(a.l, b.l) = 1),
-kept AS (SELECT doc_id, p, l FROM line LEFT JOIN kind USING (l) WHERE length(l) < {LEAST} OR (f = {{'d': doc_id, 'p': p}} AND l NOT IN (SELECT l FROM near)))
+near AS (SELECT DISTINCT a.l FROM half a JOIN half b ON a.k = b.k AND b.f < a.f AND abs(a.n - b.n) <= 1 WHERE levenshtein(a.l, b.l) <= 4 AND
+  CASE WHEN a.n = b.n THEN len(list_filter(range(1, a.n + 1), lambda i: a.l[i] <> b.l[i])) = 1
+    WHEN a.n > b.n THEN len(list_filter(range(0, a.n), lambda i: left(a.l, i) || substr(a.l, i + 2) = b.l)) > 0
+    ELSE len(list_filter(range(0, b.n), lambda i: left(b.l, i) || substr(b.l, i + 2) = a.l)) > 0 END),
+kept AS (SELECT doc_id, p, l FROM line LEFT JOIN kind USING (l) WHERE l = '' OR (f = {'d': doc_id, 'p': p} AND l NOT IN (SELECT l FROM near)))
 SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - coalesce(c, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM docs LEFT JOIN (SELECT doc_id, count(*) AS c, string_agg(l, chr(10) ORDER BY p) AS t FROM kept GROUP BY doc_id) USING (doc_id)
 """

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultgrain.llm.spark_tools import map_arrow
 from faultgrain.llm.text_arrays import chunks, mix
 
 ROWS = 2
@@ -86,7 +87,7 @@ def repeat_sketch(docs: DataFrame, sample: Sampler, log2: int) -> np.ndarray:
     ``docs`` has a column text. Each partition sends at most 2 bytes for each gram and row of the sketch; a block
     is merged in one task, and only the merged bits reach the driver (64 MB at most).
     """
-    parts = docs.select("text").mapInArrow(lambda b: _partition_sketch(b, sample, log2), "block int, ones binary, twos binary")
+    parts = map_arrow(docs.select("text"), lambda b: _partition_sketch(b, sample, log2), "block int, ones binary, twos binary")
     merged = parts.groupBy("block").applyInArrow(_merged, "block int, bits binary").toArrow()
     out = np.zeros((ROWS << (log2 - BLOCK), 1 << (BLOCK - 3)), np.uint8)
     for block, bits in zip(merged["block"].to_pylist(), merged["bits"].to_pylist(), strict=True):
@@ -108,7 +109,7 @@ def counted_sketch(docs: DataFrame, sample: Sampler, log2: int, often: int) -> t
         hot = np.flatnonzero(n > often).astype(np.uint16).tobytes()
         return pa.table({"block": group.column("block").slice(0, 1), "bits": pa.array([np.packbits(n > 1).tobytes()], pa.binary()), "hot": pa.array([hot], pa.binary())})
 
-    parts = docs.select("text").mapInArrow(lambda b: _partition_sketch(b, sample, log2, True), "block int, ones binary, twos binary, times binary")
+    parts = map_arrow(docs.select("text"), lambda b: _partition_sketch(b, sample, log2, True), "block int, ones binary, twos binary, times binary")
     found = parts.groupBy("block").applyInArrow(merged, "block int, bits binary, hot binary").toArrow()
     out = np.zeros((ROWS << (log2 - BLOCK), 1 << (BLOCK - 3)), np.uint8)
     hot = [np.zeros(0, np.int64)]

@@ -11,19 +11,18 @@ from struct import pack
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultgrain.llm.spark_tools import keyed, own_id
+from faultgrain.llm.spark_tools import keyed, map_arrow, own_id
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Stretches of at most LONG characters that a worker keeps, twice over: about 200 MB.
-CACHED = 400_000
+#: Stretches of at most LONG characters that a worker keeps, twice over: about 30 MB.
+CACHED = 60_000
 LONG = 64
-#: Pairs of tokens whose compatibility a worker keeps: about 150 MB.
-MOST_PAIRS = 1_500_000
+#: Pairs of tokens whose compatibility a worker keeps: about 20 MB.
+MOST_PAIRS = 200_000
 
 _LOADED: dict[str, PieceCodec] = {}
 
@@ -233,15 +232,10 @@ def _shown(raw: bytes) -> str:
 
 
 def codec(path: str) -> PieceCodec:
-    """The codec of a model file, kept for each Python worker. A path that Spark ships is found by its name."""
+    """The codec of a model file, which is at the same path on every machine, kept for each Python worker."""
     if path not in _LOADED:
-        try:
-            with open(path, "rb") as f:
-                model = f.read()
-        except FileNotFoundError:
-            with open(SparkFiles.get(path.rsplit("/", 1)[-1]), "rb") as f:
-                model = f.read()
-        _LOADED[path] = PieceCodec(model)
+        with open(path, "rb") as f:
+            _LOADED[path] = PieceCodec(f.read())
     return _LOADED[path]
 
 
@@ -277,6 +271,6 @@ def encode_documents(docs: DataFrame, model_path: str, *, id_col: str = "doc_id"
     rows of their own. An empty table gives no rows. Other columns are ignored. A row is encoded in one task,
     in memory proportional to its text.
     """
-    schema = "k_id long, k_tag int, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string"
-    out = keyed(docs, id_col, text_col).mapInArrow(lambda b: _rows(b, model_path, outputs), schema)
+    schema = "k_id long, k_tag long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string"
+    out = map_arrow(keyed(docs, id_col, text_col), lambda b: _rows(b, model_path, outputs), schema)
     return out.select(own_id().alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded", "k_id", "k_tag")

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import heapq
 import json
+import uuid
+from bisect import bisect_left, insort
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from faultgrain.llm.spark_tools import own_id, row_id, written
+from faultgrain.llm.spark_tools import Scratch, own_id, row_id, shared_dir, text_tag
 
 SLOTS = 4096
 SHARDS = 16
+#: A stored map is edited where the heaviest shard exceeds the lightest by more than this share of the mean.
+TOLERANCE = 0.002
 
 
 @dataclass(frozen=True)
@@ -30,72 +33,119 @@ class SlotMap:
         return spark.range(1).select(F.inline(parsed)).select(F.lit(self.version).alias("version"), "vslot", "shard")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Append this version to the stored map; older versions stay readable."""
-        self.table(spark).write.mode("append").partitionBy("version").parquet(path)
+        """Add this version to the stored map; older versions stay readable."""
+        self.table(spark).drop("version").write.parquet(f"{path}/version={self.version}")
 
 
-def load_map(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
-    """The given or the newest version of a stored map."""
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> SlotMap | None:
+    """The given or the newest version of a stored map; none where nothing is stored."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
     stored = spark.read.parquet(path)
     version = stored.agg(F.max("version")).first()[0] if version is None else version
-    rows = sorted((r.vslot, r.shard) for r in stored.where(F.col("version") == version).collect())
+    rows = sorted((r.vslot, r.shard) for r in stored.where(F.col("version") == version).collect())  # a row for each slot
     return SlotMap(version, tuple(s for _, s in rows), max(s for _, s in rows) + 1)
 
 
-def balanced_map(slot_bytes: dict[int, int], *, slots: int = SLOTS, shards: int = SHARDS) -> SlotMap:
-    """First map: the heaviest slot goes to the lightest shard, again and again; ties go by number."""
-    heap = [(0, 0, s) for s in range(shards)]
-    out = [0] * slots
-    for slot in sorted(range(slots), key=lambda i: (-slot_bytes.get(i, 0), i)):
-        load, held, shard = heapq.heappop(heap)
-        out[slot] = shard
-        heapq.heappush(heap, (load + slot_bytes.get(slot, 0), held + 1, shard))
-    return SlotMap(1, tuple(out), shards)
+def even_map(*, slots: int = SLOTS, shards: int = SHARDS) -> SlotMap:
+    """First version: slots are dealt in turn, whatever they hold."""
+    return SlotMap(1, tuple(i % shards for i in range(slots)), shards)
+
+
+def spread_of(slot_map: SlotMap, slot_bytes: dict[int, int]) -> float:
+    """What the heaviest shard holds more than the lightest, as a share of the mean."""
+    load = [0] * slot_map.shards
+    for slot, shard in enumerate(slot_map.shard_of):
+        load[shard] += slot_bytes.get(slot, 0)
+    return (max(load) - min(load)) * slot_map.shards / (sum(load) or 1)
 
 
 def rebalanced_map(old: SlotMap, slot_bytes: dict[int, int], *, shards: int) -> SlotMap:
-    """The next version for ``shards`` shards: only slots that must move do.
+    """The next version for ``shards`` shards: few slots move.
 
-    Slots of shards that no longer exist go to the lightest ones. Then the heaviest shard gives the lightest one
-    its largest slot that fits in half their difference, until none does.
+    Slots of shards that no longer exist go to the lightest ones. Then the heaviest shard gives the lightest one a
+    slot, or trades one for a lighter one, whichever comes nearest to half their difference, until nothing lessens it.
     """
     out = list(old.shard_of)
-    load, held = [0] * shards, [[] for _ in range(shards)]
+    load = [0] * shards
+    held: list[list[tuple[int, int]]] = [[] for _ in range(shards)]  # (bytes, slot), sorted
     homeless = []
-    for slot in sorted(range(len(out)), key=lambda i: (slot_bytes.get(i, 0), i)):
+    for size, slot in sorted((slot_bytes.get(i, 0), i) for i in range(len(out))):
         if out[slot] < shards:
-            load[out[slot]] += slot_bytes.get(slot, 0)
-            held[out[slot]].append(slot)
+            load[out[slot]] += size
+            held[out[slot]].append((size, slot))
         else:
-            homeless.append(slot)
-    for slot in reversed(homeless):
-        to = min(range(shards), key=lambda s: (load[s], s))
-        out[slot], load[to] = to, load[to] + slot_bytes.get(slot, 0)
-        held[to].append(slot)
+            homeless.append((size, slot))
+
+    def move(item: tuple[int, int], to: int, since: int | None = None) -> None:
+        if since is not None:
+            held[since].remove(item)
+            load[since] -= item[0]
+        insort(held[to], item)
+        load[to] += item[0]
+        out[item[1]] = to
+
+    for item in reversed(homeless):
+        move(item, min(range(shards), key=lambda s: (load[s], s)))
     for _ in range(len(out)):
         high, low = max(range(shards), key=lambda s: (load[s], -s)), min(range(shards), key=lambda s: (load[s], s))
-        fits = [s for s in held[high] if 0 < slot_bytes.get(s, 0) <= (load[high] - load[low]) // 2]
-        if not fits:
+        gap = load[high] - load[low]
+        best, trade = (gap, None), None
+        for give in held[high]:
+            # what comes back, if anything, should weigh give less half the gap
+            at = bisect_left(held[low], (give[0] - gap / 2, -1))
+            for back in [None, *held[low][max(0, at - 1) : at + 1]]:
+                left = abs(gap - 2 * (give[0] - (back[0] if back else 0)))
+                if left < best[0]:
+                    best, trade = (left, give), (give, back)
+        if trade is None:
             break
-        slot = max(fits, key=lambda s: (slot_bytes.get(s, 0), s))
-        held[high].remove(slot)
-        held[low].append(slot)
-        out[slot], load[high], load[low] = low, load[high] - slot_bytes[slot], load[low] + slot_bytes[slot]
+        move(trade[0], low, high)
+        if trade[1]:
+            move(trade[1], high, low)
     return SlotMap(old.version + 1, tuple(out), shards)
 
 
-def sized_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """(k_id, size, text_crc32, vslot) of every record. Rows without an id are hashed by their text."""
+def current_map(spark: SparkSession, path: str, slot_bytes: dict[int, int], *, slots: int = SLOTS, shards: int = SHARDS, tolerance: float = TOLERANCE) -> SlotMap:
+    """The newest version of the map stored at ``path``, edited and stored again where shards are not near equal.
+
+    Where nothing is stored, an even map is stored first. What is returned was read back from the store.
+    """
+    found = load_map(spark, path)
+    if found is None:
+        found = even_map(slots=slots, shards=shards)
+        found.save(spark, path)
+    if found.shards != shards or spread_of(found, slot_bytes) > tolerance:
+        rebalanced_map(found, slot_bytes, shards=shards).save(spark, path)
+    return load_map(spark, path)
+
+
+def sized_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(k_id, size, text_crc32, spread, at): spread hashes id and text; at tells rows apart once the table is written."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    spread = F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)))
     return docs.select(
         row_id(id_col).alias("k_id"),
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.pmod(spread, F.lit(slots)).cast("int").alias("vslot"),
+        F.xxhash64(row_id(id_col), text_tag(text)).alias("spread"),
+        F.monotonically_increasing_id().alias("at"),
     )
 
 
+def slotted(rows: DataFrame, *, slots: int = SLOTS) -> DataFrame:
+    """``rows`` with vslot, the virtual slot of a record by its id and text.
+
+    Rows that repeat so often in both that they would weigh a slot down are dealt one by one.
+    """
+    same = rows.groupBy("spread").agg(F.count(F.lit(1)).alias("n"))
+    bound = rows.agg((F.count(F.lit(1)) / (8 * slots)).alias("bound"))
+    often = same.where("n > 16").join(F.broadcast(bound), F.col("n") > F.col("bound"))  # one row
+    often = often.select("spread", F.lit(True).alias("often"))  # at most 8 * slots rows
+    spread = F.when(F.col("often"), F.xxhash64("spread", "at")).otherwise(F.col("spread"))
+    return rows.join(F.broadcast(often), "spread", "left").withColumn("vslot", F.pmod(spread, F.lit(slots)).cast("int")).drop("often", "spread")
+
+
 def slot_bytes(rows: DataFrame) -> dict[int, int]:
     """Bytes of each virtual slot: at most one row a slot reaches the driver."""
     return {r.vslot: r.bytes for r in rows.groupBy("vslot").agg(F.sum("size").alias("bytes")).collect()}
@@ -103,27 +153,33 @@ def slot_bytes(rows: DataFrame) -> dict[int, int]:
 
 def shard_documents(
     docs: DataFrame,
+    map_path: str | None = None,
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
     shards: int = SHARDS,
     slots: int = SLOTS,
-    slot_map: SlotMap | None = None,
+    tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, map_version.
 
-    Law ``bytes``: shard sizes are near equal, as the map is made from the bytes of each virtual slot; they
-    differ by about the lightest slots, or by one record where that outweighs a shard. ``slot`` numbers the rows
-    of each shard from 0 without a gap, in the order of virtual slot, id and checksum. A null text has size 1
-    and checksum 0. Rows that repeat get numbers of their own. An empty table gives no rows; an id that is null
-    stays null. ``grown_shard`` is null, as the law is not ``key``.
+    Records are hashed into ``slots`` virtual slots, the bytes of each slot are summed, and the map from slots to shards
+    that is stored at ``map_path`` says where they go. Where its shards aren't near equal any more (beyond ``tolerance``),
+    or where another number of shards is asked for, the map is edited, moving few slots, and stored as the next version.
+    A first version deals the slots in turn. Without ``map_path`` the map is stored in the shared folder.
 
-    A record's virtual slot depends on its id alone. A given ``slot_map`` (a stored, edited version) is followed
-    as it is; else one is made.
+    Law ``bytes``: shard sizes differ by no more than about ``tolerance`` of their mean, or by one record where that
+    outweighs a shard. ``slot`` numbers the rows of each shard from 0 without a gap, in the order of virtual slot, id and
+    checksum. A null text has size 1 and checksum 0. A record's virtual slot depends on its id and text; rows that
+    repeat get numbers of their own, and very many of them several slots. An empty table gives no rows; an id that is null
+    stays null. ``grown_shard`` is null, as the law is not ``key``.
     """
     spark = docs.sparkSession
-    rows = written(sized_rows(docs, id_col=id_col, text_col=text_col, slots=slots), "sharding-rows")
-    slot_map = slot_map or balanced_map(slot_bytes(rows), slots=slots, shards=shards)
+    scratch = Scratch(spark)
+    map_path = map_path or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    rows = scratch.written(sized_rows(docs, id_col=id_col, text_col=text_col), "sharding-rows", keep=True)
+    rows = slotted(rows, slots=slots)
+    slot_map = current_map(spark, map_path, slot_bytes(rows), slots=slots, shards=shards, tolerance=tolerance)
     counts = rows.groupBy("vslot").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
@@ -132,7 +188,7 @@ def shard_documents(
         .withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .select("version", "vslot", "shard", "offset")
     )
-    within = Window.partitionBy("vslot").orderBy("k_id", "text_crc32", "size")
+    within = Window.partitionBy("vslot").orderBy("k_id", "text_crc32", "size", "at")
     return (
         rows.withColumn("rank", F.row_number().over(within))
         .join(F.broadcast(placed), "vslot")  # a row for each virtual slot, whatever the input

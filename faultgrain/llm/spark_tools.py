@@ -1,35 +1,114 @@
-"""Small Spark helpers that the operators share: scratch tables, row keys and membership bits."""
+"""Small Spark helpers that the operators share: scratch tables, row keys, Arrow mapping and membership bits."""
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NULL_ID = -(2**63)
 
+_KEPT: ContextVar[list[str] | None] = ContextVar("kept", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode, as in tests, else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = getattr(spark.sparkContext, "_faultgrain_scratch", None) or tempfile.mkdtemp(prefix="faultgrain-")
-        spark.sparkContext._faultgrain_scratch = path
+        path = getattr(spark.sparkContext, "_faultgrain_scratch", None)
+        if path is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+            path = spark.sparkContext._faultgrain_scratch = tempfile.mkdtemp(prefix="faultgrain-")
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` to the shared folder as Parquet and read it back.
+class Scratch:
+    """Tables that cut lineage: each is written to the shared folder as Parquet and read back, so it survives lost executors.
 
-    The table survives lost executors. Each call writes a table of its own.
+    close() deletes them, but for those that were written with ``keep``, which a result still reads.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._paths, self._shared = spark, [], []
+
+    def written(self, df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        kept = _KEPT.get()
+        if not keep:
+            self._paths.append(path)
+        elif kept is not None:
+            kept.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def broadcast(self, value):
+        """A value for all workers, given back by close()."""
+        self._shared.append(self.spark.sparkContext.broadcast(value))
+        return self._shared[-1]
+
+    def drop(self, prefix: str) -> None:
+        """Deletes the tables whose names begin so."""
+        gone = [p for p in self._paths if p.rsplit("/", 1)[-1].startswith(prefix)]
+        self._paths = [p for p in self._paths if p not in gone]
+        for path in gone:
+            delete(self.spark, path)
+
+    def close(self) -> None:
+        self.drop("")
+        for value in self._shared:
+            value.destroy()
+        self._shared = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators keep for their results are deleted at the end: write the results within."""
+    paths: list[str] = []
+    before = _KEPT.set(paths)
+    try:
+        yield
+    finally:
+        _KEPT.reset(before)
+        for path in paths:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store holds it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def map_arrow(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow by workers that give freed memory back to the system after each partition, as Spark keeps them for the next."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rows(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return df.mapInArrow(lean, schema)
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -38,18 +117,43 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Rows that repeat in both id and text share a key, and so share every result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(row_id(id_col).alias("k_id"), F.hash(text).alias("k_tag"), text.alias("text"))
+    return docs.select(row_id(id_col).alias("k_id"), text_tag(text).alias("k_tag"), text.alias("text"))
 
 
 def row_id(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
 
 
+def text_tag(text: Column) -> Column:
+    """62 bits of a text, as a number from 0 on."""
+    return F.shiftrightunsigned(F.xxhash64(text), 2)
+
+
 def own_id(column: str = "k_id") -> Column:
     """The id as it came: null again where it was null."""
     return F.when(F.col(column) != NULL_ID, F.col(column))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of ``df`` has, whatever the case of their letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(docs: DataFrame, refused: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose key (k_id, k_tag) isn't among ``refused``; its columns stay, whatever their names."""
+    key, tag = fresh(docs, "k_id", "k_tag")
+    rows = docs.withColumns({key: row_id(id_col), tag: text_tag(F.coalesce(F.col(text_col), F.lit("")))})
+    gone = refused.select(F.col("k_id").alias(key), F.col("k_tag").alias(tag)).distinct()
+    return rows.join(gone, [key, tag], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def membership_bits(hashes: DataFrame, column: str, *, bits_per_key: int = 64, max_log2: int = 27) -> np.ndarray:
     """A bit array that marks the top bits of each 64-bit hash in ``column``, as uint64 words.
 

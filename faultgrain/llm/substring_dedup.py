@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultgrain.llm.repeat_sketch import by_document, log2_cells, maybe_repeated, repeat_sketch, spans_of
-from faultgrain.llm.spark_tools import keyed, own_id
+from faultgrain.llm.spark_tools import keyed, map_arrow, own_id
 from faultgrain.llm.text_arrays import NOT_SPACE, Words, chunks, covered, gram_hashes, mix, window_minima
 
 WINDOW = 35
@@ -35,8 +35,9 @@ def _sample(data: np.ndarray, at: np.ndarray, window: int, gram: int) -> np.ndar
 def _windows(batches: Iterator[pa.RecordBatch], sketch, window: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Windows that the sketch counts twice, as (h, place, k_id, about).
 
-    place: 32 more bits of the hash, then the position. about: the tag, 30 bits of length, 1 if known to repeat.
-    Windows that repeat within the task need no shuffle: one of them is sent for all, the others as runs.
+    place: 31 more bits of the hash, then the position. about: the tag, 0, and 1 if known to repeat. Windows that
+    repeat within the task need no shuffle: one of them is sent for all, the others as runs, with the tag in h, and
+    the length, 1 and 1 in about.
     """
     held, size = [], 0
     for batch in batches:
@@ -49,7 +50,7 @@ def _windows(batches: Iterator[pa.RecordBatch], sketch, window: int, gram: int)
                 hashes, row = words.hashes(), words.row[starts]
                 h1 = gram_hashes(hashes, window)[starts]
                 h2 = gram_hashes(mix(hashes, 0xA5A5), window, 0x9FB21C651E98DF25)[starts] >> np.uint64(33)
-                held.append((h1, h2.astype(np.int64), ids[i + row], tags[i + row].astype(np.int64), starts - words.first[row]))
+                held.append((h1, h2.astype(np.int64), ids[i + row], tags[i + row], starts - words.first[row]))
                 size += len(starts)
         if size >= FLUSH:
             yield _combined(held)
@@ -71,10 +72,9 @@ def _combined(held: list[tuple]) -> pa.RecordBatch:
     new = np.concatenate(([True], (p[1:] != p[:-1] + 1) | (d[1:] != d[:-1]) | (t[1:] != t[:-1]))) if len(p) else np.zeros(0, bool)
     at = np.flatnonzero(new)
     length = np.diff(np.append(at, len(p)))
-    spread = mix(d[at].view(np.uint64) ^ mix(p[at].astype(np.uint64)), 7)
-    h = np.concatenate((h1[one], spread)).view(np.int64)
+    h = np.concatenate((h1[one].view(np.int64), t[at]))
     place = np.concatenate(((h2[one] << 32) | pos[one], p[at]))
-    about = np.concatenate(((tags[one] << 32) | 2 | many, (t[at] << 32) | (length << 1) | 1))
+    about = np.concatenate(((tags[one] << 2) | many, (length << 2) | 3))
     columns = [h, place, np.concatenate((ids[one], d[at])), about]
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["h", "place", "k_id", "about"])
 
@@ -84,14 +84,14 @@ def repeated_windows(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM)
     per_gram = 6 * (window - gram + 2) / 2  # bytes of text for each gram that is chosen
     bits = repeat_sketch(docs, lambda data, at: _sample(data, at, window, gram), log2_cells(docs, per_gram))
     sketch = docs.sparkSession.sparkContext.broadcast(bits)
-    found = docs.mapInArrow(lambda b: _windows(b, sketch, window, gram), "h long, place long, k_id long, about long")
+    found = map_arrow(docs, lambda b: _windows(b, sketch, window, gram), "h long, place long, k_id long, about long")
     same = Window.partitionBy("h", F.shiftright("place", 32))
-    known = F.col("about").bitwiseAND(F.lit(1))
+    known, run = F.col("about").bitwiseAND(F.lit(1)), F.col("about").bitwiseAND(F.lit(2)) == 2
     return found.withColumn("count", F.sum(known + 1).over(same)).where("count > 1").select(
         "k_id",
-        F.shiftright("about", 32).cast("int").alias("k_tag"),
+        F.when(run, F.col("h")).otherwise(F.shiftrightunsigned("about", 2)).alias("k_tag"),
         F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"),
-        F.shiftright(F.col("about").bitwiseAND(F.lit(0xFFFFFFFF)), 1).alias("len"),
+        F.when(run, F.shiftright("about", 2)).otherwise(F.lit(1)).alias("len"),
     )
 
 
@@ -133,6 +133,6 @@ def substring_dedup(
     """
     rows = keyed(docs, id_col, text_col)
     both = by_document(rows, repeated_windows(rows, window=window, gram=gram))
-    schema = "k_id long, k_tag int, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    out = both.mapInArrow(lambda b: _kept(b, window, texts), schema)
+    schema = "k_id long, k_tag long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+    out = map_arrow(both, lambda b: _kept(b, window, texts), schema)
     return out.select(own_id().alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept_text", "k_id", "k_tag")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultgrain.llm.repeat_sketch import by_document, counted_sketch, log2_cells, maybe_often, maybe_repeated, spans_of
-from faultgrain.llm.spark_tools import keyed, own_id
+from faultgrain.llm.spark_tools import keyed, map_arrow, own_id
 from faultgrain.llm.text_arrays import chunks, covered, gram_hashes, mix, runs, window_minima
 
 LENGTH = 200
@@ -130,7 +130,7 @@ def _sample(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> np.ndar
     return grams[np.unique(low)]
 
 
-_SEGMENTS = "h long, k_id long, k_tag int, pos int, n int, many boolean, segment binary"
+_SEGMENTS = "h long, k_id long, k_tag long, pos int, n int, many boolean, segment binary"
 
 
 def _by_start(segments: list[list], length: int) -> tuple[list, list[tuple]]:
@@ -156,7 +156,7 @@ def _by_start(segments: list[list], length: int) -> tuple[list, list[tuple]]:
 def _rows(out: list, rest: list[tuple]) -> pa.RecordBatch:
     spread = mix(np.arange(len(rest), dtype=np.uint64), len(out) + 1).view(np.int64).tolist()
     out = out + [[h, *x, True, None] for h, x in zip(spread, rest, strict=True)]
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
     columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
     return pa.RecordBatch.from_arrays(columns, ["h", "k_id", "k_tag", "pos", "n", "many", "segment"])
 
@@ -236,22 +236,22 @@ def _judged(held: dict[int, list[tuple]], length: int) -> pa.RecordBatch:
         if row is not None:
             out += [(row[0], row[1], row[2] + a, n) for a, n in zip(*(x.tolist() for x in runs(flags)), strict=True)]
     columns = [[*c] for c in zip(*out, strict=True)] or [[], [], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["k_id", "k_tag", "pos", "len"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["k_id", "k_tag", "pos", "len"])
 
 
 def anchored_segments(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, often: int = OFTEN) -> DataFrame:
     """Rows of _SEGMENTS: equal strings are under one h or sent as positions; none has more than ``often`` segments of strings."""
-    context = docs.sparkSession.sparkContext
     per_gram = (length - gram + 2) / 2
     bits, cells = counted_sketch(docs, lambda data, at: _sample(data, at, length, gram), log2_cells(docs, per_gram), often)
+    context = docs.sparkSession.sparkContext
     sketch, hot = context.broadcast(bits), context.broadcast(cells)
-    return docs.mapInArrow(lambda b: _segments(b, sketch, hot, length, gram), _SEGMENTS)
+    return map_arrow(docs, lambda b: _segments(b, sketch, hot, length, gram), _SEGMENTS)
 
 
 def repeated_strings(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, often: int = OFTEN) -> DataFrame:
     """(k_id, k_tag, pos, len): runs of byte positions at which ``length`` bytes start that start elsewhere too."""
-    segments = anchored_segments(docs, length=length, gram=gram, often=often)
-    return segments.repartition("h").sortWithinPartitions("h").mapInArrow(lambda b: _repeats(b, length), "k_id long, k_tag int, pos long, len long")
+    segments = anchored_segments(docs, length=length, gram=gram, often=often).repartition("h").sortWithinPartitions("h")
+    return map_arrow(segments, lambda b: _repeats(b, length), "k_id long, k_tag long, pos long, len long")
 
 
 def _kept(batches: Iterator[pa.RecordBatch], length: int, bodies: bool) -> Iterator[pa.RecordBatch]:
@@ -295,6 +295,6 @@ def suffix_dedup(
         raise ValueError("length must be a multiple of 8 and longer than gram")
     rows = keyed(docs, id_col, text_col)
     both = by_document(rows, repeated_strings(rows, length=length, gram=gram, often=often))
-    schema = "k_id long, k_tag int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary"
-    out = both.mapInArrow(lambda b: _kept(b, length, bodies), schema)
+    schema = "k_id long, k_tag long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary"
+    out = map_arrow(both, lambda b: _kept(b, length, bodies), schema)
     return out.select(own_id().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", "k_id", "k_tag")

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 POSITION_BITS = 28
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -22,12 +22,13 @@ def u64(x: int) -> np.uint64:
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n; base is odd."""
+    usual = 2 * CHUNK  # kept; more, for a very long text, is made anew each time
     have = _POWERS.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, CHUNK + 4096)
-        inverse = pow(base, -1, 2**64)
+        size, inverse = max(n, usual), pow(base, -1, 2**64)
         have = tuple(np.concatenate(([u64(1)], np.cumprod(np.full(size - 1, b, np.uint64)))) for b in (base, inverse))
-        _POWERS[base] = have
+        if size == usual:
+            _POWERS[base] = have
     return have[0][:n], have[1][:n]
 
 
@@ -54,13 +55,15 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), at.astype(np.int64)
 
 
-def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, row starts): each row's bytes are followed by one space, which ends its last word."""
+def chunks(column: pa.Array, limit: int = CHUNK, rows: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, row starts): each row's bytes are followed by one space, which ends its last word.
+
+    A chunk has ``limit`` bytes at most, or one row, and ``rows`` rows at most.
+    """
     data, at = raw(column)
     i, n = 0, len(column)
     while i < n:
-        j = max(i + 1, int(np.searchsorted(at, at[i] + limit, side="right")) - 1)
-        rows = np.arange(j - i)
+        j = min(max(i + 1, int(np.searchsorted(at, at[i] + limit, side="right")) - 1), i + rows)
         starts = at[i : j + 1] - at[i] + np.arange(j - i + 1)
         out = np.full(int(at[j] - at[i]) + j - i, 32, np.uint8)
         mask = np.ones(len(out), bool)
@@ -68,7 +71,6 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.
         out[mask] = data[at[i] : at[j]]
         yield i, j, out, starts
         i = j
-        del rows
 
 
 class Words:
