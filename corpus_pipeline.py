@@ -6,6 +6,8 @@ run() writes each result as Parquet and reads it again for the next. All but the
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,38 +17,32 @@ from faultgrain.llm.line_dedup import line_dedup
 from faultgrain.llm.near_dedup import near_dedup
 from faultgrain.llm.queries import model_path
 from faultgrain.llm.sentencepiece_codec import encode_documents
-from faultgrain.llm.spark_tools import row_id, table, written
+from faultgrain.llm.spark_tools import delete, passing, shared_dir, table, without
 
 #: Least score of a language that is accepted: more sure than not.
 LEAST_SCORE = 0.5
 
 
-def _without(docs: DataFrame, refused: DataFrame) -> DataFrame:
-    """The rows of docs whose key (k_id, k_tag) isn't among ``refused``."""
-    rows = docs.withColumn("k_id", row_id()).withColumn("k_tag", F.hash(F.coalesce("text", F.lit(""))))
-    return rows.join(refused.select("k_id", "k_tag").distinct(), ["k_id", "k_tag"], "left_anti").select(*docs.columns)
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of no language that is surer than not, go."""
     found = identify_language(docs)
-    return _without(docs, found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SCORE)))
+    return without(docs, found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SCORE)))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand earlier in the corpus, equal or one edit away, go; their documents stay."""
-    return line_dedup(docs).select(*docs.columns)
+    return line_dedup(docs).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the smallest id stays; of repeated rows one."""
-    return _without(docs, near_dedup(docs).where(~F.col("kept"))).dropDuplicates(["doc_id", "text"])
+    return without(docs, near_dedup(docs).where(~F.col("head"))).dropDuplicates(["doc_id", "text"])
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages in a twentieth of their words or more go."""
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("contaminated"))
+    return without(docs, found.where("contaminated"))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +64,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. Each stage's table is written to the shared folder, and the one before it then deleted."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
+        with passing(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
