@@ -182,8 +182,8 @@ def near_dedup(
     found = map_arrow(keyed(docs, id_col, text_col), lambda b: _sketches(b, shingle, bands, rows), schema)
     found = scratch.written(found, "sketches", keep=True)
     some = found.where("n_shingles > 0")
-    # one document stands for each set; its number is a node, which is unique where ids repeat
-    heads = some.groupBy("n_shingles", "d1", "d2").agg(F.min(F.struct("k_id", "k_tag")).alias("head"))
+    # one document stands for each set; its number, in the order of ids, is a node, which is unique where ids repeat
+    heads = some.groupBy("n_shingles", "d1", "d2").agg(F.min(F.struct("k_id", "k_tag")).alias("head")).orderBy("head")
     heads = heads.select("n_shingles", "d1", "d2", "head.*", F.monotonically_increasing_id().alias("node"))
     heads = scratch.written(heads, "set-heads")
     keys = (
@@ -211,9 +211,11 @@ def near_dedup(
     rest = pairs.select("a", "b").join(best.withColumn("was", F.lit(True)), ["a", "b"], "left_anti")
     parts = joined_parts(parts, _verified(_different(rest, parts), sets, similar), scratch)
     # buckets whose members are not yet one component, beyond the leader's
-    open_keys = members.where("a <> b").join(parts.select(F.col("doc").alias("a"), "part"), "a")
+    apart = members.join(_different(pairs.select("a", "b"), parts), ["a", "b"]).select("key").distinct()
+    open_keys = members.where("a <> b").join(apart, "key", "left_semi").join(parts.select(F.col("doc").alias("a"), "part"), "a")
+    open_keys = scratch.written(open_keys.select("key", F.col("a").alias("doc"), "part"), "open-buckets")
     mixed = open_keys.groupBy("key").agg(F.min("part").alias("p1"), F.max("part").alias("p2")).where("p1 < p2").select("key")
-    unsettled = scratch.written(open_keys.join(mixed, "key", "left_semi").select(F.col("a").alias("doc"), "part").distinct(), "unsettled")
+    unsettled = scratch.written(open_keys.join(mixed, "key", "left_semi").select("doc", "part").distinct(), "unsettled")
     if not unsettled.isEmpty():
         last = _prefix_pairs(sets.join(unsettled.select("doc"), "doc", "left_semi"), unsettled, similar, block)
         tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
