@@ -14,7 +14,7 @@ def _lookup(table: dict, key: Column) -> Column:
 
 def map_diagnostics(df: DataFrame) -> DataFrame:
     """Adds category: the given one if it is known, else the compiler code's, else the lint's, else null."""
-    given = F.when(F.col("oip_category").isin(CATEGORIES), F.col("oip_category"))
+    given = F.when(F.col("given_category").isin(CATEGORIES), F.col("given_category"))
     return df.withColumn("category", F.coalesce(given, _lookup(CODE_CATEGORY, F.col("error_code")), _lookup(LINT_CATEGORY, F.col("clippy_lint"))))
 
 

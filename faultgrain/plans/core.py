@@ -307,7 +307,7 @@ def _table(table: dict, name: str, value: str) -> str:
 
 
 _DIAG = f"""{oracle("diagnostics")}, {_table(T.CODE_CATEGORY, "v_code", "c1")}, {_table(T.LINT_CATEGORY, "v_lint", "c2")}, {_table(T.CODE_CONFIDENCE, "v_conf", "x")}, {_table(T.CODE_CLASS, "v_class", "y")},
-v_mapped AS (SELECT d.*, coalesce(CASE WHEN oip_category IN ({", ".join(map(_quoted, T.CATEGORIES))}) THEN oip_category END, c1, c2) AS category,
+v_mapped AS (SELECT d.*, coalesce(CASE WHEN given_category IN ({", ".join(map(_quoted, T.CATEGORIES))}) THEN given_category END, c1, c2) AS category,
   CAST(coalesce(x, 0.7) AS DOUBLE) AS code_confidence, coalesce(y, 'other') AS code_class FROM v_diagnostics d
   LEFT JOIN v_code a ON a.k = error_code LEFT JOIN v_lint b ON b.k = clippy_lint LEFT JOIN v_conf c ON c.k = error_code LEFT JOIN v_class e ON e.k = error_code)"""
 

@@ -31,11 +31,11 @@ def query(sql: str):
 
 # --- sources
 
-_DIAGNOSTIC_SQL = _with(oracle("diagnostics"), "SELECT source_file, error_code, clippy_lint, oip_category, round(confidence, 4) AS confidence, timestamp FROM v_diagnostics")
+_DIAGNOSTIC_SQL = _with(oracle("diagnostics"), "SELECT source_file, error_code, clippy_lint, given_category, round(confidence, 4) AS confidence, timestamp FROM v_diagnostics")
 
 
 def _diagnostics(rows: DataFrame) -> DataFrame:
-    return rows.select("source_file", "error_code", "clippy_lint", "oip_category", _r("confidence", 4), "timestamp")
+    return rows.select("source_file", "error_code", "clippy_lint", "given_category", _r("confidence", 4), "timestamp")
 
 
 @query(_DIAGNOSTIC_SQL)

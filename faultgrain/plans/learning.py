@@ -150,7 +150,7 @@ def pearson_pair(spark, d):
 @query(_with(oracle("diagnostics"), """SELECT x.field, x.status, x.nulls FROM (SELECT unnest([{'field': 'message', 'status': 'missing', 'nulls': NULL::BIGINT},
   {'field': 'confidence', 'status': 'required', 'nulls': count(*) FILTER (confidence IS NULL)}, {'field': 'timestamp', 'status': 'required', 'nulls': count(*) FILTER ("timestamp" IS NULL)},
   {'field': 'error_code', 'status': 'optional', 'nulls': count(*) FILTER (error_code IS NULL)}, {'field': 'clippy_lint', 'status': 'optional', 'nulls': count(*) FILTER (clippy_lint IS NULL)},
-  {'field': 'oip_category', 'status': 'optional', 'nulls': count(*) FILTER (oip_category IS NULL)}, {'field': 'event_id', 'status': 'extra', 'nulls': count(*) FILTER (event_id IS NULL)},
+  {'field': 'given_category', 'status': 'optional', 'nulls': count(*) FILTER (given_category IS NULL)}, {'field': 'event_id', 'status': 'extra', 'nulls': count(*) FILTER (event_id IS NULL)},
   {'field': 'source_file', 'status': 'extra', 'nulls': count(*) FILTER (source_file IS NULL)}]) AS x FROM v_diagnostics)"""))
 def validate_diagnostics(spark, d):
     return _validated(view(spark, d, "diagnostics"))

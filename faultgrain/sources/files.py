@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 # The fields of a diagnostic.
 REQUIRED = ["message", "confidence", "timestamp"]
-OPTIONAL = ["error_code", "clippy_lint", "oip_category", "suggestion", "span"]
+OPTIONAL = ["error_code", "clippy_lint", "given_category", "suggestion", "span"]
 
 DIAGNOSTICS = (
-    "source_file string, error_code string, clippy_lint string, level string, message string, oip_category string, confidence float, "
-    "span struct<line_start: int, column_start: int>, suggestion struct<replacement: string, applicability: string>, timestamp bigint, depyler_version string"
+    "source_file string, error_code string, clippy_lint string, level string, message string, given_category string, confidence float, "
+    "span struct<line_start: int, column_start: int>, suggestion struct<replacement: string, applicability: string>, timestamp bigint, tool_version string"
 )
 BUGS = (
     "id string, title string, description string, fix_commit string, fix_diff string, affected_files array<string>, category string, "
@@ -19,14 +20,22 @@ BUGS = (
 )
 
 
-def read_diagnostics_json(spark: SparkSession, path: str) -> DataFrame:
-    """Diagnostics of JSON lines; blank lines are skipped and a broken line fails the job."""
-    return spark.read.schema(DIAGNOSTICS).json(path, mode="FAILFAST")
+def _own_names(rows: DataFrame, names: dict[str, str] | None) -> DataFrame:
+    return rows.withColumnsRenamed({theirs: ours for ours, theirs in (names or {}).items()})
 
 
-def read_diagnostics_parquet(spark: SparkSession, path: str, *, shuffle_seed: int | None = None) -> DataFrame:
-    """Diagnostics of Parquet files, absent columns null, rows in random order on request."""
-    rows = spark.read.parquet(path)
+def read_diagnostics_json(spark: SparkSession, path: str, *, names: dict[str, str] | None = None) -> DataFrame:
+    """Diagnostics of JSON lines; blank lines are skipped and a broken line fails the job.
+
+    ``names``: what files call a field that has another name here, such as {"given_category": "kind"}.
+    """
+    schema = StructType([StructField((names or {}).get(f.name, f.name), f.dataType) for f in StructType.fromDDL(DIAGNOSTICS)])
+    return _own_names(spark.read.schema(schema).json(path, mode="FAILFAST"), names)
+
+
+def read_diagnostics_parquet(spark: SparkSession, path: str, *, shuffle_seed: int | None = None, names: dict[str, str] | None = None) -> DataFrame:
+    """Diagnostics of Parquet files, absent columns null, rows in random order on request; ``names`` as for JSON."""
+    rows = _own_names(spark.read.parquet(path), names)
     fields = spark.createDataFrame([], DIAGNOSTICS).schema.fields
     out = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields))
     return out if shuffle_seed is None else out.orderBy(F.rand(shuffle_seed))

@@ -44,9 +44,9 @@ SQL = {
         CAST(l_linenumber AS BIGINT) * 10 + l_suppkey % 10 AS line, l_returnflag = 'R' AS was_deleted FROM lineitem WHERE l_orderkey % 7 = 0""",
     "blame": """SELECT file, line, min(l_orderkey) AS commit_id FROM (SELECT concat('src/m', CAST(l_partkey % 25 AS STRING), '.rs') AS file,
         CAST(l_linenumber AS BIGINT) * 10 + l_suppkey % 10 AS line, l_orderkey FROM lineitem WHERE l_orderkey % 3 <> 0) x GROUP BY file, line""",
-    "diagnostics": f"""SELECT event_id, concat('src/u', CAST(user_id AS STRING), '.rs') AS source_file, c.error_code, c.clippy_lint, c.oip_category,
+    "diagnostics": f"""SELECT event_id, concat('src/u', CAST(user_id AS STRING), '.rs') AS source_file, c.error_code, c.clippy_lint, c.given_category,
         CAST((event_id * 37) % 50 + 50 AS DOUBLE) / 100 AS confidence, EPOCH(ts) AS timestamp
-        FROM events e JOIN (VALUES {_CODE_ROWS}) AS c(tid, error_code, clippy_lint, oip_category) ON c.tid = e.event_id % {len(_CODES)}""",
+        FROM events e JOIN (VALUES {_CODE_ROWS}) AS c(tid, error_code, clippy_lint, given_category) ON c.tid = e.event_id % {len(_CODES)}""",
     "file_features": """SELECT p_partkey AS row_id, concat('src/p', CAST(p_partkey AS STRING), '.rs') AS path,
         CAST((p_partkey * 7) % 101 AS DOUBLE) / 100 AS sbfl_score, CAST((p_partkey * 13) % 101 AS DOUBLE) / 100 AS tdg_score,
         CAST((p_partkey * 29) % 101 AS DOUBLE) / 100 AS churn_score, CAST((p_partkey * 31) % 101 AS DOUBLE) / 100 AS complexity_score,

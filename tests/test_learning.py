@@ -61,6 +61,8 @@ def test_json_sources(spark, tmp_path):
     (tmp_path / "d" / "x.jsonl").write_text(json.dumps({"message": "m", "confidence": 0.5, "timestamp": 3}) + "\n\n")
     row = files.read_diagnostics_json(spark, str(tmp_path / "d")).collect()
     assert len(row) == 1 and row[0].message == "m" and row[0].error_code is None
+    (tmp_path / "n.jsonl").write_text(json.dumps({"message": "m", "kind": "Logic Errors"}) + "\n")
+    assert files.read_diagnostics_json(spark, str(tmp_path / "n.jsonl"), names={"given_category": "kind"}).first().given_category == "Logic Errors"
     (tmp_path / "d" / "y.jsonl").write_text("{broken\n")
     with pytest.raises((PySparkException, Py4JJavaError)):
         files.read_diagnostics_json(spark, str(tmp_path / "d")).collect()
