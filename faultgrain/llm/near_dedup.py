@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultgrain.llm.components import connected_components, joined_parts
-from faultgrain.llm.spark_tools import Scratch, has_bit, keyed, map_arrow, membership_bits, own_id
+from faultgrain.llm.spark_tools import Scratch, has_bit, keyed, looked_up, map_arrow, membership_bits, own_id
 from faultgrain.llm.text_arrays import LOWER, NOT_SPACE, Words, chunks, gram_hashes, mix
 
 SHINGLE = 5
@@ -111,7 +111,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> Da
     )
 
 
-def _prefix_pairs(sets: DataFrame, parts: DataFrame, similar: tuple[int, int], block: int) -> DataFrame:
+def _prefix_pairs(sets: DataFrame, parts: DataFrame, similar: tuple[int, int], block: int, scratch: Scratch) -> DataFrame:
     """Every pair (a, b) of different parts that can be similar, by prefix filtering: no bucket is listed in pairs.
 
     Sets whose similarity reaches the bound share one of the rarest |x| - ceil(bound * |x|) + 1 items of each. Items
@@ -123,7 +123,8 @@ def _prefix_pairs(sets: DataFrame, parts: DataFrame, similar: tuple[int, int], b
     least, of = similar
     items = sets.join(parts, "doc").select("doc", "part", F.size("items").alias("size"), F.explode("items").alias("item"))
     rare = items.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("p1"), F.max("part").alias("p2"))
-    shared = items.join(rare.where("p1 < p2").select("item", "n"), "item")
+    rare = scratch.written(rare.where("p1 < p2").select("item", "n"), "shared-items")
+    shared = looked_up(items, rare, "item", scratch)
     # items that only one part has come first in any order; they count towards the prefix but join with nothing
     ranked = shared.groupBy("doc", "part", "size").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("order"))
     alone = F.col("size") - F.size("order")
@@ -134,11 +135,12 @@ def _prefix_pairs(sets: DataFrame, parts: DataFrame, similar: tuple[int, int], b
         .select("doc", "part", "size", alone.alias("alone"), F.posexplode(F.slice("order", F.lit(1), F.col("room"))).alias("i", "x"))
         .select("doc", "part", "size", "x.item", (F.col("size") - F.col("alone") - F.col("i")).alias("left"))
     )
-    smaller = heads.where((of + least) * F.col("left") >= 2 * least * F.col("size"))
-    blocks = smaller.groupBy("item").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    place = F.pmod(F.xxhash64("doc"), F.col("blocks"))
-    a = smaller.join(blocks, "item").withColumn("block", place).alias("a")
-    b = heads.join(blocks, "item").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).alias("b")
+    smaller = (of + least) * F.col("left") >= 2 * least * F.col("size")
+    heads = scratch.written(heads.withColumn("smaller", smaller), "item-heads")
+    blocks = heads.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count_if("smaller") / block).alias("blocks")).where("blocks > 0")
+    heads = scratch.written(looked_up(heads, scratch.written(blocks, "item-blocks"), "item", scratch).drop("n"), "met-heads")
+    a = heads.where("smaller").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks"))).alias("a")
+    b = heads.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).alias("b")
     fits = (F.col("a.part") != F.col("b.part")) & (F.col("a.size") <= F.col("b.size")) & (of * F.col("a.size") >= least * F.col("b.size"))
     # where this is the first item that both have, what is left of each from here on must hold the common items
     enough = least * (F.col("a.size") + F.col("b.size"))
@@ -217,7 +219,7 @@ def near_dedup(
     mixed = open_keys.groupBy("key").agg(F.min("part").alias("p1"), F.max("part").alias("p2")).where("p1 < p2").select("key")
     unsettled = scratch.written(open_keys.join(mixed, "key", "left_semi").select("doc", "part").distinct(), "unsettled")
     if not unsettled.isEmpty():
-        last = _prefix_pairs(sets.join(unsettled.select("doc"), "doc", "left_semi"), unsettled, similar, block)
+        last = _prefix_pairs(sets.join(unsettled.select("doc"), "doc", "left_semi"), unsettled, similar, block, scratch)
         tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         last = scratch.written(last.join(tried, ["a", "b"], "left_anti"), "prefix-pairs")
         parts = joined_parts(parts, _verified(last, sets, similar), scratch)

@@ -154,6 +154,22 @@ def without(docs: DataFrame, refused: DataFrame, id_col: str = "doc_id", text_co
     return rows.join(gone, [key, tag], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, scratch: Scratch, *, frequent: int = 4096) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each value of ``key`` (a long) and in n how many of ``rows`` have it.
+
+    Values that over 1 in ``frequent`` of the rows have are sent to all tasks (``frequent`` at most), and their rows spread,
+    so none of them meets in one task.
+    """
+    values = [c for c in table.columns if c != key]
+    bound = table.agg(F.ceil(F.sum("n") / frequent).alias("k_bound"))
+    often = table.join(F.broadcast(bound), F.col("n") > F.col("k_bound"))  # one row
+    often = scratch.written(often.select(key, F.lit(True).alias("k_often"), *(F.col(c).alias(f"k_{c}") for c in values)), "often")
+    at = F.when(F.col("k_often").isNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns))
+    out = rows.join(F.broadcast(often), key, "left").withColumn("k_at", at)
+    out = out.join(table.select(F.col(key).alias("k_at"), F.lit(True).alias("k_found"), *values), "k_at", "left")
+    return out.where("k_often OR k_found").select(*rows.columns, *(F.coalesce(f"k_{c}", c).alias(c) for c in values))
+
+
 def membership_bits(hashes: DataFrame, column: str, *, bits_per_key: int = 64, max_log2: int = 27) -> np.ndarray:
     """A bit array that marks the top bits of each 64-bit hash in ``column``, as uint64 words.
 
