@@ -49,23 +49,30 @@ def tfidf(tokenized: DataFrame, *, max_features: int = 1000, key: str = "doc_id"
     return raw.join(norm, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
+#: Asked terms that are sent to all texts at most.
+MOST_ASKED = 200_000
+
+
 def bm25_search(docs: DataFrame, queries: DataFrame, *, top_k: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score, rank): the top_k texts of each query by BM25 over the query's distinct terms.
 
-    Scores are divided by the query's greatest. Both sides hold tokens. Postings meet on the term, and scores are summed
-    per (query, text) before any ranking; a term that stands everywhere weighs little but its postings are read.
+    Scores are divided by the query's greatest. Both sides hold tokens. Up to MOST_ASKED asked terms, counted first, are sent to
+    the texts, so that no term's postings meet in one task, however frequent; beyond that postings are dealt by term. Scores
+    are summed per (query, text) before any ranking.
     """
     lengths = docs.select("doc_id", F.size("tokens").alias("length"))
     corpus = lengths.agg(F.count(F.lit(1)).alias("total"), F.avg("length").alias("mean"))
     asked = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("term"))
-    wanted = asked.select("term").distinct()
+    few = asked.limit(MOST_ASKED + 1).count() <= MOST_ASKED
+    sent = F.broadcast if few else lambda rows: rows
+    wanted = sent(asked.select("term").distinct())
     postings = docs.select("doc_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
     postings = postings.groupBy("term", "doc_id", "length").agg(F.count(F.lit(1)).alias("tf"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = postings.join(df, "term").join(F.broadcast(corpus))  # one row
+    weighed = postings.join(sent(df), "term").join(F.broadcast(corpus))  # one row
     idf = F.ln(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = asked.join(weighed.select("term", "doc_id", part.alias("part")), "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("raw"))
+    scored = weighed.select("term", "doc_id", part.alias("part")).join(sent(asked), "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("raw"))
     scored = scored.withColumn("raw", F.round("raw", 9))
     best = Window.partitionBy("query_id").orderBy(F.desc("raw"), "doc_id")
     top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
