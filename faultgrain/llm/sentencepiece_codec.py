@@ -18,11 +18,11 @@ from faultgrain.llm.spark_tools import keyed, map_arrow, own_id
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Stretches of at most LONG characters that a worker keeps, twice over: about 30 MB.
-CACHED = 60_000
+#: Stretches of at most LONG characters that a worker keeps, twice over: about 75 MB.
+CACHED = 150_000
 LONG = 64
-#: Pairs of tokens whose compatibility a worker keeps: about 20 MB.
-MOST_PAIRS = 200_000
+#: Pairs of tokens whose compatibility a worker keeps: about 40 MB.
+MOST_PAIRS = 300_000
 
 _LOADED: dict[str, PieceCodec] = {}
 
