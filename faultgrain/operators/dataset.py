@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultgrain.operators.ordering import global_index
+from faultgrain.operators.ordering import global_index, positioned
 
 
 def merge_training(existing: DataFrame, new: DataFrame, *, strategy: str = "append", weight: float = 1.0) -> DataFrame:
@@ -34,22 +34,22 @@ def category_index(rows: DataFrame) -> DataFrame:
 def describe(rows: DataFrame, columns: list[str], *, tie: str) -> DataFrame:
     """(column, count, mean, std, min, median, max) over the values that aren't null; std of the population, the upper median.
 
-    The median is the middle row of a global order, so no task holds all values. A column without values has count 0, else nulls.
+    Medians come from one global order of (column, value, tie), so no task holds all values and the cost is that of one sort, however many
+    columns there are. A column without values has count 0, else nulls. NaN counts as the greatest value.
     """
     one = lambda c: [F.count(c), F.avg(c), F.stddev_pop(c), F.min(c), F.max(c)]
     names = ["count", "mean", "std", "min", "max"]
     pick = rows.select(tie, *(F.col(c).cast("double").alias(c) for c in columns))
     wide = pick.agg(*(x.alias(f"{c}_{n}") for c in columns for n, x in zip(names, one(c), strict=True)))
-    item = lambda c: F.struct(F.lit(c).alias("column"), *(F.col(f"{c}_{n}").alias(n) for n in names))
-    out = wide.select(F.explode(F.array(*map(item, columns))).alias("x")).select("x.*")
-    medians = None
-    for c in columns:
-        values = pick.where(F.col(c).isNotNull()).select(tie, F.col(c).alias("median"))
-        middle = values.agg(F.expr("count(*) div 2").alias("middle"))
-        found = global_index(values, "median", tie).join(F.broadcast(middle), F.col("position") == F.col("middle"))  # one row
-        found = found.select(F.lit(c).alias("column"), "median")
-        medians = found if medians is None else medians.unionByName(found)
-    return out.join(F.broadcast(medians), "column", "left").select("column", "count", "mean", "std", "min", "median", "max")  # a row for each column
+    item = lambda k, c: F.struct(F.lit(k).alias("fg_column"), F.lit(c).alias("column"), *(F.col(f"{c}_{n}").alias(n) for n in names))
+    out = wide.select(F.explode(F.array(*map(item, range(len(columns)), columns))).alias("x")).select("x.*")
+    cell = lambda k, c: F.struct(F.lit(k).alias("fg_column"), F.col(c).alias("median"))
+    cells = pick.select(F.col(tie).alias("fg_tie"), F.explode(F.array(*map(cell, range(len(columns)), columns))).alias("x")).select("fg_tie", "x.*").where("median IS NOT NULL")
+    placed = positioned(cells, F.col("fg_column").asc(), F.col("median").asc(), F.col("fg_tie").asc_nulls_first())
+    before = Window.partitionBy(F.lit(1)).orderBy("fg_column").rowsBetween(Window.unboundedPreceding, -1)  # a row for each column
+    middles = out.where(F.col("count") > 0).select(F.col("fg_column").alias("fg_of"), (F.coalesce(F.sum("count").over(before), F.lit(0)) + F.expr("count div 2")).alias("position"))
+    medians = placed.join(F.broadcast(middles), "position").select(F.col("fg_of").alias("fg_column"), "median")
+    return out.join(F.broadcast(medians), "fg_column", "left").select("column", "count", "mean", "std", "min", "median", "max")
 
 
 def shares(rows: DataFrame, *, by: str = "category") -> DataFrame:

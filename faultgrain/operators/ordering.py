@@ -2,66 +2,62 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultgrain.sources.scratch import scratch_path
+
+
+def ordered(df: DataFrame, *order: Column, ranges: int | None = None) -> DataFrame:
+    """The rows with fg_id, which rises in the given order; its upper bits (fg_part) number the ranges that the rows were dealt to.
+
+    The engine's range sort finds the cuts, so neither the driver nor the plan holds any of them. The sorted table is written once to the shared
+    folder: a lost executor doesn't number rows anew. Without ``ranges`` adaptive execution sizes them. Rows that are equal in
+    all of the order stay in one range; a last column that tells rows apart lets every key be cut.
+    """
+    dealt = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
+    rows = dealt.sortWithinPartitions(*order).withColumn("fg_id", F.monotonically_increasing_id())
+    path = scratch_path(df.sparkSession, "ordered")
+    rows.write.parquet(path)
+    return df.sparkSession.read.schema(rows.schema).parquet(path).withColumn("fg_part", F.shiftright("fg_id", 33))
+
 
-#: Rows that one task goes through in order, about.
-RANGE_ROWS = 200_000
-#: Sampled rows for each range, of which the cuts are taken.
-SAMPLED = 100
+def _offsets(totals: DataFrame, names: list[str]) -> DataFrame:
+    """fg_part and, for each name, the sum over the ranges before; totals has a row for each range."""
+    before = Window.partitionBy(F.lit(1)).orderBy("fg_part").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("fg_part", *(F.coalesce(F.sum(f"fg_total_{n}").over(before), F.lit(0)).alias(f"fg_offset_{n}") for n in names))
 
 
-def _cuts(rows: DataFrame, tie: str, buckets: int, total: int) -> list[tuple]:
-    """(key, tie) at about equal distances in the order of rows; about SAMPLED * buckets rows are looked at, by a hash of tie."""
-    every = max(1, total // (SAMPLED * buckets))
-    some = rows.where(F.pmod(F.xxhash64(tie), F.lit(every)) == 0).select("fg_key", tie).collect()
-    some = sorted(map(tuple, some), key=lambda r: (r[0] is not None, r[0] != r[0], r[0] if r[0] is not None and r[0] == r[0] else 0.0, r[1] is not None, r[1]))
-    return [some[i] for i in sorted({i * len(some) // buckets for i in range(1, buckets)})] if some else []
+def positioned(df: DataFrame, *order: Column, name: str = "position", ranges: int | None = None) -> DataFrame:
+    """Adds the position, from 0, of each row in the given order: its place within its range and the rows of the ranges before."""
+    rows = ordered(df, *order, ranges=ranges)
+    offsets = _offsets(rows.groupBy("fg_part").agg(F.count(F.lit(1)).alias("fg_total_n")), ["n"])
+    place = F.col("fg_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("fg_offset_n")
+    return rows.join(F.broadcast(offsets), "fg_part").select(*(F.col(f"`{c}`") for c in df.columns), place.alias(name))  # a row for each range
 
 
-def _range_of(cuts: list[tuple], key: str, tie: str, tie_type: str) -> Column:
-    """The number of cuts at or below a row's (key, tie). Cuts are looked up in blocks, about twice their root for a row."""
-    place = lambda k, t: F.struct(k.cast("double").alias("k"), t.cast(tie_type).alias("t"))
-    each = max(1, math.isqrt(len(cuts)))
-    blocks = [[place(F.lit(k), F.lit(t)) for k, t in cuts[i : i + each]] for i in range(0, len(cuts), each)]
-    if not blocks:
-        return F.lit(0)
-    own = place(F.col(key), F.col(tie))
-    upto = lambda cells: F.size(F.filter(cells, lambda c: c <= own))
-    block = upto(F.array(*(b[0] for b in blocks))) - 1
-    return F.when(block < 0, F.lit(0)).otherwise(block * each + upto(F.get(F.array(*(F.array(*b) for b in blocks)), block)))
+def _by_number(key: str, tie: str, descending: bool) -> list[Column]:
+    number = F.col(key).cast("double")
+    return [(-number if descending else number).asc_nulls_first(), F.col(tie).asc_nulls_first()]
 
 
-def running_sums(df: DataFrame, key: str, tie: str, sums: dict[str, Column], *, descending: bool = False, buckets: int | None = None) -> DataFrame:
+def running_sums(df: DataFrame, key: str, tie: str, sums: dict[str, Column], *, descending: bool = False, ranges: int | None = None) -> DataFrame:
     """Adds, for each name, the sum of a column over all rows up to this one in the order of (key, tie).
 
-    Rows are cut into ranges of (key, tie) at quantiles of a sample; sums run within a range, and each range adds the
-    totals of those before it. As the tie takes part, a key that many rows share is cut like any other. ``key`` is numeric;
-    rows whose key is null come first. The number of ranges follows that of the rows unless ``buckets`` gives it; the
-    driver sees a sample of 100 rows a range.
+    Sums run within a range of the ordered rows, and each range adds the totals of those before it. As the tie takes part, a
+    key that many rows share is cut like any other. ``key`` is numeric; rows whose key is null come first.
     """
-    way = -F.col(key).cast("double") if descending else F.col(key).cast("double")
-    rows = df.withColumn("fg_key", way)
-    total = df.count()
-    buckets = buckets or max(8, math.ceil(total / RANGE_ROWS))
-    rows = rows.withColumn("fg_range", _range_of(_cuts(rows, tie, buckets, total), "fg_key", tie, df.schema[tie].dataType.simpleString()))
-    rows = rows.withColumns({f"fg_{n}": c for n, c in sums.items()})
-    totals = rows.groupBy("fg_range").agg(*(F.sum(f"fg_{n}").alias(f"fg_total_{n}") for n in sums))
-    before = Window.partitionBy(F.lit(1)).orderBy("fg_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    offsets = totals.select("fg_range", *(F.coalesce(F.sum(f"fg_total_{n}").over(before), F.lit(0)).alias(f"fg_offset_{n}") for n in sums))
-    inside = Window.partitionBy("fg_range").orderBy("fg_key", tie).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.join(F.broadcast(offsets), "fg_range")  # at most `buckets` rows
+    rows = ordered(df.withColumns({f"fg_{n}": c for n, c in sums.items()}), *_by_number(key, tie, descending), ranges=ranges)
+    offsets = _offsets(rows.groupBy("fg_part").agg(*(F.sum(f"fg_{n}").alias(f"fg_total_{n}") for n in sums)), list(sums))
+    inside = Window.partitionBy("fg_part").orderBy("fg_id").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(F.broadcast(offsets), "fg_part")  # a row for each range
     out = out.withColumns({n: F.sum(f"fg_{n}").over(inside) + F.col(f"fg_offset_{n}") for n in sums})
-    return out.drop("fg_key", "fg_range", *(f"fg_{n}" for n in sums), *(f"fg_offset_{n}" for n in sums))
+    return out.drop("fg_id", "fg_part", *(f"fg_{n}" for n in sums), *(f"fg_offset_{n}" for n in sums))
 
 
-def global_index(df: DataFrame, key: str, tie: str, **options) -> DataFrame:
+def global_index(df: DataFrame, key: str, tie: str, *, descending: bool = False, ranges: int | None = None) -> DataFrame:
     """Adds position, from 0, of each row in the order of (key, tie)."""
-    out = running_sums(df, key, tie, {"position": F.lit(1).cast("long")}, **options)
-    return out.withColumn("position", F.col("position") - 1)
+    return positioned(df, *_by_number(key, tie, descending), ranges=ranges)
 
 
 def dataset_splits(df: DataFrame, *, order_by: str, tie: str) -> DataFrame:
