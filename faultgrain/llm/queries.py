@@ -10,15 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from faultgrain.llm.decontamination import decontaminate
 from faultgrain.llm.exact_dedup import exact_dedup
+from faultgrain.llm.html_extraction import extract_text
 from faultgrain.llm.language_id import identify_language
 from faultgrain.llm.line_dedup import line_report
 from faultgrain.llm.near_dedup import near_dedup
+from faultgrain.llm.periodic_runs import periodic_runs
 from faultgrain.llm.pii import find_pii
 from faultgrain.llm.sentencepiece_codec import encode_documents
 from faultgrain.llm.sharding import shard_documents
 from faultgrain.llm.spark_tools import table
 from faultgrain.llm.substring_dedup import substring_dedup
 from faultgrain.llm.suffix_dedup import suffix_dedup
+from faultgrain.llm.token_alignment import align_tokens
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -70,6 +73,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"), model_path("byte_bpe_50k.json"), model_path())
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), plant=True, outputs=False).drop("runs", "collapsed")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,7 +93,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_pii, op2_suffix_dedup, op3_decontamination, op4_line_dedup, op5_substring_dedup]
-    found += [op6_exact_dedup, op7_sharding, op8_near_dedup, op9_language_id, op10_sentencepiece, pipeline]
+    found += [op6_exact_dedup, op7_sharding, op8_near_dedup, op9_language_id, op10_sentencepiece]
+    found += [op11_token_alignment, op12_html_extraction, op13_periodic_runs, pipeline]
     return {f.__name__: f for f in found}
 
 
@@ -162,7 +178,7 @@ FROM docs LEFT JOIN size USING (doc_id) LEFT JOIN part USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    """Missing: 1 and 9 (fitted models), 7 (checksums and a greedy map), 10 (a tokenizer) and the pipeline."""
+    """Missing: 1 and 9 (fitted models), 7 (checksums and a greedy map), 10 and 11 (tokenizers), 12 (markup), 13 (checksums and Lyndon words) and the pipeline."""
     return {
         "op2_suffix_dedup": _OP2,
         "op3_decontamination": _OP3,
