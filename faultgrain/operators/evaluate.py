@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,19 +50,49 @@ def precision_at_recall(df: DataFrame, *, tie: str, target: float = 0.8) -> Data
     return enough.agg(F.coalesce(first, F.lit(0.0)).alias("precision"))
 
 
-def calibration_metrics(df: DataFrame, *, bins: int = 10) -> DataFrame:
-    """One row: Brier score, and the mean (ece) and greatest (mce) gap of score and label over equal-width bins."""
-    placed = df.withColumn("bin", F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)))
+def interval(p: Column, deviations: float, variance: float = 1.0) -> tuple[Column, Column]:
+    """Low and high end of ``deviations`` standard deviations around a probability, clamped to 0..1."""
+    half = deviations * F.sqrt(variance * p * (1 - p))
+    return F.greatest(p - half, F.lit(0.0)), F.least(p + half, F.lit(1.0))
+
+
+def calibration_metrics(df: DataFrame, *, bins: int = 10, ends: tuple[Column, Column] | None = None) -> DataFrame:
+    """One row: Brier score, the mean (ece) and greatest (mce) gap of score and label over equal-width bins, and coverage.
+
+    coverage: the share of labels within the predicted interval, whose ends are given or else 1.96 deviations around the score. No rows
+    give 1 for the errors and 0 for the coverage.
+    """
+    low, high = ends or interval(F.col("score"), 1.96)
+    placed = df.withColumns({"bin": F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)), "fg_inside": F.col("label").between(low, high).cast("long")})
     error = F.col("score") - F.col("label")
-    per = placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("s"), F.avg("label").alias("t"), F.sum(error * error).alias("e"))
-    gap = F.abs(F.col("s") - F.col("t"))
-    n = F.sum("n")
-    return per.agg((F.sum("e") / n).alias("brier"), (F.sum(gap * F.col("n")) / n).alias("ece"), F.max(gap).alias("mce"))
+    per = placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("s"), F.avg("label").alias("t"), F.sum(error * error).alias("e"), F.sum("fg_inside").alias("i"))
+    gap, n = F.abs(F.col("s") - F.col("t")), F.sum("n")
+    told = {"brier": F.sum("e") / n, "ece": F.sum(gap * F.col("n")) / n, "mce": F.max(gap), "coverage": F.sum("i") / n}
+    return per.agg(*(F.coalesce(c, F.lit(0.0 if name == "coverage" else 1.0)).alias(name) for name, c in told.items()))
+
+
+#: Nominal levels of a coverage curve.
+LEVELS = (0.5, 0.68, 0.8, 0.9, 0.95, 0.99)
+
+
+def coverage_curve(df: DataFrame, *, levels: tuple[float, ...] = LEVELS, variance: float = 1.0) -> DataFrame:
+    """(level, coverage, width): how many labels lie within the intervals of each nominal level, and how wide these are on average.
+
+    An interval of a level spans as many deviations as a normal distribution needs for it. One pass and one row a level reach the
+    last task. No rows: no rows.
+    """
+    ends = {level: interval(F.col("score"), NormalDist().inv_cdf(0.5 + level / 2), variance) for level in levels}
+    cells = F.array(*(F.struct(F.lit(level).alias("level"), F.col("label").between(a, b).cast("double").alias("inside"), (b - a).alias("width")) for level, (a, b) in ends.items()))
+    rows = df.select(F.explode(cells).alias("x")).select("x.*")
+    return rows.groupBy("level").agg(F.avg("inside").alias("coverage"), F.avg("width").alias("width"))
 
 
 #: fixed values: column, votes 1 above, votes -1 below (none: never)
 LABEL_FUNCTIONS = [("sbfl_score", 0.7, 0.2), ("tdg_score", 0.5, 0.2), ("churn_score", 0.9, 0.3), ("complexity_score", 0.7, 0.3), ("rag_similarity", 0.8, None)]
 
+#: A labeling function: its name, and its vote as a column: 1 (defect), -1 (clean), 0 or null (abstains).
+Labeler = tuple[str, Column]
+
 
 def vote(column: str, above: float, below: float | None) -> Column:
     """1 above a threshold, -1 below another, else 0."""
@@ -68,19 +100,40 @@ def vote(column: str, above: float, below: float | None) -> Column:
     return (c if below is None else c.when(F.col(column) < below, -1)).otherwise(0)
 
 
-def label_functions(df: DataFrame) -> DataFrame:
-    """Adds a vote for each score: 1 (defect), -1 (clean) or 0 (abstains)."""
-    return df.withColumns({f"vote_{c}": vote(c, a, b) for c, a, b in LABEL_FUNCTIONS})
+def built_in_functions() -> list[Labeler]:
+    """A threshold on each score of a file."""
+    return [(c, vote(c, a, b)) for c, a, b in LABEL_FUNCTIONS]
+
+
+def label_functions(df: DataFrame, functions: list[Labeler] | None = None) -> DataFrame:
+    """Adds vote_<name> for each labeling function, built-in ones or a caller's: 1, -1 or 0; a null vote is 0, any other number an error."""
+    own = built_in_functions() if functions is None else functions
+    if not own or len({n for n, _ in own}) < len(own):
+        raise ValueError("labeling functions need names that differ, and there must be one at least")
+
+    def checked(name: str, c: Column) -> Column:
+        c = F.coalesce(c.cast("int"), F.lit(0))
+        return F.when(c.isin(-1, 0, 1), c).otherwise(F.raise_error(F.lit(f"{name}: a vote is 1, -1 or 0")).cast("int"))
+
+    return df.withColumns({f"vote_{n}": checked(n, c) if functions is not None else c for n, c in own})
+
+
+def vote_columns(voted: DataFrame) -> list[str]:
+    """The votes of a table, in the order of its columns."""
+    return [c for c in voted.columns if c.startswith("vote_")]
 
 
 def ensemble_predict(voted: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """Adds probability: weight of the positive votes over that of all votes cast, 0.5 where none is; equal weights by default."""
-    names = [f"vote_{c}" for c, _, _ in LABEL_FUNCTIONS]
+    """Adds probability: weight of the positive votes over that of all votes cast, 0.5 where none is; equal weights by default.
+
+    weights: by vote column, as label_model gives them. Any number of labeling functions takes part.
+    """
+    names = vote_columns(voted)
     weights = weights or {n: 1 / len(names) for n in names}
     side = lambda v: sum((F.when(F.col(n) == v, F.lit(w)).otherwise(F.lit(0.0)) for n, w in weights.items()), F.lit(0.0))
     return voted.withColumn("probability", F.coalesce(F.try_divide(side(1), side(1) + side(-1)), F.lit(0.5)))
 
 
-def file_scores(df: DataFrame) -> DataFrame:
-    """The five scores of a file, clamped to 0..1."""
-    return df.withColumns({c: F.greatest(F.least(F.col(c), F.lit(1.0)), F.lit(0.0)) for c, _, _ in LABEL_FUNCTIONS})
+def file_scores(df: DataFrame, scores: list[str] | None = None) -> DataFrame:
+    """The scores of a file, clamped to 0..1: the five built-in ones, or a caller's."""
+    return df.withColumns({c: F.greatest(F.least(F.col(c), F.lit(1.0)), F.lit(0.0)) for c in scores or [c for c, _, _ in LABEL_FUNCTIONS]})

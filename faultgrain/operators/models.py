@@ -13,8 +13,9 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultgrain.operators.evaluate import LABEL_FUNCTIONS
+from faultgrain.operators.evaluate import LABEL_FUNCTIONS, interval, vote_columns
 from faultgrain.operators.ordering import global_index
+from faultgrain.sources.scratch import checkpointed
 
 
 def train_text_classifier(rows: DataFrame, *, trees: int = 100, depth: int = 20, max_features: int = 1500, seed: int = 42) -> PipelineModel:
@@ -104,27 +105,26 @@ def inertia(clustered: DataFrame) -> DataFrame:
 def label_model(voted: DataFrame, *, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """(name, weight): weights of the labeling functions by expectation-maximisation, summing to 1; no rows, no weights.
 
-    Votes are 1, -1 or 0, so five functions have at most 243 vote rows: their counts are all that the fit needs, and
-    all that reaches the driver. It stops when the likelihood settles, without taking the last step.
+    Equal rows of votes are counted once and for all, in a table in the shared folder; a round is one aggregation over these
+    counts, whose single row, a weight for each function and the likelihood, is all that the driver sees, however many functions
+    and patterns there are. It stops when the likelihood settles, without taking the last step.
     """
-    names = [f"vote_{c}" for c, _, _ in LABEL_FUNCTIONS]
-    counts = [(tuple(r[n] for n in names), r["n"]) for r in voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()]
+    names = vote_columns(voted)
+    counts = checkpointed(voted.groupBy(*names).agg(F.count(F.lit(1)).alias("fg_n")))
     weights, before = [1 / len(names)] * len(names), -math.inf
-    for _ in range(rounds if counts else 0):
-        expected = []
-        for votes, _n in counts:
-            up, down = (sum(w for w, v in zip(weights, votes, strict=True) if v == side) for side in (1, -1))
-            expected.append(up / (up + down) if up + down > 0 else 0.5)
-        clamped = [min(max(p, 1e-10), 1 - 1e-10) for p in expected]
-        likelihood = sum(n * (math.log(p) + math.log(1 - p)) for p, (_, n) in zip(clamped, counts, strict=True))
-        if abs(likelihood - before) < tolerance:
+    fitted = not counts.isEmpty()
+    for _ in range(rounds if fitted else 0):
+        side = lambda v: sum((F.when(F.col(c) == v, F.lit(w)).otherwise(F.lit(0.0)) for c, w in zip(names, weights, strict=True)), F.lit(0.0))  # noqa: B023, E731
+        rows = counts.select(*names, "fg_n", side(1).alias("up"), side(-1).alias("down"))
+        rows = rows.withColumn("p", F.when(F.col("up") + F.col("down") > 0, F.try_divide("up", F.col("up") + F.col("down"))).otherwise(F.lit(0.5)))
+        p = F.greatest(F.least("p", F.lit(1 - 1e-10)), F.lit(1e-10))
+        fits = [F.sum(F.when(F.col(c) == 1, F.col("fg_n") * F.col("p")).when(F.col(c) == -1, F.col("fg_n") * (1 - F.col("p")))) / F.sum(F.when(F.col(c) != 0, F.col("fg_n"))) for c in names]
+        found = rows.agg(F.sum(F.col("fg_n") * (F.ln(p) + F.ln(1 - p))).alias("fg_fit"), *(F.coalesce(f, F.lit(0.5)).alias(c) for c, f in zip(names, fits, strict=True))).first()
+        if abs(found["fg_fit"] - before) < tolerance:
             break
-        before = likelihood
-        for j in range(len(names)):
-            cast = [(n, p if votes[j] == 1 else 1 - p) for p, (votes, n) in zip(expected, counts, strict=True) if votes[j]]
-            weights[j] = sum(n * p for n, p in cast) / sum(n for n, _ in cast) if cast else 0.5
+        before, weights = found["fg_fit"], [found[c] for c in names]
     total = sum(weights)
-    rows = [(n, w / total if total > 0 else w) for n, w in zip(names, weights, strict=True)] if counts else []
+    rows = [(n, w / total if total > 0 else w) for n, w in zip(names, weights, strict=True)] if fitted else []
     return voted.sparkSession.createDataFrame(rows, "name string, weight double")
 
 
@@ -136,16 +136,15 @@ def isotonic_calibrate(rows: DataFrame, *, order_by: str, tie: str, least_rows:
     return model.transform(rows)
 
 
-def calibrated_predict(rows: DataFrame, *, probability: str = "probability", variance: float = 1.0, weights: dict[str, float] | None = None) -> DataFrame:
+def calibrated_predict(rows: DataFrame, *, probability: str = "probability", variance: float = 1.0, weights: dict[str, float] | None = None, scores: list[str] | None = None) -> DataFrame:
     """Adds low, high, confidence_level and factors: an interval of 1.96 deviations, its class and each score's share in percent.
 
     The interval is clamped to 0..1; narrower than 0.15 is High, than 0.30 Medium, else Low. Shares of all-zero scores are equal.
+    scores: the columns that the factors come from, the five built-in ones or a caller's; weights are by these.
     """
-    names = [c for c, _, _ in LABEL_FUNCTIONS]
+    names = scores or [c for c, _, _ in LABEL_FUNCTIONS]
     weights = weights or {n: 1 / len(names) for n in names}
-    p = F.col(probability)
-    half = 1.96 * F.sqrt(variance * p * (1 - p))
-    low, high = F.greatest(p - half, F.lit(0.0)), F.least(p + half, F.lit(1.0))
+    low, high = interval(F.col(probability), 1.96, variance)
     parts = {n: F.abs(F.col(n) * weights[n]) for n in names}
     total = sum(parts.values(), F.lit(0.0))
     share = lambda n: F.when(total > 0, F.try_divide(parts[n], total) * 100).otherwise(F.lit(100.0 / len(names)))

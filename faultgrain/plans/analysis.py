@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -193,10 +195,21 @@ def precision_at_recall(spark, d):
     return E.precision_at_recall(view(spark, d, "predictions"), tie="doc_id").select(_r("precision"))
 
 
-@query(_with(_PREDICTIONS, """, v_b AS (SELECT least(floor(score * 10), 9) AS bin, count(*) AS n, abs(avg(score) - avg(label)) AS gap, sum((score - label) * (score - label)) AS e FROM v_predictions GROUP BY 1)
-  SELECT round(sum(e) / sum(n), 6) AS brier, round(sum(gap * n) / sum(n), 6) AS ece, round(max(gap), 6) AS mce FROM v_b"""))
+_Z = {level: NormalDist().inv_cdf(0.5 + level / 2) for level in E.LEVELS}
+_ENDS = "SELECT *, greatest(score - {z} * sqrt(score * (1 - score)), 0) AS low, least(score + {z} * sqrt(score * (1 - score)), 1) AS high FROM v_predictions"
+
+
+@query(_with(_PREDICTIONS, f""", v_i AS ({_ENDS.format(z=1.96)}), v_b AS (SELECT least(floor(score * 10), 9) AS bin, count(*) AS n, abs(avg(score) - avg(label)) AS gap, sum((score - label) * (score - label)) AS e,
+    count(*) FILTER (label BETWEEN low AND high) AS i FROM v_i GROUP BY 1)
+  SELECT round(sum(e) / sum(n), 6) AS brier, round(sum(gap * n) / sum(n), 6) AS ece, round(max(gap), 6) AS mce, round(CAST(sum(i) AS DOUBLE) / CAST(sum(n) AS DOUBLE), 6) AS coverage FROM v_b"""))
 def calibration_metrics(spark, d):
-    return E.calibration_metrics(view(spark, d, "predictions")).select(*map(_r, ("brier", "ece", "mce")))
+    return E.calibration_metrics(view(spark, d, "predictions")).select(*map(_r, ("brier", "ece", "mce", "coverage")))
+
+
+@query(_with(_PREDICTIONS, ", " + ", ".join(f"v_i{k} AS ({_ENDS.format(z=f'CAST({z!r} AS DOUBLE)')})" for k, z in enumerate(_Z.values())) + " " + " UNION ALL ".join(
+  f"SELECT CAST({level} AS DOUBLE) AS level, round(avg(CAST(label BETWEEN low AND high AS INT)), 6) AS coverage, round(avg(high - low), 6) AS width FROM v_i{k} HAVING count(*) > 0" for k, level in enumerate(_Z))))
+def coverage_curve(spark, d):
+    return E.coverage_curve(view(spark, d, "predictions")).select("level", _r("coverage"), _r("width"))
 
 
 _VOTES = f"{oracle('file_features')}, v_votes AS (SELECT row_id, " + ", ".join(
@@ -216,6 +229,27 @@ def ensemble_predict(spark, d):
     return E.ensemble_predict(E.label_functions(view(spark, d, "file_features"))).select("row_id", _r("probability"))
 
 
+# Two functions of a caller's own beside the five: a file suspicious on two counts, and one that nobody touches.
+_OWN = {
+    "hot_and_complex": "CASE WHEN sbfl_score > 0.6 AND complexity_score > 0.6 THEN 1 WHEN sbfl_score < 0.2 AND complexity_score < 0.2 THEN -1 END",
+    "stale": "CASE WHEN churn_score < 0.05 THEN -1 ELSE 0 END",
+}
+_OWN_NAMES = [*_VOTE_NAMES, *(f"vote_{n}" for n in _OWN)]
+_OWN_VOTES = f"{oracle('file_features')}, v_votes AS (SELECT row_id, " + ", ".join(
+    f"CASE WHEN {c} > {a} THEN 1 " + (f"WHEN {c} < {b} THEN -1 " if b is not None else "") + f"ELSE 0 END AS vote_{c}" for c, a, b in E.LABEL_FUNCTIONS
+) + "".join(f", coalesce({sql}, 0) AS vote_{n}" for n, sql in _OWN.items()) + " FROM v_file_features)"
+
+
+def _own_votes(spark, d) -> DataFrame:
+    return E.label_functions(view(spark, d, "file_features"), [*E.built_in_functions(), *((n, F.expr(sql)) for n, sql in _OWN.items())])
+
+
+@query(_with(_OWN_VOTES, f"SELECT row_id, {', '.join(_OWN_NAMES)}, round(CASE WHEN p + q = 0 THEN 0.5 ELSE CAST(p AS DOUBLE) / (p + q) END, 6) AS probability FROM (SELECT *, "
+  + " + ".join(f"CAST({v} = 1 AS INT)" for v in _OWN_NAMES) + " AS p, " + " + ".join(f"CAST({v} = -1 AS INT)" for v in _OWN_NAMES) + " AS q FROM v_votes)"))
+def own_label_functions(spark, d):
+    return E.ensemble_predict(_own_votes(spark, d)).select("row_id", *_OWN_NAMES, _r("probability"))
+
+
 # --- datasets, scores of repositories and files, graph
 
 

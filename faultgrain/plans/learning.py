@@ -15,7 +15,7 @@ from faultgrain.operators import patterns as P
 from faultgrain.operators import review as R
 from faultgrain.operators import text as X
 from faultgrain.operators import timeseries as S
-from faultgrain.plans.analysis import _TERMS, _VOTES, _features, _tokens
+from faultgrain.plans.analysis import _OWN_NAMES, _OWN_VOTES, _TERMS, _VOTES, _features, _own_votes, _tokens
 from faultgrain.plans.core import _PATTERNS, _RULES, _STATEMENTS, _classified, _r, _with
 from faultgrain.sources.files import validate_diagnostics as _validated
 from faultgrain.sources.views import oracle, view
@@ -171,27 +171,29 @@ def project_2d(spark, d):
 # --- fitted models; those without SQL are tested against plain code or properties
 
 
-_VOTE_COLUMNS = [f"vote_{c}" for c in _SCORES]
-_EM_ROUNDS = 5
+def _em_sql(votes: str, names: list[str]) -> str:
+    """Rounds of expectation and maximisation over counted vote rows, until the likelihood settles."""
+    n = len(names)
+    up, down = (" + ".join(f"CASE WHEN {v} = {side} THEN w[{j + 1}] ELSE 0 END" for j, v in enumerate(names)) for side in (1, -1))
+    fit = ", ".join(f"coalesce(sum(n * CASE WHEN {v} = 1 THEN p ELSE 1 - p END) FILTER ({v} <> 0) / sum(n) FILTER ({v} <> 0), 0.5)" for v in names)
+    rows = " UNION ALL ".join(f"SELECT '{v}' AS name, round(w[{j + 1}] / list_sum(w), 6) AS weight FROM v_last" for j, v in enumerate(names))
+    return f"""WITH RECURSIVE {votes}, v_c AS MATERIALIZED (SELECT {', '.join(names)}, count(*) AS n FROM v_votes GROUP BY ALL),
+v_em AS (SELECT 0 AS k, [{', '.join(['1.0::DOUBLE / ' + str(n)] * n)}] AS w, '-infinity'::DOUBLE AS fit, false AS done UNION ALL
+  SELECT k + 1, CASE WHEN abs(new - fit) < 1e-6 THEN w ELSE ws END, new, abs(new - fit) < 1e-6 FROM (
+    SELECT k, w, fit, sum(n * (ln(least(greatest(p, 1e-10), 1 - 1e-10)) + ln(1 - least(greatest(p, 1e-10), 1 - 1e-10)))) AS new, [{fit}] AS ws FROM (
+      SELECT *, CASE WHEN up + down > 0 THEN up / (up + down) ELSE 0.5 END AS p FROM (SELECT *, CAST({up} AS DOUBLE) AS up, CAST({down} AS DOUBLE) AS down FROM v_em, v_c WHERE NOT done AND k < 100)) GROUP BY k, w, fit)),
+v_last AS (SELECT w FROM v_em ORDER BY k DESC LIMIT 1) {rows}"""
 
 
-def _em_sql() -> str:
-    """Rounds of expectation and maximisation over counted vote rows."""
-    steps = [f"""{_VOTES}, v_c AS MATERIALIZED (SELECT {', '.join(_VOTE_COLUMNS)}, count(*) AS n FROM v_votes GROUP BY ALL),
-v_w0 AS (SELECT {', '.join(f'CAST(0.2 AS DOUBLE) AS w{j}' for j in range(5))})"""]
-    for k in range(1, _EM_ROUNDS + 1):
-        up, down = (" + ".join(f"CASE WHEN {v} = {side} THEN w{j} ELSE 0 END" for j, v in enumerate(_VOTE_COLUMNS)) for side in (1, -1))
-        steps.append(f"v_e{k} AS MATERIALIZED (SELECT v_c.*, CASE WHEN {up} + {down} > 0 THEN ({up}) / ({up} + {down}) ELSE 0.5 END AS p FROM v_c, v_w{k - 1})")
-        weights = ", ".join(f"coalesce(sum(n * CASE WHEN {v} = 1 THEN p ELSE 1 - p END) FILTER ({v} <> 0) / sum(n) FILTER ({v} <> 0), 0.5) AS w{j}" for j, v in enumerate(_VOTE_COLUMNS))
-        steps.append(f"v_w{k} AS MATERIALIZED (SELECT {weights} FROM v_e{k})")
-    total = " + ".join(f"w{j}" for j in range(5))
-    rows = " UNION ALL ".join(f"SELECT '{v}' AS name, round(w{j} / ({total}), 6) AS weight FROM v_w{_EM_ROUNDS}" for j, v in enumerate(_VOTE_COLUMNS))
-    return _with(", ".join(steps), rows)
+@query(_em_sql(_VOTES, [f"vote_{c}" for c in _SCORES]))
+def label_model(spark, d):
+    return M.label_model(E.label_functions(view(spark, d, "file_features"))).select("name", _r("weight"))
 
 
-@query(_em_sql())
-def label_model(spark, d):
-    return M.label_model(E.label_functions(view(spark, d, "file_features")), rounds=_EM_ROUNDS).select("name", _r("weight"))
+@query(_em_sql(_OWN_VOTES, _OWN_NAMES))
+def own_label_model(spark, d):
+    """Weights of five built-in labeling functions and two of a caller's own."""
+    return M.label_model(_own_votes(spark, d)).select("name", _r("weight"))
 
 
 @query(_with(_VOTES, ", v_p AS (SELECT row_id, CASE WHEN p + q = 0 THEN 0.5 ELSE CAST(p AS DOUBLE) / (p + q) END AS probability FROM (SELECT row_id, "
