@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,26 +43,83 @@ def in_windows(df: DataFrame, *, time: str = "timestamp", size: int = HALF_YEAR)
     return rows.where(first <= final).withColumn("window", F.explode(F.sequence(first, final))).drop("low", "last")
 
 
+#: Groups whose moments a task holds before it sends them on, and into how many parts a group's moments are first merged.
+_HELD, _PARTS = 10_000, 64
+
+
+def _merged(a: tuple, b: tuple) -> tuple:
+    """(rows, means, sums of centred products) of two sets of rows together."""
+    n = a[0] + b[0]
+    gap = b[1] - a[1]
+    return n, a[1] + gap * (b[0] / n), a[2] + b[2] + np.outer(gap, gap) * (a[0] * b[0] / n)
+
+
+def _rows_of(held: dict, part: int, names: list[str], key: pa.DataType) -> pa.RecordBatch:
+    k = [m[1] for m in held.values()]
+    columns = [pa.array(list(held), key), pa.array([part] * len(held), pa.int32()), pa.array([m[0] for m in held.values()], pa.int64())]
+    columns += [pa.array([x.tolist() for x in k], pa.list_(pa.float64())), pa.array([m[2].ravel().tolist() for m in held.values()], pa.list_(pa.float64()))]
+    return pa.RecordBatch.from_arrays(columns, names)
+
+
+def _moments(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    held: dict = {}
+    part, key = TaskContext.get().partitionId() % _PARTS, None
+    for batch in batches:
+        key = batch.column(0).type
+        x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[1:]], 1)
+        groups = batch.column(0).dictionary_encode()
+        at = groups.indices.fill_null(len(groups.dictionary)).to_numpy(zero_copy_only=False)
+        whole = ~np.isnan(x).any(1)
+        x, at = x[whole], at[whole]
+        values = [*groups.dictionary.to_pylist(), None]
+        for g in np.unique(at):
+            some = x[at == g]
+            mean = some.mean(0)
+            centred = some - mean
+            own = (len(some), mean, centred.T @ centred)
+            held[values[g]] = _merged(held[values[g]], own) if values[g] in held else own
+        if len(held) > _HELD:
+            yield _rows_of(held, part, names, key)
+            held = {}
+    if held:
+        yield _rows_of(held, part, names, key)
+
+
+def _added(table: pa.Table) -> tuple:
+    rows = [(n, np.array(m), np.array(s).reshape(len(m), -1)) for n, m, s in zip(*(table[c].to_pylist() for c in ("n", "mean", "products")), strict=True)]
+    return reduce(_merged, rows)
+
+
+def _r_rows(table: pa.Table, by: str) -> pa.Table:
+    _, _, s = _added(table)
+    spread = np.sqrt(np.maximum(np.diag(s), 0))
+    product = np.outer(spread, spread)
+    r = np.divide(s, product, out=np.zeros_like(s), where=product > 1e-9)
+    np.fill_diagonal(r, 1.0)
+    k = len(s)
+    i, j = np.divmod(np.arange(k * k), k)
+    return pa.table({by: pa.concat_arrays([table[by].chunk(0).slice(0, 1)] * (k * k)), "i": pa.array(i.astype(np.int32)), "j": pa.array(j.astype(np.int32)), "r": pa.array(r.ravel())})
+
+
 def correlations(df: DataFrame, columns: list[str], *, by: str = "window") -> DataFrame:
     """(by, i, j, r): Pearson's r of every pair of columns in each group; 1 on the diagonal, 0 where one is constant.
 
-    Means first, then sums of centred products: sums of raw squares lose the digits of epoch seconds. Both passes
-    aggregate before the shuffle. Products are summed as rows (by, i, j), each unordered pair once, so the plan doesn't
-    grow with the number of columns.
+    One pass: each task keeps the number of rows, the means and the matrix of centred products of each group, and sends on these alone;
+    matrices are merged by the gap of their means, first in parts and then whole, so the digits of epoch seconds don't get lost. Rows with a null
+    or NaN in a column don't count. The shuffle has one matrix for each task and group, whatever the number of rows.
     """
+    kind = df.schema[by].dataType.simpleString()
     pick = df.select(by, *(F.col(f"`{c}`").cast("double").alias(f"c{k}") for k, c in enumerate(columns)))
-    means = pick.groupBy(by).agg(*(F.avg(f"c{k}").alias(f"m{k}") for k in range(len(columns))))
-    centred = pick.join(means, by).select(by, F.array(*(F.col(f"c{k}") - F.col(f"m{k}") for k in range(len(columns)))).alias("x"))
-    left = centred.select(by, "x", F.posexplode("x").alias("i", "a"))
-    both = left.select(by, "i", "a", F.posexplode(F.slice("x", F.col("i") + 1, len(columns))).alias("k", "b"))
-    sums = both.groupBy(by, "i", (F.col("i") + F.col("k")).alias("j")).agg(F.sum(F.col("a") * F.col("b")).alias("s"))
-    # from here on there are at most columns**2 / 2 rows a group
-    every = sums.groupBy(by).agg(F.collect_list(F.struct("i", "j", "s")).alias("cells"), F.map_from_entries(F.collect_list(F.when(F.col("i") == F.col("j"), F.struct("i", "s")))).alias("own"))
-    cells = every.select(by, "own", F.explode("cells").alias("c")).select(by, "c.i", "c.j", "c.s", "own")
-    product = F.sqrt(F.element_at("own", F.col("i"))) * F.sqrt(F.element_at("own", F.col("j")))
-    r = F.when(F.col("i") == F.col("j"), F.lit(1.0)).when(product > 1e-9, F.try_divide("s", product)).otherwise(F.lit(0.0))
-    cells = cells.select(by, "i", "j", r.alias("r"))
-    return cells.unionByName(cells.where("i < j").select(by, F.col("j").alias("i"), F.col("i").alias("j"), "r"))
+    names = [by, "fg_part", "n", "mean", "products"]
+    schema = f"`{by}` {kind}, fg_part int, n long, mean array<double>, products array<double>"
+    parts = pick.mapInArrow(lambda b: _moments(b, names), schema)
+
+    def together(table: pa.Table) -> pa.Table:
+        held = {table[by][0].as_py(): _added(table)}
+        return pa.Table.from_batches([_rows_of(held, table["fg_part"][0].as_py(), names, table[by].type)])
+
+    merged = parts.groupBy(by, "fg_part").applyInArrow(together, schema)
+    return merged.groupBy(by).applyInArrow(lambda t: _r_rows(t, by), f"`{by}` {kind}, i int, j int, r double")
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
