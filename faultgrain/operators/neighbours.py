@@ -2,46 +2,159 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from faultgrain.operators.ordering import global_index
 from faultgrain.sources.scratch import checkpointed
 
-#: Rows of the side that is sent to all others at most.
-MOST = 50_000
+def distance2(left: list[Column], right: list[Column]) -> Column:
+    """The squared distance, summed in the order of the columns."""
+    return reduce(lambda s, x: s + x, ((a - b) * (a - b) for a, b in zip(left, right, strict=True)))
 
 
-def _bounded(rows: DataFrame, most: int, what: str) -> DataFrame:
-    """``rows`` to be broadcast, after their number was checked."""
-    n = rows.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"{what}: over {most} rows to compare with all others; take a sample, or raise the bound knowingly")
-    return F.broadcast(rows)
+#: Rows of each side of a tile, about: what one task compares at a time.
+TILE = 2048
+#: Pivots at most; their coordinates and what is known of their cells are all that the driver holds.
+PIVOTS = 256
 
 
-def distance2(left: list[Column], right: list[Column]) -> Column:
-    """The squared distance, summed in the order of the columns."""
-    return reduce(lambda s, x: s + x, ((a - b) * (a - b) for a, b in zip(left, right, strict=True)))
+def _points(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(fg_key, fg_v): rows without a null coordinate."""
+    v = F.array(*(F.col(f"`{c}`").cast("double") for c in columns))
+    return rows.select(F.col(key).alias("fg_key"), v.alias("fg_v")).where(~F.exists("fg_v", lambda x: x.isNull() | F.isnan(x)))
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of each row of x from each of y, summed in the order of the columns, as an expression of columns would."""
+    out = np.zeros((len(x), len(y)))
+    for k in range(x.shape[1]):
+        gap = x[:, k, None] - y[None, :, k]
+        gap *= gap
+        out += gap
+    return out
+
+
+def _in_cells(batches: Iterator[pa.RecordBatch], pivots: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each point with its nearest pivot (fg_cell) and its distance from it (fg_gap)."""
+    for batch in batches:
+        cells, gaps = [np.zeros(0, np.int32)], [np.zeros(0)]
+        x = _matrix(batch.column("fg_v"), pivots.shape[1])
+        for i in range(0, len(x), TILE):
+            d = np.sqrt(_squares(x[i : i + TILE], pivots))
+            cells.append(d.argmin(1).astype(np.int32))
+            gaps.append(d.min(1))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(cells)), pa.array(np.concatenate(gaps))], ["fg_key", "fg_v", "fg_cell", "fg_gap"])
+
+
+class _Cells:
+    """What is known of the cells: their pivots, numbers of rows, greatest distance, and the nearest few distances from the pivot."""
+
+    def __init__(self, pivots: np.ndarray, placed: DataFrame, few: int):
+        best = Window.partitionBy("fg_cell").orderBy("fg_gap")
+        first = placed.select("fg_cell", "fg_gap").withColumn("place", F.row_number().over(best)).where(F.col("place") <= few)
+        near = first.groupBy("fg_cell").agg(F.collect_list("fg_gap").alias("near"))  # `few` at most
+        found = placed.groupBy("fg_cell").agg(F.count(F.lit(1)).alias("n"), F.max("fg_gap").alias("radius")).join(near, "fg_cell").collect()  # a row for each cell
+        self.pivots, k = pivots, len(pivots)
+        self.n, self.radius, self.near = np.zeros(k, np.int64), np.full(k, -np.inf), np.full((k, few), np.inf)
+        for r in found:
+            self.n[r.fg_cell], self.radius[r.fg_cell] = r.n, r.radius
+            self.near[r.fg_cell, : len(r.near)] = sorted(r.near)
+        self.apart = np.sqrt(_squares(pivots, pivots))
+
+    def asked(self, x: np.ndarray) -> list[np.ndarray]:
+        """The cells that can hold one of the nearest few rows of each query.
 
+        No query's last neighbour is further than by way of a pivot (the triangle inequality over what is known of its cell); a cell is out if its rows
+        are all further than that from the query, for their distance from its pivot or for the plane between it and the query's own.
+        """
+        d = np.sqrt(_squares(x, self.pivots))
+        bound = np.sort((d[:, :, None] + self.near[None]).reshape(len(x), -1), 1)[:, self.near.shape[1] - 1] * (1 + 1e-9) + 1e-9
+        own = d.argmin(1)
+        between = self.apart[own]
+        plane = np.divide(d**2 - d[np.arange(len(x)), own][:, None] ** 2, 2 * between, out=np.zeros_like(d), where=between > 0)
+        keep = (d - self.radius[None] <= bound[:, None]) & (plane <= bound[:, None]) & (self.n > 0)
+        return [np.flatnonzero(k).astype(np.int32) for k in keep]
 
-def nearest(queries: DataFrame, rows: DataFrame, columns: list[str], *, k: int, query: str, key: str, keep: list[str] = (), apart: bool = False, most: int = MOST) -> DataFrame:
-    """(query, key, distance, place, and ``keep`` of rows): the k nearest rows of each query, ties by key.
 
-    queries: (query, columns), ``most`` at most, sent to all tasks; rows: (key, columns). Each task keeps its k nearest of
-    each query before the shuffle. ``apart``: a query isn't compared with the row whose key it has.
+def _asking(batches: Iterator[pa.RecordBatch], cells: _Cells) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x, found = _matrix(batch.column("fg_v"), cells.pivots.shape[1]), []
+        for i in range(0, len(x), TILE):
+            found += cells.asked(x[i : i + TILE])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], ["fg_query", "fg_v", "fg_own", "fg_cells"])
+
+
+def _tile(asked: pa.Table, rows: pa.Table, k: int, dims: int, counter) -> pa.Table:
+    """(fg_query, fg_key, fg_d): the k nearest rows of each query within a tile, ties by key."""
+    rows = rows.sort_by("fg_key")
+    d = _squares(_matrix(asked["fg_v"], dims), _matrix(rows["fg_v"], dims))
+    if counter is not None:
+        counter.add(d.size)
+    same = asked["fg_own"].combine_chunks()
+    if same.null_count < len(same):
+        d[np.array(same.to_pylist(), object)[:, None] == np.array(rows["fg_key"].to_pylist(), object)[None]] = np.inf
+    told = np.round(d, 9)
+    last = np.partition(told, k - 1, 1)[:, k - 1 : k] if k < told.shape[1] else np.full((len(told), 1), np.inf)
+    less, even = told < last, (told == last) & np.isfinite(told)
+    even &= np.cumsum(even, 1) <= k - less.sum(1, keepdims=True)
+    i, j = np.nonzero((less | even) & np.isfinite(told))
+    return pa.table({"fg_query": asked["fg_query"].take(pa.array(i)), "fg_key": rows["fg_key"].take(pa.array(j)), "fg_d": pa.array(d[i, j])})
+
+
+def _dealt(rows: DataFrame, key: str, own: dict[int, int], other: dict[int, int], sides: tuple[str, str]) -> DataFrame:
+    """Rows of each cell dealt to its parts on one side, and sent to all parts of the other; cells are a row each on the driver."""
+    spark = rows.sparkSession
+    parts = F.broadcast(spark.createDataFrame([(c, own[c], other[c]) for c in own if c in other], "fg_cell int, fg_own_parts int, fg_other_parts int"))
+    out = rows.join(parts, "fg_cell").withColumn(sides[0], F.pmod(F.xxhash64(key), F.col("fg_own_parts")).cast("int"))
+    return out.withColumn(sides[1], F.explode(F.sequence(F.lit(0), F.col("fg_other_parts") - 1))).drop("fg_own_parts", "fg_other_parts")
+
+
+def nearest(queries: DataFrame, rows: DataFrame, columns: list[str], *, k: int, query: str, key: str, keep: list[str] = (), apart: bool = False, tile: int = TILE, counter=None) -> DataFrame:
+    """(query, key, distance, place, and ``keep`` of rows): the k nearest rows of each query, ties by key, exact at any size of either side.
+
+    queries: (query, columns); rows: (key, columns), of keys that differ. ``apart``: a query isn't compared with the row whose key it has. Rows
+    with a null coordinate take no part. Rows are put into cells of their nearest pivot (some rows, by a hash of the key); a query is only
+    sent to the cells that can hold one of its neighbours. What meets in a cell is compared in tiles of about ``tile`` rows and queries, so a
+    cell of any size is dealt to many tasks, each of which sends on k rows a query. counter: an accumulator that counts compared pairs.
     """
-    asked = queries.select(query, *(F.col(c).cast("double").alias(f"fg_q_{c}") for c in columns))
-    pairs = rows.join(_bounded(asked, most, "queries"), (F.col(query) != F.col(key)) if apart else F.lit(True))
-    d = distance2([F.col(c).cast("double") for c in columns], [F.col(f"fg_q_{c}") for c in columns])
-    pairs = pairs.select(query, key, *keep, F.round(d, 9).alias("fg_d"))
-    best = Window.partitionBy(query).orderBy("fg_d", key)
-    top = pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
-    return top.withColumn("distance", F.sqrt("fg_d")).drop("fg_d")
+    few = k + 1 if apart else k
+    points = _points(rows, key, columns)
+    kind = points.schema["fg_key"].dataType.simpleString()
+    count = points.count()
+    p = min(PIVOTS, max(1, math.isqrt(count) // 4 if count > tile else 1))
+    pivots = np.array([r.fg_v for r in points.orderBy(F.xxhash64("fg_key"), "fg_key").limit(p).collect()], float).reshape(-1, len(columns))
+    placed = checkpointed(points.mapInArrow(lambda b: _in_cells(b, pivots), f"fg_key {kind}, fg_v array<double>, fg_cell int, fg_gap double") if len(pivots) else points.selectExpr("fg_key", "fg_v", "0 AS fg_cell", "0.0D AS fg_gap"))
+    asked = _points(queries, query, columns).withColumn("fg_own", F.col("fg_key").cast(kind) if apart else F.lit(None).cast(kind))
+    asked_kind = asked.schema["fg_key"].dataType.simpleString()
+    cells = _Cells(pivots, placed, few)
+    sent = asked.mapInArrow(lambda b: _asking(b, cells), f"fg_query {asked_kind}, fg_v array<double>, fg_own {kind}, fg_cells array<int>")
+    sent = checkpointed(sent.select("fg_query", "fg_v", "fg_own", F.explode("fg_cells").alias("fg_cell")))
+    wanted = {r.fg_cell: -(-r["count"] // tile) for r in sent.groupBy("fg_cell").count().collect()}  # a row for each cell
+    held = {c: int(-(-n // tile)) for c, n in enumerate(cells.n.tolist()) if n}
+    left = _dealt(sent, "fg_query", wanted, held, ("fg_q_part", "fg_r_part")).groupBy("fg_cell", "fg_q_part", "fg_r_part")
+    right = _dealt(placed.select("fg_key", "fg_v", "fg_cell"), "fg_key", held, wanted, ("fg_r_part", "fg_q_part")).groupBy("fg_cell", "fg_q_part", "fg_r_part")
+    dims = len(columns)
+    none = pa.table({"fg_query": pa.array([], to_arrow_type(asked.schema["fg_key"].dataType)), "fg_key": pa.array([], to_arrow_type(points.schema["fg_key"].dataType)), "fg_d": pa.array([], pa.float64())})
+    found = left.cogroup(right).applyInArrow(lambda a, b: _tile(a, b, k, dims, counter) if len(a) and len(b) else none, f"fg_query {asked_kind}, fg_key {kind}, fg_d double")
+    best = Window.partitionBy("fg_query").orderBy("fg_d", "fg_key")
+    top = found.withColumn("fg_d", F.round("fg_d", 9)).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    out = top.select(F.col("fg_query").alias(query), F.col("fg_key").alias(key), F.sqrt("fg_d").alias("distance"), "place")
+    return out.join(rows.select(key, *keep), key).select(query, key, *keep, "place", "distance") if keep else out
 
 
 def knn_proba(queries: DataFrame, rows: DataFrame, columns: list[str], *, query: str, key: str, label: str = "label", k: int = 10) -> DataFrame:
@@ -56,12 +169,23 @@ def knn_predict(queries: DataFrame, rows: DataFrame, columns: list[str], *, quer
     return votes.groupBy(query).agg(F.max_by(label, F.struct("votes", label)).alias("predicted"))
 
 
-def smote(rows: DataFrame, columns: list[str], *, minority: Column, order_by: str, ratio: float = 1.0, k: int = 5, least: dict[str, float] | None = None, most: int = MOST) -> DataFrame:
+#: Numbers of a commit's features that are whole and small: they lose their fraction, and two have a greatest value.
+_WHOLE = {"hour_of_day": 23, "day_of_week": 6, "error_code_class": 255, "has_suggestion": 255, "suggestion_applicability": 255, "clippy_lint_count": 255}
+_LEAST = {"files_changed": 0.0, "lines_added": 0.0, "lines_deleted": 0.0}
+
+
+def feature_limits(columns: list[str]) -> dict[str, Callable[[Column], Column]]:
+    """How a made-up number of a commit's features is cut to what the feature can be: sizes are 0 at least, whole numbers are cut down and clamped."""
+    low = {c: lambda x, v=v: F.greatest(x, F.lit(v)) for c, v in _LEAST.items() if c in columns}
+    return low | {c: lambda x, v=v: F.least(F.floor(F.greatest(x, F.lit(0.0))), F.lit(v)).cast("double") for c, v in _WHOLE.items() if c in columns}
+
+
+def smote(rows: DataFrame, columns: list[str], *, minority: Column, order_by: str, ratio: float = 1.0, k: int = 5, limits: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """(sample, base, neighbour, columns): synthetic rows that bring a minority up to ``ratio`` times all others; none if it is.
 
     Row i starts from the minority's row i mod m in the order of ``order_by`` (its position is ``base``) and goes a share of
-    ((17 i + 42) mod 100) / 100 towards that row's neighbour number i mod k. ``least``: columns that are cut off below a value.
-    An empty minority, or one row alone, is an error. Base rows that are used (``most`` at most) meet all of the minority.
+    ((17 i + 42) mod 100) / 100 towards that row's neighbour number i mod k. ``limits``: what a column's made-up value is cut to (see feature_limits).
+    An empty minority, or one row alone, is an error.
     """
     few = rows.where(minority).select(order_by, *(F.col(c).cast("double").alias(c) for c in columns))
     few = checkpointed(global_index(few, order_by, order_by).select("position", *columns))
@@ -70,38 +194,64 @@ def smote(rows: DataFrame, columns: list[str], *, minority: Column, order_by: st
         raise ValueError(f"{m} rows of the minority: at least two are asked for")
     needed = int((rows.count() - m) * ratio) - m
     base = few.where(F.col("position") < max(needed, 0)).withColumnRenamed("position", "base")
-    near = nearest(base, few, columns, k=k, query="base", key="position", keep=columns, apart=True, most=most)
+    near = nearest(base, few, columns, k=k, query="base", key="position", keep=columns, apart=True)
     near = near.select("base", F.col("position").alias("neighbour"), (F.col("place") - 1).alias("place"), *(F.col(c).alias(f"fg_n_{c}") for c in columns))
     each = near.groupBy("base").agg(F.count(F.lit(1)).alias("each"))
     samples = rows.sparkSession.range(max(needed, 0)).withColumnRenamed("id", "sample").withColumn("base", F.col("sample") % m)
     samples = samples.join(each, "base").withColumn("place", F.col("sample") % F.col("each"))
     gap = ((F.col("sample") * 17 + 42) % 100) / F.lit(100.0)
     value = lambda c: F.col(c) + gap * (F.col(f"fg_n_{c}") - F.col(c))
-    cut = lambda c: F.greatest(value(c), F.lit(float(least[c]))) if least and c in least else value(c)
+    cut = lambda c: limits[c](value(c)) if limits and c in limits else value(c)
     return samples.join(near, ["base", "place"]).join(base, "base").select("sample", "base", "neighbour", *(cut(c).alias(c) for c in columns))
 
 
-def silhouettes(rows: DataFrame, columns: list[str], *, key: str, cluster: str = "cluster", most: int = MOST) -> DataFrame:
+def _tile_sums(own: pa.Table, other: pa.Table, dims: int) -> pa.Table:
+    """(fg_key, fg_cluster, fg_to, fg_sum, fg_n): each own point's distances to the tile's other points, summed by their cluster."""
+    d = np.sqrt(_squares(_matrix(own["fg_v"], dims), _matrix(other["fg_v"], dims)))
+    d[np.array(own["fg_key"].to_pylist(), object)[:, None] == np.array(other["fg_key"].to_pylist(), object)[None]] = np.nan
+    clusters = other["fg_cluster"].combine_chunks().dictionary_encode()
+    member = np.arange(len(clusters.dictionary))[None] == clusters.indices.to_numpy(zero_copy_only=False)[:, None]
+    there = np.isfinite(d)
+    sums, n = np.where(there, d, 0.0) @ member.astype(float), there.astype(float) @ member.astype(float)
+    i, j = np.divmod(np.arange(sums.size), sums.shape[1])
+    columns = {"fg_key": own["fg_key"].take(pa.array(i)), "fg_cluster": own["fg_cluster"].take(pa.array(i)), "fg_to": clusters.dictionary.take(pa.array(j))}
+    return pa.table(columns | {"fg_sum": pa.array(sums.ravel()), "fg_n": pa.array(n.ravel().astype(np.int64))})
+
+
+def silhouettes(rows: DataFrame, columns: list[str], *, key: str, cluster: str = "cluster", tile: int = TILE) -> DataFrame:
     """(key, silhouette): (b - a) / max(a, b) of mean distances to the row's own cluster (a, others than itself) and the nearest other (b).
 
-    A cluster of one row has a = 0; without another cluster b = 0; 0 where both are 0. Exact, so every row meets every other:
-    ``most`` rows at most. ``silhouette`` has a form for more.
+    A cluster of one row has a = 0; without another cluster b = 0; 0 where both are 0. Rows with a null coordinate or cluster are left out; keys differ.
+    Exact, so every row meets every other: in tiles of about ``tile`` x ``tile`` rows, each of which a task sums by cluster, so no task or
+    broadcast holds more, however many rows there are. The work grows with their square; squared_silhouette is for more than it can bear.
     """
-    own = rows.select(F.col(key).alias("fg_key"), F.col(cluster).alias("fg_cluster"), *(F.col(c).cast("double").alias(f"fg_q_{c}") for c in columns))
-    pairs = rows.join(_bounded(own, most, "silhouettes"))
-    d = F.sqrt(distance2([F.col(f"fg_q_{c}") for c in columns], [F.col(c).cast("double") for c in columns]))
-    other = F.when(F.col(key) != F.col("fg_key"), d)
-    means = pairs.groupBy("fg_key", "fg_cluster", F.col(cluster).alias("fg_to")).agg(F.avg(other).alias("mean"))
+    points = _points(rows, key, columns).join(rows.where(F.col(cluster).isNotNull()).select(F.col(key).alias("fg_key"), F.col(cluster).alias("fg_cluster")), "fg_key")
+    points = checkpointed(points)
+    parts = max(1, -(-points.count() // tile))
+    part, every = F.pmod(F.xxhash64("fg_key"), F.lit(parts)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = points.withColumn("fg_i", part).withColumn("fg_j", every).groupBy("fg_i", "fg_j")
+    right = points.withColumn("fg_j", part).withColumn("fg_i", every).groupBy("fg_i", "fg_j")
+    dims, kind, of = len(columns), points.schema["fg_key"].dataType.simpleString(), points.schema["fg_cluster"].dataType.simpleString()
+    sums = left.cogroup(right).applyInArrow(lambda a, b: _tile_sums(a, b, dims) if len(a) and len(b) else _no_sums(a, b), f"fg_key {kind}, fg_cluster {of}, fg_to {of}, fg_sum double, fg_n long")
+    means = sums.groupBy("fg_key", "fg_cluster", "fg_to").agg(F.try_divide(F.sum("fg_sum"), F.sum("fg_n")).alias("mean"))
     same = F.col("fg_cluster") == F.col("fg_to")
     ab = means.groupBy("fg_key").agg(F.coalesce(F.max(F.when(same, F.col("mean"))), F.lit(0.0)).alias("a"), F.coalesce(F.min(F.when(~same, F.col("mean"))), F.lit(0.0)).alias("b"))
     s = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
     return ab.select(F.col("fg_key").alias(key), s.alias("silhouette"))
 
 
-def silhouette(rows: DataFrame, columns: list[str], *, key: str, cluster: str = "cluster", exact: bool = True, most: int = MOST) -> DataFrame:
-    """One row: the mean silhouette. Not ``exact``: of squared distances, from sums of each cluster alone, for any number of rows."""
-    if exact:
-        return silhouettes(rows, columns, key=key, cluster=cluster, most=most).agg(F.avg("silhouette").alias("silhouette"))
+def _no_sums(own: pa.Table, other: pa.Table) -> pa.Table:
+    some = own if len(own.schema) else other
+    return pa.table({"fg_key": some["fg_key"].slice(0, 0), "fg_cluster": some["fg_cluster"].slice(0, 0), "fg_to": some["fg_cluster"].slice(0, 0), "fg_sum": pa.array([], pa.float64()), "fg_n": pa.array([], pa.int64())})
+
+
+def silhouette(rows: DataFrame, columns: list[str], *, key: str, cluster: str = "cluster", tile: int = TILE) -> DataFrame:
+    """One row: the mean silhouette, exact (see silhouettes)."""
+    return silhouettes(rows, columns, key=key, cluster=cluster, tile=tile).agg(F.avg("silhouette").alias("silhouette"))
+
+
+def squared_silhouette(rows: DataFrame, columns: list[str], *, cluster: str = "cluster") -> DataFrame:
+    """One row: the mean silhouette of squared distances, another measure, from sums of each cluster alone."""
     placed = VectorAssembler(inputCols=columns, outputCol="fg_features").transform(rows)
     value = ClusteringEvaluator(featuresCol="fg_features", predictionCol=cluster).evaluate(placed)
     return rows.sparkSession.range(1).select(F.lit(value).alias("silhouette"))
@@ -116,7 +266,7 @@ def _centre_of(columns: list[str], centres: list[tuple]) -> tuple[Column, Column
 
 
 def kmeans_exact(rows: DataFrame, columns: list[str], *, k: int, order_by: str, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
-    """Adds cluster and distance2: Lloyd's rounds from the first k rows, until no centre moves by ``tolerance``.
+    """Adds cluster and distance2: Lloyd's rounds from the first k rows, until no centre moves by ``tolerance`` (or 1e-12 of its length, what sums may round to).
 
     A round is one aggregation of k rows, which is all that reaches the driver. A centre without rows stays where it is.
     """
@@ -130,9 +280,9 @@ def kmeans_exact(rows: DataFrame, columns: list[str], *, k: int, order_by: str,
         new = list(centres)
         for r in found:
             new[r["cluster"]] = tuple(float(r[c]) for c in columns)
-        moved = max(sum((a - b) ** 2 for a, b in zip(x, y, strict=True)) for x, y in zip(centres, new, strict=True)) ** 0.5
+        still = all(math.dist(x, y) < max(tolerance, 1e-12 * math.hypot(*y)) for x, y in zip(centres, new, strict=True))
         centres = new
-        if moved < tolerance:
+        if still:
             break
     number, least = _centre_of(columns, centres)
     return placed.withColumns({"cluster": number, "distance2": least})

@@ -230,12 +230,12 @@ def cluster_repos(spark, d):
 
 @query()
 def semantic_clusters(spark, d):
-    return M.semantic_clusters(_tokens(spark, d), k=4, rounds=20).select("doc_id", "cluster", "distance2")
+    return M.semantic_clusters(_tokens(spark, d), k=4).select("doc_id", "cluster", "distance2")
 
 
 def _predicted(spark, d) -> DataFrame:
     rows = X.tokenize(_classified(spark, d), text="message")
-    return M.predict_top_n(M.train_text_classifier(rows, trees=20, depth=10), rows, key="commit_id")
+    return M.predict_top_n(M.train_text_classifier(rows), rows, key="commit_id")
 
 
 @query()

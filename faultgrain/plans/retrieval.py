@@ -16,6 +16,7 @@ from faultgrain.operators import ordering as O
 from faultgrain.operators import retrieval as L
 from faultgrain.operators import stems as Z
 from faultgrain.operators import text as X
+from faultgrain.operators import timeseries as S
 from faultgrain.plans.analysis import _TERMS, _TRAINING, _WORDS, _features, _tokens, _training
 from faultgrain.plans.core import _DIAG, _FEATURES, _RULES, _SCORED_TOP, _classified, _quoted, _r, _scores, _with
 from faultgrain.sources.views import oracle, view
@@ -106,52 +107,57 @@ def silhouette(spark, d):
     return K.silhouette(_vectors(spark, d), _DIMS, key="vec_id", cluster="label").select(_r("silhouette"))
 
 
-_NUMBERS = ["files_changed", "lines_added", "lines_deleted", "timestamp", "hour_of_day", "day_of_week"]
+_ALSO = "0 AS complexity_delta, 4 AS error_code_class, 0 AS has_suggestion, 0 AS suggestion_applicability, 0 AS clippy_lint_count, 0 AS span_line_delta, 0 AS diagnostic_confidence"
 _FEW = "defect_category = 3"
-_MINORITY = f"""{_FEATURES}, v_few AS MATERIALIZED (SELECT row_number() OVER (ORDER BY commit_id) - 1 AS p, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _NUMBERS)} FROM v_features WHERE {_FEW}),
+_MINORITY = f"""{_FEATURES}, v_few AS MATERIALIZED (SELECT row_number() OVER (ORDER BY commit_id) - 1 AS p, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in S.FEATURES)} FROM (SELECT *, {_ALSO} FROM v_features) WHERE {_FEW}),
 v_m AS (SELECT count(*) AS m FROM v_few), v_need AS (SELECT CAST(floor(((SELECT count(*) FROM v_features) - m) * CAST(0.1 AS DOUBLE)) AS BIGINT) - m AS need, m FROM v_m),
-v_near AS (SELECT b.p AS base, n.p AS neighbour, row_number() OVER (PARTITION BY b.p ORDER BY round({' + '.join(f'(n.{c} - b.{c}) * (n.{c} - b.{c})' for c in _NUMBERS)}, 9), n.p) - 1 AS place
+v_near AS (SELECT b.p AS base, n.p AS neighbour, row_number() OVER (PARTITION BY b.p ORDER BY round({' + '.join(f'(n.{c} - b.{c}) * (n.{c} - b.{c})' for c in S.FEATURES)}, 9), n.p) - 1 AS place
   FROM v_few b JOIN v_need ON b.p < need JOIN v_few n ON n.p <> b.p QUALIFY place < 5),
 v_each AS (SELECT base, count(*) AS c FROM v_near GROUP BY base),
 v_s AS (SELECT i AS sample, i % m AS base, ((i * 17 + 42) % 100) / CAST(100 AS DOUBLE) AS gap FROM (SELECT unnest(range(greatest(need, 0))) AS i, m FROM v_need))"""
+_CUT = {"files_changed": "greatest({}, 0)", "lines_added": "greatest({}, 0)", "lines_deleted": "greatest({}, 0)", "hour_of_day": "least(floor(greatest({}, 0)), 23)", "day_of_week": "least(floor(greatest({}, 0)), 6)"}
+_CUT |= {c: "least(floor(greatest({}, 0)), 255)" for c in ("error_code_class", "has_suggestion", "suggestion_applicability", "clippy_lint_count")}
 
 
-@query(_with(_MINORITY, f"SELECT sample, v_s.base, neighbour, {', '.join(f'round(b.{c} + gap * (n.{c} - b.{c}), 4) AS {c}' for c in _NUMBERS)} FROM v_s JOIN v_each USING (base) "
+@query(_with(_MINORITY, f"SELECT sample, v_s.base, neighbour, {', '.join(f'round({_CUT.get(c, '{}').format(f'(b.{c} + gap * (n.{c} - b.{c}))')}, 4) AS {c}' for c in S.FEATURES)} FROM v_s JOIN v_each USING (base) "
   "JOIN v_near r ON r.base = v_s.base AND r.place = sample % c JOIN v_few b ON b.p = v_s.base JOIN v_few n ON n.p = neighbour"))
 def smote(spark, d):
-    rows = _features(spark, d).select("commit_id", "defect_category", *_NUMBERS)
-    out = K.smote(rows, _NUMBERS, minority=F.expr(_FEW), order_by="commit_id", ratio=0.1, least={"files_changed": 0, "lines_added": 0, "lines_deleted": 0})
-    return out.select("sample", "base", "neighbour", *(_r(c, 4) for c in _NUMBERS))
-
-
-_PLACES = ["files_changed", "lines_added", "lines_deleted", "hour_of_day", "day_of_week"]
-_ROUNDS, _CLUSTERS = 6, 5
-
-
-def _lloyd() -> str:
-    d = " + ".join(f"(r.{c} - z.{c}) * (r.{c} - z.{c})" for c in _PLACES)
-    steps = [f"""{_FEATURES}, v_x AS MATERIALIZED (SELECT commit_id, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _PLACES)} FROM v_features),
-v_z0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY commit_id) - 1 AS k, {', '.join(_PLACES)} FROM v_x QUALIFY k < {_CLUSTERS})"""]
-    for i in range(_ROUNDS + 1):
-        steps.append(f"v_a{i} AS MATERIALIZED (SELECT commit_id, min_by(k, {{'d': {d}, 'k': k}}) AS k, min({d}) AS d FROM v_x r, v_z{i} z GROUP BY commit_id)")
-        steps.append(f"""v_z{i + 1} AS MATERIALIZED (SELECT z.k, {', '.join(f'coalesce(sum(x.{c}) / count(x.commit_id), any_value(z.{c})) AS {c}' for c in _PLACES)}
-  FROM v_z{i} z LEFT JOIN v_a{i} a ON a.k = z.k LEFT JOIN v_x x ON x.commit_id = a.commit_id GROUP BY z.k)""")
-    return ", ".join(steps[:-1])
+    """All 14 numbers, cut to what each can be."""
+    rows = _features(spark, d).select("commit_id", *S.FEATURES)
+    out = K.smote(rows, S.FEATURES, minority=F.expr(_FEW), order_by="commit_id", ratio=0.1, limits=K.feature_limits(S.FEATURES))
+    return out.select("sample", "base", "neighbour", *(_r(c, 4) for c in S.FEATURES))
+
+
+_CLUSTERS = 5
+_DIMENSIONS = range(1, len(S.FEATURES) + 1)
+_GAP2 = lambda a, b: f"list_sum(list_transform(range(1, {len(S.FEATURES) + 1}), lambda j: ({a}[j] - {b}[j]) * ({a}[j] - {b}[j])))"
+# Rounds go on until no centre moves: the state is the list of centres.
+_LLOYD = f"""WITH RECURSIVE {_FEATURES}, v_x AS MATERIALIZED (SELECT commit_id, [{', '.join(f'CAST({c} AS DOUBLE)' for c in S.FEATURES)}] AS v FROM (SELECT *, {_ALSO} FROM v_features)),
+v_km AS (SELECT 0 AS i, (SELECT list(v ORDER BY commit_id) FROM (SELECT * FROM v_x ORDER BY commit_id LIMIT {_CLUSTERS})) AS z, false AS done UNION ALL
+  SELECT i + 1, n, list_min(list_transform(range(1, {_CLUSTERS + 1}), lambda k: sqrt({_GAP2('n[k]', 'z[k]')}) < greatest(1e-6, 1e-12 * sqrt(list_sum(list_transform(n[k], lambda x: x * x)))))) FROM (
+    SELECT i, z, list_transform(range(1, {_CLUSTERS + 1}), lambda k: coalesce(list_filter(cs, lambda x: x.k = k)[1].c, z[k])) AS n FROM (
+      SELECT any_value(i) AS i, any_value(z) AS z, list({{'k': k, 'c': c}}) AS cs FROM (
+        SELECT any_value(i) AS i, any_value(z) AS z, k, [{', '.join(f'avg(v[{j}])' for j in _DIMENSIONS)}] AS c FROM (
+          SELECT i, z, v, list_position(ds, list_min(ds)) AS k FROM (SELECT i, z, v, list_transform(z, lambda c: {_GAP2('v', 'c')}) AS ds FROM v_km, v_x WHERE NOT done AND i < 100)) GROUP BY k) HAVING count(*) > 0))),
+v_z AS (SELECT z FROM v_km ORDER BY i DESC LIMIT 1), v_a AS (SELECT commit_id, list_position(ds, list_min(ds)) - 1 AS k, list_min(ds) AS d FROM (SELECT commit_id, list_transform(z, lambda c: {_GAP2('v', 'c')}) AS ds FROM v_z, v_x))"""
 
 
 def _clustered(spark, d) -> DataFrame:
-    rows = _features(spark, d).select("commit_id", *_PLACES)
-    return K.kmeans_exact(rows, _PLACES, k=_CLUSTERS, order_by="commit_id", rounds=_ROUNDS)
+    """To convergence over all 14 numbers, from the first rows on."""
+    return K.kmeans_exact(_features(spark, d).select("commit_id", *S.FEATURES), S.FEATURES, k=_CLUSTERS, order_by="commit_id")
 
 
-@query(_with(_lloyd(), f"SELECT commit_id, CAST(k AS INT) AS cluster, round(d, 4) AS distance2 FROM v_a{_ROUNDS}"))
+# Seconds since 1970 are among the numbers: distances are whole numbers of some ten millions, with nine digits that hold.
+@query(f"{_LLOYD} SELECT commit_id, CAST(k AS INT) AS cluster, round(sqrt(d), 0) AS distance FROM v_a")
 def kmeans_features(spark, d):
-    return _clustered(spark, d).select("commit_id", "cluster", _r("distance2", 4))
+    return _clustered(spark, d).select("commit_id", "cluster", F.round(F.sqrt("distance2"), 0).alias("distance"))
 
 
-@query(_with(_lloyd(), f"SELECT round(sum(d), 2) AS inertia FROM v_a{_ROUNDS}"))
+@query(f"{_LLOYD} SELECT round(sqrt(sum(d) / count(*)), 0) AS spread FROM v_a")
 def inertia(spark, d):
-    return M.inertia(_clustered(spark, d)).select(_r("inertia", 2))
+    """As the root of the mean, since the sum has 19 digits."""
+    n = F.broadcast(_features(spark, d).agg(F.count(F.lit(1)).alias("n")))  # one row
+    return M.inertia(_clustered(spark, d)).join(n).select(F.round(F.sqrt(F.col("inertia") / F.col("n")), 0).alias("spread"))
 
 
 # --- text
@@ -249,5 +255,5 @@ def row_ranks(spark, d):
 def train_text_classifier(spark, d):
     rows = O.dataset_splits(_classified(spark, d).where("category IS NOT NULL"), order_by="timestamp", tie="commit_id")
     rows = X.tokenize(rows.select("split", "message", "category"), text="message")
-    model = M.train_text_classifier(rows.where("split = 'train'"), trees=20, depth=10)
+    model = M.train_text_classifier(rows.where("split = 'train'"))
     return M.classifier_accuracy(model, rows).select("split", "n", _r("accuracy", 4))
