@@ -17,7 +17,9 @@ BLOCK = 32
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(row_id(id_col).alias("k_id"), text_tag(text).alias("k_tag"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+    # the tag comes first, else it would be taken of the whole text for each of its lines
+    rows = docs.select(row_id(id_col).alias("k_id"), text_tag(text).alias("k_tag"), text.alias("text"))
+    rows = rows.select("k_id", "k_tag", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     return rows.where(F.length("line") >= least).withColumn("lid", F.unhex(F.md5("line")))
 
 
@@ -109,7 +111,7 @@ def near_lines(
     places = places.join(judged.select("lid", "first", "near"), "lid", "left")
     near, first = F.coalesce("o_near", "near"), F.coalesce("o_first", "first")
     gone = places.where(first.isNotNull() & (near | (F.struct("k_id", "k_tag", "pos") != first)))
-    return scratch.written(gone.groupBy("k_id", "k_tag").agg(F.collect_set("pos").alias("gone")), "lines-gone", keep=True)
+    return scratch.written(gone.groupBy("k_id", "k_tag").agg(F.sort_array(F.collect_set("pos")).alias("gone")), "lines-gone", keep=True)
 
 
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, block: int = BLOCK) -> DataFrame:
@@ -137,7 +139,11 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     rows = docs.withColumns({key: row_id(id_col), tag: text_tag(text)})
     rows = rows.join(gone.select(F.col("k_id").alias(key), F.col("k_tag").alias(tag), F.col("gone").alias(out)), [key, tag], "left")
     parts = F.split(F.col(text_col), "\n", -1)
-    left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(out, i)), "\n")
+    # a flag for each line, from the rising places of those that go: stretches of true, each ended by one false
+    gap = F.transform(out, lambda p, i: F.concat(F.array_repeat(F.lit(True), p - F.coalesce(F.get(F.col(out), i - 1), F.lit(-1)) - 1), F.array(F.lit(False))))
+    after = F.array_repeat(F.lit(True), F.size(parts) - 1 - F.element_at(out, -1))
+    stays = F.arrays_zip(parts.alias("line"), F.concat(F.flatten(gap), after).alias("stays"))
+    left = F.array_join(F.transform(F.filter(stays, lambda x: x["stays"]), lambda x: x["line"]), "\n")
     rows = rows.withColumn(n_lines, F.size(F.split(text, "\n", -1)).cast("long"))
     rows = rows.withColumn(n_removed, F.coalesce(F.size(out), F.lit(0)).cast("long"))
     rows = rows.withColumn(text_col, F.when(F.col(out).isNull(), F.col(text_col)).otherwise(left))
