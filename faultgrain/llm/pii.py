@@ -36,15 +36,68 @@ FEATURES = 8
 RIGHT = (0.65, 0.98)
 
 
-def _spans(text: Column, found: str, between: str) -> Column:
-    """(start, match) of matches, from the matches and the pieces between them; starts count code points."""
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["piece"]) + F.coalesce(F.length(x["match"]), F.lit(0))).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["piece"])).alias("start"), x["match"].alias("match")))).alias("out"),
-    )
-    zero = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<start: int, match: string>>)").alias("out"))
-    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, p: F.struct(p.alias("piece"), m.alias("match")))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+def _block(spans: str) -> Column:
+    """Elements in a block of an array: the root of their number, so that work in all blocks stays near the number."""
+    return F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(spans)))).cast("int")
+
+
+def _numbers(spans: str) -> Column:
+    """The numbers of an array's blocks, from 0."""
+    n = F.size(spans)
+    return F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / _block(spans)).cast("int"))).otherwise(F.expr("CAST(array() AS array<int>)"))
+
+
+def _spans(found: str, between: str) -> Column:
+    """(start, match, before, after) of matches, from the columns of matches and of the pieces between them; starts count code points.
+
+    before: the NEAR characters that stand before a match; after: the two behind it. Lengths are summed by block first, and each block's spans are
+    then placed from its own offset: no growing array is copied for every match, and no place is looked up in the whole text.
+    """
+    empty = lambda kind: F.expr(f"CAST(array() AS array<{kind}>)")
+
+    def pairs(start: Column, n: Column) -> Column:
+        """(piece, match, next piece, next match) of n matches; there is one piece more than matches."""
+        cut = lambda c, skip: F.slice(c, start + 1 + skip, n)
+        some = F.arrays_zip(cut(between, 0).alias("piece"), cut(found, 0).alias("match"), cut(between, 1).alias("then"), cut(found, 1).alias("next"))
+        return F.transform(some, lambda x: F.struct(x["piece"].alias("piece"), x["match"].alias("match"), F.left(F.concat(F.left(x["then"], F.lit(2)), F.coalesce(F.left(x["next"], F.lit(2)), F.lit(""))), F.lit(2)).alias("after")))
+
+    def part(b: Column) -> Column:
+        return pairs(b * _block(found), F.least(_block(found), F.size(found) - b * _block(found)))
+
+    def tail(b: Column) -> Column:
+        """What stands before a block: as much of the matches before it as NEAR characters can reach."""
+        first = F.greatest(F.lit(0), b * _block(found) - (NEAR + 1))
+        near = F.transform(pairs(first, b * _block(found) - first), lambda x: F.concat(F.right(x["piece"], F.lit(NEAR)), x["match"]))
+        return F.right(F.array_join(near, ""), F.lit(NEAR))
+
+    length = lambda x: F.length(x["piece"]) + F.length(x["match"])
+    sums = F.transform(_numbers(found), lambda b: F.aggregate(part(b), F.lit(0), lambda at, x: at + length(x)))
+    zero = F.struct(F.lit(0).alias("at"), empty("int").alias("out"))
+    offsets = F.aggregate(sums, zero, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    def placed(offset: Column, b: Column) -> Column:
+        def step(a: Column, x: Column) -> Column:
+            before = F.right(F.concat(a["tail"], F.right(x["piece"], F.lit(NEAR))), F.lit(NEAR))
+            span = F.struct((a["at"] + F.length(x["piece"])).alias("start"), x["match"].alias("match"), before.alias("before"), x["after"].alias("after"))
+            return F.struct((a["at"] + length(x)).alias("at"), F.right(F.concat(before, x["match"]), F.lit(NEAR)).alias("tail"), F.concat(a["out"], F.array(span)).alias("out"))
+
+        start = F.struct(offset.alias("at"), tail(b).alias("tail"), empty("struct<start: int, match: string, before: string, after: string>").alias("out"))
+        return F.aggregate(part(b), start, step, lambda a: a["out"])
+
+    return F.flatten(F.transform(offsets, placed))
+
+
+def _blocks(spans: str) -> Column:
+    """Spans in the order of their starts, in blocks with the least start and the greatest end."""
+    cut = lambda b: F.slice(spans, b * _block(spans) + 1, _block(spans))
+    ends = lambda b: F.array_max(F.transform(cut(b), lambda s: s["end"]))
+    return F.transform(_numbers(spans), lambda b: F.struct(F.get(F.col(spans), b * _block(spans))["start"].alias("low"), ends(b).alias("high"), cut(b).alias("spans")))
+
+
+def _apart(blocks: str, x: Column) -> Column:
+    """Whether a span overlaps none of those in ``blocks``."""
+    over = lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])
+    return ~F.exists(blocks, lambda b: (b["low"] < x["end"]) & (x["start"] < b["high"]) & F.exists(b["spans"], over))
 
 
 def _digits(x: Column) -> Column:
@@ -145,7 +198,7 @@ def scanned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     none = F.expr("CAST(array() AS array<string>)")
     rows = rows.withColumns({f"m_{k}": F.when(has[k], F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(none) for k, p in patterns.items()})
     rows = rows.withColumns({f"p_{k}": F.when(F.size(f"m_{k}") > 0, F.split("text", p, -1)).otherwise(none) for k, p in patterns.items()})
-    rows = rows.withColumns({f"s_{k}": _spans(F.col("text"), f"m_{k}", f"p_{k}") for k in KINDS})
+    rows = rows.withColumns({f"s_{k}": _spans(f"m_{k}", f"p_{k}") for k in KINDS})
 
     def good(i: int, kind: str) -> Column:
         passed = F.filter(f"s_{kind}", lambda x: _valid(kind, x["match"]))
@@ -156,17 +209,16 @@ def scanned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     def likely(i: int, kind: str) -> Column:
         def one(x: Column) -> Column:
             end = x["start"] + F.length(x["match"])
-            low = F.greatest(F.lit(0), x["start"] - NEAR)
-            before, after = F.substr(F.col("text"), low + 1, x["start"] - low), F.substr(F.col("text"), end + 1, F.lit(2))
-            votes, features = _packed(_votes(kind, x["match"], before, after), 3, -1), _packed(_features(kind, x["match"], before), 2, 0)
+            votes = _packed(_votes(kind, x["match"], x["before"], x["after"]), 3, -1)
+            features = _packed(_features(kind, x["match"], x["before"]), 2, 0)
             return F.struct(x["start"].alias("start"), F.lit(i).alias("kind"), end.alias("end"), votes.alias("votes"), features.alias("features"))
 
         return F.transform(f"s_{kind}", one)
 
-    over = lambda b, x: (b["start"] < x["end"]) & (x["start"] < b["end"])
-    apart = lambda taken: lambda x: ~F.exists(taken, lambda b: over(b, x))
-    rows = rows.withColumn("secrets", F.filter(likely(len(BASE), "secret"), apart("base")))
-    numbers = F.filter(F.filter(likely(len(BASE) + 1, "account"), apart("base")), apart("secrets"))
+    rows = rows.withColumns({"base_blocks": _blocks("base"), "secrets": likely(len(BASE), "secret"), "accounts": likely(len(BASE) + 1, "account")})
+    rows = rows.withColumn("secrets", F.filter("secrets", lambda x: _apart("base_blocks", x)))
+    rows = rows.withColumn("secret_blocks", _blocks("secrets"))
+    numbers = F.filter("accounts", lambda x: _apart("base_blocks", x) & _apart("secret_blocks", x))
     return rows.select("k_id", "base", F.array_sort(F.concat("secrets", numbers)).alias("likely"))
 
 
