@@ -31,35 +31,28 @@ def exact_dedup(
 
     Null ids: such a row has keep_id null unless its text also has a row with an id, and stays only then. Rows
     that repeat in both id and text count separately, and share ``kept``. An empty table gives no rows. Other
-    columns are ignored. ``salts`` is at most 62.
+    columns are ignored. A row's salt follows from its place in the input and is stored with it, so rows without an id, or of
+    one id, are spread like others; ``salts`` is any number.
     """
+    scratch = Scratch(docs.sparkSession)
     make = digest or (lambda t: F.unhex(F.sha2(t, 256)))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(row_id(id_col).alias("k_id"), text.alias("t")).select(
-        "k_id", "t", make(F.col("t")).alias("d"), F.pmod(F.xxhash64("k_id"), F.lit(salts)).cast("int").alias("s")
-    )
+    salt = F.pmod(F.xxhash64("k_id", "at"), F.lit(salts)).cast("int").alias("s")
+    rows = docs.select(row_id(id_col).alias("k_id"), text.alias("t"), F.monotonically_increasing_id().alias("at"))
+    rows = rows.select("k_id", "t", make(F.col("t")).alias("d"), salt)
     winners = rows.groupBy("d", "s", "t").agg(F.max("k_id").alias("keep"), F.count(F.lit(1)).alias("n"))
-    by_text = (
-        winners.repartition("d")
-        .groupBy("d", "t")
-        .agg(F.max("keep").alias("keep"), F.sum("n").alias("n"), F.bit_or(F.expr("shiftleft(1L, s)")).alias("met"))
-    )
-    groups = Scratch(docs.sparkSession).written(
-        by_text.groupBy("d").agg(
-            F.count(F.lit(1)).alias("texts"), F.max("keep").alias("keep"), F.sum("n").alias("n"), F.bit_or("met").alias("met")
-        ),
-        "exact-groups",
-        keep=True,
-    )
-    met = F.expr(f"filter(sequence(0, {salts - 1}), s -> (met & shiftleft(1L, s)) <> 0)")
-    lookup = groups.where("texts = 1").select("d", "keep", "n", F.explode(met).alias("s"))
+    by_text = winners.repartition("d").groupBy("d", "t").agg(F.max("keep").alias("keep"), F.sum("n").alias("n"))
+    totals = [F.count(F.lit(1)).alias("texts"), F.max("keep").alias("keep"), F.sum("n").alias("n")]
+    groups = scratch.written(by_text.groupBy("d").agg(*totals), "exact-groups", keep=True)
+    # digests, ids and salts of all rows, without their texts
     sha = F.lower(F.hex("d")) if digest is None else F.sha2("t", 256)
-    members = rows.select("k_id", "d", "s", sha.alias("sha"))
+    members = scratch.written(rows.select("k_id", "d", "s", sha.alias("sha")), "exact-members", keep=True)
+    lookup = members.select("d", "s").distinct().join(groups.where("texts = 1").select("d", "keep", "n"), "d")
     found = members.join(lookup, ["d", "s"]).select("k_id", "sha", "keep", "n")
     shared = groups.where("texts > 1").select("d")
     if not shared.isEmpty():
-        # several texts under one digest: those rows are looked up by text, one row for each salt and text
-        own = rows.join(shared, "d", "left_semi")
+        # several texts under one digest: those rows are stored with their texts and looked up by these, one row for each salt and text
+        own = scratch.written(rows.join(shared, "d", "left_semi"), "exact-shared", keep=True)
         group = own.groupBy("d", "s", "t").agg(F.max("k_id").alias("keep"), F.count(F.lit(1)).alias("n"))
         total = group.groupBy("d", "t").agg(F.max("keep").alias("keep"), F.sum("n").alias("n"))
         met = group.select("d", "s", "t").join(total, ["d", "t"])
