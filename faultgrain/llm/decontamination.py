@@ -97,7 +97,6 @@ def decontaminate(
     seen = scratch.written(seen, "document-windows", keep=True)
     windows = item_windows.select("fp", "words").distinct()
     hits = scratch.written(seen.where("s >= 0").distinct().join(windows, ["fp", "words"]), "benchmark-hits", keep=True)
-    scratch.close()
     place = Window.partitionBy("k_id", "k_tag").orderBy("s", "n")
     reached = F.max(F.col("s") + F.col("n")).over(place.rowsBetween(Window.unboundedPreceding, -1))
     n_hit = (
@@ -107,13 +106,16 @@ def decontaminate(
     )
     named = item_windows.select("fp", "words", F.col("k_id").alias("i_id"), F.col("k_tag").alias("i_tag")).distinct()
     named = named.join(tests.select("item", F.col("k_id").alias("i_id"), F.col("k_tag").alias("i_tag")).where("item IS NOT NULL").distinct(), ["i_id", "i_tag"])
-    items = (
-        hits.select("k_id", "k_tag", "fp", "words").distinct()
-        .join(named.select("fp", "words", "item").distinct(), ["fp", "words"])
-        .select("k_id", "k_tag", "item").distinct()
-        .groupBy("k_id", "k_tag").agg(F.sort_array(F.collect_list("item")).alias("items"))
-        .select("k_id", "k_tag", F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("listed"))
-    )
+    # Documents that hit the same windows have the same items: these are listed once for each distinct set of windows, however
+    # many documents have it, and not for each pair of a document and an item.
+    sets = hits.select("k_id", "k_tag", F.xxhash64("fp", "words").alias("window")).groupBy("k_id", "k_tag").agg(F.sort_array(F.collect_set("window")).alias("windows"))
+    sets = sets.withColumn("set", F.unhex(F.sha2(F.array_join("windows", ",").cast("binary"), 256)))
+    sets = scratch.written(sets, "window-sets", keep=True)
+    named = named.select(F.xxhash64("fp", "words").alias("window"), "item").distinct()
+    items = sets.groupBy("set").agg(F.first("windows").alias("windows")).select("set", F.explode("windows").alias("window"))
+    items = items.join(named, "window").groupBy("set").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    items = sets.select("k_id", "k_tag", "set").join(items, "set").select("k_id", "k_tag", F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("listed"))
+    scratch.close()
     out = seen.where("s < 0").select("k_id", "k_tag", F.col("n").cast("long").alias("n_words"))
     out = out.join(n_hit, ["k_id", "k_tag"], "left").join(items, ["k_id", "k_tag"], "left")
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
