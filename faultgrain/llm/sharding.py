@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 from bisect import bisect_left, insort
 from dataclasses import dataclass
 
@@ -30,7 +29,7 @@ class SlotMap:
         """(version, vslot, shard), as many rows as there are slots."""
         rows = json.dumps([{"vslot": i, "shard": s} for i, s in enumerate(self.shard_of)])
         parsed = F.from_json(F.lit(rows), "array<struct<vslot:int,shard:int>>")
-        return spark.range(1).select(F.inline(parsed)).select(F.lit(self.version).alias("version"), "vslot", "shard")
+        return spark.range(1).select(F.inline(parsed)).select(F.lit(self.version).alias("version"), "vslot", "shard", F.lit(self.shards).alias("shards"))
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Add this version to the stored map; older versions stay readable."""
@@ -44,8 +43,8 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Slot
         return None
     stored = spark.read.parquet(path)
     version = stored.agg(F.max("version")).first()[0] if version is None else version
-    rows = sorted((r.vslot, r.shard) for r in stored.where(F.col("version") == version).collect())  # a row for each slot
-    return SlotMap(version, tuple(s for _, s in rows), max(s for _, s in rows) + 1)
+    rows = sorted((r.vslot, r.shard, r.shards) for r in stored.where(F.col("version") == version).collect())  # a row for each slot
+    return SlotMap(version, tuple(s for _, s, _ in rows), rows[0][2])
 
 
 def even_map(*, slots: int = SLOTS, shards: int = SHARDS) -> SlotMap:
@@ -166,7 +165,8 @@ def shard_documents(
     Records are hashed into ``slots`` virtual slots, the bytes of each slot are summed, and the map from slots to shards
     that is stored at ``map_path`` says where they go. Where its shards aren't near equal any more (beyond ``tolerance``),
     or where another number of shards is asked for, the map is edited, moving few slots, and stored as the next version.
-    A first version deals the slots in turn. Without ``map_path`` the map is stored in the shared folder.
+    A first version deals the slots in turn. Without ``map_path`` the map stands in the shared folder, one for each number of slots, and every
+    later run begins with the version that the last one left.
 
     Law ``bytes``: shard sizes differ by no more than about ``tolerance`` of their mean, or by one record where that
     outweighs a shard. ``slot`` numbers the rows of each shard from 0 without a gap, in the order of virtual slot, id and
@@ -176,7 +176,7 @@ def shard_documents(
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    map_path = map_path or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    map_path = map_path or f"{shared_dir(spark)}/slot-map-{slots}"
     rows = scratch.written(sized_rows(docs, id_col=id_col, text_col=text_col), "sharding-rows", keep=True)
     rows = slotted(rows, slots=slots)
     slot_map = current_map(spark, map_path, slot_bytes(rows), slots=slots, shards=shards, tolerance=tolerance)
