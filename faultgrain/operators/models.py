@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultgrain.operators.evaluate import LABEL_FUNCTIONS, interval, vote_columns
-from faultgrain.operators.ordering import global_index
+from faultgrain.operators.ordering import global_index, ordered
 from faultgrain.sources.scratch import checkpointed
 
 
@@ -128,12 +128,75 @@ def label_model(voted: DataFrame, *, rounds: int = 100, tolerance: float = 1e-6)
     return voted.sparkSession.createDataFrame(rows, "name string, weight double")
 
 
+#: Ranges whose blocks are pooled in one task of a level of the tree.
+FAN = 16
+
+
+def _pooled(blocks: pa.Table) -> pa.Table:
+    """Neighbouring blocks (low, high, total, weight), in order, pooled until their means rise; ``part`` becomes that of the next level."""
+    rows = sorted(zip(*(blocks[c].to_pylist() for c in ("low", "high", "total", "weight")), strict=True))
+    out: list[list[float]] = []
+    for low, high, total, weight in rows:
+        out.append([low, high, total, weight])
+        # means compared as products, which are exact for whole numbers
+        while len(out) > 1 and out[-2][2] * out[-1][3] >= out[-1][2] * out[-2][3]:
+            _, high, total, weight = out.pop()
+            out[-1][1:] = high, out[-1][2] + total, out[-1][3] + weight
+    part = blocks["part"][0].as_py() // FAN
+    columns = list(zip(*out, strict=True))
+    return pa.table({"part": pa.array([part] * len(out), pa.int64())} | {c: pa.array(v, pa.float64()) for c, v in zip(("low", "high", "total", "weight"), columns, strict=True)})
+
+
+def isotonic_steps(rows: DataFrame, *, score: str = "score", label: str = "label", ranges: int | None = None) -> DataFrame:
+    """(low, high, value): the rising steps of the isotonic fit of label on score.
+
+    Equal scores are summed first. Each range of a range sort pools its neighbours whose means fall; what is left of FAN ranges is pooled together, and so on
+    up a tree, which gives the steps of all rows: these are the slopes of the lower hull of the cumulated sums. A range's rows, or the steps that are left
+    of FAN ranges, meet in one task; of n rows with labels 0 and 1 no more than about n to the power 2/3 steps can be left. Nothing reaches the driver but
+    the number of ranges. Rows without score or label are left out.
+    """
+    each = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("low"))
+    each = each.agg(F.sum(F.col(label).cast("double")).alias("total"), F.count(F.lit(1)).cast("double").alias("weight"))
+    placed = ordered(each, F.col("low").asc(), ranges=ranges)
+    schema = "part long, low double, high double, total double, weight double"
+    blocks = placed.select((F.col("fg_part") * FAN).alias("part"), "low", F.col("low").alias("high"), "total", "weight")
+    parts = (placed.agg(F.max("fg_part")).first()[0] or 0) + 1
+    blocks = blocks.groupBy("part").applyInArrow(_pooled, schema)
+    while parts > 1:
+        blocks = blocks.withColumn("part", F.expr(f"part div {FAN} * {FAN}")).groupBy("part").applyInArrow(_pooled, schema)
+        parts = -(-parts // FAN)
+    return blocks.select("low", "high", (F.col("total") / F.col("weight")).alias("value"))
+
+
+def isotonic_transform(rows: DataFrame, steps: DataFrame, *, score: str = "score", name: str = "calibrated") -> DataFrame:
+    """Adds the value of the steps at each score, on straight lines between them; beyond the first and last step, theirs. Null without steps or score.
+
+    Rows and ends of steps are range-sorted together; each row takes the end before and after it in its range, or else the nearest of the ranges around.
+    """
+    end = F.when(F.col("fg_step"), F.struct(F.col("fg_x").alias("x"), F.col("fg_value").alias("v")))
+    own = rows.withColumns({"fg_x": F.col(score).cast("double"), "fg_step": F.lit(False), "fg_value": F.lit(None).cast("double")})
+    ends = steps.select(F.explode(F.array_distinct(F.array("low", "high"))).alias("fg_x"), F.lit(True).alias("fg_step"), F.col("value").alias("fg_value"))
+    placed = ordered(own.unionByName(ends, allowMissingColumns=True), F.col("fg_x").asc(), F.col("fg_step").desc()).withColumn("fg_end", end)
+    of = placed.groupBy("fg_part").agg(F.min("fg_end").alias("first"), F.max("fg_end").alias("last"))  # a row for each range
+    all_before = Window.partitionBy(F.lit(1)).orderBy("fg_part").rowsBetween(Window.unboundedPreceding, -1)
+    all_after = Window.partitionBy(F.lit(1)).orderBy("fg_part").rowsBetween(1, Window.unboundedFollowing)
+    around = of.select("fg_part", F.max("last").over(all_before).alias("fg_before"), F.min("first").over(all_after).alias("fg_after"))
+    inside = Window.partitionBy("fg_part").orderBy("fg_id")
+    below = F.coalesce(F.max("fg_end").over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("fg_before"))
+    above = F.coalesce(F.min("fg_end").over(inside.rowsBetween(0, Window.unboundedFollowing)), F.col("fg_after"))
+    out = placed.join(F.broadcast(around), "fg_part").withColumns({"fg_low": below, "fg_high": above}).where("NOT fg_step")
+    low, high = F.col("fg_low"), F.col("fg_high")
+    line = low["v"] + (high["v"] - low["v"]) * F.try_divide(F.col("fg_x") - low["x"], high["x"] - low["x"])
+    exact = F.when(low["x"] == F.col("fg_x"), low["v"])
+    value = F.when(F.col("fg_x").isNotNull(), F.coalesce(exact, line, low["v"], high["v"]))
+    return out.select(*(F.col(f"`{c}`") for c in rows.columns), value.alias(name))
+
+
 def isotonic_calibrate(rows: DataFrame, *, order_by: str, tie: str, least_rows: int = 10) -> DataFrame:
     """Adds calibrated: an isotonic fit of label on score over the last fifth of rows, at least ``least_rows``, with lines between its steps."""
     placed = global_index(rows, order_by, tie).join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("fg_n"))))  # one row
     held = placed.where(F.col("position") >= F.col("fg_n") - F.greatest(F.floor(F.col("fg_n") / 5), F.lit(least_rows)))
-    model = IsotonicRegression(featuresCol="score", labelCol="label", predictionCol="calibrated").fit(held.select("score", F.col("label").cast("double").alias("label")))
-    return model.transform(rows)
+    return isotonic_transform(rows, isotonic_steps(held))
 
 
 def calibrated_predict(rows: DataFrame, *, probability: str = "probability", variance: float = 1.0, weights: dict[str, float] | None = None, scores: list[str] | None = None) -> DataFrame:

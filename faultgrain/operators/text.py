@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultgrain.sources.scratch import checkpointed
+
 #: Words that carry no topic; a caller's list replaces it.
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with"]
 WORD = r"[\p{L}\p{N}_]+"
@@ -51,34 +53,75 @@ def tfidf(tokenized: DataFrame, *, max_features: int = 1000, key: str = "doc_id"
 
 #: Asked terms that are sent to all texts at most.
 MOST_ASKED = 200_000
+#: What two sums of the same parts may differ by.
+_SLACK = 1e-8
+
+
+class _Bm25:
+    """Postings of the asked terms with their parts of a score, and which terms of each query have to be read in full.
+
+    No posting of a term says more than the term's greatest part. A query's k-th best score is at least the k-th best that its rarest terms give alone; terms
+    whose greatest parts, from the least on, sum to less than that can't bring a text among the top k by themselves (they are light).
+    """
+
+    def __init__(self, docs: DataFrame, queries: DataFrame, top_k: int, k1: float, b: float):
+        lengths = docs.select("doc_id", F.size("tokens").alias("length"))
+        corpus = lengths.agg(F.count(F.lit(1)).alias("total"), F.avg("length").alias("mean"))
+        asked = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("term"))
+        few = asked.limit(MOST_ASKED + 1).count() <= MOST_ASKED
+        self.sent = F.broadcast if few else lambda rows: rows
+        wanted = self.sent(asked.select("term").distinct())
+        postings = docs.select("doc_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
+        postings = postings.groupBy("term", "doc_id", "length").agg(F.count(F.lit(1)).alias("tf"))
+        df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        weighed = postings.join(self.sent(df), "term").join(F.broadcast(corpus))  # one row
+        idf = F.ln(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+        self.parts = checkpointed(weighed.select("term", "doc_id", part.alias("part")))
+        known = self.parts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("part").alias("most"))
+        terms = checkpointed(asked.join(self.sent(known), "term"))
+        rarest = Window.partitionBy("query_id").orderBy("df", "term")
+        before = F.coalesce(F.sum("df").over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        first = self.scores(terms.withColumn("before", before).where(F.col("before") < 4 * top_k))
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("raw"), "doc_id"))
+        reached = first.withColumn("place", place).where(F.col("place") == top_k).select("query_id", F.col("raw").alias("reached"))
+        upto = F.sum("most").over(Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0))
+        light = upto < F.coalesce("reached", F.lit(0.0)) - _SLACK
+        self.terms = checkpointed(terms.join(self.sent(reached), "query_id", "left").withColumn("light", light))
+
+    def scores(self, terms: DataFrame) -> DataFrame:
+        """(query_id, doc_id, raw) from all postings of some of the queries' terms."""
+        rows = self.parts.join(self.sent(terms.select("query_id", "term")), "term")
+        return rows.groupBy("query_id", "doc_id").agg(F.sum("part").alias("raw"))
 
 
 def bm25_search(docs: DataFrame, queries: DataFrame, *, top_k: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score, rank): the top_k texts of each query by BM25 over the query's distinct terms.
+    """(query_id, doc_id, score, rank): the top_k texts of each query by BM25 over the query's distinct terms, ties by doc_id.
 
-    Scores are divided by the query's greatest. Both sides hold tokens. Up to MOST_ASKED asked terms, counted first, are sent to
-    the texts, so that no term's postings meet in one task, however frequent; beyond that postings are dealt by term. Scores
-    are summed per (query, text) before any ranking.
+    Scores are divided by the query's greatest. Both sides hold tokens. Postings of the terms that can bring a text among the top k are
+    scored first; of the others, mostly frequent ones, only those of texts that still can get there are looked up, by (term, text), so what
+    is scored doesn't grow with queries times the postings of frequent terms. Up to MOST_ASKED asked terms, counted first, are sent
+    to the texts; beyond that postings are dealt by term. The result is exact.
     """
-    lengths = docs.select("doc_id", F.size("tokens").alias("length"))
-    corpus = lengths.agg(F.count(F.lit(1)).alias("total"), F.avg("length").alias("mean"))
-    asked = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("term"))
-    few = asked.limit(MOST_ASKED + 1).count() <= MOST_ASKED
-    sent = F.broadcast if few else lambda rows: rows
-    wanted = sent(asked.select("term").distinct())
-    postings = docs.select("doc_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
-    postings = postings.groupBy("term", "doc_id", "length").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = postings.join(sent(df), "term").join(F.broadcast(corpus))  # one row
-    idf = F.ln(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = weighed.select("term", "doc_id", part.alias("part")).join(sent(asked), "term").groupBy("query_id", "doc_id").agg(F.sum("part").alias("raw"))
-    scored = scored.withColumn("raw", F.round("raw", 9))
+    own = _Bm25(docs, queries, top_k, k1, b)
+    rest = own.terms.groupBy("query_id").agg(F.sum(F.when(F.col("light"), F.col("most")).otherwise(0.0)).alias("rest"), F.coalesce(F.max("reached"), F.lit(0.0)).alias("reached"))
+    heavy = own.scores(own.terms.where("NOT light")).join(own.sent(rest), "query_id")
+    heavy = checkpointed(heavy.where(F.col("raw") + F.col("rest") >= F.col("reached") - _SLACK).select("query_id", "doc_id", "raw"))
+    light = heavy.select("query_id", "doc_id").join(own.sent(own.terms.where("light").select("query_id", "term")), "query_id")
+    more = light.join(own.parts, ["term", "doc_id"]).select("query_id", "doc_id", F.col("part").alias("raw"))
+    scored = heavy.unionByName(more).groupBy("query_id", "doc_id").agg(F.round(F.sum("raw"), 9).alias("raw"))
     best = Window.partitionBy("query_id").orderBy(F.desc("raw"), "doc_id")
     top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
     return top.withColumn("score", F.col("raw") / F.max("raw").over(Window.partitionBy("query_id"))).drop("raw")
 
 
+def bm25_reading(docs: DataFrame, queries: DataFrame, *, top_k: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, postings, read, share): postings of each query's terms, and those that bm25_search scores without looking at the text first."""
+    terms = _Bm25(docs, queries, top_k, k1, b).terms
+    read = F.sum(F.when(~F.col("light"), F.col("df")).otherwise(0))
+    return terms.groupBy("query_id").agg(F.sum("df").alias("postings"), read.alias("read"), (read / F.sum("df")).alias("share"))
+
+
 def project_2d(weights: DataFrame, total: DataFrame, *, key: str = "doc_id") -> DataFrame:
     """(key, x, y): weights of the two terms whose weight varies most, scaled to -1..1; ties by term.
 
@@ -101,22 +144,28 @@ def project_2d(weights: DataFrame, total: DataFrame, *, key: str = "doc_id") ->
     return some.join(F.broadcast(ends)).select(key, scaled(1).alias("x"), scaled(2).alias("y"))  # one row
 
 
-def pairwise_similarity(weights: DataFrame, *, least: float = 0.5, key: str = "doc_id") -> DataFrame:
+def pairwise_similarity(weights: DataFrame, *, least: float = 0.5, key: str = "doc_id", block: int = 1024) -> DataFrame:
     """(a, b, similarity): the cosine of every pair a < b of texts that reach ``least`` (above 0). weights: (key, term, weight), of length 1.
 
     Prefix filtering: with terms in the order of their frequency, rarest first, two texts can only reach the bound if they
-    share a term of the part of each before what is left is shorter than ``least``. So frequent terms join with nothing but the
-    texts that have little else; pairs that meet are then compared on all terms.
+    share a term of the part of each before what is left is shorter than ``least``; and at the first term that they share, the
+    product of what is left of both must reach it too. A term's texts meet in blocks of about ``block`` x ``block``, so no term meets whole in one task,
+    however many texts have it. Pairs that meet are then compared on all terms.
     """
     if not 0 < least <= 1:
         raise ValueError("least must be above 0 and at most 1")
     df = weights.groupBy("term").agg(F.count(F.lit(1)).alias("fg_df"))
     upto = Window.partitionBy(key).orderBy(F.desc("fg_df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
     rest = F.sum(F.col("weight") * F.col("weight")).over(upto)  # the square of what is left from a term on
-    heads = weights.join(df, "term").withColumn("fg_rest", rest).where(F.col("fg_rest") >= least * least - 1e-9).select(key, "term")
+    heads = weights.join(df, "term").withColumn("rest", rest).where(F.col("rest") >= least * least - 1e-9).select(key, "term", "rest")
+    heads = checkpointed(heads)
+    parts = heads.groupBy("term").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    dealt = heads.join(parts, "term").withColumn("part", F.pmod(F.xxhash64(key), F.col("parts")).cast("int"))
+    left = dealt.select(F.col(key).alias("x"), "term", F.col("rest").alias("x_rest"), F.col("part").alias("i"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("j"))
+    right = dealt.select(F.col(key).alias("y"), "term", F.col("rest").alias("y_rest"), F.explode(F.sequence(F.lit(0), F.col("part"))).alias("i"), F.col("part").alias("j"))
+    met = left.join(right, ["term", "i", "j"]).where("(i < j OR x < y) AND x <> y").where(F.col("x_rest") * F.col("y_rest") >= least * least - 1e-9)
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     bags = weights.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("bag"))
-    a, b = heads.select(F.col(key).alias("a"), "term"), heads.select(F.col(key).alias("b"), "term")
-    pairs = a.join(b, "term").where("a < b").select("a", "b").distinct()
     pairs = pairs.join(bags.select(F.col(key).alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col(key).alias("b"), F.col("bag").alias("y")), "b")
     product = F.aggregate(F.map_entries("x"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("y", e["key"]), F.lit(0.0)))
     return pairs.select("a", "b", product.alias("similarity")).where(F.round("similarity", 9) >= least)
