@@ -116,43 +116,39 @@ def export_query_result(spark, d):
     return spark.read.csv(path, header=True, schema="category string, n long")
 
 
-# --- streams, drained to a table
+# --- streams: parts of the input arrive one after the other, and the query starts anew from its checkpoint for each
 
+_SLICES = 6
 
-def _drained(spark: SparkSession, rows: DataFrame, name: str, **options) -> DataFrame:
-    """All that a stream has when its input ends, from a Parquet sink (append mode)."""
-    path, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
-    rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(rows.schema).parquet(path)
 
-
-def _commit_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Commits as a stream of files in the order of time, so that none is late."""
-    path, commits = scratch_path(spark, "commits"), view(spark, d, "commits")
-    commits.write.parquet(path)
-    return spark.readStream.schema(commits.schema).parquet(path)
+def _drained(spark: SparkSession, parts, stream, name: str) -> DataFrame:
+    path = scratch_path(spark, name)
+    return W.drained(spark, parts, stream, source=f"{path}/source", sink=f"{path}/sink", state=f"{path}/state")
 
 
 @query(_with(_FEATURES, f"SELECT {_FEATURE_SQL} FROM v_features"))
 def stream_classify(spark, d):
-    rows = W.stream_classify(_commit_stream(spark, d)).select(*(F.col(c).cast("long").alias(c) for c in _FEATURE_NAMES))
-    return _drained(spark, rows, "stream-classified")
+    shown = [F.col(c).cast("long").alias(c) for c in _FEATURE_NAMES]
+    return _drained(spark, W.in_order_of_time(view(spark, d, "commits"), slices=_SLICES), lambda s: W.stream_classify(s).select(*shown), "stream-classified")
 
 
-@query(_with(_RULES, """, v_at AS (SELECT category, timestamp AS t FROM v_classified WHERE category IS NOT NULL), v_w AS (SELECT category, unnest([t // 7776000, t // 7776000 - 1]) * 7776000 AS start FROM v_at),
-  v_end AS (SELECT max(timestamp) - 2592000 AS mark FROM v_classified WHERE category IS NOT NULL)
-  SELECT CAST(start AS BIGINT) AS start, CAST(start + 15552000 AS BIGINT) AS stop, category, count(*) AS n FROM v_w, v_end WHERE start + 15552000 <= mark GROUP BY 1, 2, 3"""))
+@query(_with(_RULES, """, v_at AS (SELECT category, timestamp AS t FROM v_classified WHERE category IS NOT NULL), v_w AS (SELECT category, unnest([t // 7776000, t // 7776000 - 1]) * 7776000 AS start FROM v_at)
+  SELECT CAST(start AS BIGINT) AS start, CAST(start + 15552000 AS BIGINT) AS stop, category, count(*) AS n FROM v_w GROUP BY 1, 2, 3"""))
 def stream_window_counts(spark, d):
-    """Windows that the watermark has passed when the stream ends."""
-    rows = W.stream_window_counts(W.stream_classify(_commit_stream(spark, d)))
-    out = _drained(spark, rows, "stream-counts")
+    """All windows, as in a batch: parts come in the order of time, and a last row brings out the windows that are still open."""
+    commits = view(spark, d, "commits")
+
+    def parts():
+        yield from W.in_order_of_time(commits, slices=_SLICES)
+        yield W.flush_row(commits, after=300 * 86400)
+
+    out = _drained(spark, parts(), lambda s: W.stream_window_counts(W.stream_classify(s)), "stream-counts")
     return out.select(F.unix_timestamp("start").alias("start"), F.unix_timestamp("stop").alias("stop"), "category", "n")
 
 
 @query(_with(_REVIEW, "SELECT * FROM v_warned"))
 def stream_review(spark, d):
     known = R.baseline(P.defect_patterns(_classified(spark, d)), V.tdg_by_repo(view(spark, d, "tdg")))
-    path = scratch_path(spark, "changed-files")
-    _files(spark, d).write.parquet(path)
-    rows = W.stream_review(spark.readStream.schema("file string").parquet(path), known)
-    return _drained(spark, rows, "stream-warnings").select("file", "category", "frequency", _r("avg_tdg"))
+    files = _files(spark, d).withColumn("bucket", F.pmod(F.xxhash64("file"), F.lit(3)))
+    parts = (files.where(F.col("bucket") == k).drop("bucket") for k in range(3))
+    return _drained(spark, parts, lambda s: W.stream_review(s, known), "stream-warnings").select("file", "category", "frequency", _r("avg_tdg"))
