@@ -82,6 +82,8 @@ class _Cells:
         No query's last neighbour is further than by way of a pivot (the triangle inequality over what is known of its cell); a cell is out if its rows
         are all further than that from the query, for their distance from its pivot or for the plane between it and the query's own.
         """
+        if not len(self.pivots):
+            return [np.zeros(0, np.int32)] * len(x)
         d = np.sqrt(_squares(x, self.pivots))
         bound = np.sort((d[:, :, None] + self.near[None]).reshape(len(x), -1), 1)[:, self.near.shape[1] - 1] * (1 + 1e-9) + 1e-9
         own = d.argmin(1)

@@ -24,15 +24,13 @@ def test_nearest_class_and_ties(spark):
     assert got == {1: 1, 4: 2}  # two of each class: the highest wins
     share = {(r.q, r.label): r.share for r in neighbours.knn_proba(asked, rows, ["x", "y"], query="q", key="id", k=10).collect()}
     assert math.isclose(share[1, 0], 1 / 3) and math.isclose(sum(v for (q, _), v in share.items() if q == 4), 1)
-    with pytest.raises(ValueError):
-        neighbours.nearest(asked, rows, ["x", "y"], k=1, query="q", key="id", most=1)
 
 
 def test_synthetic_rows_by_plain_code(spark):
     r = random.Random(1)
     few = [(i, float(r.randint(0, 9)), float(r.randint(-9, 9)), 1) for i in range(7)]
     rows = points(spark, few + [(100 + i, 0.0, 0.0, 0) for i in range(40)])
-    got = {s["sample"]: (s.base, s.neighbour, s.x, s.y) for s in neighbours.smote(rows, ["x", "y"], minority=F.col("label") == 1, order_by="id", ratio=0.5, k=3, least={"y": 0}).collect()}
+    got = {s["sample"]: (s.base, s.neighbour, s.x, s.y) for s in neighbours.smote(rows, ["x", "y"], minority=F.col("label") == 1, order_by="id", ratio=0.5, k=3, limits={"y": lambda c: F.greatest(c, F.lit(0.0))}).collect()}
     want = {}
     for i in range(20 - 7):
         base = few[i % 7]
@@ -52,7 +50,7 @@ def test_silhouettes(spark):
     one = neighbours.silhouettes(rows.where("label = 0"), ["x", "y"], key="id", cluster="label").collect()
     assert [r.silhouette for r in one] == [-1.0, -1.0]
     many = points(spark, [(i, float(i % 2 * 50 + i % 5), 0.0, i % 2) for i in range(40)])
-    assert neighbours.silhouette(many, ["x", "y"], key="id", cluster="label", exact=False).first()[0] > 0.9
+    assert neighbours.squared_silhouette(many, ["x", "y"], cluster="label").first()[0] > 0.9
 
 
 def test_exact_clusters_start_from_the_first_rows(spark):
@@ -138,11 +136,11 @@ def test_retrieval_fuses_ranks(spark):
 def test_order_where_half_of_all_keys_are_equal(spark):
     rows = [(i, f"t{i * 7919 % 2000:04d}", 1.0 if i % 2 else float(i % 50)) for i in range(2000)] + [(5000, "null", None)]
     frame = spark.createDataFrame(rows, "id long, tie string, key double").repartition(7)
-    got = {r.id: r.position for r in ordering.global_index(frame, "key", "tie", buckets=20).collect()}
+    got = {r.id: r.position for r in ordering.global_index(frame, "key", "tie", ranges=20).collect()}
     order = sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0.0, r[1]))
     assert got == {r[0]: p for p, r in enumerate(order)}
-    parts = ordering._cuts(frame.withColumn("fg_key", F.col("key")), "tie", 20, 2001)
-    assert sum(k == 1.0 for k, _ in parts) >= 8  # the frequent key is cut too
+    parts = ordering.ordered(frame, F.col("key").asc(), F.col("tie").asc(), ranges=20).where("key = 1").select("fg_part").distinct().count()
+    assert parts >= 8  # the frequent key is cut too
 
 
 def test_correlations_of_each_group(spark):
