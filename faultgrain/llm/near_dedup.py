@@ -98,14 +98,26 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int, bits) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([*keys, pa.array(items, pa.list_(pa.int64()))], ["k_id", "k_tag", "items"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) of sets that are similar enough, by their full sets."""
+#: Pairs of one document that meet its set in one task, about.
+SHARE = 256
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int], scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of sets that are similar enough, by their full sets.
+
+    The leader of a large bucket (b) has many pairs: these are dealt into shares, to each of which its set is sent, so the sets
+    of a bucket's members never meet in one task.
+    """
+    pairs = pairs.select("a", "b")
+    counts = scratch.written(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).withColumn("shares", F.ceil(F.col("n") / SHARE)), "pair-counts")
+    pairs = looked_up(pairs, counts, "b", scratch).withColumn("share", F.pmod(F.xxhash64("a"), F.col("shares"))).select("a", "b", "share")
     left = sets.select(F.col("doc").alias("a"), F.col("items").alias("a_items"))
-    right = sets.select(F.col("doc").alias("b"), F.col("items").alias("b_items"))
+    right = sets.select(F.col("doc").alias("b"), F.col("items").alias("b_items")).join(counts.select("b", "shares"), "b")
+    right = right.select("b", "b_items", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
     both = F.size(F.array_intersect("a_items", "b_items"))
     least, of = similar
     return (
-        pairs.select("a", "b").join(left, "a").join(right, "b")
+        pairs.join(left, "a").join(right, ["b", "share"])
         .where(of * both >= least * (F.size("a_items") + F.size("b_items") - both))
         .select("a", "b")
     )
@@ -195,8 +207,10 @@ def near_dedup(
         .select(F.col("node").alias("doc"), F.explode("bands").alias("key"))
     )
     keys = scratch.written(keys, "band-keys")
-    leaders = keys.groupBy("key").agg(F.min("doc").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b")
-    members = scratch.written(keys.join(leaders, "key").select("key", F.col("doc").alias("a"), "b"), "buckets")
+    leaders = keys.groupBy("key").agg(F.min("doc").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    leaders = scratch.written(leaders, "leaders")
+    # a key that a large part of the documents has is looked up where they are
+    members = scratch.written(looked_up(keys, leaders, "key", scratch).select("key", F.col("doc").alias("a"), "b"), "buckets")
     pairs = scratch.written(members.where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")), "pairs")
     involved = heads.join(members.select(F.col("a").alias("node")).distinct(), "node").select("k_id", "k_tag", F.col("node").alias("doc"))
     involved = scratch.written(involved.withColumn("mark", _mark()), "involved")
@@ -208,10 +222,10 @@ def near_dedup(
     nodes = involved.select(F.col("doc").alias("a"))
     # first the likeliest leader of each member, then the others where that has not settled it
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
-    links = scratch.written(_verified(best, sets, similar), "links-1")
+    links = scratch.written(_verified(best, sets, similar, scratch), "links-1")
     parts = connected_components(nodes, links, scratch)
     rest = pairs.select("a", "b").join(best.withColumn("was", F.lit(True)), ["a", "b"], "left_anti")
-    parts = joined_parts(parts, _verified(_different(rest, parts), sets, similar), scratch)
+    parts = joined_parts(parts, _verified(_different(rest, parts), sets, similar, scratch), scratch)
     # buckets whose members are not yet one component, beyond the leader's
     apart = members.join(_different(pairs.select("a", "b"), parts), ["a", "b"]).select("key").distinct()
     open_keys = members.where("a <> b").join(apart, "key", "left_semi").join(parts.select(F.col("doc").alias("a"), "part"), "a")
@@ -222,7 +236,7 @@ def near_dedup(
         last = _prefix_pairs(sets.join(unsettled.select("doc"), "doc", "left_semi"), unsettled, similar, block, scratch)
         tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         last = scratch.written(last.join(tried, ["a", "b"], "left_anti"), "prefix-pairs")
-        parts = joined_parts(parts, _verified(last, sets, similar), scratch)
+        parts = joined_parts(parts, _verified(last, sets, similar, scratch), scratch)
     # the part's number is any of its nodes; its name is the smallest id
     placed = heads.join(parts.select(F.col("doc").alias("node"), "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
     names = placed.groupBy("part").agg(F.min(F.struct("k_id", "k_tag", "n_shingles", "d1", "d2")).alias("first"))
