@@ -13,6 +13,15 @@ def _float(x: float) -> Column:
     return F.lit(x).cast("float")
 
 
+def _nothing(text: str) -> Column:
+    """0, by a higher-order function.
+
+    A projection that has one is compiled into many small methods. Without it the rules become one method of whole-stage code, which is
+    too large for the JVM to compile and runs interpreted, at a third of the speed.
+    """
+    return F.size(F.filter(F.array(text), lambda _: F.lit(False)))
+
+
 class _Ranking:
     """Every (rule, number of its patterns found), from the least to the most confident, as number from 1 on; 0: nothing found.
 
@@ -63,7 +72,7 @@ def classify_commits(df: DataFrame, *, message: str = "message") -> DataFrame:
     The highest confidence wins, of equal ones the earlier rule.
     """
     rows = df.withColumn("fg_text", F.lower(message))
-    rows = rows.withColumn("fg_best", F.greatest(*_RANKING.ranks("fg_text")))
+    rows = rows.withColumn("fg_best", F.greatest(*_RANKING.ranks("fg_text"), _nothing("fg_text")))
     best = F.col("fg_best")
     out = rows.withColumns({"category": _RANKING.category(best), "confidence": _RANKING.confidence(best)})
     out = out.withColumn("matched_patterns", F.when(best > 0, _RANKING.patterns("fg_text", best))).drop("fg_text", "fg_best")
@@ -75,8 +84,10 @@ def classify_commits(df: DataFrame, *, message: str = "message") -> DataFrame:
 def classify_multi(df: DataFrame, *, message: str = "message", top_n: int = 3, min_confidence: float = 0.60) -> DataFrame:
     """Adds categories: the top_n (category, confidence) at or above min_confidence, best first; and their patterns."""
     least = _RANKING.least(min_confidence)
-    rows = df.withColumn("fg_text", F.lower(message)).withColumn("fg_ranks", F.array(*_RANKING.ranks("fg_text")))
-    rows = rows.where(F.array_max("fg_ranks") >= least)
+    rows = df.withColumn("fg_text", F.lower(message)).withColumn("fg_ranks", F.array(*_RANKING.ranks("fg_text"), _nothing("fg_text")))
+    # a generator of no row or one, as a filter would be moved below the ranks and evaluate them once more
+    enough = F.explode(F.filter(F.array("fg_ranks"), lambda r: F.array_max(r) >= least))
+    rows = rows.withColumn("fg_ranks", enough)
     rows = rows.withColumn("fg_ranks", F.filter(F.slice(F.sort_array("fg_ranks", asc=False), 1, top_n), lambda r: r >= least))
     label = lambda r: F.struct(_RANKING.category(r).alias("category"), _RANKING.confidence(r).alias("confidence"))
     out = rows.withColumn("categories", F.transform("fg_ranks", label))
@@ -91,7 +102,7 @@ def classify_fix_only(df: DataFrame, *, message: str = "message") -> DataFrame:
     are Unknown; other messages, and null, are NotDefect with confidence 0.
     """
     rows = df.withColumn("fg_text", F.coalesce(F.lower(message), F.lit("")))
-    rows = rows.withColumn("fg_best", F.greatest(*_FIX_RANKING.ranks("fg_text")))
+    rows = rows.withColumn("fg_best", F.greatest(*_FIX_RANKING.ranks("fg_text"), _nothing("fg_text")))
     m, best = F.col("fg_text"), F.col("fg_best")
     fix = m.startswith("fix") | _any([m.contains(p) for p in ("fix:", "bugfix", "hotfix", "patch:")])
     name, sure = UNKNOWN_FIX

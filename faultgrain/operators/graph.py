@@ -8,18 +8,22 @@ from pyspark.sql import functions as F
 from faultgrain.sources.scratch import checkpointed
 
 
-def cochange_edges(changed: DataFrame, *, commit: str = "fix_commit", max_files: int | None = None) -> DataFrame:
+def cochange_edges(changed: DataFrame, *, commit: str = "fix_commit", max_files: int | None = None, block: int = 512) -> DataFrame:
     """(source_file, target_file, weight): commits in which both files changed, source before target.
 
-    The files of a commit are gathered once, and pairs made in place: one shuffle by commit, one by pair. A commit of n
-    files has n * (n - 1) / 2 pairs, as asked for; with ``max_files``, commits of more files (sweeping renames, formatting)
-    are left out as saying nothing of two files.
+    A commit's files meet in blocks of about ``block`` x ``block``, so the pairs of a sweeping commit are made in many tasks, and counted in
+    each before they are shuffled. A commit of n files has n * (n - 1) / 2 pairs, as asked for; with ``max_files``, commits of more files
+    (sweeping renames, formatting) are left out as saying nothing of two files.
     """
-    files = changed.groupBy(commit).agg(F.sort_array(F.collect_set("file")).alias("files")).where(F.size("files") >= 2)
+    files = changed.select(F.col(commit).alias("c"), "file").where(F.col("file").isNotNull()).distinct()
+    sizes = files.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     if max_files is not None:
-        files = files.where(F.size("files") <= max_files)
-    left = files.select("files", F.posexplode("files").alias("i", "source_file"))
-    pairs = left.select("source_file", F.explode(F.slice("files", F.col("i") + 2, F.size("files"))).alias("target_file"))
+        sizes = sizes.where(F.col("n") <= max_files)
+    dealt = files.join(sizes.select("c", F.ceil(F.col("n") / block).cast("int").alias("parts")), "c")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("file"), F.col("parts")).cast("int"))
+    left = dealt.select("c", F.col("file").alias("x"), F.col("part").alias("i"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("j"))
+    right = dealt.select("c", F.col("file").alias("y"), F.explode(F.sequence(F.lit(0), "part")).alias("i"), F.col("part").alias("j"))
+    pairs = left.join(right, ["c", "i", "j"]).where("x <> y AND (i < j OR x < y)").select(F.least("x", "y").alias("source_file"), F.greatest("x", "y").alias("target_file"))
     return pairs.groupBy("source_file", "target_file").agg(F.count(F.lit(1)).alias("weight"))
 
 
@@ -52,6 +56,7 @@ def pagerank(edges: DataFrame, *, rounds: int = 20, damping: float = 0.85, cut_e
 
 def bfs_levels(edges: DataFrame, seeds: DataFrame, *, max_depth: int = 10) -> DataFrame:
     """(node, level): the fewest edges (src, dst) from any seed (node) to each node that is reached within max_depth."""
+    edges = checkpointed(edges.select("src", "dst").distinct())  # read at every level
     seen = checkpointed(seeds.select("node").where(F.col("node").isNotNull()).distinct().withColumn("level", F.lit(0)))
     front = seen
     for depth in range(1, max_depth + 1):
