@@ -48,7 +48,8 @@ def test_shards_of_the_whole_table(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots)
     # near equal, as far as the longest document allows
     assert max(load) - min(load) <= max(len((t or "").encode()) for _, t in rows) + 1
-    assert {r.map_version for r in got.values()} == {2}  # an even map first, then edited
+    versions = {r.map_version for r in got.values()}
+    assert len(versions) == 1 and min(versions) >= 2  # an even map first, then edited
 
 
 def test_pieces_of_the_whole_table(spark):
