@@ -64,11 +64,15 @@ def szz_trace(changed: DataFrame, blame: DataFrame) -> DataFrame:
     return out.withColumn("confidence", F.when(n == 1, "High").when(n > 1, "Medium").otherwise("Low"))
 
 
-def file_history(traced: DataFrame) -> DataFrame:
-    """Faulty lines of each file over the number of fixes."""
-    fixes = traced.agg(F.count(F.lit(1)).alias("fixes"))
-    lines = traced.select(F.explode("faulty_lines").alias("x")).groupBy("x.file").agg(F.count(F.lit(1)).alias("n"))
-    return lines.join(F.broadcast(fixes)).select("file", (F.col("n") / F.col("fixes")).alias("history"))  # one row
+def file_history(changed: DataFrame, blame: DataFrame) -> DataFrame:
+    """(file, history): faulty lines of each file, once a fix, over the number of fixes; files without any are left out.
+
+    Counted from the lines themselves: no fix's lines are gathered in one row.
+    """
+    fixes = changed.agg(F.count_distinct("fix_commit").alias("fixes"))
+    lines = changed.where("was_deleted").join(blame.select("file", "line"), ["file", "line"]).select("fix_commit", "file", "line").distinct()
+    n = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(F.broadcast(fixes)).select("file", (F.col("n") / F.col("fixes")).alias("history"))  # one row
 
 
 def hybrid_rank(ranked: DataFrame, history: DataFrame, *, alpha: float = 0.7) -> DataFrame:

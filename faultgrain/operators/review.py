@@ -44,7 +44,8 @@ def review_changes(files: DataFrame, known: DataFrame) -> DataFrame:
     quality = F.coalesce("avg_tdg", F.lit(0.0))
     poor = known.where((F.col("frequency") >= 20) | ((F.col("frequency") >= 10) & (quality < 60)))
     classed = files.select("file", F.explode(file_classes(F.col("file"))).alias("category"))
-    return classed.join(poor.select("category", "frequency", quality.alias("avg_tdg")), "category").select("file", "category", "frequency", "avg_tdg")
+    poor = F.broadcast(poor.select("category", "frequency", quality.alias("avg_tdg")))  # a row for each category
+    return classed.join(poor, "category").select("file", "category", "frequency", "avg_tdg")
 
 
 def clean_files(files: DataFrame, warnings: DataFrame) -> DataFrame:

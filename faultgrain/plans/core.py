@@ -275,7 +275,7 @@ def szz_trace(spark, d):
 
 
 def _history(spark, d):
-    return V.file_history(V.szz_trace(view(spark, d, "changed_lines"), view(spark, d, "blame")))
+    return V.file_history(view(spark, d, "changed_lines"), view(spark, d, "blame"))
 
 
 @query(_with(_SZZ, "SELECT file, round(history, 6) AS history FROM v_hist"))

@@ -198,3 +198,18 @@ def test_newest_commits(spark):
     assert got == {("r1", 9), ("r1", 11), ("r0", 10), ("r0", 6)}
 
 
+def test_stems_of_the_whole_table_equal_plain_code(spark):
+    import os
+    import re
+
+    from faultgrain import catalog
+    from faultgrain.operators.text import STOP_WORDS
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no tables here")
+    got = {r.doc_id: r.stems for r in catalog.queries()["stem_tokens"](spark, data).collect()}
+    rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
+    words = lambda t: [w for w in re.findall(r"\w+", (t or "").lower()) if w not in STOP_WORDS]
+    plain = {r.doc_id: r.text for r in rows if r.text is None or r.text.isascii()}
+    assert len(plain) > 20 and all(got[d] == " ".join(map(stem, words(t))) for d, t in plain.items())
