@@ -116,7 +116,9 @@ def current_map(spark: SparkSession, path: str, slot_bytes: dict[int, int], *, s
         found = even_map(slots=slots, shards=shards)
         found.save(spark, path)
     if found.shards != shards or spread_of(found, slot_bytes) > tolerance:
-        rebalanced_map(found, slot_bytes, shards=shards).save(spark, path)
+        edited = rebalanced_map(found, slot_bytes, shards=shards)
+        if (edited.shards, edited.shard_of) != (found.shards, found.shard_of):  # a map that can't be any better stays
+            edited.save(spark, path)
     return load_map(spark, path)
 
 
