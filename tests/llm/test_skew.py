@@ -1,5 +1,6 @@
 """One key in most rows, and very long texts: results stay right, and costs in proportion."""
 
+import hashlib
 import random
 import time
 
@@ -93,6 +94,44 @@ def test_many_documents_with_the_windows_of_many_items(spark):
     assert got[1000].n_items == 0 and not got[1000].contaminated
 
 
+def plain_hits(text: str, items: list[tuple], width: int) -> tuple:
+    """(words, hit words, items that hit) by their definition."""
+    w, hit, names = text.split(), set(), set()
+    for name, item in items:
+        x = item.split()
+        n = min(width, len(x))
+        windows = {tuple(x[i : i + n]) for i in range(len(x) - n + 1)} if x else set()
+        at = [i for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in windows] if x else []
+        hit |= {j for i in at for j in range(i, i + n)}
+        names |= {str(name)} if at else set()
+    return len(w), len(hit), ",".join(sorted(names))
+
+
+@pytest.mark.parametrize("many", [0, 2, 1000])
+def test_hits_extended_from_grams_equal_plain_ones(spark, many):
+    """Few different words: grams stand in many stretches, ties of hashes and short items abound."""
+    r = random.Random(21)
+    some = lambda n, k: " ".join(r.choice("abcdef"[:k]) for _ in range(n))
+    items = [(i, some(r.randrange(0, 16), r.choice([2, 6]))) for i in range(60)] + [(100 + i, "a a a a a a a a a") for i in range(3)]
+    docs = [(i, some(r.randrange(0, 60), r.choice([2, 6]))) for i in range(150)] + [(500, "a " * 300), (501, ""), (502, " ".join(t for _, t in items))]
+    out = decontaminate(spark.createDataFrame(docs, DOCS).repartition(4), spark.createDataFrame(items, "item_id long, text string"), window=7, gram=3, many=many)
+    got = {x.doc_id: (x.n_words, x.n_hit, x.items_sha256) for x in out.collect()}
+    want = {i: plain_hits(t, items, 7) for i, t in docs}
+    assert got == {i: (n, hit, hashlib.sha256(names.encode()).hexdigest()) for i, (n, hit, names) in want.items()}
+    assert sum(hit > 0 for _, hit, _ in want.values()) > 50
+
+
+def test_a_gram_that_half_of_all_items_and_documents_have(spark):
+    r = random.Random(22)
+    word = lambda: f"w{r.randrange(10**6)}"
+    phrase = " ".join(f"often{i}" for i in range(5))
+    around = lambda: " ".join([*(word() for _ in range(12)), phrase, *(word() for _ in range(12))])
+    items = [(i, around()) for i in range(2000)]
+    docs = [(i, around()) for i in range(2000)] + [(5000 + i, items[i][1]) for i in range(300)]
+    got = {x.doc_id: (x.n_hit, x.n_items) for x in decontaminate(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {got[i] for i in range(2000)} == {(0, 0)} and {got[5000 + i] for i in range(300)} == {(29, 1)}
+
+
 def test_one_bucket_with_half_of_all_documents(spark):
     base = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(base[:58] + [f"x{i}", base[59]])) for i in range(600)]
