@@ -18,6 +18,8 @@ UNKNOWN = "und"
 FEATURES = 1 << 12
 #: Most labelled rows that the classifiers are fitted on, shared evenly by the languages.
 SAMPLE = 6000
+#: Most values of the language column that are learned, the most frequent ones: a machine is fitted for each pair within a family.
+LANGUAGES = 64
 #: Most rows that are turned into features at once.
 ROWS = 64
 
@@ -160,21 +162,21 @@ def _chosen(known: DataFrame, names: dict[str, int], id_col: str, text_col: str,
 
 
 def fit_language_model(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, languages: int = LANGUAGES
 ) -> LanguageModel:
     """Fit on rows with a language whose crc32(id as text) mod 5 is not 0.
 
     At most ``sample`` rows are used (one of each language at least), as many of each language, chosen by the
-    hash of their ids and texts; only their features (at most FEATURES numbers a row) reach the driver. Where no row can be
-    learned from, the model has no language and says ``und`` to every text.
+    hash of their ids and texts; only their features (at most FEATURES numbers a row) reach the driver. Of a column of many
+    values the ``languages`` most frequent are learned (ties: the smaller), so stray ones don't count. Where no row can be learned from, the model has no language and says ``und`` to every text.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    counts = known.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each language
-    counts = {r[0]: r[1] for r in counts if r[0] != UNKNOWN}
+    counts = known.where(F.col(lang_col) != UNKNOWN).groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    counts = {r.lang: r.n for r in counts.orderBy(F.desc("n"), "lang").limit(languages).collect()}
     names = sorted(counts)
     if not names:
         return LanguageModel([], [], np.zeros((0, FEATURES + 1)), {}, {}, {})
-    chosen = _chosen(known.where(F.col(lang_col) != UNKNOWN), counts, id_col, text_col, lang_col, max(1, sample // len(names)))
+    chosen = _chosen(known.where(F.col(lang_col).isin(names)), counts, id_col, text_col, lang_col, max(1, sample // len(names)))
     got = map_arrow(chosen, _feature_rows, "lang string, cells binary, values binary").toArrow()
     lang = np.array(got["lang"].to_pylist(), object)
     x = np.zeros((len(lang), FEATURES), np.float32)
@@ -184,14 +186,14 @@ def fit_language_model(
     order = np.lexsort((x[:, :64] @ np.arange(1, 65), lang.astype(str)))  # the same whatever order rows came in
     lang = lang[order]
     families = sorted({family_of(n) for n in names})
-    languages = {f: [n for n in names if family_of(n) == f] for f in families}
+    members = {f: [n for n in names if family_of(n) == f] for f in families}
     label = np.array([families.index(family_of(v)) for v in lang])
     family_pairs, family_weights = _one_versus_one(x, order, label, len(families))
     pairs, weights = {}, {}
     for f in families:
-        own = np.isin(lang, languages[f])
-        pairs[f], weights[f] = _one_versus_one(x, order[own], np.array([languages[f].index(v) for v in lang[own]]), len(languages[f]))
-    return LanguageModel(families, family_pairs, family_weights, languages, pairs, weights)
+        own = np.isin(lang, members[f])
+        pairs[f], weights[f] = _one_versus_one(x, order[own], np.array([members[f].index(v) for v in lang[own]]), len(members[f]))
+    return LanguageModel(families, family_pairs, family_weights, members, pairs, weights)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -14,7 +14,7 @@ from faultgrain.llm import queries as Q
 from faultgrain.llm.components import connected_components
 from faultgrain.llm.decontamination import decontaminate
 from faultgrain.llm.exact_dedup import exact_dedup
-from faultgrain.llm.language_id import _chosen, identify_language
+from faultgrain.llm.language_id import _chosen, fit_language_model, identify_language
 from faultgrain.llm.line_dedup import line_dedup, line_report
 from faultgrain.llm.near_dedup import near_dedup
 from faultgrain.llm.pii import find_pii, reliabilities
@@ -291,6 +291,17 @@ def test_sample_is_bounded_where_ids_repeat(spark):
     assert len(every) == len({(r.lang, r.text) for r in every}) == 40
 
 
+def test_stray_languages_are_not_learned(spark):
+    """A dirty column: thousands of values that one row each has, beside two real languages."""
+    spoken = {"en": "the cat and the dog went over the hill", "de": "der hund und die katze gingen über den berg"}
+    rows = [(i, f"{spoken[k]} {i}", k, *[None] * 6) for i in range(300) for k in [("en", "de")[i % 2]]]
+    rows += [(1000 + i, f"zzz {i}", f"x{i}", *[None] * 6) for i in range(3000)]
+    model = fit_language_model(spark.createDataFrame(rows, SCHEMA), languages=2)
+    assert sorted(n for names in model.languages.values() for n in names) == ["de", "en"]
+    got = identify_language(spark.createDataFrame(rows, SCHEMA), model).where("doc_id < 300").collect()
+    assert all(r.lang_pred == ("en", "de")[r.doc_id % 2] for r in got) and len(got) == 300
+
+
 def test_many_short_texts_make_small_features():
     from faultgrain.llm.language_id import ROWS, features
     from faultgrain.llm.text_arrays import chunks
