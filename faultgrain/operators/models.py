@@ -179,11 +179,12 @@ def isotonic_transform(rows: DataFrame, steps: DataFrame, *, score: str = "score
     placed = ordered(own.unionByName(ends, allowMissingColumns=True), F.col("fg_x").asc(), F.col("fg_step").desc()).withColumn("fg_end", end)
     of = placed.groupBy("fg_part").agg(F.min("fg_end").alias("first"), F.max("fg_end").alias("last"))  # a row for each range
     all_before = Window.partitionBy(F.lit(1)).orderBy("fg_part").rowsBetween(Window.unboundedPreceding, -1)
-    all_after = Window.partitionBy(F.lit(1)).orderBy("fg_part").rowsBetween(1, Window.unboundedFollowing)
+    all_after = Window.partitionBy(F.lit(1)).orderBy(F.desc("fg_part")).rowsBetween(Window.unboundedPreceding, -1)
     around = of.select("fg_part", F.max("last").over(all_before).alias("fg_before"), F.min("first").over(all_after).alias("fg_after"))
     inside = Window.partitionBy("fg_part").orderBy("fg_id")
     below = F.coalesce(F.max("fg_end").over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("fg_before"))
-    above = F.coalesce(F.min("fg_end").over(inside.rowsBetween(0, Window.unboundedFollowing)), F.col("fg_after"))
+    back = Window.partitionBy("fg_part").orderBy(F.desc("fg_id"))  # a frame that only grows: one that shrinks is summed anew for each row
+    above = F.coalesce(F.min("fg_end").over(back.rowsBetween(Window.unboundedPreceding, 0)), F.col("fg_after"))
     out = placed.join(F.broadcast(around), "fg_part").withColumns({"fg_low": below, "fg_high": above}).where("NOT fg_step")
     low, high = F.col("fg_low"), F.col("fg_high")
     line = low["v"] + (high["v"] - low["v"]) * F.try_divide(F.col("fg_x") - low["x"], high["x"] - low["x"])

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from faultgrain.sources.scratch import checkpointed
+from faultgrain.sources.scratch import checkpointed, stored
 
 #: Words that carry no topic; a caller's list replaces it.
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with"]
@@ -29,26 +35,65 @@ def ngrams(tokenized: DataFrame, *, n: int = 2) -> DataFrame:
     return tokenized.withColumn("ngrams", F.when(many, grams).otherwise(F.array().cast("array<string>")))
 
 
-def term_counts(tokenized: DataFrame, *, key: str = "doc_id") -> DataFrame:
-    """(key, term, tf)."""
-    return tokenized.select(key, F.explode("tokens").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+def one_row_each(tokenized: DataFrame, key: str) -> DataFrame:
+    """(key, tokens): the rows as they are, or, where a key repeats, with the tokens of all its rows put together."""
+    if tokenized.groupBy(key).count().where("count > 1").isEmpty():
+        return tokenized.select(key, "tokens")
+    return tokenized.groupBy(key).agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+
+
+def counted(tokens: pa.Array, known: pa.Array | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, row, term, tf) of a batch's lists of tokens: how often each row has each of its terms, of the known ones if given. Numbers are places in the batch and in terms."""
+    flat = tokens.flatten()
+    rows = np.repeat(np.arange(len(tokens)), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+    if known is None:
+        encoded = flat.dictionary_encode()
+        known, at = encoded.dictionary, encoded.indices
+    else:
+        at = pc.index_in(flat, value_set=known)
+    some = at.is_valid().to_numpy(zero_copy_only=False)
+    codes, tf = np.unique(rows[some] * max(len(known), 1) + pc.drop_null(at).to_numpy(zero_copy_only=False), return_counts=True)
+    row, term = np.divmod(codes, max(len(known), 1))
+    return known, row, term, tf
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, cf, df) of each batch."""
+    for batch in batches:
+        terms, _, term, tf = counted(batch.column("tokens"))
+        cf, df = np.bincount(term, tf, len(terms)).astype(np.int64), np.bincount(term, minlength=len(terms))
+        some = pa.array(df > 0)
+        yield pa.RecordBatch.from_arrays([terms.filter(some), pa.array(cf).filter(some), pa.array(df).filter(some)], ["term", "cf", "df"])
+
+
+def _weights(batches: Iterator[pa.RecordBatch], key: str, terms: pa.Array, idf: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        _, row, term, tf = counted(batch.column("tokens"), terms)
+        raw = tf * idf[term]
+        norm = np.sqrt(np.bincount(row, raw * raw, len(batch)))
+        yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(row)), terms.take(pa.array(term)), pa.array(raw / norm[row])], [key, "term", "weight"])
+
+
+def _vocabulary(whole: DataFrame, max_features: int) -> DataFrame:
+    parts = whole.select("tokens").mapInArrow(_terms, "term string, cf long, df long")
+    return parts.groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df")).orderBy(F.desc("cf"), "term").limit(max_features)
 
 
 def vocabulary(tokenized: DataFrame, *, max_features: int = 1000, key: str = "doc_id") -> DataFrame:
     """The max_features most frequent terms with cf (occurrences) and df (texts); ties by term."""
-    terms = term_counts(tokenized, key=key).groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
-    return terms.orderBy(F.desc("cf"), "term").limit(max_features)
+    return _vocabulary(one_row_each(tokenized, key), max_features)
 
 
 def tfidf(tokenized: DataFrame, *, max_features: int = 1000, key: str = "doc_id") -> DataFrame:
-    """(key, term, weight): tf * (ln((1 + N) / (1 + df)) + 1), each text's vector of length 1, over the top terms."""
-    total = tokenized.agg(F.count(F.lit(1)).alias("total"))
-    kept = vocabulary(tokenized, max_features=max_features, key=key).join(F.broadcast(total))  # one row
-    idf = kept.select("term", (F.ln((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
-    rows = term_counts(tokenized, key=key).join(F.broadcast(idf), "term")  # at most max_features rows
-    raw = rows.select(key, "term", (F.col("tf") * F.col("idf")).alias("raw"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norm, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    """(key, term, weight): tf * (ln((1 + N) / (1 + df)) + 1), each text's vector of length 1, over the top terms.
+
+    Terms are counted where the texts are: a text's tokens are never dealt by term or text. The vocabulary is all that is gathered and sent to the workers.
+    """
+    whole, total = one_row_each(tokenized, key), tokenized.count()
+    kept = _vocabulary(whole, max_features).collect()  # max_features rows
+    terms, idf = pa.array([r.term for r in kept], pa.string()), np.log((1 + total) / (1 + np.array([r.df for r in kept], float))) + 1
+    kind = whole.schema[key].dataType.simpleString()
+    return whole.mapInArrow(lambda b: _weights(b, key, terms, idf), f"`{key}` {kind}, term string, weight double")
 
 
 #: Asked terms that are sent to all texts at most.
@@ -57,6 +102,15 @@ MOST_ASKED = 200_000
 _SLACK = 1e-8
 
 
+def _postings(batches: Iterator[pa.RecordBatch], known: pa.Array | None) -> Iterator[pa.RecordBatch]:
+    """(doc_id, length, term, tf): a row for each of a text's known terms, all if none are given, and one without term for the text itself."""
+    for batch in batches:
+        terms, row, term, tf = counted(batch.column("tokens"), known)
+        length = pc.list_value_length(batch.column("tokens"))
+        for rows, *rest in ((pa.array(np.arange(len(batch))), pa.nulls(len(batch), pa.string()), pa.nulls(len(batch), pa.int64())), (pa.array(row), terms.take(pa.array(term)), pa.array(tf, pa.int64()))):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), length.take(rows), *rest], ["doc_id", "length", "term", "tf"])
+
+
 class _Bm25:
     """Postings of the asked terms with their parts of a score, and which terms of each query have to be read in full.
 
@@ -65,19 +119,21 @@ class _Bm25:
     """
 
     def __init__(self, docs: DataFrame, queries: DataFrame, top_k: int, k1: float, b: float):
-        lengths = docs.select("doc_id", F.size("tokens").alias("length"))
-        corpus = lengths.agg(F.count(F.lit(1)).alias("total"), F.avg("length").alias("mean"))
         asked = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("term"))
         few = asked.limit(MOST_ASKED + 1).count() <= MOST_ASKED
         self.sent = F.broadcast if few else lambda rows: rows
-        wanted = self.sent(asked.select("term").distinct())
-        postings = docs.select("doc_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
-        postings = postings.groupBy("term", "doc_id", "length").agg(F.count(F.lit(1)).alias("tf"))
+        terms = pa.array([r.term for r in asked.select("term").distinct().collect()], pa.string()) if few else None
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        read = stored(docs.select("doc_id", "tokens").mapInArrow(lambda b: _postings(b, terms), f"doc_id {kind}, length int, term string, tf long"))
+        corpus = read.where("tf IS NULL").agg(F.count(F.lit(1)).alias("total"), F.avg("length").alias("mean"))
+        postings = read.where("tf IS NOT NULL") if few else read.where("tf IS NOT NULL").join(asked.select("term").distinct(), "term", "left_semi")
+        if not read.where("tf IS NULL").groupBy("doc_id", "length").count().where("count > 1").isEmpty():  # rows that can't be told apart are one text
+            postings = stored(postings.groupBy("term", "doc_id", "length").agg(F.sum("tf").alias("tf")))
         df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         weighed = postings.join(self.sent(df), "term").join(F.broadcast(corpus))  # one row
         idf = F.ln(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-        self.parts = checkpointed(weighed.select("term", "doc_id", part.alias("part")))
+        self.parts = stored(weighed.select("term", "doc_id", part.alias("part")))
         known = self.parts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("part").alias("most"))
         terms = checkpointed(asked.join(self.sent(known), "term"))
         rarest = Window.partitionBy("query_id").orderBy("df", "term")
@@ -128,7 +184,7 @@ def project_2d(weights: DataFrame, total: DataFrame, *, key: str = "doc_id") ->
     weights: (key, term, weight), a term that a text lacks weighing 0; total: one row, n texts. Ranges below 0.001 count as
     0.001. Texts without any weight are left out.
     """
-    w = F.col("weight")
+    w, weights = F.col("weight"), stored(weights)
     sums = weights.groupBy("term").agg(F.sum(w).alias("s"), F.sum(w * w).alias("q"), F.min(w).alias("low"), F.max(w).alias("high"), F.count(F.lit(1)).alias("in"))
     rows = sums.join(F.broadcast(total))  # one row
     variance = F.round(F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2), 12)
@@ -136,36 +192,77 @@ def project_2d(weights: DataFrame, total: DataFrame, *, key: str = "doc_id") ->
     high = F.when(F.col("in") < F.col("n"), F.greatest("high", F.lit(0.0))).otherwise(F.col("high"))
     two = rows.select("term", low.alias("low"), F.greatest(high - low, F.lit(0.001)).alias("range"), variance.alias("variance")).orderBy(F.desc("variance"), "term").limit(2)
     two = two.withColumn("axis", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("variance"), "term")))  # two rows
-    cells = weights.join(F.broadcast(two), "term")
-    ends = two.agg(*(F.max(F.when(F.col("axis") == a, F.col(c))).alias(f"{c}{a}") for a in (1, 2) for c in ("low", "range")))
-    place = lambda a: F.coalesce(F.max(F.when(F.col("axis") == a, w)), F.lit(0.0)).alias(f"w{a}")
-    some = weights.select(key).distinct().join(cells.groupBy(key).agg(place(1), place(2)), key, "left")
+    ends = two.agg(*(F.max(F.when(F.col("axis") == a, F.col(c))).alias(f"{c}{a}") for a in (1, 2) for c in ("term", "low", "range")))
+    place = lambda a: F.max(F.when(F.col("term") == F.col(f"term{a}"), w)).alias(f"w{a}")
+    some = weights.join(F.broadcast(ends.select("term1", "term2"))).groupBy(key).agg(place(1), place(2))  # one row
     scaled = lambda a: (F.coalesce(f"w{a}", F.lit(0.0)) - F.col(f"low{a}")) / F.col(f"range{a}") * 2 - 1
     return some.join(F.broadcast(ends)).select(key, scaled(1).alias("x"), scaled(2).alias("y"))  # one row
 
 
-def pairwise_similarity(weights: DataFrame, *, least: float = 0.5, key: str = "doc_id", block: int = 1024) -> DataFrame:
+#: Terms of a tile whose weights are laid out at a time, and texts of its left side.
+_WIDE, _HIGH = 4096, 512
+
+
+def _laid_out(rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, shape: tuple[int, int], top: int, first: int) -> np.ndarray:
+    """Weights of the texts from ``top`` on and the terms from ``first`` on, as a matrix."""
+    out = np.zeros(shape)
+    here = (rows >= top) & (rows < top + shape[0]) & (terms >= first) & (terms < first + shape[1])
+    out[rows[here] - top, terms[here] - first] = weights[here]
+    return out
+
+
+def _tile_pairs(left: pa.Table, right: pa.Table, least: float, same: bool) -> pa.Table:
+    """(a, b, similarity) of the pairs of a tile that reach ``least``; within one part each pair once."""
+    sides = [side.sort_by("fg_key") if same else side for side in (left, right)]
+    flat = [side["fg_terms"].combine_chunks().flatten() for side in sides]
+    mine, theirs = (f.unique() for f in flat)
+    shared = mine.filter(pc.is_in(mine, value_set=theirs))
+    parts = []
+    for side, terms in zip(sides, flat, strict=True):
+        at = pc.index_in(terms, value_set=shared)
+        some = at.is_valid().to_numpy(zero_copy_only=False)
+        rows = np.repeat(np.arange(len(side)), pc.list_value_length(side["fg_terms"]).to_numpy())
+        parts.append((rows[some], pc.drop_null(at).to_numpy(), side["fg_weights"].combine_chunks().flatten().to_numpy()[some]))
+    chunks = range(0, len(shared), _WIDE)
+    wide = lambda first: min(_WIDE, len(shared) - first)
+    whole = _laid_out(*parts[1], (len(right), wide(0)), 0, 0) if len(chunks) == 1 else None
+    found = []
+    for top in range(0, len(left), _HIGH):
+        high = min(_HIGH, len(left) - top)
+        product = np.zeros((high, len(right)))
+        for first in chunks:
+            across = whole if whole is not None else _laid_out(*parts[1], (len(right), wide(first)), 0, first)
+            product += _laid_out(*parts[0], (high, wide(first)), top, first) @ across.T
+        hit = np.round(product, 9) >= least
+        if same:
+            hit &= np.arange(top, top + high)[:, None] < np.arange(len(right))[None]
+        i, j = np.nonzero(hit)
+        found.append((i + top, j, product[i, j]))
+    i, j, similarity = (np.concatenate(x) for x in zip(*found, strict=True))
+    x, y = sides[0]["fg_key"].combine_chunks().take(pa.array(i)), sides[1]["fg_key"].combine_chunks().take(pa.array(j))
+    less = pc.less(x, y)
+    return pa.table({"a": pc.if_else(less, x, y), "b": pc.if_else(less, y, x), "similarity": pa.array(similarity, pa.float64())})
+
+
+def pairwise_similarity(weights: DataFrame, *, least: float = 0.5, key: str = "doc_id", block: int = 2048) -> DataFrame:
     """(a, b, similarity): the cosine of every pair a < b of texts that reach ``least`` (above 0). weights: (key, term, weight), of length 1.
 
-    Prefix filtering: with terms in the order of their frequency, rarest first, two texts can only reach the bound if they
-    share a term of the part of each before what is left is shorter than ``least``; and at the first term that they share, the
-    product of what is left of both must reach it too. A term's texts meet in blocks of about ``block`` x ``block``, so no term meets whole in one task,
-    however many texts have it. Pairs that meet are then compared on all terms.
+    Every two texts meet once, in tiles of about ``block`` x ``block``, each multiplied as matrices over the terms that both sides have; so no task holds more,
+    whatever terms and texts have in common. Texts travel once for each block of the others. The work grows with the square of the texts, as the pairs do.
     """
     if not 0 < least <= 1:
         raise ValueError("least must be above 0 and at most 1")
-    df = weights.groupBy("term").agg(F.count(F.lit(1)).alias("fg_df"))
-    upto = Window.partitionBy(key).orderBy(F.desc("fg_df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
-    rest = F.sum(F.col("weight") * F.col("weight")).over(upto)  # the square of what is left from a term on
-    heads = weights.join(df, "term").withColumn("rest", rest).where(F.col("rest") >= least * least - 1e-9).select(key, "term", "rest")
-    heads = checkpointed(heads)
-    parts = heads.groupBy("term").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    dealt = heads.join(parts, "term").withColumn("part", F.pmod(F.xxhash64(key), F.col("parts")).cast("int"))
-    left = dealt.select(F.col(key).alias("x"), "term", F.col("rest").alias("x_rest"), F.col("part").alias("i"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("j"))
-    right = dealt.select(F.col(key).alias("y"), "term", F.col("rest").alias("y_rest"), F.explode(F.sequence(F.lit(0), F.col("part"))).alias("i"), F.col("part").alias("j"))
-    met = left.join(right, ["term", "i", "j"]).where("(i < j OR x < y) AND x <> y").where(F.col("x_rest") * F.col("y_rest") >= least * least - 1e-9)
-    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    bags = weights.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("bag"))
-    pairs = pairs.join(bags.select(F.col(key).alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col(key).alias("b"), F.col("bag").alias("y")), "b")
-    product = F.aggregate(F.map_entries("x"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("y", e["key"]), F.lit(0.0)))
-    return pairs.select("a", "b", product.alias("similarity")).where(F.round("similarity", 9) >= least)
+    bags = weights.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("fg_key")).agg(F.collect_list(F.struct("term", "weight")).alias("x"))
+    bags = stored(bags.select("fg_key", F.col("x.term").alias("fg_terms"), F.col("x.weight").alias("fg_weights")))
+    parts = max(1, -(-bags.count() // block))
+    part = F.pmod(F.xxhash64("fg_key"), F.lit(parts)).cast("int")
+    left = bags.withColumn("fg_i", part).withColumn("fg_j", F.explode(F.sequence("fg_i", F.lit(parts - 1)))).groupBy("fg_i", "fg_j")
+    others = bags.select(*(F.col(c).alias(c) for c in bags.columns))  # columns of its own, as the plan may mix up those of two sides
+    right = others.withColumn("fg_j", part).withColumn("fg_i", F.explode(F.sequence(F.lit(0), F.col("fg_j")))).groupBy("fg_i", "fg_j")
+    kind = bags.schema["fg_key"].dataType
+    none = pa.table({"a": pa.array([], to_arrow_type(kind)), "b": pa.array([], to_arrow_type(kind)), "similarity": pa.array([], pa.float64())})
+
+    def tile(at: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        return _tile_pairs(a, b, least, at[0] == at[1]) if len(a) and len(b) else none
+
+    return left.cogroup(right).applyInArrow(tile, f"a {kind.simpleString()}, b {kind.simpleString()}, similarity double")
