@@ -33,3 +33,11 @@ def test_pairs_meet_in_tiles_and_not_by_term(spark, tokens):
     got = {(r.a, r.b): r.similarity for r in found.collect()}
     assert got.keys() == set(zip(a.tolist(), b.tolist(), strict=True)) and len(got) == found.count()
     assert all(abs(s - m[i] @ m[j]) < 1e-9 for (i, j), s in got.items())
+
+
+def test_isotonic_lines_use_frames_that_only_grow(spark):
+    """A frame that ends with the last row is summed anew for each row of a range."""
+    rows = spark.range(400).selectExpr("id", "(id * 37 % 101) / 100.0D AS score", "CAST(id % 3 = 0 AS INT) AS label")
+    found = models.isotonic_transform(rows, models.isotonic_steps(rows, ranges=4))
+    assert "unboundedfollowing" not in plan(found).lower()
+    assert found.count() == 400 and found.where("calibrated IS NULL").count() == 0
