@@ -156,8 +156,9 @@ def kmeans_features(spark, d):
 @query(f"{_LLOYD} SELECT round(sqrt(sum(d) / count(*)), 0) AS spread FROM v_a")
 def inertia(spark, d):
     """As the root of the mean, since the sum has 19 digits."""
-    n = F.broadcast(_features(spark, d).agg(F.count(F.lit(1)).alias("n")))  # one row
-    return M.inertia(_clustered(spark, d)).join(n).select(F.round(F.sqrt(F.col("inertia") / F.col("n")), 0).alias("spread"))
+    rows = _clustered(spark, d)
+    n = F.broadcast(rows.agg(F.count(F.lit(1)).alias("n")))  # one row
+    return M.inertia(rows).join(n).select(F.round(F.sqrt(F.col("inertia") / F.col("n")), 0).alias("spread"))
 
 
 # --- text
