@@ -15,18 +15,21 @@ from pyspark.sql import functions as F
 
 from faultgrain.operators.evaluate import LABEL_FUNCTIONS, interval, vote_columns
 from faultgrain.operators.ordering import global_index, ordered
-from faultgrain.sources.scratch import checkpointed
+from faultgrain.sources.scratch import checkpointed, stored
 
 
 def train_text_classifier(rows: DataFrame, *, trees: int = 100, depth: int = 20, max_features: int = 1500, seed: int = 42) -> PipelineModel:
-    """TF-IDF and a random forest over rows of (tokens, category); rows without a category are left out."""
+    """TF-IDF and a random forest over rows of (tokens, category); rows without a category are left out.
+
+    The rows are stored once, as each stage and each level of the trees' preparation reads them anew.
+    """
     stages = [
         StringIndexer(inputCol="category", outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep"),
         CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=max_features),
         IDF(inputCol="tf", outputCol="features"),
         RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed),
     ]
-    return Pipeline(stages=stages).fit(rows.where(F.col("category").isNotNull()))
+    return Pipeline(stages=stages).fit(stored(rows.where(F.col("category").isNotNull()).select("tokens", "category")))
 
 
 def classifier_accuracy(model: PipelineModel, rows: DataFrame, *, by: str = "split") -> DataFrame:
@@ -80,12 +83,10 @@ def cluster_columns(rows: DataFrame, columns: list[str], *, k: int, seed: int =
 
 def semantic_clusters(tokenized: DataFrame, *, k: int, max_features: int = 1000, seed: int = 42, rounds: int = 100) -> DataFrame:
     """Adds cluster and distance2 of k-means over TF-IDF vectors of (tokens), each of length 1."""
-    stages = [
-        CountVectorizer(inputCol="tokens", outputCol="fg_tf", vocabSize=max_features),
-        IDF(inputCol="fg_tf", outputCol="fg_weighed"),
-        Normalizer(inputCol="fg_weighed", outputCol="fg_features"),
-    ]
-    placed = Pipeline(stages=stages).fit(tokenized).transform(tokenized)
+    words = CountVectorizer(inputCol="tokens", outputCol="fg_tf", vocabSize=max_features)
+    counts = stored(words.fit(tokenized).transform(tokenized))  # every later pass reads the counts, so texts are cut into tokens twice
+    stages = [IDF(inputCol="fg_tf", outputCol="fg_weighed"), Normalizer(inputCol="fg_weighed", outputCol="fg_features")]
+    placed = Pipeline(stages=stages).fit(counts).transform(counts)
     return _clustered(placed, "fg_features", k, seed, rounds).drop("fg_tf", "fg_weighed", "fg_features")
 
 

@@ -18,6 +18,7 @@ from faultgrain.operators import timeseries as S
 from faultgrain.plans.analysis import _OWN_NAMES, _OWN_VOTES, _TERMS, _VOTES, _features, _own_votes, _tokens
 from faultgrain.plans.core import _PATTERNS, _RULES, _STATEMENTS, _classified, _r, _with
 from faultgrain.sources.files import validate_diagnostics as _validated
+from faultgrain.sources.scratch import stored
 from faultgrain.sources.views import oracle, view
 
 QUERIES: dict = {}
@@ -234,7 +235,7 @@ def semantic_clusters(spark, d):
 
 
 def _predicted(spark, d) -> DataFrame:
-    rows = X.tokenize(_classified(spark, d), text="message")
+    rows = stored(X.tokenize(_classified(spark, d), text="message").select("commit_id", "tokens", "category"))
     return M.predict_top_n(M.train_text_classifier(rows), rows, key="commit_id")
 
 
