@@ -251,6 +251,18 @@ def test_what_a_page_shares_with_its_neighbour_goes(spark):
     assert H.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_with_landmarks_are_aligned_too(spark):
+    """What a site repeats goes before landmarks judge the rest; articles keep what they share."""
+    quote = "A saying that every story of this site quotes in full."
+    about = "".join(f"<div>Section {x} of all that this site has ever told.</div>" for x in "abcdef")
+    own = lambda k: f"Its own words, which are more than any other line of the page has, {k} and {k * k}."
+    site = lambda k: f"<h1>The Daily Site</h1>{about}<div>Loose {k}</div><article><h2>Story {k}</h2><p>{quote}</p><p>{own(k)}</p></article>"
+    rows = [(k, f"https://a.example/{k:02d}", page(site(k))) for k in range(40)] + [(99, "https://b.example/1", page("<h1>Alone</h1>" + site(99)))]
+    got = {r.page_id: r.text for r in H.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: got[k] for k in range(40)} == {k: f"Story {k}\n\n{quote}\n\n{own(k)}" for k in range(40)}
+    assert got[99].startswith("Alone\n\nThe Daily Site\n\nSection a of")  # without a partner nothing is known to be repeated
+
+
 def test_copies_are_no_partners(spark):
     body = "<div>Menu</div><div>The whole of a long story that two addresses of one host show alike.</div>"
     rows = [(1, "http://a.example/x/1", page(body)), (2, "http://a.example/x/2", page(body)), (3, "http://a.example/x/3", page("<div>Menu</div><div>Another story, not the one that the others tell.</div>"))]
