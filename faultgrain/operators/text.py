@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -16,13 +16,19 @@ from faultgrain.sources.scratch import checkpointed, stored
 #: Words that carry no topic; a caller's list replaces it.
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with"]
 WORD = r"[\p{L}\p{N}_]+"
+_BETWEEN = r"[^\p{L}\p{N}_]+"
 
 
 def tokenize(df: DataFrame, *, text: str = "text", stop_words: list[str] | None = None) -> DataFrame:
     """Adds tokens: the lower-cased words of a text that aren't stop words; none where the text is null."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0))
-    stop = F.array(*map(F.lit, STOP_WORDS if stop_words is None else stop_words)).cast("array<string>")
-    return df.withColumn("tokens", F.filter(words, lambda w: ~F.array_contains(stop, w)))
+    words = F.regexp_extract_all(lower(text), F.lit(WORD), F.lit(0))
+    stop = STOP_WORDS if stop_words is None else stop_words
+    return df.withColumn("tokens", F.filter(words, lambda w: ~w.isin(stop)))  # a set, where there are more than ten
+
+
+def lower(text: str) -> Column:
+    """The text in lower case; empty where it is null."""
+    return F.lower(F.coalesce(F.col(text), F.lit("")))
 
 
 def ngrams(tokenized: DataFrame, *, n: int = 2) -> DataFrame:
@@ -35,61 +41,94 @@ def ngrams(tokenized: DataFrame, *, n: int = 2) -> DataFrame:
     return tokenized.withColumn("ngrams", F.when(many, grams).otherwise(F.array().cast("array<string>")))
 
 
-def one_row_each(tokenized: DataFrame, key: str) -> DataFrame:
-    """(key, tokens): the rows as they are, or, where a key repeats, with the tokens of all its rows put together."""
-    if tokenized.groupBy(key).count().where("count > 1").isEmpty():
-        return tokenized.select(key, "tokens")
+def one_row_each(rows: DataFrame, key: str, text: str | None = None) -> DataFrame:
+    """(key, tokens): the rows as they are, or, where a key repeats, with the tokens of all its rows put together.
+
+    With ``text``, texts of their own keys stay whole, in lower case, as (key, text): they are cut into tokens where they are read.
+    """
+    if rows.groupBy(key).count().where("count > 1").isEmpty():
+        return rows.select(key, "tokens" if text is None else lower(text).alias("text"))
+    tokenized = rows if text is None else tokenize(rows, text=text)
     return tokenized.groupBy(key).agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
 
 
-def counted(tokens: pa.Array, known: pa.Array | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """(terms, row, term, tf) of a batch's lists of tokens: how often each row has each of its terms, of the known ones if given. Numbers are places in the batch and in terms."""
-    flat = tokens.flatten()
-    rows = np.repeat(np.arange(len(tokens)), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
-    if known is None:
-        encoded = flat.dictionary_encode()
-        known, at = encoded.dictionary, encoded.indices
-    else:
-        at = pc.index_in(flat, value_set=known)
-    some = at.is_valid().to_numpy(zero_copy_only=False)
-    codes, tf = np.unique(rows[some] * max(len(known), 1) + pc.drop_null(at).to_numpy(zero_copy_only=False), return_counts=True)
-    row, term = np.divmod(codes, max(len(known), 1))
-    return known, row, term, tf
+_STOP = pa.array([*STOP_WORDS, ""])
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, which bound what the numbers of their tokens take."""
+    for batch in batches:
+        yield from (batch.slice(at, rows) for at in range(0, len(batch), rows))
+
+
+def coded(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(terms, row, term) of a batch's tokens, in order, or of its lower-cased texts: numbers are places in the batch and in terms.
+
+    A text's pieces between blanks are told apart first, and each distinct one of the batch is cut into the tokens that ``tokenize`` finds once.
+    """
+    whole = "tokens" not in batch.schema.names
+    lists = pc.utf8_split_whitespace(batch.column("text")) if whole else batch.column("tokens")
+    row = np.repeat(np.arange(len(batch)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    encoded = lists.flatten().dictionary_encode()
+    if not whole:
+        some = encoded.is_valid().to_numpy(zero_copy_only=False)
+        return encoded.dictionary, row[some], pc.drop_null(encoded.indices).to_numpy()
+    words = pc.split_pattern_regex(encoded.dictionary, _BETWEEN)
+    piece, word = pc.list_parent_indices(words), words.flatten()
+    kept = pc.invert(pc.is_in(word, value_set=_STOP.cast(word.type)))
+    word = word.filter(kept).dictionary_encode()
+    n = np.bincount(piece.filter(kept).to_numpy(), minlength=len(words))  # tokens of each piece
+    at = encoded.indices.to_numpy()
+    own = n[at]
+    place = np.arange(own.sum()) + np.repeat((np.cumsum(n) - n)[at] - (np.cumsum(own) - own), own)
+    return word.dictionary, np.repeat(row, own), word.indices.to_numpy()[place]
+
+
+def counted(batch: pa.RecordBatch, known: pa.Array | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, row, term, tf, length) of a batch: how often each row has each of its terms, of the known ones if given, and each row's number of tokens."""
+    terms, row, term = coded(batch)
+    length = np.bincount(row, minlength=len(batch))
+    if known is not None:
+        term = pc.fill_null(pc.index_in(terms, value_set=known), -1).to_numpy()[term]
+        row, term, terms = row[term >= 0], term[term >= 0], known
+    codes, tf = np.unique(row * max(len(terms), 1) + term, return_counts=True)
+    return terms, *np.divmod(codes, max(len(terms), 1)), tf, length
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, cf, df) of each batch."""
-    for batch in batches:
-        terms, _, term, tf = counted(batch.column("tokens"))
+    for batch in sliced(batches):
+        terms, _, term, tf, _ = counted(batch)
         cf, df = np.bincount(term, tf, len(terms)).astype(np.int64), np.bincount(term, minlength=len(terms))
         some = pa.array(df > 0)
         yield pa.RecordBatch.from_arrays([terms.filter(some), pa.array(cf).filter(some), pa.array(df).filter(some)], ["term", "cf", "df"])
 
 
 def _weights(batches: Iterator[pa.RecordBatch], key: str, terms: pa.Array, idf: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        _, row, term, tf = counted(batch.column("tokens"), terms)
+    for batch in sliced(batches):
+        _, row, term, tf, _ = counted(batch, terms)
         raw = tf * idf[term]
         norm = np.sqrt(np.bincount(row, raw * raw, len(batch)))
         yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(row)), terms.take(pa.array(term)), pa.array(raw / norm[row])], [key, "term", "weight"])
 
 
 def _vocabulary(whole: DataFrame, max_features: int) -> DataFrame:
-    parts = whole.select("tokens").mapInArrow(_terms, "term string, cf long, df long")
+    parts = whole.select(whole.columns[-1]).mapInArrow(_terms, "term string, cf long, df long")
     return parts.groupBy("term").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df")).orderBy(F.desc("cf"), "term").limit(max_features)
 
 
-def vocabulary(tokenized: DataFrame, *, max_features: int = 1000, key: str = "doc_id") -> DataFrame:
-    """The max_features most frequent terms with cf (occurrences) and df (texts); ties by term."""
-    return _vocabulary(one_row_each(tokenized, key), max_features)
+def vocabulary(rows: DataFrame, *, max_features: int = 1000, key: str = "doc_id", text: str | None = None) -> DataFrame:
+    """The max_features most frequent terms with cf (occurrences) and df (texts) of tokens, or of the column ``text``; ties by term."""
+    return _vocabulary(one_row_each(rows, key, text), max_features)
 
 
-def tfidf(tokenized: DataFrame, *, max_features: int = 1000, key: str = "doc_id") -> DataFrame:
+def tfidf(rows: DataFrame, *, max_features: int = 1000, key: str = "doc_id", text: str | None = None) -> DataFrame:
     """(key, term, weight): tf * (ln((1 + N) / (1 + df)) + 1), each text's vector of length 1, over the top terms.
 
     Terms are counted where the texts are: a text's tokens are never dealt by term or text. The vocabulary is all that is gathered and sent to the workers.
+    Rows hold tokens, or whole texts in the column ``text``, which is faster, as each distinct piece of a batch's texts is cut into tokens once.
     """
-    whole, total = one_row_each(tokenized, key), tokenized.count()
+    whole, total = one_row_each(rows, key, text), rows.count()
     kept = _vocabulary(whole, max_features).collect()  # max_features rows
     terms, idf = pa.array([r.term for r in kept], pa.string()), np.log((1 + total) / (1 + np.array([r.df for r in kept], float))) + 1
     kind = whole.schema[key].dataType.simpleString()
@@ -104,9 +143,9 @@ _SLACK = 1e-8
 
 def _postings(batches: Iterator[pa.RecordBatch], known: pa.Array | None) -> Iterator[pa.RecordBatch]:
     """(doc_id, length, term, tf): a row for each of a text's known terms, all if none are given, and one without term for the text itself."""
-    for batch in batches:
-        terms, row, term, tf = counted(batch.column("tokens"), known)
-        length = pc.list_value_length(batch.column("tokens"))
+    for batch in sliced(batches):
+        terms, row, term, tf, length = counted(batch, known)
+        length = pa.array(length, pa.int32())
         for rows, *rest in ((pa.array(np.arange(len(batch))), pa.nulls(len(batch), pa.string()), pa.nulls(len(batch), pa.int64())), (pa.array(row), terms.take(pa.array(term)), pa.array(tf, pa.int64()))):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), length.take(rows), *rest], ["doc_id", "length", "term", "tf"])
 

@@ -44,7 +44,11 @@ v_vocabulary AS (SELECT term, CAST(sum(tf) AS BIGINT) AS cf, count(*) AS df FROM
 
 
 def _tokens(spark, d) -> DataFrame:
-    return X.tokenize(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")).drop("text")
+    return X.tokenize(_texts(spark, d)).drop("text")
+
+
+def _texts(spark, d) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
 
 
 @query(_with(_TOKENS, "SELECT doc_id, array_to_string(tokens, ' ') AS tokens FROM v_tokens"))
@@ -59,13 +63,13 @@ def ngrams(spark, d):
 
 @query(_with(_TERMS, "SELECT * FROM v_vocabulary"))
 def vocabulary(spark, d):
-    return X.vocabulary(_tokens(spark, d))
+    return X.vocabulary(_texts(spark, d), text="text")
 
 
 @query(_with(_TERMS, """, v_raw AS (SELECT doc_id, term, tf * (ln((1 + (SELECT count(*) FROM v_tokens)) / (1 + df)) + 1) AS raw FROM v_tf JOIN v_vocabulary USING (term))
   SELECT doc_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS weight FROM v_raw"""))
 def tfidf(spark, d):
-    return X.tfidf(_tokens(spark, d)).select("doc_id", "term", _r("weight"))
+    return X.tfidf(_texts(spark, d), text="text").select("doc_id", "term", _r("weight"))
 
 
 @query(_with(_TOKENS, f""", v_asked AS (SELECT item_id AS query_id, unnest(list_distinct({_WORDS.replace('TEXT', 'text')})) AS term FROM benchmark),
