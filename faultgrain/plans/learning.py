@@ -15,7 +15,7 @@ from faultgrain.operators import patterns as P
 from faultgrain.operators import review as R
 from faultgrain.operators import text as X
 from faultgrain.operators import timeseries as S
-from faultgrain.plans.analysis import _OWN_NAMES, _OWN_VOTES, _TERMS, _VOTES, _features, _own_votes, _tokens
+from faultgrain.plans.analysis import _OWN_NAMES, _OWN_VOTES, _TERMS, _VOTES, _features, _own_votes, _texts, _tokens
 from faultgrain.plans.core import _PATTERNS, _RULES, _STATEMENTS, _classified, _r, _with
 from faultgrain.sources.files import validate_diagnostics as _validated
 from faultgrain.sources.scratch import stored
@@ -165,8 +165,8 @@ def validate_diagnostics(spark, d):
   v_at AS (SELECT doc_id, axis, coalesce(max(w), 0) AS w FROM (SELECT DISTINCT doc_id FROM v_w) CROSS JOIN v_two LEFT JOIN v_w USING (doc_id, term) GROUP BY doc_id, axis)
   SELECT doc_id, round(max(CASE WHEN axis = 1 THEN (w - low) / range * 2 - 1 END), 6) AS x, round(max(CASE WHEN axis = 2 THEN (w - low) / range * 2 - 1 END), 6) AS y FROM v_at JOIN v_two USING (axis) GROUP BY doc_id"""))
 def project_2d(spark, d):
-    tokens = _tokens(spark, d)
-    return X.project_2d(X.tfidf(tokens), tokens.agg(F.count(F.lit(1)).alias("n"))).select("doc_id", _r("x"), _r("y"))
+    texts = _texts(spark, d)
+    return X.project_2d(X.tfidf(texts, text="text"), texts.agg(F.count(F.lit(1)).alias("n"))).select("doc_id", _r("x"), _r("y"))
 
 
 # --- fitted models; those without SQL are tested against plain code or properties
