@@ -17,7 +17,7 @@ from faultgrain.operators import retrieval as L
 from faultgrain.operators import stems as Z
 from faultgrain.operators import text as X
 from faultgrain.operators import timeseries as S
-from faultgrain.plans.analysis import _TERMS, _TRAINING, _WORDS, _features, _tokens, _training
+from faultgrain.plans.analysis import _TERMS, _TRAINING, _WORDS, _features, _texts, _training
 from faultgrain.plans.core import _DIAG, _FEATURES, _RULES, _SCORED_TOP, _classified, _quoted, _r, _scores, _with
 from faultgrain.sources.views import oracle, view
 
@@ -166,7 +166,7 @@ def inertia(spark, d):
 
 @query()
 def stem_tokens(spark, d):
-    return Z.stem_tokens(_tokens(spark, d)).select("doc_id", F.array_join("stems", " ").alias("stems"))
+    return Z.stem_tokens(_texts(spark, d), text="text").select("doc_id", F.array_join("stems", " ").alias("stems"))
 
 
 _LEAST = 0.75
@@ -177,7 +177,7 @@ _LEAST = 0.75
   v_s AS (SELECT x.doc_id AS a, y.doc_id AS b, round(sum(x.w * y.w), 6) AS similarity FROM v_w x JOIN v_w y ON x.term = y.term AND x.doc_id < y.doc_id GROUP BY 1, 2)
   SELECT a, b, similarity FROM v_s WHERE similarity >= {_LEAST}"""))
 def pairwise_similarity(spark, d):
-    return X.pairwise_similarity(X.tfidf(_tokens(spark, d)), least=_LEAST).select("a", "b", _r("similarity"))
+    return X.pairwise_similarity(X.tfidf(_texts(spark, d), text="text"), least=_LEAST).select("a", "b", _r("similarity"))
 
 
 # --- retrieval

@@ -57,6 +57,27 @@ def test_stems_are_found_without_a_shuffle(spark, tokens):
     assert {r.doc_id: r.stems for r in stems.stem_tokens(few).collect()} == {1: ["cat", "run", "cat"], 2: []}
 
 
+ODD = ["The cat's HAT, the hat_2!", None, "", "the of", "\u2003é1—É1\u00a0x\tthe\nnaïve ², 中文。字 x x", "İstanbul ΣΑΣ don't running-late __ 3.14", " , ", "running, running. RUNNING"]
+
+
+def test_texts_are_cut_into_tokens_where_they_are_counted(spark):
+    """Row by row, an array of tokens takes most of the time; the tokens are those of tokenize, also where keys repeat."""
+    texts = spark.createDataFrame(list(enumerate(ODD * 3)), "doc_id long, text string")
+    assert "regexp_extract_all" not in plan(text.tfidf(texts, text="text")) + plan(stems.stem_tokens(texts, text="text")) + plan(text.vocabulary(texts, text="text"))
+    for rows in (texts, texts.unionByName(texts.limit(5)), texts.limit(0)):
+        tokenized = text.tokenize(rows)
+        for f in (text.tfidf, text.vocabulary, stems.stem_tokens):
+            assert sorted(map(tuple, f(rows, text="text").collect())) == sorted(map(tuple, f(tokenized).collect()))
+    got = {r.doc_id: r.stems for r in stems.stem_tokens(texts, text="text").collect()}
+    assert got[0] == ["cat", "s", "hat", "hat_2"] and got[1] == got[2] == got[3] == [] and got[7] == ["run", "run", "run"]
+
+
+def test_a_caller_without_stop_words_keeps_all(spark):
+    rows = spark.createDataFrame([(1, "The end of it")], "doc_id long, text string")
+    assert text.tokenize(rows, stop_words=[]).first().tokens == ["the", "end", "of", "it"]
+    assert text.tokenize(rows, stop_words=["end"]).first().tokens == ["the", "of", "it"]
+
+
 def test_distances_of_near_points_keep_their_digits():
     """A product of matrices alone loses them: equal points far out would lie apart."""
     x = np.random.default_rng(2).normal(0, 1, (50, 8)) + 1e6
