@@ -190,28 +190,139 @@ class _Bm25:
         return rows.groupBy("query_id", "doc_id").agg(F.sum("part").alias("raw"))
 
 
-def bm25_search(docs: DataFrame, queries: DataFrame, *, top_k: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(query_id, term): the distinct terms of each query."""
+    for batch in sliced(batches):
+        terms, row, term, _, _ = counted(batch)
+        yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(row)), terms.take(pa.array(term))], ["query_id", "term"])
+
+
+def _asked_counts(batches: Iterator[pa.RecordBatch], terms: pa.Array) -> Iterator[pa.RecordBatch]:
+    """(term, df, tf, length) of each asked term: its texts, its most occurrences in one and the least length of one. And a row without term: texts, those with tokens, their lengths."""
+    for batch in sliced(batches):
+        _, row, term, tf, length = counted(batch, terms)
+        df, most, least = np.bincount(term, minlength=len(terms)), np.zeros(len(terms), int), np.full(len(terms), 1 << 62)
+        np.maximum.at(most, term, tf)
+        np.minimum.at(least, term, length[row])
+        some = np.flatnonzero(df)
+        numbers = ((df, len(batch)), (most, len(batch) - batch.column(batch.num_columns - 1).null_count), (least, length.sum()))
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([terms.take(pa.array(some)), pa.nulls(1, terms.type)]), *(pa.array([*x[some], all_], pa.int64()) for x, all_ in numbers)], ["term", "df", "tf", "length"])
+
+
+class _Scorer:
+    """Scores texts against all queries, batch by batch, and keeps the ``top_k`` of each query.
+
+    No posting of a term says more than its bound. Terms whose bounds, from the least on, sum to less than a query's k-th best score so far can't bring a text
+    among the top k by themselves (they are light): they are looked up only for texts that still can get there with the others.
+    """
+
+    def __init__(self, terms: pa.Array, asked: tuple[np.ndarray, np.ndarray], ids: pa.Array, idf: np.ndarray, bound: np.ndarray, mean: float, top_k: int, k1: float, b: float):
+        order = np.lexsort((bound[asked[1]], asked[0]))
+        self.terms, self.ids, self.idf, self.bound, self.mean, self.top_k, self.k1, self.b = terms, ids, idf, bound, mean, top_k, k1, b
+        self.query, self.term = (x[order] for x in asked)  # by query and rising bound
+        self.start = np.searchsorted(self.query, np.arange(len(ids) + 1))
+        summed = np.concatenate([[0.0], np.cumsum(bound[self.term])])
+        self.upto = summed[1:] - summed[self.start[self.query]]
+
+    def top(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, reached = None, np.full(len(self.ids), -np.inf)
+        for batch in sliced(batches, max(1, min(512, 2_000_000 // max(1, len(self.ids))))):
+            row, query, raw = self.scored(batch, reached)
+            new = pa.table({"query": pa.array(query, pa.int64()), "doc_id": batch.column("doc_id").take(pa.array(row)), "raw": pa.array(raw, pa.float64())})
+            found = new if found is None else pa.concat_tables([found, new])
+            found = found.sort_by([("query", "ascending"), ("raw", "descending"), ("doc_id", "ascending")])
+            query = found["query"].to_numpy()
+            place = np.arange(len(query)) - np.searchsorted(query, query)
+            last = place == self.top_k - 1
+            reached[query[last]] = found["raw"].to_numpy()[last]
+            found = found.filter(pa.array(place < self.top_k))
+        if found is not None:
+            out = pa.table({"query_id": self.ids.take(found["query"].combine_chunks()), "doc_id": found["doc_id"], "raw": found["raw"]})
+            yield from out.combine_chunks().to_batches()
+
+    def scored(self, batch: pa.RecordBatch, reached: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, query, raw) of the texts that may be among the top k of a query, which have reached so much."""
+        _, row, term, tf, length = counted(batch, self.terms)
+        part = self.idf[term] * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length[row] / self.mean))
+        light = self.upto < reached[self.query] - _SLACK
+        n_light = np.bincount(self.query[light], minlength=len(self.ids))  # the first of each query
+        rest = np.where(n_light > 0, self.upto[np.minimum(self.start[:-1] + np.maximum(n_light, 1) - 1, len(self.upto) - 1)], 0.0)
+        by = np.argsort(self.term[~light], kind="stable")
+        of, n = self.query[~light][by], np.bincount(self.term[~light], minlength=len(self.terms))
+        raw = np.zeros(len(batch) * len(self.ids))
+        for at in range(0, len(row), 1 << 16):
+            here = slice(at, at + (1 << 16))
+            own = n[term[here]]
+            entry = np.arange(own.sum()) + np.repeat((np.cumsum(n) - n)[term[here]] - (np.cumsum(own) - own), own)
+            raw += np.bincount(np.repeat(row[here], own) * len(self.ids) + of[entry], np.repeat(part[here], own), len(raw))
+        cell = np.flatnonzero(raw)
+        cell = cell[raw[cell] + rest[cell % len(self.ids)] >= reached[cell % len(self.ids)] - _SLACK]
+        own_row, query = np.divmod(cell, len(self.ids))
+        raw, more = raw[cell], n_light[query]
+        entry = np.arange(more.sum()) + np.repeat(self.start[query] - (np.cumsum(more) - more), more)
+        codes, wanted = row * len(self.terms) + term, np.repeat(own_row, more) * len(self.terms) + self.term[entry]
+        place = np.minimum(np.searchsorted(codes, wanted), max(len(codes) - 1, 0))
+        if len(codes):
+            raw += np.bincount(np.repeat(np.arange(len(cell)), more), np.where(codes[place] == wanted, part[place], 0.0), len(cell))
+        raw = np.round(raw, 9)
+        kept = raw >= reached[query]
+        return own_row[kept], query[kept], raw[kept]
+
+
+def bm25_search(docs: DataFrame, queries: DataFrame, *, top_k: int = 5, k1: float = 1.2, b: float = 0.75, text: str | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): the top_k texts of each query by BM25 over the query's distinct terms, ties by doc_id.
 
-    Scores are divided by the query's greatest. Both sides hold tokens. Postings of the terms that can bring a text among the top k are
-    scored first; of the others, mostly frequent ones, only those of texts that still can get there are looked up, by (term, text), so what
-    is scored doesn't grow with queries times the postings of frequent terms. Up to MOST_ASKED asked terms, counted first, are sent
-    to the texts; beyond that postings are dealt by term. The result is exact.
+    Scores are divided by the query's greatest. Both sides hold tokens, or whole texts in the column ``text``. Up to MOST_ASKED asked terms, counted first, are
+    sent to the texts: a pass counts the texts of each, and another scores texts where they are, so that only the top k of each task travel. Frequent
+    terms, which can't bring a text among the top k, are looked up only for texts that still can get there. With more asked terms, and where
+    ids of texts are null or repeat, postings are dealt by term and looked up by (term, text). The result is exact.
     """
+    single = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty()
+    read = lambda rows, key: rows.select(key, "tokens" if text is None else lower(text).alias("text"))
+    kind = {key: rows.schema[key].dataType.simpleString() for key, rows in (("query_id", queries), ("doc_id", docs))}
+    asked = read(queries.where("query_id IS NOT NULL"), "query_id").mapInArrow(_asked, f"query_id {kind['query_id']}, term string").limit(MOST_ASKED + 1).toArrow().combine_chunks()
+    if not single or len(asked) > MOST_ASKED:
+        scored = _dealt(*(rows if text is None else tokenize(rows, text=text) for rows in (docs, queries)), top_k, k1, b)
+    else:
+        scored = _scored_in_place(read(docs, "doc_id"), asked, kind, top_k, k1, b)
+    best = Window.partitionBy("query_id").orderBy(F.desc("raw"), "doc_id")
+    top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
+    return top.withColumn("score", F.col("raw") / F.max("raw").over(Window.partitionBy("query_id"))).drop("raw")
+
+
+def _scored_in_place(docs: DataFrame, asked: pa.Table, kind: dict[str, str], top_k: int, k1: float, b: float) -> DataFrame:
+    """(query_id, doc_id, raw): the top_k texts of each task for each query. asked: (query_id, term), MOST_ASKED rows at most."""
+    ids, terms = (asked[c].combine_chunks().dictionary_encode() if len(asked) else asked[c].combine_chunks() for c in ("query_id", "term"))
+    schema = f"query_id {kind['query_id']}, doc_id {kind['doc_id']}, raw double"
+    if not len(asked):
+        return docs.sparkSession.createDataFrame([], schema)
+    known = terms.dictionary
+    counts = docs.select(docs.columns[-1]).mapInArrow(lambda x: _asked_counts(x, known), "term string, df long, tf long, length long").groupBy("term")
+    rows = counts.agg(F.sum("df").alias("df"), F.max("tf").alias("most"), F.min("length").alias("least"), F.sum("tf").alias("texts"), F.sum("length").alias("length")).collect()  # one for each asked term
+    corpus = next((r for r in rows if r.term is None), None)
+    if corpus is None or not corpus.length:
+        return docs.sparkSession.createDataFrame([], schema)
+    of, mean = {r.term: r for r in rows}, corpus.length / corpus.texts
+    df, tf, least = (np.array([getattr(of[t], c) if t in of else 0 for t in known.to_pylist()], float) for c in ("df", "most", "least"))
+    idf = np.log(1 + (corpus.df - df + 0.5) / (df + 0.5))
+    bound = np.where(df > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * least / mean)), 0.0)
+    scorer = _Scorer(known, (ids.indices.to_numpy(), terms.indices.to_numpy()), ids.dictionary, idf, bound, mean, top_k, k1, b)
+    return docs.mapInArrow(scorer.top, schema)
+
+
+def _dealt(docs: DataFrame, queries: DataFrame, top_k: int, k1: float, b: float) -> DataFrame:
+    """(query_id, doc_id, raw) of the texts that may be among the top k, from postings dealt by term."""
     own = _Bm25(docs, queries, top_k, k1, b)
     rest = own.terms.groupBy("query_id").agg(F.sum(F.when(F.col("light"), F.col("most")).otherwise(0.0)).alias("rest"), F.coalesce(F.max("reached"), F.lit(0.0)).alias("reached"))
     heavy = own.scores(own.terms.where("NOT light")).join(own.sent(rest), "query_id")
     heavy = checkpointed(heavy.where(F.col("raw") + F.col("rest") >= F.col("reached") - _SLACK).select("query_id", "doc_id", "raw"))
     light = heavy.select("query_id", "doc_id").join(own.sent(own.terms.where("light").select("query_id", "term")), "query_id")
     more = light.join(own.parts, ["term", "doc_id"]).select("query_id", "doc_id", F.col("part").alias("raw"))
-    scored = heavy.unionByName(more).groupBy("query_id", "doc_id").agg(F.round(F.sum("raw"), 9).alias("raw"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("raw"), "doc_id")
-    top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
-    return top.withColumn("score", F.col("raw") / F.max("raw").over(Window.partitionBy("query_id"))).drop("raw")
+    return heavy.unionByName(more).groupBy("query_id", "doc_id").agg(F.round(F.sum("raw"), 9).alias("raw"))
 
 
 def bm25_reading(docs: DataFrame, queries: DataFrame, *, top_k: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, postings, read, share): postings of each query's terms, and those that bm25_search scores without looking at the text first."""
+    """(query_id, postings, read, share): postings of each query's terms, and those that are scored without looking at the text first where they are dealt by term."""
     terms = _Bm25(docs, queries, top_k, k1, b).terms
     read = F.sum(F.when(~F.col("light"), F.col("df")).otherwise(0))
     return terms.groupBy("query_id").agg(F.sum("df").alias("postings"), read.alias("read"), (read / F.sum("df")).alias("share"))

@@ -81,8 +81,8 @@ def tfidf(spark, d):
   SELECT query_id, doc_id, CAST(rank AS INT) AS rank, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS score
   FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc_id) AS rank FROM v_scored) WHERE rank <= 5"""))
 def bm25_search(spark, d):
-    asked = X.tokenize(spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text"))
-    return X.bm25_search(_tokens(spark, d), asked).select("query_id", "doc_id", "rank", _r("score"))
+    asked = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    return X.bm25_search(_texts(spark, d), asked, text="text").select("query_id", "doc_id", "rank", _r("score"))
 
 
 # --- time

@@ -72,6 +72,26 @@ def test_texts_are_cut_into_tokens_where_they_are_counted(spark):
     assert got[0] == ["cat", "s", "hat", "hat_2"] and got[1] == got[2] == got[3] == [] and got[7] == ["run", "run", "run"]
 
 
+def test_texts_are_scored_where_they_are(spark):
+    """Only the best of each task travel, no postings: the same as from postings dealt by term, ties, many batches, repeated ids and all."""
+    r = np.random.default_rng(5)
+    word = lambda: f"w{min(int(r.pareto(0.7)), 400)}"
+    docs = spark.createDataFrame([(i, " ".join(word() for _ in range(r.integers(0, 60)))) for i in range(1500)] + [(1500 + i, "w3 w7 w9") for i in range(40)] + [(1600, None)], "doc_id long, text string").repartition(2)
+    asked = spark.createDataFrame([(f"q{i}", " ".join(word() for _ in range(r.integers(1, 25)))) for i in range(40)] + [("ties", "w3 w7 w9"), ("none", "unheard of"), ("null", None), ("the", "the")], "query_id string, text string")
+    found = text.bm25_search(docs, asked, top_k=4, text="text")
+    assert "regexp_extract_all" not in plan(found) and "SortMergeJoin" not in plan(found) and "Exchange hashpartitioning(term" not in plan(found)
+    rows = lambda df: sorted((x.query_id, x["rank"], x.doc_id, round(x.score, 7)) for x in df.collect())
+    got = rows(found)
+    a, b = text.tokenize(docs), text.tokenize(asked)
+    assert got == rows(text.bm25_search(a, b, top_k=4)) and {x[0] for x in got} == {f"q{i}" for i in range(40)} | {"ties"}
+    dealt = {(x.query_id, x.doc_id): x.raw for x in text._dealt(a, b, 4, 1.2, 0.75).collect()}
+    best = {q: sorted((-raw, d) for (p, d), raw in dealt.items() if p == q)[:4] for q in {q for q, _ in dealt}}
+    assert got == sorted((q, k + 1, d, round(raw / top[0][0], 7)) for q, top in best.items() for k, (raw, d) in enumerate(top))
+    twice = docs.unionByName(docs.where("doc_id < 9"))  # an id that repeats: both texts count, from postings dealt by term
+    assert len(rows(text.bm25_search(twice, asked, top_k=4, text="text"))) == len(got)
+    assert text.bm25_search(docs.limit(0), asked, text="text").count() == text.bm25_search(docs, asked.limit(0), text="text").count() == 0
+
+
 def test_a_caller_without_stop_words_keeps_all(spark):
     rows = spark.createDataFrame([(1, "The end of it")], "doc_id long, text string")
     assert text.tokenize(rows, stop_words=[]).first().tokens == ["the", "end", "of", "it"]
