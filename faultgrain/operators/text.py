@@ -349,70 +349,150 @@ def project_2d(weights: DataFrame, total: DataFrame, *, key: str = "doc_id") ->
     return some.join(F.broadcast(ends)).select(key, scaled(1).alias("x"), scaled(2).alias("y"))  # one row
 
 
-#: Terms of a tile whose weights are laid out at a time, and texts of its left side.
-_WIDE, _HIGH = 4096, 512
+#: Terms whose weights are laid out at a time, and texts on both sides of a product.
+_WIDE, _HIGH, _ACROSS = 4096, 512, 2048
+#: Weights that are packed at a time, and texts of a pack, whose numbers are 16 bits long.
+_PACKED, _NUMBERED = 1 << 19, 1 << 15
 
 
-def _laid_out(rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, shape: tuple[int, int], top: int, first: int) -> np.ndarray:
-    """Weights of the texts from ``top`` on and the terms from ``first`` on, as a matrix."""
-    out = np.zeros(shape)
-    here = (rows >= top) & (rows < top + shape[0]) & (terms >= first) & (terms < first + shape[1])
-    out[rows[here] - top, terms[here] - first] = weights[here]
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each block's weights, ordered by term: its texts, its terms, how many weights each term has, and the weights with the numbers of their texts."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= _PACKED:
+            yield from _packed(pa.Table.from_batches(held))
+            held = []
+    if held:
+        yield from _packed(pa.Table.from_batches(held))
+
+
+def _packed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    keys, terms = (rows[c].combine_chunks().dictionary_encode() for c in ("fg_key", "term"))
+    text, term, weight = keys.indices.to_numpy(), terms.indices.to_numpy(), rows["weight"].to_numpy()
+    block = np.zeros(len(keys.dictionary), np.int64)
+    block[text] = rows["fg_block"].to_numpy()
+    by_block = np.argsort(block, kind="stable")
+    number = np.empty(len(block), np.int64)
+    number[by_block] = np.arange(len(block)) - np.searchsorted(block[by_block], block[by_block])
+    pack = block * (1 + len(block) // _NUMBERED) + number // _NUMBERED  # of each text
+    order = np.lexsort((number[text], term, pack[text]))
+    text, term, weight = text[order], term[order], weight[order]
+    ends = np.flatnonzero(np.append(np.diff(pack[text]) != 0, True)) + 1
+    for first, end in zip(np.append(0, ends[:-1]), ends, strict=True):
+        its, counts = np.unique(term[first:end], return_counts=True)
+        of, place = np.unique(text[first:end], return_inverse=True)
+        lists = [keys.dictionary.take(pa.array(of)), terms.dictionary.take(pa.array(its)), pa.array(counts, pa.int32()), pa.array(place, pa.int16()), pa.array(weight[first:end])]
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
+        yield pa.RecordBatch.from_arrays([pa.array([block[text[first]]]), *lists], ["fg_block", "fg_keys", "fg_terms", "fg_counts", "fg_numbers", "fg_weights"])
+
+
+class _Bags:
+    """Weights of the texts of some blocks, text by text: ``keys`` has the texts, and those of a block stand together."""
+
+    def __init__(self, packs: Iterator[pa.RecordBatch]):
+        names, keys, terms, numbers, counts, weights = [], [], [], [], [], []
+        for batch in packs:
+            for k in range(len(batch)):
+                at = {c: batch.column(c)[k] for c in batch.schema.names}
+                names.append((at["fg_block"].as_py(), at["fg_own"].as_py()))
+                keys.append(at["fg_keys"].values)
+                terms.append(at["fg_terms"].values)
+                for to, c in ((numbers, "fg_numbers"), (counts, "fg_counts"), (weights, "fg_weights")):
+                    to.append(at[c].values.to_numpy())
+        texts, words = (pa.concat_arrays(x).dictionary_encode() for x in (keys, terms))
+        blocks, own = (np.repeat([x[c] for x in names], [len(x) for x in keys]) for c in (0, 1))
+        self.block, self.own = np.empty(len(texts.dictionary), np.int64), np.empty(len(texts.dictionary), bool)
+        code = texts.indices.to_numpy()
+        self.block[code], self.own[code] = blocks, own
+        order = np.argsort(self.block, kind="stable")
+        self.keys, self.block, self.own, place = texts.dictionary.take(pa.array(order)), self.block[order], self.own[order], np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        starts = np.cumsum([0, *map(len, keys)])
+        text = np.concatenate([place[code[a:][n]] for a, n in zip(starts, numbers, strict=False)])
+        term = np.repeat(words.indices.to_numpy(), np.concatenate(counts))
+        by_text = np.argsort(text, kind="stable")
+        self.n_terms, self.text, self.term, self.weight = len(words.dictionary), text[by_text], term[by_text], np.concatenate(weights)[by_text]
+
+    def part(self, first: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, weight) of the texts from ``first`` on and before ``end``, numbered from 0."""
+        at = slice(*np.searchsorted(self.text, (first, end)))
+        return self.text[at] - first, self.term[at], self.weight[at]
+
+    def sides(self) -> Iterator[tuple[int, int, int]]:
+        """(first, end, before): texts to multiply with all before ``before``. Texts of a block meet those of the blocks before it, and each other where it is its own."""
+        cuts = np.flatnonzero(np.append(True, np.diff(self.block) != 0))
+        for start, stop in zip(cuts, np.append(cuts[1:], len(self.block)), strict=True):
+            for first in range(start, stop, _ACROSS):
+                end = min(first + _ACROSS, stop)
+                yield first, end, end if self.own[start] else start
+
+
+def _columns(terms: np.ndarray, n: int) -> np.ndarray:
+    """The place in ``terms`` of each of n terms, -1 for the others."""
+    out = np.full(n, -1)
+    out[terms] = np.arange(len(terms))
+    return out
+
+
+def _laid_out(part: tuple[np.ndarray, np.ndarray, np.ndarray], texts: int, columns: np.ndarray) -> np.ndarray:
+    """The weights as a matrix: a row for each text, and for each term the column that ``columns`` tells, if any."""
+    text, term, weight = part
+    column = columns[term]
+    some = column >= 0
+    out = np.zeros((texts, columns.max() + 1))
+    out[text[some], column[some]] = weight[some]
     return out
 
 
-def _tile_pairs(left: pa.Table, right: pa.Table, least: float, same: bool) -> pa.Table:
-    """(a, b, similarity) of the pairs of a tile that reach ``least``; within one part each pair once."""
-    sides = [side.sort_by("fg_key") if same else side for side in (left, right)]
-    flat = [side["fg_terms"].combine_chunks().flatten() for side in sides]
-    mine, theirs = (f.unique() for f in flat)
-    shared = mine.filter(pc.is_in(mine, value_set=theirs))
-    parts = []
-    for side, terms in zip(sides, flat, strict=True):
-        at = pc.index_in(terms, value_set=shared)
-        some = at.is_valid().to_numpy(zero_copy_only=False)
-        rows = np.repeat(np.arange(len(side)), pc.list_value_length(side["fg_terms"]).to_numpy())
-        parts.append((rows[some], pc.drop_null(at).to_numpy(), side["fg_weights"].combine_chunks().flatten().to_numpy()[some]))
-    chunks = range(0, len(shared), _WIDE)
-    wide = lambda first: min(_WIDE, len(shared) - first)
-    whole = _laid_out(*parts[1], (len(right), wide(0)), 0, 0) if len(chunks) == 1 else None
-    found = []
-    for top in range(0, len(left), _HIGH):
-        high = min(_HIGH, len(left) - top)
-        product = np.zeros((high, len(right)))
-        for first in chunks:
-            across = whole if whole is not None else _laid_out(*parts[1], (len(right), wide(first)), 0, first)
-            product += _laid_out(*parts[0], (high, wide(first)), top, first) @ across.T
-        hit = np.round(product, 9) >= least
-        if same:
-            hit &= np.arange(top, top + high)[:, None] < np.arange(len(right))[None]
-        i, j = np.nonzero(hit)
-        found.append((i + top, j, product[i, j]))
-    i, j, similarity = (np.concatenate(x) for x in zip(*found, strict=True))
-    x, y = sides[0]["fg_key"].combine_chunks().take(pa.array(i)), sides[1]["fg_key"].combine_chunks().take(pa.array(j))
-    less = pc.less(x, y)
-    return pa.table({"a": pc.if_else(less, x, y), "b": pc.if_else(less, y, x), "similarity": pa.array(similarity, pa.float64())})
-
-
-def pairwise_similarity(weights: DataFrame, *, least: float = 0.5, key: str = "doc_id", block: int = 2048) -> DataFrame:
+def _pairs(bags: _Bags, least: float) -> Iterator[pa.RecordBatch]:
+    """(a, b, similarity) of the pairs that reach ``least``."""
+    for first, end, before in bags.sides():
+        across = bags.part(first, end)
+        known = np.unique(across[1])
+        whole = _laid_out(across, end - first, _columns(known, bags.n_terms)) if len(known) <= _WIDE else None
+        for top in range(0, before, _HIGH):
+            high = min(_HIGH, before - top)
+            left, product = bags.part(top, top + high), np.zeros((high, end - first))
+            shared = np.intersect1d(known, left[1])
+            if whole is not None and 2 * len(shared) > len(known):
+                product += _laid_out(left, high, _columns(known, bags.n_terms)) @ whole.T
+            else:
+                for low in range(0, len(shared), _WIDE):
+                    columns = _columns(shared[low : low + _WIDE], bags.n_terms)
+                    product += _laid_out(left, high, columns) @ _laid_out(across, end - first, columns).T
+            i, j = np.nonzero(product >= least - 1e-9)
+            similarity = product[i, j]
+            some = (np.round(similarity, 9) >= least) & (i + top < j + first)
+            if some.any():
+                x, y = (bags.keys.take(pa.array(k[some])) for k in (i + top, j + first))
+                less = pc.less(x, y)
+                yield pa.RecordBatch.from_arrays([pc.if_else(less, x, y), pc.if_else(less, y, x), pa.array(similarity[some])], ["a", "b", "similarity"])
+
+
+def _prime(least: int) -> int:
+    return next(p for p in range(least, 2 * least) if all(p % d for d in range(2, int(p**0.5) + 1)))
+
+
+def pairwise_similarity(weights: DataFrame, *, least: float = 0.5, key: str = "doc_id", block: int = 131072) -> DataFrame:
     """(a, b, similarity): the cosine of every pair a < b of texts that reach ``least`` (above 0). weights: (key, term, weight), of length 1.
 
-    Every two texts meet once, in tiles of about ``block`` x ``block``, each multiplied as matrices over the terms that both sides have; so no task holds more,
-    whatever terms and texts have in common. Texts travel once for each block of the others. The work grows with the square of the texts, as the pairs do.
+    Texts are dealt to p x p blocks, the points of a plane over the prime p, and each line of the plane is a group: every two points lie on one line, so every two
+    blocks meet in one group, of which there are p x (p + 1). A group holds 1 / p of the texts, about ``block`` at most, and texts travel p + 1 times, packed.
+    In a group they are multiplied as matrices, whatever terms they share. The work grows with the square of the texts, as the pairs do.
     """
     if not 0 < least <= 1:
         raise ValueError("least must be above 0 and at most 1")
-    bags = weights.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("fg_key")).agg(F.collect_list(F.struct("term", "weight")).alias("x"))
-    bags = stored(bags.select("fg_key", F.col("x.term").alias("fg_terms"), F.col("x.weight").alias("fg_weights")))
-    parts = max(1, -(-bags.count() // block))
-    part = F.pmod(F.xxhash64("fg_key"), F.lit(parts)).cast("int")
-    left = bags.withColumn("fg_i", part).withColumn("fg_j", F.explode(F.sequence("fg_i", F.lit(parts - 1)))).groupBy("fg_i", "fg_j")
-    others = bags.select(*(F.col(c).alias(c) for c in bags.columns))  # columns of its own, as the plan may mix up those of two sides
-    right = others.withColumn("fg_j", part).withColumn("fg_i", F.explode(F.sequence(F.lit(0), F.col("fg_j")))).groupBy("fg_i", "fg_j")
-    kind = bags.schema["fg_key"].dataType
-    none = pa.table({"a": pa.array([], to_arrow_type(kind)), "b": pa.array([], to_arrow_type(kind)), "similarity": pa.array([], pa.float64())})
-
-    def tile(at: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
-        return _tile_pairs(a, b, least, at[0] == at[1]) if len(a) and len(b) else none
-
-    return left.cogroup(right).applyInArrow(tile, f"a {kind.simpleString()}, b {kind.simpleString()}, similarity double")
+    rows = stored(weights.where(F.col(key).isNotNull()).select(F.col(key).alias("fg_key"), "term", "weight"))
+    p = _prime(max(5, -(-rows.select("fg_key").distinct().count() // block)))
+    kind = rows.schema["fg_key"].dataType.simpleString()
+    lists = f"fg_block long, fg_keys array<{kind}>, fg_terms array<string>, fg_counts array<int>, fg_numbers array<smallint>, fg_weights array<double>"
+    packs = rows.withColumn("fg_block", F.pmod(F.xxhash64("fg_key"), F.lit(p * p))).mapInArrow(_packs, lists)
+    # Lines are y = m x + c, and x = c as the p-th slope. A block meets itself on the line whose slope is its x.
+    line = f"transform(sequence(0, {p}), m -> struct(IF(m = {p}, {p * p} + fg_block div {p}, m * {p} + pmod(fg_block % {p} - m * (fg_block div {p}), {p})) AS fg_line, m = fg_block div {p} AS fg_own))"
+    sent = packs.select("*", F.expr(f"inline({line})")).repartition(4 * p * (p + 1), "fg_line")
+
+    def group(packs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _pairs(_Bags(packs), least)
+
+    return sent.groupBy("fg_line").applyInArrow(group, f"a {kind}, b {kind}, similarity double")

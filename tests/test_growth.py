@@ -35,6 +35,25 @@ def test_pairs_meet_in_tiles_and_not_by_term(spark, tokens):
     assert all(abs(s - m[i] @ m[j]) < 1e-9 for (i, j), s in got.items())
 
 
+def test_texts_of_pairs_travel_a_bounded_number_of_times(spark):
+    """Each text went to a tile with each 2048 others, as words and not as numbers: what travels grew with the square of the texts."""
+    rows = spark.range(24000).selectExpr("id AS doc_id", "explode(map(concat('own', id), 0.6D, concat('common', id % 50), 0.8D)) AS (term, weight)")
+    weights = rows.unionByName(spark.createDataFrame([(24001, "own7", 0.6), (24001, "common7", 0.8)], rows.schema)).localCheckpoint()
+    written = lambda: spark._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    got = text.pairwise_similarity(weights, least=0.7).collect()
+    assert [(x.a, x.b, round(x.similarity, 9)) for x in got] == [(7, 24001, 1.0)]
+    assert written() - before < 4e6
+
+
+def test_every_two_texts_meet_once(spark):
+    """On planes over several primes: equal texts make all pairs, each once; a text whose rows are dealt over many tasks is one."""
+    weights = spark.createDataFrame([(i, t, w) for i in range(70) for t, w in (("x", 0.6), ("y", 0.8))], "doc_id long, term string, weight double").repartition(7)
+    for block in (5, 20, 1000):
+        got = [(x.a, x.b) for x in text.pairwise_similarity(weights, least=0.99, block=block).collect()]
+        assert len(got) == len(set(got)) == 70 * 69 // 2 and all(a < b for a, b in got)
+
+
 def test_isotonic_lines_use_frames_that_only_grow(spark):
     """A frame that ends with the last row is summed anew for each row of a range."""
     rows = spark.range(400).selectExpr("id", "(id * 37 % 101) / 100.0D AS score", "CAST(id % 3 = 0 AS INT) AS label")
