@@ -270,6 +270,54 @@ def test_copies_are_no_partners(spark):
     assert got[1] == got[2] == "The whole of a long story that two addresses of one host show alike."
 
 
+@pytest.mark.parametrize("copies", [20, 700])
+def test_partners_beyond_any_number_of_copies(spark, copies):
+    """What the site repeats goes from every copy, however far the nearest other page is: it was kept where all of the eight next were copies."""
+    story = "The whole of a long story that many addresses of one host show alike."
+    text = lambda k: story if k < copies else f"Another story, number {k}, not the one that all the others tell."
+    rows = [(k, f"http://a.example/x/{k:04d}", page(f"<div>Menu</div><div>{text(k)}</div>")) for k in range(copies + 2)]
+    rows += [(-1 - k, f"http://b.example/{k:04d}", page(f"<div>Menu</div><div>{story}</div>")) for k in range(30)]  # copies alone
+    got = {r.page_id: r.text for r in H.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert got == {k: text(k) for k in range(copies + 2)} | {-1 - k: f"Menu\n\n{story}" for k in range(30)}
+
+
+def test_partners_equal_plain_ones(spark):
+    """Runs of copies and near copies of all lengths in folders of several depths, against the best of all pages of the host."""
+    r = random.Random(11)
+    rows, k = [], 0
+    while k < 1600:
+        host, folder = f"{r.choice('ab')}.example", "/".join(r.choice(["a", "a-b", "b"]) for _ in range(r.randrange(1, 4)))
+        own = [f"line {r.randrange(60)} of it" for _ in range(r.randrange(2, 7))]
+        for _ in range(r.choice([1, 2, 30, 500])):
+            lines = [f"site {x}" for x in "xyz" if r.random() < 0.9] + (own if r.random() < 0.7 else [f"line {r.randrange(60)} of it", *own[1:]])
+            rows.append((k, f"http://{host}/{folder}/{k:05d}", page("".join(f"<div>{x}</div>" for x in lines))))
+            k += 1
+    for x in rows[::97]:  # a page without text is nobody's copy and has none
+        rows.append((k, x[1] + "-none", page("")))
+        k += 1
+    parsed = {i: ([(len(t), t) for t, _, _ in H.lines_of(html)], *H.place(url)) for i, url, html in rows}
+    hashed = {i: [(n, H._hash(t)) for n, t in x[0]] for i, x in parsed.items()}
+    order = sorted(parsed, key=lambda i: (parsed[i][1], parsed[i][2].split("/")))
+    place = {i: n for n, i in enumerate(order)}
+
+    def copies(a: int, b: int) -> bool:
+        there = {h for _, h in hashed[b]}
+        return bool(hashed[a]) and max(hashed[a])[1] in there and 4 * sum(n for n, h in hashed[a] if h in there) >= 3 * sum(n for n, _ in hashed[a])
+
+    def rank(a: int, b: int) -> tuple:
+        x, y = (parsed[i][2].split("/") for i in (a, b))
+        same = next((n for n, (u, v) in enumerate(zip(x, y, strict=False)) if u != v), min(len(x), len(y)))
+        return -same, abs(place[a] - place[b]), place[b] > place[a]
+
+    want = {}
+    for a in r.sample(order, 400):
+        near = min((b for b in order if b != a and parsed[b][1] == parsed[a][1] and not copies(a, b)), key=lambda b: rank(a, b), default=None)
+        gone = H.common_lines(*([h for _, h in hashed[i]] for i in (a, near))) if near is not None else []
+        want[a] = H.main_text(H.lines_of(rows[a][2]), set(gone))
+    got = {x.page_id: x.text for x in H.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert {i: got[i] for i in want} == want
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
 def test_texts_of_the_whole_table(spark):
     """The given pages have one article each, of a heading and paragraphs, perhaps cut off."""
