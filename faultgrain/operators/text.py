@@ -351,6 +351,8 @@ def project_2d(weights: DataFrame, total: DataFrame, *, key: str = "doc_id") ->
 
 #: Terms whose weights are laid out at a time, and texts on both sides of a product.
 _WIDE, _HIGH, _ACROSS = 4096, 512, 2048
+#: Groups of terms by which pairs are ruled out, and texts that the groups are drawn from. Of a product, the share of pairs up to which each is multiplied by itself.
+_GROUPS, _DRAWN, _FEW = 16, 2048, 0.02
 #: Weights that are packed at a time, and texts of a pack, whose numbers are 16 bits long.
 _PACKED, _NUMBERED = 1 << 19, 1 << 15
 
@@ -387,8 +389,33 @@ def _packed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([block[text[first]]]), *lists], ["fg_block", "fg_keys", "fg_terms", "fg_counts", "fg_numbers", "fg_weights"])
 
 
+def _term_groups(text: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, n_terms: int) -> np.ndarray:
+    """A group for each term: terms of texts that are alike share one, by k-means over some texts and the most frequent terms. Others share the last group."""
+    step = -(-n // _DRAWN)
+    drawn = text % step == 0
+    often = np.sort(np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[:_WIDE])
+    texts = _laid_out((text[drawn] // step, term[drawn], weight[drawn]), -(-n // step), _columns(often, n_terms))
+    r = np.random.default_rng(0)
+    centres, nearest = texts[:1], texts @ texts[0]
+    for _ in range(_GROUPS - 1):
+        far = np.clip(1 - nearest, 1e-9, None) ** 2
+        new = texts[r.choice(len(texts), p=far / far.sum())]
+        centres, nearest = np.vstack([centres, new]), np.maximum(nearest, texts @ new)
+    for _ in range(8):
+        own, sums = (texts @ centres.T).argmax(1), np.zeros_like(centres)
+        np.add.at(sums, own, texts)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(size > 0, sums / np.where(size > 0, size, 1), centres)
+    out = np.full(n_terms, _GROUPS)
+    out[often] = centres.argmax(0)
+    return out
+
+
 class _Bags:
-    """Weights of the texts of some blocks, text by text: ``keys`` has the texts, and those of a block stand together."""
+    """Weights of the texts of some blocks, text by text: ``keys`` has the texts, those of a block together, and in it those that are alike.
+
+    ``profile`` has the lengths of a text's parts, a part for each group of terms: the product of two texts' profiles is at least that of the texts.
+    """
 
     def __init__(self, packs: Iterator[pa.RecordBatch]):
         names, keys, terms, numbers, counts, weights = [], [], [], [], [], []
@@ -401,22 +428,26 @@ class _Bags:
                 for to, c in ((numbers, "fg_numbers"), (counts, "fg_counts"), (weights, "fg_weights")):
                     to.append(at[c].values.to_numpy())
         texts, words = (pa.concat_arrays(x).dictionary_encode() for x in (keys, terms))
-        blocks, own = (np.repeat([x[c] for x in names], [len(x) for x in keys]) for c in (0, 1))
-        self.block, self.own = np.empty(len(texts.dictionary), np.int64), np.empty(len(texts.dictionary), bool)
-        code = texts.indices.to_numpy()
-        self.block[code], self.own[code] = blocks, own
-        order = np.argsort(self.block, kind="stable")
-        self.keys, self.block, self.own, place = texts.dictionary.take(pa.array(order)), self.block[order], self.own[order], np.empty(len(order), np.int32)
-        place[order] = np.arange(len(order))
+        n, self.n_terms, code = len(texts.dictionary), len(words.dictionary), texts.indices.to_numpy()
+        block, own = np.empty(n, np.int64), np.empty(n, bool)
+        block[code], own[code] = (np.repeat([x[c] for x in names], [len(x) for x in keys]) for c in (0, 1))
         starts = np.cumsum([0, *map(len, keys)])
-        text = np.concatenate([place[code[a:][n]] for a, n in zip(starts, numbers, strict=False)])
-        term = np.repeat(words.indices.to_numpy(), np.concatenate(counts))
+        text = np.concatenate([code[a:][k] for a, k in zip(starts, numbers, strict=False)])
+        term, weight = np.repeat(words.indices.to_numpy(), np.concatenate(counts)), np.concatenate(weights)
+        part = text.astype(np.int64) * (_GROUPS + 1) + _term_groups(text, term, weight, n, self.n_terms)[term]
+        profile = np.sqrt(np.bincount(part, weight * weight, n * (_GROUPS + 1))).reshape(n, _GROUPS + 1)
+        order = np.lexsort((-profile.max(1), profile.argmax(1), block))
+        self.keys, self.block, self.own, self.profile = texts.dictionary.take(pa.array(order)), block[order], own[order], profile[order]
+        place = np.empty(n, np.int32)
+        place[order] = np.arange(n)
+        text = place[text]
         by_text = np.argsort(text, kind="stable")
-        self.n_terms, self.text, self.term, self.weight = len(words.dictionary), text[by_text], term[by_text], np.concatenate(weights)[by_text]
+        self.text, self.term, self.weight = text[by_text], term[by_text], weight[by_text]
+        self.start = np.append(0, np.cumsum(np.bincount(text, minlength=n)))
 
     def part(self, first: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, term, weight) of the texts from ``first`` on and before ``end``, numbered from 0."""
-        at = slice(*np.searchsorted(self.text, (first, end)))
+        at = slice(self.start[first], self.start[end])
         return self.text[at] - first, self.term[at], self.weight[at]
 
     def sides(self) -> Iterator[tuple[int, int, int]]:
@@ -445,27 +476,48 @@ def _laid_out(part: tuple[np.ndarray, np.ndarray, np.ndarray], texts: int, colum
     return out
 
 
+def _reaching(left: np.ndarray, right: np.ndarray, small: np.ndarray, among: np.ndarray, least: float, length: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, product) of the rows of ``left`` and of those ``among`` the rows of ``right`` whose product may reach ``least``. small: ``right`` with half the digits.
+
+    All products are made with half the digits first, off by less than ``slack``; then whole ones, of pairs that are left, or all if many are. length: of the longest row.
+    """
+    slack = (left.shape[1] + 8) * 2.0**-23 * length**2 + 1e-9
+    i, j = np.nonzero(left.astype(np.float32) @ (small if len(among) == len(small) else small[among]).T >= np.float32(least - slack))
+    if len(i) > _FEW * len(left) * len(among):
+        return i, j, (left @ right[among].T)[i, j]
+    parts = [np.einsum("ij,ij->i", left[i[k : k + 1024]], right[among[j[k : k + 1024]]]) for k in range(0, len(i), 1024)]
+    return i, j, np.concatenate([np.empty(0), *parts])
+
+
 def _pairs(bags: _Bags, least: float) -> Iterator[pa.RecordBatch]:
     """(a, b, similarity) of the pairs that reach ``least``."""
+    length = np.sqrt((bags.profile**2).sum(1).max())
     for first, end, before in bags.sides():
         across = bags.part(first, end)
         known = np.unique(across[1])
-        whole = _laid_out(across, end - first, _columns(known, bags.n_terms)) if len(known) <= _WIDE else None
+        columns = _columns(known, bags.n_terms)
+        right = _laid_out(across, end - first, columns) if len(known) <= _WIDE else None
+        small = None if right is None else right.astype(np.float32)
         for top in range(0, before, _HIGH):
             high = min(_HIGH, before - top)
-            left, product = bags.part(top, top + high), np.zeros((high, end - first))
-            shared = np.intersect1d(known, left[1])
-            if whole is not None and 2 * len(shared) > len(known):
-                product += _laid_out(left, high, _columns(known, bags.n_terms)) @ whole.T
+            may = bags.profile[top : top + high] @ bags.profile[first:end].T >= least - 1e-8
+            down, among = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+            if not len(down):
+                continue
+            left = bags.part(top, top + high)
+            if right is not None:
+                i, j, similarity = _reaching(_laid_out(left, high, columns)[down], right, small, among, least, length)
             else:
+                product, shared = np.zeros((len(down), len(among))), np.intersect1d(known, left[1])
                 for low in range(0, len(shared), _WIDE):
-                    columns = _columns(shared[low : low + _WIDE], bags.n_terms)
-                    product += _laid_out(left, high, columns) @ _laid_out(across, end - first, columns).T
-            i, j = np.nonzero(product >= least - 1e-9)
-            similarity = product[i, j]
-            some = (np.round(similarity, 9) >= least) & (i + top < j + first)
+                    some = _columns(shared[low : low + _WIDE], bags.n_terms)
+                    product += _laid_out(left, high, some)[down] @ _laid_out(across, end - first, some)[among].T
+                i, j = np.nonzero(product >= least - 1e-9)
+                similarity = product[i, j]
+            i, j = down[i] + top, among[j] + first
+            some = (np.round(similarity, 9) >= least) & (i < j)
             if some.any():
-                x, y = (bags.keys.take(pa.array(k[some])) for k in (i + top, j + first))
+                x, y = (bags.keys.take(pa.array(k[some])) for k in (i, j))
                 less = pc.less(x, y)
                 yield pa.RecordBatch.from_arrays([pc.if_else(less, x, y), pc.if_else(less, y, x), pa.array(similarity[some])], ["a", "b", "similarity"])
 
@@ -479,7 +531,7 @@ def pairwise_similarity(weights: DataFrame, *, least: float = 0.5, key: str = "d
 
     Texts are dealt to p x p blocks, the points of a plane over the prime p, and each line of the plane is a group: every two points lie on one line, so every two
     blocks meet in one group, of which there are p x (p + 1). A group holds 1 / p of the texts, about ``block`` at most, and texts travel p + 1 times, packed.
-    In a group they are multiplied as matrices, whatever terms they share. The work grows with the square of the texts, as the pairs do.
+    In a group they are multiplied as matrices, whatever terms they share, but for those whose profiles rule that out. The work grows with the square of the texts, as the pairs do.
     """
     if not 0 < least <= 1:
         raise ValueError("least must be above 0 and at most 1")

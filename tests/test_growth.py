@@ -54,6 +54,25 @@ def test_every_two_texts_meet_once(spark):
         assert len(got) == len(set(got)) == 70 * 69 // 2 and all(a < b for a, b in got)
 
 
+def test_pairs_of_texts_in_several_languages(spark):
+    """Texts whose terms are of one language, of two, or single words; pairs right at the bound, many vocabularies wide: the same as from one product of matrices."""
+    r = np.random.default_rng(4)
+    for many in (60, 3000):
+        m = np.zeros((900, 5 * many))
+        for i in range(900):
+            for language in r.choice(5, r.choice([1, 1, 1, 2]), replace=False):
+                at = language * many + np.minimum(r.pareto(0.6, r.choice([1, 3, 40])).astype(int), many - 1)
+                m[i, at] += r.integers(1, 9, len(at))
+        m[:4] = 0
+        m[:4, :5] = [[1, 0, 0, 0, 0], [3, 4, 0, 0, 0], [3, 0, 4, 0, 0], [0, 0, 3, 4, 0]]  # 0.6, 0.6 and 0.36, 0.48
+        m /= np.linalg.norm(m, axis=1)[:, None]
+        weights = spark.createDataFrame([(int(i), f"t{j}", float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)], "doc_id long, term string, weight double")
+        a, b = np.nonzero(np.triu(np.round(m @ m.T, 9) >= 0.6, 1))
+        got = {(x.a, x.b): x.similarity for x in text.pairwise_similarity(weights, least=0.6).collect()}
+        assert {(0, 1), (0, 2)} <= got.keys() == set(zip(a.tolist(), b.tolist(), strict=True))
+        assert all(abs(s - m[i] @ m[j]) < 1e-12 for (i, j), s in got.items())
+
+
 def test_isotonic_lines_use_frames_that_only_grow(spark):
     """A frame that ends with the last row is summed anew for each row of a range."""
     rows = spark.range(400).selectExpr("id", "(id * 37 % 101) / 100.0D AS score", "CAST(id % 3 = 0 AS INT) AS label")
